@@ -7,9 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.llm.chat import format_chats
 from folio.llm.ctw import lm_scores
+from folio.llm.decontaminate import contaminated
 from folio.llm.exact_dedup import exact_groups
+from folio.llm.line_dedup import line_report
 from folio.llm.mixing import mix_sources
+from folio.llm.quality import quality_scores
 from folio.llm.simhash import simhash_classes
 from folio.llm.token_counts import token_counts
 from folio.llm.warc import write_and_read
@@ -46,8 +50,38 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return format_chats(_table(spark, sf_dir, "conversations"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (
+    op1_token_counts,
+    op2_simhash,
+    op3_lm_scores,
+    op4_warc,
+    op5_mix,
+    op6_exact_dedup,
+    op7_decontaminate,
+    op8_chat_format,
+    op9_quality,
+    op10_line_dedup,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_token_counts, op2_simhash, op3_lm_scores, op4_warc, op5_mix, op6_exact_dedup)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
