@@ -43,11 +43,13 @@ def template_words(text: Column) -> Column:
 
 
 def _hashes(words: Column, n: int) -> Column:
-    """Hash of each window of n words; none if there are fewer."""
-    count = F.size(words) - n + 1
-    return F.when(count > 0, F.transform(F.sequence(F.lit(1), count), lambda i: F.xxhash64(F.slice(words, i, n)))).otherwise(
-        F.array().cast("array<bigint>")
-    )
+    """Hash of each window of n words; none if there are fewer. The words are bound once, before the windows are cut."""
+
+    def windows(ws: Column) -> Column:
+        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, n)))
+
+    return F.flatten(F.transform(F.array(words), windows))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
