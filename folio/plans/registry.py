@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from folio.plans import batch_queries, text_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (text_queries, batch_queries)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: run for m in MODULES for name, (run, _) in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
