@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import batch_queries, job_queries, text_queries
+from folio.plans import batch_queries, box_queries, job_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (text_queries, batch_queries, job_queries)
+MODULES = (text_queries, batch_queries, job_queries, box_queries)
 
 
 def queries() -> dict[str, Query]:
