@@ -141,8 +141,9 @@ def glossary_match(spark, sf_dir):
     """Terms contained in a text once both are normalised."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
     terms = _terms(spark, sf_dir, 10)
-    found = G.candidates(texts, terms, fuzzy=False).join(texts, "text_id")
-    return found.where(F.contains(T.term_normalize(F.col("text")), T.term_normalize(F.col("term")))).select("text_id", "term")
+    normal = texts.select("text_id", T.term_normalize(F.col("text")).alias("norm"))
+    found = G.candidates(texts, terms, fuzzy=False).join(normal, "text_id")
+    return found.where(F.contains(F.col("norm"), T.term_normalize(F.col("term")))).select("text_id", "term")
 
 
 @_add("glossary_fuzzy", None)
@@ -155,18 +156,20 @@ def glossary_fuzzy(spark, sf_dir):
 @_add("window_edit_distance", None)
 def window_edit_distance(spark, sf_dir):
     """Each turn against the first word of its conversation's first turn."""
-    pairs = _pairs(spark, sf_dir)
-    first = pairs.groupBy("conv_id").agg(F.lower(F.regexp_extract(F.min_by("src", "pos"), r"\p{L}+", 0)).alias("term")).where("term <> ''")
-    return pairs.join(first, "conv_id").select("conv_id", "pos", G.window_edit_distance(F.lower("src"), F.col("term")).alias("distance"))
+    # ASCII only: the other engine's distance counts bytes
+    pairs = _pairs(spark, sf_dir).withColumn("src", F.regexp_replace(F.lower("src"), r"[^\x00-\x7F]", ""))
+    first = pairs.groupBy("conv_id").agg(F.regexp_extract(F.min_by("src", "pos"), r"\p{L}+", 0).alias("term")).where("term <> ''")
+    return pairs.join(first, "conv_id").select("conv_id", "pos", G.window_edit_distance(F.col("src"), F.col("term")).alias("distance"))
 
 
 QUERIES["window_edit_distance"] = (
     window_edit_distance,
     sql_with(
         "pairs_fx",
-        r"""WITH f AS (SELECT conv_id, lower(regexp_extract(min_by(src, pos), '\p{L}+', 0)) AS term FROM pairs_fx GROUP BY conv_id),
-        p AS (SELECT p.conv_id, p.pos, lower(p.src) AS t, f.term, length(f.term) AS n, length(f.term) + CASE WHEN length(f.term) <= 8 THEN 0 WHEN length(f.term) <= 16 THEN 1 ELSE 2 END AS w
-              FROM pairs_fx p JOIN f ON p.conv_id = f.conv_id WHERE f.term <> '')
+        r"""WITH a AS (SELECT conv_id, pos, regexp_replace(lower(src), '[^\x00-\x7F]', '', 'g') AS src FROM pairs_fx),
+        f AS (SELECT conv_id, regexp_extract(min_by(src, pos), '\p{L}+', 0) AS term FROM a GROUP BY conv_id),
+        p AS (SELECT p.conv_id, p.pos, p.src AS t, f.term, length(f.term) AS n, length(f.term) + CASE WHEN length(f.term) <= 8 THEN 0 WHEN length(f.term) <= 16 THEN 1 ELSE 2 END AS w
+              FROM a p JOIN f ON p.conv_id = f.conv_id WHERE f.term <> '')
         SELECT conv_id, pos, CAST(CASE WHEN length(t) > 5 * n THEN list_min(list_transform(generate_series(1, greatest(length(t) - w + 1, 1)), lambda i: levenshtein(substr(t, i, w), term)))
           ELSE levenshtein(t, term) END AS INT) AS distance FROM p""",
     ),

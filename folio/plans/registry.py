@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.plans import batch_queries, box_queries, job_queries, source_queries, stream_queries, text_queries
+from folio.plans import batch_queries, box_queries, enrich_queries, job_queries, source_queries, stream_queries, text_queries
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (text_queries, batch_queries, job_queries, box_queries, source_queries, stream_queries)
+MODULES = (text_queries, batch_queries, job_queries, box_queries, source_queries, stream_queries, enrich_queries)
 
 
 def queries() -> dict[str, Query]:
