@@ -21,7 +21,7 @@ GOOD, BAD, NONE = 0, 1, 2
 #: Features: hashed words, word beginnings and binned measures.
 BITS = 20
 #: At most so many labelled rows are fitted on, chosen by a hash of the id, and so many features kept.
-SAMPLE_ROWS, MAX_FEATURES = 24_000, 6_000
+SAMPLE_ROWS, MAX_FEATURES = 16_000, 6_000
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = np.array([65 <= b <= 90 for b in range(256)], float)
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC2 for b in range(256)], float)
@@ -205,11 +205,13 @@ def quality_scores(
     top = support.orderBy(F.desc(F.abs(F.col("s") - F.col("n") * share) / F.sqrt("n") / spread), "slot").limit(max_features).select("slot")
     slots = np.sort(np.array([r["slot"] for r in top.collect()], int))
     keep = spark.createDataFrame([(int(x),) for x in slots], "slot int")
-    pairs = sample.select("row", F.explode("slots").alias("slot")).join(F.broadcast(keep), "slot").toPandas()
-    examples = sample.select("row", "p").orderBy("row").toPandas()
-    owner = np.searchsorted(examples["row"].to_numpy(), pairs["row"].to_numpy())
-    index = np.searchsorted(slots, pairs["slot"].to_numpy())
-    weights, bias = fit_logistic(owner, index, examples["p"].to_numpy(float), len(slots))
+    # bounded by sample_rows and max_features; Arrow columns, not Python rows
+    examples = sample.select("row", "p").orderBy("row").toArrow()
+    pairs = sample.select("row", F.explode("slots").alias("slot")).join(F.broadcast(keep), "slot").toArrow()
+    owner = np.searchsorted(examples["row"].to_numpy(), pairs["row"].to_numpy()).astype(np.int32)
+    index = np.searchsorted(slots, pairs["slot"].to_numpy()).astype(np.int32)
+    del pairs
+    weights, bias = fit_logistic(owner, index, examples["p"].to_numpy(), len(slots))
     model = spark.sparkContext.broadcast((f"{n}-{bias!r}-{len(slots)}", {int(s): float(w) for s, w in zip(slots, weights)}, float(bias)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
