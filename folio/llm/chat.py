@@ -164,11 +164,12 @@ def format_chats(turns: DataFrame, partitions: int | None = None) -> DataFrame:
 
     Legal: an optional system turn, then user and assistant turns by turns, an assistant turn last.
     A repair may join a turn to the one before, change its role or put an empty turn in front; the
-    cheapest sequence is found by dynamic programming over the automaton, ties going to joins.
+    cheapest sequence is found by dynamic programming over the automaton. Of equally cheap repairs of
+    a step joins win, then fewer insertions; of equally cheap sequences any may be chosen.
 
     One row per conversation: conv_id, part, n_turns, n_merged, n_relabelled, n_inserted, cost, text;
-    a conversation of more than BLOCK turns comes as several parts, numbered in order, whose texts
-    follow one another. Turns are ordered by (turn, role, text), so repeated rows and ties have a
+    a conversation that lies over a border of two blocks or partitions, or has more than BLOCK turns,
+    comes as several parts, numbered in order, whose texts follow one another and whose costs add up. Turns are ordered by (turn, role, text), so repeated rows and ties have a
     defined place; null turns come first; a null or other role is unknown and gets named; a null
     text is empty; null conv_ids are one conversation. Extra columns are ignored; an empty table
     gives an empty table.

@@ -57,7 +57,7 @@ def tilted_rates(classes: DataFrame, targets: DataFrame, cap: float = 2.0, round
     base = classes.join(targets, classes["source"].eqNullSafe(targets["source"]), "left").drop(targets["source"])
     base = base.join(means, base["source"].eqNullSafe(means["source"]), "left").drop(means["source"])
     open_ = (F.col("target") < cap * F.col("source_size") * (1 - 1e-12)) & (F.col("target") > 0)
-    base = materialize(base.withColumn("open", open_).withColumn("x", F.col("size") / F.col("mean")), "mix-classes")
+    base = materialize(base.withColumn("open", open_).withColumn("x", F.when(F.col("mean") > 0, F.col("size") / F.col("mean")).otherwise(0.0)), "mix-classes")
     state = materialize(
         base.where("open and size > 0").groupBy("source", "target")
         .agg(F.min("x").alias("x"), F.first("source_size").alias("all")).select(
