@@ -332,3 +332,41 @@ def merged_pair_flag(src: Column, dst: Column) -> Column:
 def unbalanced_symbol_strip(text: Column, lefts: str = "「『【（", rights: str = "」』】）") -> Column:
     uneven = count_of(text, f"[{lefts}]") != count_of(text, f"[{rights}]")
     return F.when(uneven, F.regexp_replace(text, f"[{lefts}{rights}]", "")).otherwise(text)
+
+
+# Punctuation after which a word begins.
+RIGHT_PUNCTUATION = '.?!:;)}"'
+
+
+def word_segments(text: Column, right: str = RIGHT_PUNCTUATION) -> Column:
+    """Words of a caption in capitals; a word of one or two letters joins the shorter of its neighbours.
+
+    Two letters join a neighbour of at most four only. A fold over the words, each of which sees the
+    last segment so far and the word to come.
+    """
+    marks = "[" + "".join(f"\\x{{{ord(c):X}}}" for c in right) + "]"
+    t = F.upper(strip(text))
+    t = F.replace(F.replace(F.replace(t, F.lit("  "), F.lit(" ")), F.lit(" ."), F.lit(".")), F.lit("\n"), F.lit(" "))
+    words = F.split(F.regexp_replace(t, rf"({marks})(?=[\p{{L}}\p{{N}}])", "$1 "), " ")
+    kind = "struct<out:array<string>,skip:boolean>"
+
+    def segments(ws: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            word, after, out = F.get(ws, i), F.get(ws, i + 1), a["out"]
+            n, left, ahead = F.length(word), F.coalesce(F.length(F.get(out, F.size(out) - 1)), F.lit(-1)), F.coalesce(F.length(after), F.lit(-1))
+            joins = lambda side: (n == 1) | ((n == 2) & (side <= 4))
+            both = (left > 0) & (ahead > 0)
+            to_right = (n < 3) & (ahead > 0) & F.when(both, ahead < left).otherwise(True) & joins(ahead)
+            to_left = (n < 3) & (left >= 0) & F.when(both, ahead >= left).otherwise(ahead <= 0) & joins(left)
+            glued = F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.concat(F.get(out, F.size(out) - 1), F.lit(" "), word)))
+            grown = (
+                F.when(to_left, F.struct(glued.alias("out"), F.lit(False).alias("skip")))
+                .when(to_right, F.struct(F.concat(out, F.array(F.concat(word, F.lit(" "), after))).alias("out"), F.lit(True).alias("skip")))
+                .otherwise(F.struct(F.concat(out, F.array(word)).alias("out"), F.lit(False).alias("skip")))
+            )
+            return F.when(a["skip"], F.struct(out.alias("out"), F.lit(False).alias("skip"))).otherwise(grown)
+
+        start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("skip")).cast(kind)
+        return F.aggregate(F.sequence(F.lit(0), F.size(ws) - 1), start, step, lambda a: a["out"])
+
+    return let(words, segments)

@@ -294,3 +294,4 @@ _pairs(
     f"CASE WHEN {_n(_UN_SQL, '[「『【（]')} <> {_n(_UN_SQL, '[」』】）]')} THEN regexp_replace({_UN_SQL}, '[「『【（」』】）]', '', 'g') ELSE {_UN_SQL} END AS stripped",
     stripped=T.unbalanced_symbol_strip(_UN),
 )
+_pairs("word_segments", None, segments=T.word_segments(SRC))

@@ -60,6 +60,7 @@ def test_admission_stream_equals_batch(spark, sf_dir):
 
 
 def test_glossary_rules(spark):
-    texts = spark.createDataFrame([(1, "a friend of Robinsonville came"), (2, "we met Robinsomville there, and then we all went home together by the old road to the sea and back again")], "text_id long, text string")
-    terms = spark.createDataFrame([("Robinsonville", "R"), ("nowhere", "N")], "term string, target string")
-    assert sorted((r.text_id, r.term, r.rule) for r in G.glossary_match(texts, terms).collect()) == [(1, "Robinsonville", "exact"), (2, "Robinsonville", "fuzzy")]
+    name, rest = "Robinsonvilleheightstown", " and then we all went home together by the old road to the sea and back again over the hills at night" * 2
+    texts = spark.createDataFrame([(1, f"a friend of {name} came"), (2, "we met Robinsomvilleheightstown there" + rest), (3, "no such place" + rest)], "text_id long, text string")
+    terms = spark.createDataFrame([(name, "R"), ("nowhere", "N")], "term string, target string")
+    assert sorted((r.text_id, r.term, r.rule) for r in G.glossary_match(texts, terms).collect()) == [(1, name, "exact"), (2, name, "fuzzy")]

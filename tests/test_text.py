@@ -12,7 +12,7 @@ def one(spark, column, **values):
 
 @pytest.mark.parametrize(
     ("given", "want"),
-    [("(a]", "(a)"), ("(a", "a"), ("b)", "b"), ("don't", "dont"), ('say "hi"', "say hi"), ("(don't)", "(don't'"), ("", ""), ("「a）", "「a」")],
+    [("(a]", "(a)"), ("(a", "a"), ("b)", "b"), ("don't", "dont"), ('say "hi"', "say hi"), ("(don't)", "don't'"), ("", ""), ("「a）", "「a」")],
 )
 def test_bracket_repair(spark, given, want):
     assert one(spark, T.bracket_repair(F.col("t")), t=given) == want
@@ -56,3 +56,18 @@ def test_pattern_repeat(spark):
 def test_java_replacement(spark):
     assert T.java_replacement("$1") == r"\$1"
     assert one(spark, T.dict_apply(F.col("t"), [(r"(a)(b)", r"\2\1")]), t="xaby") == re.sub("(a)(b)", r"\2\1", "xaby")
+
+
+@pytest.mark.parametrize(
+    ("given", "want"),
+    [
+        ("hello there", ["HELLO", "THERE"]),
+        ("I am here", ["I AM", "HERE"]),
+        ("stop.now then", ["STOP.", "NOW", "THEN"]),
+        ("one", ["ONE"]),
+        ("elephants a rose", ["ELEPHANTS", "A ROSE"]),
+        ("cats to elephants", ["CATS TO", "ELEPHANTS"]),
+    ],
+)
+def test_word_segments(spark, given, want):
+    assert one(spark, T.word_segments(F.col("t")), t=given) == want
