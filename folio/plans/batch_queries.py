@@ -10,7 +10,6 @@ from folio.operators import batching as B
 from folio.plans.fixtures import sql_with, table
 
 QUERIES: dict[str, tuple] = {}
-SRC, DST = F.col("src"), F.col("dst")
 
 
 def _add(name: str, sql: str | None):
@@ -118,7 +117,7 @@ def tagged_validate(spark, sf_dir):
 def align_batch(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     answers = pairs.where("pos % 3 <> 2").select("conv_id", "pos", F.col("dst").alias("answer"))
-    return B.align_batch(pairs.select("conv_id", "pos", "src"), answers, ["conv_id", "pos"], "src", "answer", T.valuable_chars(SRC) > 0).select("conv_id", "pos", "dst")
+    return B.align_batch(pairs.select("conv_id", "pos", "src"), answers, ["conv_id", "pos"], "src", "answer", T.valuable_chars(F.col("src")) > 0).select("conv_id", "pos", "dst")
 
 
 @_add(
@@ -163,7 +162,7 @@ def order_remap(spark, sf_dir):
     pairs = _pairs(spark, sf_dir)
     w = Window.partitionBy("conv_id")
     rows = pairs.withColumn("i", (F.row_number().over(w.orderBy("pos")) - 1).cast("int")).withColumn("n", F.count("*").over(w).cast("int"))
-    item = F.struct((F.col("n") - 1 - F.col("i")).alias("order"), F.when(F.col("conv_id") % 3 == 0, F.col("i") + 7).otherwise(F.col("i")).alias("id"), F.concat(F.lit("T"), DST).alias("text"))
+    item = F.struct((F.col("n") - 1 - F.col("i")).alias("order"), F.when(F.col("conv_id") % 3 == 0, F.col("i") + 7).otherwise(F.col("i")).alias("id"), F.concat(F.lit("T"), F.col("dst")).alias("text"))
     answers = rows.groupBy("conv_id").agg(F.to_json(F.sort_array(F.collect_list(item))).alias("answer"))
     return B.order_remap(answers, pairs.select("conv_id", "pos", "src"), "conv_id", "pos", "src", "answer")
 
@@ -193,7 +192,7 @@ def seam_join(rows, text: str):
 
 @_add("text_join", _p("SELECT conv_id, string_agg(src, ' ' ORDER BY pos) AS joined, string_agg(src || '、', '' ORDER BY pos) AS joined_wide FROM pairs_fx GROUP BY conv_id"))
 def text_join(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("conv_id", "pos", "src", F.concat(SRC, F.lit("、")).alias("wide"))
+    rows = _pairs(spark, sf_dir).select("conv_id", "pos", "src", F.concat(F.col("src"), F.lit("、")).alias("wide"))
     listed = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("pos", "src", "wide"))).alias("r"))
     return listed.select("conv_id", seam_join(F.col("r"), "src").alias("joined"), seam_join(F.col("r"), "wide").alias("joined_wide"))
 
@@ -253,7 +252,7 @@ def skipped_context_pages(spark, sf_dir):
 def flagship(spark, sf_dir):
     """Valuable rows in batches of three, a prompt for each, an echo as the model, parsed and aligned back."""
     pairs = _pairs(spark, sf_dir).select("conv_id", "pos", "src")
-    valuable = T.valuable_chars(SRC) > 0
+    valuable = T.valuable_chars(F.col("src")) > 0
     batched = B.fixed_batches(pairs.where(valuable), "conv_id", "pos", 3)
     answers = B.tagged_parse(B.prompt_build(batched, ["conv_id", "batch"], "pos", "src"), ["conv_id", "batch"], "prompt").withColumnRenamed("pos", "slot")
     slot = F.row_number().over(Window.partitionBy("conv_id", "batch").orderBy("pos")) - 1

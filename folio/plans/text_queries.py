@@ -10,22 +10,21 @@ from folio.plans.fixtures import sql_with, table
 QUERIES: dict[str, tuple] = {}
 
 
-def _pairs(name: str, sql: str | None, **columns):
-    """Register a query over the pairs: their keys and the given columns."""
+def _pairs(name: str, sql: str | None, columns):
+    """Register a query over the pairs: their keys and the columns that columns() makes once there is a session."""
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "pairs_fx").select("conv_id", "pos", *[c.alias(n) for n, c in columns.items()])
+        return table(spark, sf_dir, "pairs_fx").select("conv_id", "pos", *[c.alias(n) for n, c in columns().items()])
 
     QUERIES[name] = (run, None if sql is None else sql_with("pairs_fx", f"SELECT conv_id, pos, {sql} FROM pairs_fx"))
 
 
-def _docs(name: str, sql: str | None, **columns):
+def _docs(name: str, sql: str | None, columns):
     def run(spark, sf_dir):
-        return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in columns.items()])
+        return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(n) for n, c in columns().items()])
 
     QUERIES[name] = (run, None if sql is None else f"SELECT doc_id, {sql} FROM documents")
 
 
-SRC, DST, TEXT = F.col("src"), F.col("dst"), F.col("text")
 _COUNT = "(length({t}) - length(regexp_replace({t}, '{c}', '', 'g')))"
 
 
@@ -40,14 +39,21 @@ def _strip(t: str) -> str:
     return _STRIP.format(t=t)
 
 
-_pairs("valuable_chars", rf"length(regexp_replace(src, '{T.NOT_VALUABLE}', '', 'g')) AS n_src, length(regexp_replace(dst, '{T.NOT_VALUABLE}', '', 'g')) AS n_dst",
-       n_src=T.valuable_chars(SRC), n_dst=T.valuable_chars(DST))
-_docs("weighted_length", f"length({_strip('text')}) - 0.5 * {_n(_strip('text'), f'[{T.SMALL}]')} AS weighted", weighted=T.weighted_length(TEXT).cast("double"))
+_pairs(
+    "valuable_chars",
+    rf"length(regexp_replace(src, '{T.NOT_VALUABLE}', '', 'g')) AS n_src, length(regexp_replace(dst, '{T.NOT_VALUABLE}', '', 'g')) AS n_dst",
+    lambda: dict(n_src=T.valuable_chars(F.col("src")), n_dst=T.valuable_chars(F.col("dst"))),
+)
+_docs(
+    "weighted_length",
+    f"length({_strip('text')}) - 0.5 * {_n(_strip('text'), f'[{T.SMALL}]')} AS weighted",
+    lambda: dict(weighted=T.weighted_length(F.col("text")).cast("double")),
+)
 QUERIES["weighted_length"] = (QUERIES["weighted_length"][0], QUERIES["weighted_length"][1].replace("SELECT doc_id, ", "SELECT doc_id, CAST(").replace(" AS weighted", " AS DOUBLE) AS weighted"))
 
 
 def _token_estimate(spark, sf_dir):
-    return table(spark, sf_dir, "pairs_fx").groupBy("conv_id").agg(F.sum(T.token_estimate(SRC)).alias("tokens"))
+    return table(spark, sf_dir, "pairs_fx").groupBy("conv_id").agg(F.sum(T.token_estimate(F.col("src"))).alias("tokens"))
 
 
 QUERIES["token_estimate"] = (
@@ -66,19 +72,34 @@ def _script_sql() -> str:
     return f"{counts}, {label}"
 
 
-_docs("script_profile", _script_sql(), **{f"n_{k.lower()}": c for k, c in T.script_counts(TEXT).items()}, label=T.script_label(TEXT))
+_docs(
+    "script_profile",
+    _script_sql(),
+    lambda: dict(**{f"n_{k.lower()}": c for k, c in T.script_counts(F.col("text")).items()}, label=T.script_label(F.col("text"))),
+)
 _KANA = f"translate(translate({{t}}, '{T.SMALL_KANA}', '{T.NORMAL_KANA}'), '{T.KATAKANA}', '{T.HIRAGANA}')"
 # the given texts hold no kana, so some are put behind each
 _SAMPLE = "カタカナのッェュ・ー"
-_docs("kana_normalize", _KANA.format(t=f"concat(text, '{_SAMPLE}')") + " AS normal", normal=T.kana_normalize(F.concat(TEXT, F.lit(_SAMPLE))))
-_docs("term_normalize", _KANA.format(t=r"lower(regexp_replace(text, '[^\p{L}\p{N}_\s\p{Z}]', '', 'g'))") + " AS term", term=T.term_normalize(TEXT))
+_docs(
+    "kana_normalize",
+    _KANA.format(t=f"concat(text, '{_SAMPLE}')") + " AS normal",
+    lambda: dict(normal=T.kana_normalize(F.concat(F.col("text"), F.lit(_SAMPLE)))),
+)
+_docs(
+    "term_normalize",
+    _KANA.format(t=r"lower(regexp_replace(text, '[^\p{L}\p{N}_\s\p{Z}]', '', 'g'))") + " AS term",
+    lambda: dict(term=T.term_normalize(F.col("text"))),
+)
 _pairs(
     "query_preprocess",
     rf"'「' || replace(regexp_replace(translate(src || '❤ッ', '{T.SMALL_KANA}', '{T.NORMAL_KANA}'), '[\x{{10000}}-\x{{10FFFF}}]', '', 'g'), '❤', '♥') || '」' AS query, src || '❤ツ' AS restored",
-    query=T.query_preprocess(F.concat(SRC, F.lit("❤ッ"))),
-    restored=F.replace(T.query_restore(T.query_preprocess(F.concat(SRC, F.lit("❤ッ")))), F.lit("♥"), F.lit("❤")),
+    lambda: dict(query=T.query_preprocess(F.concat(F.col("src"), F.lit("❤ッ"))), restored=F.replace(T.query_restore(T.query_preprocess(F.concat(F.col("src"), F.lit("❤ッ")))), F.lit("♥"), F.lit("❤"))),
+)
+_pairs(
+    "bracket_repair",
+    None,
+    lambda: dict(fixed=T.bracket_repair(F.concat(F.lit("("), F.col("dst"), F.lit("]'")))),
 )
-_pairs("bracket_repair", None, fixed=T.bracket_repair(F.concat(F.lit("("), DST, F.lit("]'"))))
 
 
 def _quote_sql(src: str, dst: str) -> str:
@@ -90,10 +111,16 @@ def _quote_sql(src: str, dst: str) -> str:
     return f"CASE{cases} ELSE {dst} END"
 
 
-_QS = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("「"), SRC, F.lit("」『』"))).otherwise(F.concat(F.lit("【"), SRC, F.lit("】")))
+def _qs():
+    return F.when(F.col("pos") % 2 == 0, F.concat(F.lit("「"), F.col("src"), F.lit("」『』"))).otherwise(F.concat(F.lit("【"), F.col("src"), F.lit("】")))
+
+
 _QS_SQL = "(CASE WHEN pos % 2 = 0 THEN '「' || src || '」『』' ELSE '【' || src || '】' END)"
-_QD, _QD_SQL = F.concat(DST, F.lit('é"a"')), "(dst || 'é\"a\"')"
-_pairs("quote_transfer", _quote_sql(_QS_SQL, "(dst || '\"é')") + " AS moved", moved=T.quote_transfer(_QS, F.concat(DST, F.lit('"é'))))
+_pairs(
+    "quote_transfer",
+    _quote_sql(_QS_SQL, "(dst || '\"é')") + " AS moved",
+    lambda: dict(moved=T.quote_transfer(_qs(), F.concat(F.col("dst"), F.lit('"é')))),
+)
 
 
 def _align_sql(src: str, dst: str) -> str:
@@ -108,12 +135,16 @@ def _align_sql(src: str, dst: str) -> str:
 
 
 def _bracket_align(spark, sf_dir):
-    pairs = table(spark, sf_dir, "pairs_fx").select("conv_id", "pos", F.concat(F.lit("(a)「"), SRC).alias("s"), F.concat(DST, F.lit("（b）“")).alias("d"))
+    pairs = table(spark, sf_dir, "pairs_fx").select("conv_id", "pos", F.concat(F.lit("(a)「"), F.col("src")).alias("s"), F.concat(F.col("dst"), F.lit("（b）“")).alias("d"))
     return pairs.select("conv_id", "pos", T.bracket_align(F.col("s"), F.col("d")).alias("aligned"))
 
 
 QUERIES["bracket_align"] = (_bracket_align, _align_sql("'(a)「' || src", "dst || '（b）“'"))
-_pairs("bracket_force", "translate(dst, '“‘”’[]', '「「」」【】') AS forced", forced=T.bracket_force(DST))
+_pairs(
+    "bracket_force",
+    "translate(dst, '“‘”’[]', '「「」」【】') AS forced",
+    lambda: dict(forced=T.bracket_force(F.col("dst"))),
+)
 
 RULES = [(r"\bthe\b", "THE"), (r"([aeiou])\1", r"<\1>"), ("[.,]", "$1"), ("  +", " ")]
 
@@ -125,11 +156,15 @@ def _rules_sql(t: str) -> str:
     return f"regexp_replace(regexp_replace({t}, '[.,]', '$1', 'g'), '  +', ' ', 'g')"
 
 
-_pairs("dict_apply", _rules_sql("src") + " AS replaced", replaced=T.dict_apply(SRC, RULES))
+_pairs(
+    "dict_apply",
+    _rules_sql("src") + " AS replaced",
+    lambda: dict(replaced=T.dict_apply(F.col("src"), RULES)),
+)
 
 
 def _dict_audit(spark, sf_dir):
-    steps = table(spark, sf_dir, "pairs_fx").select("conv_id", "pos", T.dict_steps(SRC, RULES).alias("s"))
+    steps = table(spark, sf_dir, "pairs_fx").select("conv_id", "pos", T.dict_steps(F.col("src"), RULES).alias("s"))
     rows = steps.select("conv_id", "pos", "s", F.explode(F.sequence(F.lit(1), F.lit(len(RULES)))).alias("rule"))
     rows = rows.select("conv_id", "pos", "rule", F.get("s", F.col("rule") - 1).alias("before_text"), F.get("s", F.col("rule")).alias("after_text"))
     return rows.where("before_text <> after_text")
@@ -145,15 +180,35 @@ def _audit_sql() -> str:
 
 
 QUERIES["dict_audit"] = (_dict_audit, _audit_sql())
-_pairs("output_clean", None, cleaned=T.output_clean(DST))
-_pairs("repeat_unit", None, unit=T.repeat_unit(DST))
-_pairs("repeat_shrink", None, shrunk=T.repeat_shrink(SRC, DST))
-_pairs("case_fold_option", "lower(src) AS folded", folded=F.lower(SRC))
-_pairs("tag_normalize", None, tagged=T.tag_normalize(F.concat(F.lit("< |l0 |> "), SRC, F.lit(" <|  O2|>"))))
+_pairs(
+    "output_clean",
+    None,
+    lambda: dict(cleaned=T.output_clean(F.col("dst"))),
+)
+_pairs(
+    "repeat_unit",
+    None,
+    lambda: dict(unit=T.repeat_unit(F.col("dst"))),
+)
+_pairs(
+    "repeat_shrink",
+    None,
+    lambda: dict(shrunk=T.repeat_shrink(F.col("src"), F.col("dst"))),
+)
+_pairs(
+    "case_fold_option",
+    "lower(src) AS folded",
+    lambda: dict(folded=F.lower(F.col("src"))),
+)
+_pairs(
+    "tag_normalize",
+    None,
+    lambda: dict(tagged=T.tag_normalize(F.concat(F.lit("< |l0 |> "), F.col("src"), F.lit(" <|  O2|>")))),
+)
 _pairs(
     "capture_extract",
     r"nullif(trim(array_to_string(regexp_extract_all(src, '\b(th[a-z]+)', 1), chr(10))), '') AS captured",
-    captured=T.capture_extract(SRC, r"\b(th[a-z]+)"),
+    lambda: dict(captured=T.capture_extract(F.col("src"), r"\b(th[a-z]+)")),
 )
 
 
@@ -189,13 +244,17 @@ def language_code(iso):
 
 
 _LANG_SQL = "CASE lower({c}) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in LANGUAGES.items()) + " ELSE 'UNKNOWN' END"
-_docs("lang_code", f"{_LANG_SQL.format(c='lang')} AS code", code=language_code(F.col("lang")))
+_docs(
+    "lang_code",
+    f"{_LANG_SQL.format(c='lang')} AS code",
+    lambda: dict(code=language_code(F.col("lang"))),
+)
 
 
 def _region_filter(spark, sf_dir):
     return table(spark, sf_dir, "documents").select(
         "doc_id",
-        F.when(F.length("text") < 100, "too short").when(T.valuable_chars(TEXT) == 0, "no valuable text")
+        F.when(F.length("text") < 100, "too short").when(T.valuable_chars(F.col("text")) == 0, "no valuable text")
         .when(language_code(F.col("lang")) == "DEU", "already in the target language").otherwise("kept").alias("reason"),
     )
 
@@ -232,18 +291,30 @@ _pairs(
     "translation_filter",
     rf"""CASE WHEN {_strip('dst')} = '' THEN 'blank' WHEN regexp_matches(dst, '^\p{{N}}+$') THEN 'numeric' WHEN regexp_matches(dst, '(ha ){{5}}') THEN 'filtered'
          WHEN lower({_strip('src')}) = lower({_strip('dst')}) THEN 'same' ELSE 'kept' END AS reason""",
-    reason=F.coalesce(translation_reason(SRC, DST, "(ha ){5}"), F.lit("kept")),
+    lambda: dict(reason=F.coalesce(translation_reason(F.col("src"), F.col("dst"), "(ha ){5}"), F.lit("kept"))),
 )
 _DISTINCT = "len(list_distinct(string_split({t}, '')))"
 _pairs(
     "invalid_translation",
     f"""CASE WHEN dst = '' AND src <> '' THEN true WHEN dst = '' OR src = '' THEN false
         ELSE {_DISTINCT.format(t='src')} > 6 AND {_DISTINCT.format(t='dst')} < 6 AND {_DISTINCT.format(t='dst')} < 0.25 * length(dst) END AS invalid""",
-    invalid=T.invalid_translation(SRC, DST),
+    lambda: dict(invalid=T.invalid_translation(F.col("src"), F.col("dst"))),
+)
+_pairs(
+    "repetition_flag",
+    None,
+    lambda: dict(kind=T.repetition_kind(F.col("dst"), 20)),
+)
+_pairs(
+    "repetition_flag_five",
+    None,
+    lambda: dict(kind=T.repetition_kind(F.col("src"), 5)),
+)
+_pairs(
+    "pattern_repeat",
+    None,
+    lambda: dict(pattern_size=T.pattern_repeat(F.col("dst"), 20), squeezed=T.pattern_squeeze(F.col("dst"), 20)),
 )
-_pairs("repetition_flag", None, kind=T.repetition_kind(DST, 20))
-_pairs("repetition_flag_five", None, kind=T.repetition_kind(SRC, 5))
-_pairs("pattern_repeat", None, pattern_size=T.pattern_repeat(DST, 20), squeezed=T.pattern_squeeze(DST, 20))
 
 
 def _repeat_guard(spark, sf_dir):
@@ -251,7 +322,7 @@ def _repeat_guard(spark, sf_dir):
     def run(c):
         return F.array_max(F.concat(F.array(F.lit(0)), F.transform(F.regexp_extract_all(c, F.lit(r"(?s)((.)\2*)"), F.lit(1)), lambda x: F.length(x))))
 
-    p = table(spark, sf_dir, "pairs_fx").select("conv_id", run(SRC).alias("s"), run(DST).alias("d"))
+    p = table(spark, sf_dir, "pairs_fx").select("conv_id", run(F.col("src")).alias("s"), run(F.col("dst")).alias("d"))
     return p.groupBy("conv_id").agg(F.max("s").alias("src_run"), F.max("d").alias("dst_run")).select(
         "conv_id", "src_run", "dst_run", (F.col("dst_run") > F.greatest(F.col("src_run"), F.lit(20))).alias("flagged")
     )
@@ -274,24 +345,31 @@ _REFUSE = "concat(src, CASE pos WHEN 0 THEN ' Sorry, I cannot help' WHEN 1 THEN
 _pairs(
     "refusal_flag",
     f"regexp_matches({_REFUSE}, '(?is)" + "|".join(f"(?:{p})" for p in T.REFUSALS).replace("'", "''") + "') AS refused",
-    refused=T.refusal_flag(F.concat(SRC, F.when(F.col("pos") == 0, " Sorry, I cannot help").when(F.col("pos") == 1, "申し訳ありませんが").otherwise(""))),
+    lambda: dict(refused=T.refusal_flag(F.concat(F.col("src"), F.when(F.col("pos") == 0, " Sorry, I cannot help").when(F.col("pos") == 1, "申し訳ありませんが").otherwise("")))),
 )
 _pairs(
     "suspicious_symbols",
     "regexp_matches(src || CASE WHEN pos = 1 THEN 'ହ' ELSE '' END, '[ହିഹ]') AS suspicious",
-    suspicious=F.concat(SRC, F.when(F.col("pos") == 1, "ହ").otherwise("")).rlike("[ହିഹ]"),
+    lambda: dict(suspicious=F.concat(F.col("src"), F.when(F.col("pos") == 1, "ହ").otherwise("")).rlike("[ହିഹ]")),
 )
 _PUNCT = r"'^[!-/:-@\[-`{-~]*$'"
 _pairs(
     "merged_pair_flag",
     f"""((regexp_matches(dst, {_PUNCT}) AND dst <> '' AND NOT regexp_matches(src, {_PUNCT})) OR ({_strip('dst')} = '' AND {_strip('src')} <> '')) AS merged""",
-    merged=T.merged_pair_flag(SRC, DST),
+    lambda: dict(merged=T.merged_pair_flag(F.col("src"), F.col("dst"))),
 )
-_UN = F.concat(F.when(F.col("pos") % 2 == 0, "「").otherwise("（"), SRC, F.when(F.col("pos") % 3 == 0, "」").otherwise(""))
+def _un():
+    return F.concat(F.when(F.col("pos") % 2 == 0, "「").otherwise("（"), F.col("src"), F.when(F.col("pos") % 3 == 0, "」").otherwise(""))
+
+
 _UN_SQL = "concat(CASE WHEN pos % 2 = 0 THEN '「' ELSE '（' END, src, CASE WHEN pos % 3 = 0 THEN '」' ELSE '' END)"
 _pairs(
     "unbalanced_symbol_strip",
     f"CASE WHEN {_n(_UN_SQL, '[「『【（]')} <> {_n(_UN_SQL, '[」』】）]')} THEN regexp_replace({_UN_SQL}, '[「『【（」』】）]', '', 'g') ELSE {_UN_SQL} END AS stripped",
-    stripped=T.unbalanced_symbol_strip(_UN),
+    lambda: dict(stripped=T.unbalanced_symbol_strip(_un())),
+)
+_pairs(
+    "word_segments",
+    None,
+    lambda: dict(segments=T.word_segments(F.col("src"))),
 )
-_pairs("word_segments", None, segments=T.word_segments(SRC))
