@@ -150,7 +150,7 @@ def glossary_match(spark, sf_dir):
 def glossary_fuzzy(spark, sf_dir):
     """All rules, with the one that fired, over the turns of the conversations."""
     texts = _pairs(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("pos")).alias("text_id"), F.col("src").alias("text"))
-    return G.glossary_match(texts, _terms(spark, sf_dir))
+    return G.glossary_match(texts, _terms(spark, sf_dir, 12))
 
 
 @_add("window_edit_distance", None)
