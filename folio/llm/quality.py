@@ -21,7 +21,7 @@ GOOD, BAD, NONE = 0, 1, 2
 #: Features: hashed words, word beginnings and binned measures.
 BITS = 20
 #: At most so many labelled rows are fitted on, chosen by a hash of the id, and so many features kept.
-SAMPLE_ROWS, MAX_FEATURES = 16_000, 6_000
+SAMPLE_ROWS, MAX_FEATURES = 16_000, 1_000
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = np.array([65 <= b <= 90 for b in range(256)], float)
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC2 for b in range(256)], float)
@@ -97,7 +97,7 @@ def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, gold_accuracy:
     return p, table
 
 
-def fit_logistic(owner: np.ndarray, index: np.ndarray, target: np.ndarray, width: int, l2: float = 2.0, rounds: int = 400) -> tuple[np.ndarray, float]:
+def fit_logistic(owner: np.ndarray, index: np.ndarray, target: np.ndarray, width: int, l2: float = 0.3, rounds: int = 400) -> tuple[np.ndarray, float]:
     """Ridge logistic regression of soft labels on features index[i] of rows owner[i]; accelerated gradient steps."""
     count = len(target)
     lengths = np.bincount(owner, minlength=count)
@@ -159,7 +159,7 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def quality_scores(
     docs: DataFrame,
     labels: DataFrame,
-    threshold: float = 0.5,
+    threshold: float = 0.4,
     sample_rows: int = SAMPLE_ROWS,
     max_features: int = MAX_FEATURES,
     id_col: str = "doc_id",
