@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.storage import materialize
@@ -17,6 +17,10 @@ UNITS = (
 NAME, NUMBER, UNIT = "\ue000", "\ue001", "\ue002"
 #: Template words of a window; items with fewer words are one window.
 WINDOW = 8
+#: Words that a copy may have more or less than its item between two hits, to count as one occurrence.
+DRIFT = 4
+#: What a hit is judged with: its document, the hits of the same start, or those of near starts.
+WHOLE, START, RUN = 0, 1, 2
 
 
 def _spaced(text: Column) -> Column:
@@ -72,6 +76,17 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.where(2 * literal >= F.col("n")).withColumn("key", F.xxhash64("template")).distinct()
 
 
+def _placed(hits: DataFrame) -> DataFrame:
+    """Each hit once for the whole document, once for the start that it gives the item in its text, once for the run of near starts."""
+    by_start = Window.partitionBy("doc_id", "row", "item_id").orderBy("start")
+    # items of few windows are short: their copies can stand closer together than DRIFT words
+    apart = F.col("start") - F.lag("start").over(by_start) > F.least(F.lit(DRIFT), F.col("n_windows") - 1)
+    runs = hits.withColumn("apart", F.coalesce(apart.cast("int"), F.lit(0))).withColumn("run", F.sum("apart").over(by_start))
+    place = lambda kind, row, no: F.struct(F.lit(kind).alias("kind"), row.alias("row"), no.cast("bigint").alias("no"))
+    places = F.array(place(WHOLE, F.lit(0).cast("bigint"), F.lit(0)), place(START, F.col("row"), F.col("start")), place(RUN, F.col("row"), F.col("run")))
+    return runs.withColumn("place", F.explode(places)).drop("apart", "run", "row", "start")
+
+
 def contaminated(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -86,13 +101,16 @@ def contaminated(
 
     A document holds an item when at least least_share of the item's template windows occur in it
     and the slots agree: each name, number or unit of the item stands for one value throughout, in
-    at least `consistent` of the distinct slots. reparameterised: some slot has another value than
-    in the item. Only such (document, item) rows are returned.
+    at least `consistent` of the distinct slots. Both are judged for the document as a whole and for
+    each occurrence, that is the hits of one text that put the item's start at the same word or
+    within DRIFT words of the hit before; one that passes is enough. The figures are those of the
+    whole document if it passes, else of its best occurrence. reparameterised: some slot has another
+    value than in the item. Only such (document, item) rows are returned.
 
     Windows of the benchmark go to every task while there are at most broadcast_rows of them, and
     are shuffled beyond that; hashes are checked against the template itself before they count.
-    Null texts and items hold no words; repeated rows of an id count as one document; extra columns
-    are ignored; empty tables give an empty table.
+    Null texts and items hold no words; repeated rows of an id count as one document, their texts
+    as occurrences of their own; extra columns are ignored; empty tables give an empty table.
     """
     items = materialize(item_windows(benchmark, window), "templates")
     keys = items.select("key").distinct()
@@ -106,32 +124,35 @@ def contaminated(
         hit = one.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("doc_id").distinct()
         found = hit if found is None else found.union(hit)
     suspects = materialize(found.distinct(), "suspects")
-    near = base.join(suspects, "doc_id", "left_semi").select("doc_id", template_words(F.col("text")).alias("words"), slot_words(F.col("text")).alias("raw"))
+    near = base.join(suspects, "doc_id", "left_semi").select(
+        "doc_id", F.xxhash64("text").alias("row"), template_words(F.col("text")).alias("words"), slot_words(F.col("text")).alias("raw")
+    )
     rows = None
     for n in sizes or [window]:
-        w = near.select("doc_id", "words", "raw", F.posexplode(_hashes(F.col("words"), n)).alias("p", "key")).select(
-            "doc_id", "p", "key", F.slice("words", F.col("p") + 1, n).alias("template"), F.slice("raw", F.col("p") + 1, n).alias("values")
+        w = near.select("doc_id", "row", "words", "raw", F.posexplode(_hashes(F.col("words"), n)).alias("p", "key")).select(
+            "doc_id", "row", "p", "key", F.slice("words", F.col("p") + 1, n).alias("template"), F.slice("raw", F.col("p") + 1, n).alias("values")
         )
         there = items.where(F.col("n") == n)
         m = w.join(F.broadcast(there) if few else there, ["key", "template"])
         rows = m if rows is None else rows.union(m)
-    rows = materialize(rows.select("doc_id", "item_id", "at", "p", "n_windows", "template", "slots", "values"), "template-hits")
-    share = rows.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
-    slots = rows.select("doc_id", "item_id", F.explode(F.arrays_zip("template", "slots", "values")).alias("s")).where(
-        F.col("s.template").isin(NAME, NUMBER, UNIT)
-    )
+    rows = rows.select("doc_id", "row", "item_id", "at", (F.col("p") - F.col("at")).alias("start"), "n_windows", "template", "slots", "values")
+    rows = _placed(materialize(rows, "template-hits"))
+    group = ["doc_id", "item_id", "place"]
+    share = rows.groupBy(*group).agg(F.countDistinct("at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
+    slots = rows.select(*group, F.explode(F.arrays_zip("template", "slots", "values")).alias("s")).where(F.col("s.template").isin(NAME, NUMBER, UNIT))
     bare = lambda c: F.translate(c, NAME, "")
-    slots = slots.select("doc_id", "item_id", bare(F.col("s.slots")).alias("old"), bare(F.col("s.values")).alias("new"))
-    slots = slots.groupBy("doc_id", "item_id", "old").agg(F.countDistinct("new").alias("k"), F.max(F.col("old") != F.col("new")).alias("moved"))
-    slots = slots.groupBy("doc_id", "item_id").agg(
-        F.count("*").alias("n_slots"), F.count_if(F.col("k") > 1).alias("n_conflicts"), F.max("moved").alias("reparameterised")
-    )
-    out = share.join(slots, ["doc_id", "item_id"], "left").select(
-        "doc_id", "item_id", "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("share"),
+    slots = slots.select(*group, bare(F.col("s.slots")).alias("old"), bare(F.col("s.values")).alias("new"))
+    slots = slots.groupBy(*group, "old").agg(F.countDistinct("new").alias("k"), F.max(F.col("old") != F.col("new")).alias("moved"))
+    slots = slots.groupBy(*group).agg(F.count("*").alias("n_slots"), F.count_if(F.col("k") > 1).alias("n_conflicts"), F.max("moved").alias("reparameterised"))
+    out = share.join(slots, group, "left").select(
+        *group, "n_matched", "n_windows", (F.col("n_matched") / F.col("n_windows")).alias("share"),
         F.coalesce("n_slots", F.lit(0)).alias("n_slots"), F.coalesce("n_conflicts", F.lit(0)).alias("n_conflicts"),
         F.coalesce("reparameterised", F.lit(False)).alias("reparameterised"),
     )
-    return out.where((F.col("share") >= least_share) & (F.col("n_slots") - F.col("n_conflicts") >= consistent * F.col("n_slots")))
+    out = out.where((F.col("share") >= least_share) & (F.col("n_slots") - F.col("n_conflicts") >= consistent * F.col("n_slots")))
+    figures = ["n_matched", "n_windows", "share", "n_slots", "n_conflicts", "reparameterised"]
+    best = F.max_by(F.struct(*figures), F.struct(F.col("place.kind") == WHOLE, "share", -F.col("n_conflicts"), "place"))
+    return out.groupBy("doc_id", "item_id").agg(best.alias("f")).select("doc_id", "item_id", *[f"f.{c}" for c in figures])
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:

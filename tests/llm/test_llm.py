@@ -340,6 +340,22 @@ def test_decontamination(spark):
     assert not got[0, 1].reparameterised and got[1, 1].reparameterised and got[1, 1].n_conflicts == 0
 
 
+def test_decontamination_of_several_copies(spark):
+    """Copies with other values beside each other, in one text or in rows of one id, are judged one by one."""
+    verbatim = ITEMS[0][1]
+    moved = "Boris Jones bought 40 apples for 9 euros at the market and Boris Jones gave 40 away before noon"
+    third = "Carla Brown bought 77 apples for 5 pounds at the market and Carla Brown gave 77 away before noon"
+    torn = "Boris Jones bought 40 apples for 9 euros at the market and Carla Brown gave 77 away before noon"
+    longer = third.replace(" at the market", " at the old market")
+    lists = ["a. ".join(["We know: ", x, y, "end"]) for x, y in [(verbatim, moved), (moved, third), (torn, torn), (longer, moved)]]
+    got = contaminated(spark, lists)
+    assert {k for k in got if k[1] == 1} == {(0, 1), (1, 1), (3, 1)}
+    assert all(got[i, 1].n_conflicts == 0 and got[i, 1].share > 0.25 for i in (0, 1, 3))
+    rows = spark.createDataFrame([(7, "We know: " + verbatim, "s", "e"), (7, "We know: " + moved, "s", "e"), (8, "clean", "s", "e")], DOCS)
+    items = spark.createDataFrame(ITEMS[:1], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, items).collect()] == [(7, 1)]
+
+
 def test_decontamination_edges(spark, odd, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contaminated(empty, items).count() == 0
