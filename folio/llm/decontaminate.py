@@ -38,12 +38,35 @@ def slot_words(text: Column) -> Column:
     return F.split(_marked(text), " ")
 
 
-def template_words(text: Column) -> Column:
-    """Lower-cased words with names, numbers and the units behind numbers replaced by their type."""
+def _bare(word: Column) -> Column:
+    return F.translate(word, NAME, "")
+
+
+def value_words(text: Column) -> Column:
+    """The lower-cased words without name marks, aligned with template_words."""
+    return F.split(F.lower(_bare(_marked(text))), " ")
+
+
+def _template(text: Column) -> Column:
     t = F.lower(F.regexp_replace(_marked(text), NAME + r"\S+", NAME))
     t = F.regexp_replace(t, r"\S*\p{N}\S*", NUMBER)
-    t = F.regexp_replace(t, f"(?<={NUMBER} )(?:{UNITS})(?= |$)", UNIT)
-    return F.split(t, " ")
+    return F.regexp_replace(t, f"(?<={NUMBER} )(?:{UNITS})(?= |$)", UNIT)
+
+
+def template_words(text: Column) -> Column:
+    """Lower-cased words with names, numbers and the units behind numbers replaced by their type."""
+    return F.split(_template(text), " ")
+
+
+def _heavy(template: Column, n: Column) -> Column:
+    """Whether more than half of the n words of a window are placeholders."""
+    return 2 * F.size(F.filter(template, lambda w: w.isin(NAME, NUMBER, UNIT))) > n
+
+
+def _may_be_heavy(template: Column, n: int) -> Column:
+    """Whether a text can have a heavy window of n words: n // 2 + 1 placeholders with so few words between them."""
+    mark, word, most = f"[{NAME}{NUMBER}{UNIT}]", f"[^ {NAME}{NUMBER}{UNIT}]+", n - (n // 2 + 1)
+    return template.rlike(f"{mark}(?: (?:{word} ){{0,{most}}}{mark}){{{n // 2}}}")
 
 
 def _hashes(words: Column, n: int) -> Column:
@@ -57,23 +80,27 @@ def _hashes(words: Column, n: int) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item_id, n, at, key, template, slots, n_windows) of the template windows of each item.
+    """(item_id, n, at, heavy, key, template, slots, words, n_windows) of the template windows of each item.
 
     The first word of an item is taken both as written and as a name, since inside a document a
-    capital there looks like one. Windows of which more than half are placeholders say too little
-    and are left out. Items without words have no windows.
+    capital there looks like one. Windows of which more than half are placeholders (heavy) say too
+    little as templates: their key is that of the words as they stand, so they are found where the
+    values are the item's. Items without words have no windows.
     """
     base = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     inside = F.concat(F.lit("a, "), F.col("text"))
     plain, second = template_words(F.col("text")), template_words(inside)
-    variants = base.select("item_id", slot_words(F.col("text")).alias("raw"), F.explode(F.array_distinct(F.array(plain, F.slice(second, F.lit(2), F.size(second))))).alias("words"))
-    variants = variants.where(F.size("words") > 0).where("words[0] <> ''")
-    n = F.least(F.lit(window), F.size("words"))
-    rows = variants.select(
-        "item_id", "raw", "words", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("words") - n + 1)).alias("at")
-    ).select("item_id", "n", "at", F.slice("words", F.col("at"), F.col("n")).alias("template"), F.slice("raw", F.col("at"), F.col("n")).alias("slots"), (F.size("words") - F.col("n") + 1).alias("n_windows"))
-    literal = F.size(F.filter("template", lambda w: ~w.isin(NAME, NUMBER, UNIT)))
-    return rows.where(2 * literal >= F.col("n")).withColumn("key", F.xxhash64("template")).distinct()
+    templates = F.array_distinct(F.array(plain, F.slice(second, F.lit(2), F.size(second))))
+    variants = base.select("item_id", slot_words(F.col("text")).alias("raw"), value_words(F.col("text")).alias("values"), F.explode(templates).alias("marked"))
+    variants = variants.where(F.size("marked") > 0).where("marked[0] <> ''")
+    n = F.least(F.lit(window), F.size("marked"))
+    rows = variants.select("item_id", "raw", "values", "marked", n.alias("n"), F.explode(F.sequence(F.lit(1), F.size("marked") - n + 1)).alias("at"))
+    cut = lambda c: F.slice(c, F.col("at"), F.col("n"))
+    rows = rows.select(
+        "item_id", "n", "at", cut("marked").alias("template"), cut("raw").alias("slots"), cut("values").alias("words"), (F.size("marked") - F.col("n") + 1).alias("n_windows")
+    )
+    rows = rows.withColumn("heavy", _heavy(F.col("template"), F.col("n")))
+    return rows.withColumn("key", F.when(F.col("heavy"), F.xxhash64("words")).otherwise(F.xxhash64("template"))).distinct()
 
 
 def _placed(hits: DataFrame) -> DataFrame:
@@ -99,8 +126,8 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, n_matched, n_windows, share, n_slots, n_conflicts, reparameterised) of each item found in a document.
 
-    A document holds an item when at least least_share of the item's template windows occur in it
-    and the slots agree: each name, number or unit of the item stands for one value throughout, in
+    A document holds an item when at least least_share of the item's template windows occur in it -
+    those that are mostly placeholders word for word, whatever the case - and the slots agree: each name, number or unit of the item stands for one value throughout, in
     at least `consistent` of the distinct slots. Both are judged for the document as a whole and for
     each occurrence, that is the hits of one text that put the item's start at the same word or
     within DRIFT words of the hit before; one that passes is enough. The figures are those of the
@@ -114,34 +141,39 @@ def contaminated(
     """
     items = materialize(item_windows(benchmark, window), "templates")
     keys = items.select("key").distinct()
-    sizes = [r["n"] for r in items.select("n").distinct().collect()]  # at most `window` values
+    kinds = sorted((r["n"], r["heavy"]) for r in items.select("n", "heavy").distinct().collect()) or [(window, False)]  # at most 2 * `window`
     few = items.count() <= broadcast_rows
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = base.select("doc_id", template_words(F.col("text")).alias("words"))
+    texts = base.select("doc_id", "text", _template(F.col("text")).alias("template"))
     found = None
-    for n in sizes or [window]:
-        one = words.select("doc_id", F.explode(_hashes(F.col("words"), n)).alias("key"))
+    for n in sorted({n for n, _ in kinds}):
+        # words as they stand are cut only from texts that can have a heavy window
+        marked = _hashes(F.split("template", " "), n)
+        heavy_too = F.when(_may_be_heavy(F.col("template"), n), _hashes(value_words(F.col("text")), n)).otherwise(F.array().cast("array<bigint>"))
+        one = texts.select("doc_id", F.explode(F.concat(marked, heavy_too) if (n, True) in kinds else marked).alias("key"))
         hit = one.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("doc_id").distinct()
         found = hit if found is None else found.union(hit)
     suspects = materialize(found.distinct(), "suspects")
     near = base.join(suspects, "doc_id", "left_semi").select(
-        "doc_id", F.xxhash64("text").alias("row"), template_words(F.col("text")).alias("words"), slot_words(F.col("text")).alias("raw")
-    )
+        "doc_id", F.xxhash64("text").alias("row"), template_words(F.col("text")).alias("marked"), slot_words(F.col("text")).alias("raw"),
+        value_words(F.col("text")).alias("words"),
+    )
     rows = None
-    for n in sizes or [window]:
-        w = near.select("doc_id", "row", "words", "raw", F.posexplode(_hashes(F.col("words"), n)).alias("p", "key")).select(
-            "doc_id", "row", "p", "key", F.slice("words", F.col("p") + 1, n).alias("template"), F.slice("raw", F.col("p") + 1, n).alias("values")
-        )
-        there = items.where(F.col("n") == n)
-        m = w.join(F.broadcast(there) if few else there, ["key", "template"])
+    for n, heavy in kinds:
+        cut = lambda c: F.slice(c, F.col("p") + 1, n)  # noqa: E731, B023
+        w = near.select("doc_id", "row", "marked", "raw", "words", F.posexplode(_hashes(F.col("words" if heavy else "marked"), n)).alias("p", "key"))
+        same = "words" if heavy else "template"
+        w = w.select("doc_id", "row", "p", "key", cut("words" if heavy else "marked").alias(same), cut("raw").alias("values"))
+        there = items.where((F.col("n") == n) & (F.col("heavy") == heavy))
+        m = w.join(F.broadcast(there) if few else there, ["key", same])
+        m = m.select("doc_id", "row", "item_id", "at", "p", "n_windows", "template", "slots", "values")
         rows = m if rows is None else rows.union(m)
     rows = rows.select("doc_id", "row", "item_id", "at", (F.col("p") - F.col("at")).alias("start"), "n_windows", "template", "slots", "values")
     rows = _placed(materialize(rows, "template-hits"))
     group = ["doc_id", "item_id", "place"]
     share = rows.groupBy(*group).agg(F.countDistinct("at").alias("n_matched"), F.max("n_windows").alias("n_windows"))
     slots = rows.select(*group, F.explode(F.arrays_zip("template", "slots", "values")).alias("s")).where(F.col("s.template").isin(NAME, NUMBER, UNIT))
-    bare = lambda c: F.translate(c, NAME, "")
-    slots = slots.select(*group, bare(F.col("s.slots")).alias("old"), bare(F.col("s.values")).alias("new"))
+    slots = slots.select(*group, F.lower(_bare(F.col("s.slots"))).alias("old"), F.lower(_bare(F.col("s.values"))).alias("new"))
     slots = slots.groupBy(*group, "old").agg(F.countDistinct("new").alias("k"), F.max(F.col("old") != F.col("new")).alias("moved"))
     slots = slots.groupBy(*group).agg(F.count("*").alias("n_slots"), F.count_if(F.col("k") > 1).alias("n_conflicts"), F.max("moved").alias("reparameterised"))
     out = share.join(slots, group, "left").select(

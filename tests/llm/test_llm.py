@@ -356,6 +356,18 @@ def test_decontamination_of_several_copies(spark):
     assert [(r.doc_id, r.item_id) for r in decontaminate.contaminated(rows, items).collect()] == [(7, 1)]
 
 
+def test_decontamination_of_number_heavy_items(spark):
+    """Items whose windows are mostly placeholders are found word for word, and only so."""
+    texts = ["What is 12 + 35 * 4 - 3 / 2?", "Table: 1 2 3 4 5 6 7 8 9 10 11 12 13 14 15 16", "42"]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    found = ["So: " + texts[0] + " Nobody knows.", "see " + texts[1] + " there"]
+    other = ["So: What is 13 + 35 * 4 - 3 / 2? Nobody knows.", "see Table: 21 22 23 24 25 26 27 28 29 30 31 32 33 34 35 36 there", "no number"]
+    docs = spark.createDataFrame([(i, t, "s", "e") for i, t in enumerate([*found, *other, "of 42 men"])], DOCS)
+    got = {(r.doc_id, r.item_id): r for r in decontaminate.contaminated(docs, items).collect()}
+    assert set(got) == {(0, 0), (1, 1), (5, 2)}
+    assert all(r.share == 1 and not r.reparameterised for r in got.values())
+
+
 def test_decontamination_edges(spark, odd, empty):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     assert decontaminate.contaminated(empty, items).count() == 0
