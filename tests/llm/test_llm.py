@@ -525,6 +525,25 @@ def test_line_dedup_of_near_copies(spark):
     assert got == brute_lines(docs.collect())
 
 
+def test_line_pairs_meet_by_length(spark):
+    """Similar lines share a key: all of them in short lines, nearly all in longer ones."""
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9)))
+    rows = [(-1, "Read more", "Read more."), (-1, "Share it", "Share it!")]
+    for least in (8, 11, 16, 61, 81, 101):
+        while sum(r[0] == least for r in rows) < 80:
+            a = " ".join(word() for _ in range(30))[: least + rnd.randrange(3 if least < 60 else 20)]
+            at = rnd.randrange(len(a))
+            b = a + "." if rnd.random() < 0.5 else a[:at] + "#" + a[at + 1 :]
+            x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
+            if len(x & y) >= 0.8 * len(x | y):
+                rows.append((least, a, b))
+    both = lambda c: F.array_union(line_dedup.band_keys(F.col(c)), line_dedup.near_keys(F.col(c), 0.8))
+    met = spark.createDataFrame(rows, "k int, a string, b string").groupBy("k").agg(F.avg(F.arrays_overlap(both("a"), both("b")).cast("int")).alias("met"))
+    recall = {r.k: r.met for r in met.collect()}
+    assert all(v == 1 for k, v in recall.items() if k <= 16) and all(v >= 0.97 for v in recall.values()), recall
+
+
 def test_line_dedup_edges(spark, odd, empty):
     rows = [(1, "same line here\n\nother\nsame line here", "s", "e"), (2, "same line here", "s", "e"), (3, None, "s", "e"), (4, "  \n", "s", "e"), (5, "同じ行です\n同じ行です。", "s", "e")]
     out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
