@@ -7,18 +7,27 @@ from pyspark.sql import functions as F
 
 from folio.storage import discard, materialize
 
+#: Parts over which the neighbours of one node are spread.
+SALTS = 32
+
+
+def _with_lowest(edges: DataFrame) -> DataFrame:
+    """edges(u, v) with m, the smallest v of each u: found per salt, then per node, and joined back per salt, so no hub is one key."""
+    salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
+    low = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))  # at most SALTS a node
+    return salted.join(low.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _with_lowest(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = down.groupBy("u").agg(F.min("v").alias("m"))
     return (
-        down.join(low, "u")
+        _with_lowest(down)
         .select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("e"))
         .select(F.col("e.v").alias("u"), F.col("e.m").alias("v"))
         .where("u <> v")
@@ -31,7 +40,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without an edge do not appear; an empty table gives an empty table; loops, repeats and
     null ends are dropped. Alternates large-star and small-star contraction, so each round is a
     pre-aggregated minimum and an equi-join, and each round's edges go to the shared folder. No
-    group is gathered: the hub of a star meets its leaves only through its minimum.
+    group is gathered: the neighbours of a hub are dealt over SALTS parts, which meet only in
+    their minima.
     """
     now = materialize(
         edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
