@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import collections
 import random
 
 import numpy as np
@@ -477,7 +478,7 @@ def test_em_finds_the_better_labeller():
 
 
 # 10 line dedup
-def brute_lines(rows, threshold=0.8):
+def _brute(rows, threshold):
     lines = {}
     for r in rows:
         for k, raw in enumerate((r.text or "").split("\n")):
@@ -497,6 +498,16 @@ def brute_lines(rows, threshold=0.8):
             common = len(s & sets[u])
             if common >= threshold * (len(s) + len(sets[u]) - common):
                 pairs.append((t, u))
+    return lines, pairs
+
+
+def brute_links(rows, threshold=0.8):
+    lines, pairs = _brute(rows, threshold)
+    return [(min(lines[t]), min(lines[u])) for t, u in pairs]
+
+
+def brute_lines(rows, threshold=0.8):
+    lines, pairs = _brute(rows, threshold)
     comp = union_find(pairs, lines)
     keep = {}
     for t, c in comp.items():
@@ -525,23 +536,76 @@ def test_line_dedup_of_near_copies(spark):
     assert got == brute_lines(docs.collect())
 
 
-def test_line_pairs_meet_by_length(spark):
-    """Similar lines share a key: all of them in short lines, nearly all in longer ones."""
+def _similar(a, b):
+    x, y = ({t[i : i + 5] for i in range(len(t) - 4)} or {t} for t in (a, b))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+def test_line_links_are_met_by_class(spark):
+    """Similar lines share a key: all of them in short lines, nearly all in longer ones, whatever they are made of."""
     rnd = random.Random(9)
-    word = lambda: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(2, 9)))
-    rows = [(-1, "Read more", "Read more."), (-1, "Share it", "Share it!")]
-    for least in (8, 11, 16, 61, 81, 101):
-        while sum(r[0] == least for r in rows) < 80:
-            a = " ".join(word() for _ in range(30))[: least + rnd.randrange(3 if least < 60 else 20)]
-            at = rnd.randrange(len(a))
-            b = a + "." if rnd.random() < 0.5 else a[:at] + "#" + a[at + 1 :]
-            x, y = ({t[i : i + 5] for i in range(len(t) - 4)} for t in (a, b))
-            if len(x & y) >= 0.8 * len(x | y):
-                rows.append((least, a, b))
-    both = lambda c: F.array_union(line_dedup.band_keys(F.col(c)), line_dedup.near_keys(F.col(c), 0.8))
-    met = spark.createDataFrame(rows, "k int, a string, b string").groupBy("k").agg(F.avg(F.arrays_overlap(both("a"), both("b")).cast("int")).alias("met"))
+    word = lambda lo=2, hi=9: "".join(rnd.choices("abcdefghijklmnop", k=rnd.randint(lo, hi)))
+    rows = [("short", "Read more", "Read more."), ("short", "Share it", "Share it!"), ("short", "Item 00000017", "Item 00000017.")]
+
+    def fill(kind, make, change, n=120):
+        while sum(r[0] == kind for r in rows) < n:
+            a = make()
+            b = change(a)
+            if a != b and _similar(a, b):
+                rows.append((kind, a, b))
+
+    def one_character(a):
+        at = rnd.randrange(len(a))
+        return a + "." if rnd.random() < 0.3 else a[:at] + "#" + a[at + 1 :]
+
+    def first_letters(a):
+        ws = a.split()
+        for at in rnd.sample(range(len(ws)), max(1, len(ws) // 6)):
+            ws[at] = rnd.choice("qrstuvwxyz") + ws[at][1:]
+        return " ".join(ws)
+
+    for least in (8, 12, 16, 20, 24, 40, 61, 81, 101, 200):
+        fill(f"{least}", lambda k=least: " ".join(word() for _ in range(60))[: k + rnd.randrange(3 if k < 60 else 20)], one_character)
+    for n in (6, 12, 30):
+        fill(f"first letters of {n}", lambda k=n: " ".join(word(9, 13) for _ in range(k)), first_letters)
+    fill("code", lambda: word(100, 300), one_character)
+    fill("words", lambda: " ".join(word() for _ in range(80)), lambda a: " ".join(w if rnd.random() < 0.96 else word() for w in a.split()))
+    keys = lambda c: line_dedup.band_keys(F.col(c), 0.8)
+    met = spark.createDataFrame(rows, "k string, a string, b string").groupBy("k").agg(F.avg(F.arrays_overlap(keys("a"), keys("b")).cast("int")).alias("met"))
     recall = {r.k: r.met for r in met.collect()}
-    assert all(v == 1 for k, v in recall.items() if k <= 16) and all(v >= 0.97 for v in recall.values()), recall
+    assert all(v == 1 for k, v in recall.items() if k in ("short", "8", "12", "16", "20")), recall
+    assert all(v >= 0.9 for v in recall.values()) and sum(recall.values()) / len(recall) >= 0.97, recall
+
+
+def test_line_links_of_documents(spark):
+    """Of the links that brute force finds on the given documents, at least nine of ten join the same component, and no other lines do."""
+    whole = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    lines = line_dedup.line_components(whole)
+    table = {(int(r.place) >> 31, int(r.place) & (1 << 31) - 1): r.component for r in lines.collect()}
+    links = brute_links(whole.collect())
+    assert len(links) > 20
+    assert sum(table[a] == table[b] for a, b in links) >= 0.9 * len(links)
+    sizes = collections.Counter(table.values())
+    assert sum(n - 1 for n in sizes.values()) <= len(table) - len(set(union_find(links, table).values()))
+
+
+def test_line_buckets_that_are_split(spark, monkeypatch):
+    """Buckets over the bound are split by wider bands and give the same lines."""
+    rnd = random.Random(12)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randint(2, 9))) for _ in range(300)]
+    base = [rnd.choice(words) for _ in range(40)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        for at in rnd.sample(range(40), rnd.choice((1, 2, 3, 6))):
+            w[at] = rnd.choice(words)
+        rows.append((i, " ".join(w), "s", "e"))
+    docs = spark.createDataFrame(rows, DOCS)
+    want = brute_lines(docs.collect())
+    whole = {(r.doc_id, n) for r in line_dedup.kept_lines(docs).collect() for n in r.lines}
+    monkeypatch.setattr(line_dedup, "BUCKET", 4)
+    split = {(r.doc_id, n) for r in line_dedup.kept_lines(docs).collect() for n in r.lines}
+    assert want <= whole and len(whole - want) <= 2 and want <= split and len(split - want) <= 12
 
 
 def test_line_dedup_edges(spark, odd, empty):
@@ -549,6 +613,12 @@ def test_line_dedup_edges(spark, odd, empty):
     out = {r.doc_id: r.text for r in line_dedup.line_dedup(spark.createDataFrame(rows, DOCS)).collect()}
     assert out == {1: "same line here\n\nother", 3: None, 4: "  \n", 5: "同じ行です\n同じ行です。"}
     assert line_dedup.line_dedup(odd).columns == odd.columns
+    named = spark.createDataFrame([("b", "one line\ntwo lines", 1, 2), ("a", "one line", 3, 4), (None, "two lines", 5, 6)], "doc_id string, text string, _kept int, lines int")
+    kept = {r.doc_id: (r.text, r._kept, r.lines) for r in line_dedup.line_dedup(named).collect()}
+    assert kept == {"a": ("one line", 3, 4), "b": ("two lines", 1, 2)}
+    assert {(r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_report(named).collect()} == {("a", 1, 0), ("b", 2, 1), (None, 1, 1)}
+    long = spark.createDataFrame([(1, "word " * 60_000 + "\nshort", "s", "e"), (2, "word " * 59_999 + "end", "s", "e")], DOCS)
+    assert {r.doc_id: r.kept for r in line_dedup.line_report(long).collect()} == {1: [0, 1], 2: []}
     assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.line_report(empty).count() == 0
     assert line_dedup.line_report(odd).count() == len(ODD)
 
