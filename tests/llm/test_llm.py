@@ -418,27 +418,70 @@ def test_chat_costs_are_least(spark):
     rnd = random.Random(5)
     convs = [[rnd.choice(["system", "user", "assistant", "tool", None]) for _ in range(rnd.randint(1, 3))] for _ in range(25)]
     rows = [(c, t, r, f"{c}.{t}", "x") for c, roles in enumerate(convs) for t, r in enumerate(roles)]
-    got = sorted(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, block string")).collect(), key=lambda r: (r.conv_id, r.part))
+    got = {r.conv_id: r for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string, block string")).collect()}
+    assert len(got) == len(convs)
     for c, roles in enumerate(convs):
-        parts = [r for r in got if r.conv_id == c]
-        text = "".join(r.text for r in parts)
-        assert sum(r.cost for r in parts) == cheapest(roles), roles
-        assert legal([line[2:-2] for line in text.split("\n") if line[:2] == "<|" and line != "<|end|>"])
-        assert all(f"{c}.{t}" in text for t in range(len(roles)))
+        assert got[c].cost == cheapest(roles) == shortest(roles), roles
+        assert legal(roles_of(got[c].text))
+        assert all(f"{c}.{t}" in got[c].text for t in range(len(roles)))
+
+
+def roles_of(text):
+    return [line[2:-2] for line in text.split("\n") if line[:2] == "<|" and line != "<|end|>"]
+
+
+def shortest(roles):
+    """Least cost over whole sequences of turns, one input turn after the other."""
+    best = {(): 0}  # what has been written, cut to what matters: whether there is a turn, and its role
+    may = {(): ("system", "user"), ("system",): ("user",), ("user",): ("assistant",), ("assistant",): ("user",)}
+    for r in roles:
+        after = {}
+        for last, cost in best.items():
+            for w in chat.ROLES:
+                cost_w = cost + (0 if w == r else chat.RELABEL if r in chat.ROLES else chat.NAMING)
+                if last == (w,):
+                    after[(w,)] = min(after.get((w,), math.inf), cost_w + chat.MERGE)
+                frontier, paid = {last}, 0
+                for _ in range(3):  # with 0, 1 or 2 empty turns in front
+                    if any(w in may[x] for x in frontier):
+                        after[(w,)] = min(after.get((w,), math.inf), cost_w + paid)
+                        break
+                    frontier, paid = {(x,) for f in frontier for x in may[f] if x != "system"}, paid + chat.INSERT
+        best = after
+    return min(c + {"assistant": 0, "user": chat.INSERT, "system": 2 * chat.INSERT}[last[0]] for last, c in best.items())
+
+
+def test_chat_table(spark, sf_dir):
+    """Every given conversation: one row, least cost, legal roles, every text in order."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    got = {r.conv_id: r for r in chat.format_chats(turns).collect()}
+    want = {}
+    for r in sorted(turns.collect(), key=lambda r: (r.conv_id, r.turn, r.role or "", r.text or "")):
+        want.setdefault(r.conv_id, []).append(r)
+    assert set(got) == set(want) and len(got) == chat.format_chats(turns).count()
+    for c, rows in want.items():
+        assert got[c].cost == shortest([r.role for r in rows]) and legal(roles_of(got[c].text)), c
+        assert got[c].n_turns == len(rows)
+        at = 0
+        for r in rows:
+            at = got[c].text.index(r.text or "", at) + len(r.text or "")
 
 
-def test_chat_blocks_agree_with_one_block(spark, monkeypatch):
+def test_chat_rows_do_not_depend_on_partitions(spark, monkeypatch):
     rnd = random.Random(6)
-    roles = [rnd.choice(["user", "assistant", "assistant", "system", None]) for _ in range(300)]
-    turns = spark.createDataFrame([(1, t, r, f"t{t}") for t, r in enumerate(roles)] + [(None, None, None, None)], "conv_id long, turn int, role string, text string")
-    whole = {r.conv_id: r.cost for r in chat.format_chats(turns, partitions=1).collect()}
-    monkeypatch.setattr(chat, "BLOCK", 16)
-    parts = [r for r in chat.format_chats(turns, partitions=3).collect() if r.conv_id == 1]
-    assert len(parts) > 10 and sum(r.cost for r in parts) == whole[1]
-    text = "".join(r.text for r in sorted(parts, key=lambda r: r.part))
-    assert legal([line[2:-2] for line in text.split("\n") if line[:2] == "<|" and line != "<|end|>"])
-    assert [w for w in text.split() if w[0] == "t"] == [f"t{t}" for t in range(300)]
+    rows = [(c, t, rnd.choice(["user", "assistant", "assistant", "system", "tool", None]), f"t{t}") for c in (1, None, 2) for t in range(300 if c == 1 else 40)]
+    turns = spark.createDataFrame([*rows, (3, None, None, None)], "conv_id long, turn int, role string, text string")
+    whole = {r.conv_id: r for r in chat.format_chats(turns).collect()}
+    assert len(whole) == 4 and legal(roles_of(whole[1].text)) and whole[1].cost == shortest([r[2] for r in rows if r[0] == 1])
+    assert [w for w in whole[1].text.split() if w[0] == "t"] == [f"t{t}" for t in range(300)]
     assert chat.format_chats(turns.limit(0)).count() == 0
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    for block in (16, 50):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        for n in ("1", "3", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {r.conv_id: r for r in chat.format_chats(turns.repartition(int(n))).collect()} == whole
+    spark.conf.set("spark.sql.shuffle.partitions", before)
 
 
 # 9 quality
