@@ -25,7 +25,8 @@ def exact_groups(docs: DataFrame, salts: int = 32, id_col: str = "doc_id", text_
 
     Three combines, each keyed by digest AND the whole text: within a task (map-side partial
     aggregation), within a salt (a hot digest is spread over `salts` tasks), then over the salts,
-    where a key has at most `salts` rows. The way back to rows joins digests only.
+    where a key has at most `salts` rows. The way back to rows joins digests (SHA-256 and XXH64) and
+    salts, so a hot group comes back in as many tasks. Texts of any length are compared whole.
     """
     norm = normalise(F.col(text_col))
     keyed = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm")).select(
@@ -36,10 +37,11 @@ def exact_groups(docs: DataFrame, salts: int = 32, id_col: str = "doc_id", text_
     )
     salted = keyed.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
     by_salt = salted.groupBy("sha", "h", "norm", "salt").agg(F.min("doc_id").alias("m"), F.count("*").alias("c"))
-    winners = by_salt.groupBy("sha", "h", "norm").agg(F.min("m").alias("keep_id"), F.sum("c").alias("group_size")).drop("norm")
+    winners = by_salt.groupBy("sha", "h", "norm").agg(F.min("m").alias("keep_id"), F.sum("c").alias("group_size"), F.collect_list("salt").alias("salt"))
+    winners = winners.select("sha", "h", "keep_id", "group_size", F.explode("salt").alias("salt"))
     return (
-        keyed.select("doc_id", "sha", "h")
-        .join(winners, ["sha", "h"])
+        salted.select("doc_id", "sha", "h", "salt")
+        .join(winners, ["sha", "h", "salt"])
         .select(
             "doc_id",
             "keep_id",
@@ -51,6 +53,15 @@ def exact_groups(docs: DataFrame, salts: int = 32, id_col: str = "doc_id", text_
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all its columns, without the rows whose text an earlier id has."""
-    kept = exact_groups(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(kept, id_col, "left_semi")
+    """docs, all its columns, without the rows whose text a smaller id has.
+
+    A row with a null id goes if a row with an id has its text; else all rows of the text stay, as
+    nothing tells which is first. Rows that repeat the kept id stay as well.
+    """
+    groups = exact_groups(docs, id_col=id_col, text_col=text_col, **options)
+    kept = groups.where("kept").select(F.col("doc_id").alias(id_col)).distinct()
+    nameless = docs.where(F.col(id_col).isNull())
+    named = groups.where("keep_id is not null").select(F.col("text_sha256").alias("_sha")).distinct()
+    sha = F.lower(F.sha2(normalise(F.col(text_col)), 256))
+    alone = nameless.join(named, sha == F.col("_sha"), "left_anti")
+    return docs.join(kept, id_col, "left_semi").select(*docs.columns).union(alone.select(*docs.columns))
