@@ -76,17 +76,20 @@ def revisit_plan(pages: DataFrame, least_bytes: int, salts: int = 32) -> DataFra
     """pages(page_id, url, html) plus sha1, refers_to: the largest page_id of equal payloads, where it is another.
 
     Payloads under least_bytes refer to none. Equality is that of SHA-1, length and XXH64 together.
-    Winners are first found per salt, and only payloads that occur more than once are looked up.
+    Winners are first found per salt and looked up per salt, so a hot payload is not one task's, and
+    only payloads that occur more than once are looked up.
     """
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html")).withColumns(
         {"sha1": F.sha1(payload.cast("binary")), "size": F.octet_length(payload), "h": F.xxhash64(payload)}
     )
     key = ["sha1", "size", "h"]
-    light = rows.where(F.col("size") >= least_bytes).select("page_id", *key)
-    part = light.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(salts))).groupBy(*key, "salt").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
-    winner = part.groupBy(*key).agg(F.max("top").alias("refers_to"), F.sum("n").alias("n")).where("n > 1").drop("n")
-    told = light.join(winner, key).where("page_id <> refers_to").select("page_id", "sha1", "refers_to")
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(salts)).alias("salt")
+    light = rows.where(F.col("size") >= least_bytes).select("page_id", *key, salt)
+    part = light.groupBy(*key, "salt").agg(F.max("page_id").alias("top"), F.count("*").alias("n"))
+    winner = part.groupBy(*key).agg(F.max("top").alias("refers_to"), F.sum("n").alias("n"), F.collect_list("salt").alias("salt")).where("n > 1")
+    winner = winner.select(*key, "refers_to", F.explode("salt").alias("salt"))
+    told = light.join(winner, [*key, "salt"]).where("page_id <> refers_to").select("page_id", "sha1", "refers_to")
     # a page_id that occurs twice is told apart by its digest
     return rows.select("page_id", "url", "html", "sha1").join(told.distinct(), ["page_id", "sha1"], "left")
 
@@ -153,7 +156,8 @@ def read_archives(index: DataFrame, kind: str = "bigint", **options) -> DataFram
     payload (null for revisits). The digest of each response is checked against its header.
     """
     ranges = coalesced_ranges(index, **options)
-    ranges = ranges.repartition("path", "start")
+    # a number, so that adaptive execution does not put the few, but heavy, rows into one task
+    ranges = ranges.repartition(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path", "start")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, opened = None, None
