@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,23 +101,20 @@ def class_copies(rates: DataFrame, cap: int = 2) -> DataFrame:
 
     Sizes are taken from the largest down; the running error of words is carried on to the next
     size, so what remains at the end is about half of the smallest documents. The fold runs over
-    the distinct sizes of a source, not over its documents.
+    the distinct sizes of a source, which the longest text bounds, not over its documents.
     """
-    folded = rates.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("size", "n", "rate")), asc=False).alias("cs"))
-    start = F.struct(F.lit(0.0).alias("err"), F.array().cast("array<struct<size:bigint,copies:bigint>>").alias("out"))
-
-    def step(acc, c):
-        want = acc["err"] + c["rate"] * c["n"] * c["size"]
-        copies = F.when(c["size"] == 0, F.lit(0)).otherwise(
-            F.greatest(F.lit(0), F.least(cap * c["n"], F.floor(want / F.greatest(c["size"], F.lit(1)) + F.lit(0.5))))
-        ).cast("long")
-        return F.struct(
-            (want - copies * c["size"]).alias("err"),
-            F.concat(acc["out"], F.array(F.struct(c["size"].alias("size"), copies.alias("copies")))).alias("out"),
-        )
 
-    out = folded.select("source", F.aggregate("cs", start, step).alias("a")).select("source", F.explode("a.out").alias("c"))
-    return out.select("source", "c.size", "c.copies")
+    def fold(classes: pd.DataFrame) -> pd.DataFrame:
+        err, copies = 0.0, []
+        classes = classes.sort_values("size", ascending=False)
+        for size, n, rate in zip(classes["size"].tolist(), classes["n"].tolist(), classes["rate"].tolist()):
+            err += rate * n * size
+            copies.append(max(0, min(cap * n, math.floor(err / size + 0.5))) if size else 0)
+            err -= copies[-1] * size
+        return pd.DataFrame({"source": classes["source"], "size": classes["size"], "copies": copies})
+
+    kind = rates.schema["source"].dataType.simpleString()
+    return rates.groupBy("source").applyInPandas(fold, f"source {kind}, size bigint, copies bigint")
 
 
 def mix_sources(
