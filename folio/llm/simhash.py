@@ -11,11 +11,13 @@ from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
 from folio.operators.graph import connected_components
-from folio.storage import materialize
+from folio.storage import discard, materialize
 
 SEED = 42
 #: Shingles hashed at once: bounds the memory of a very long text.
 BLOCK = 1 << 14
+#: Table entries with more fingerprints are split by quarters of the other segment.
+DENSE = 64
 
 
 def fingerprint(text: str, words: int = 3) -> int:
@@ -65,7 +67,9 @@ def similar_links(fps: DataFrame) -> DataFrame:
     table entry holds its smallest and largest fingerprint; every prober is compared in full with
     those two. Only entries of three or more fingerprints have others left, and of these only
     pairs that lie in different components so far are compared: a dense bucket of thousands of
-    near copies costs two comparisons each, and no link between components is lost.
+    near copies costs two comparisons each, and no link between components is lost. Entries of more
+    than DENSE fingerprints are split first: of three differing bits none falls into one of the four
+    quarters of the other segment, so partners share a quarter, and the entry is joined on each.
     """
     bits = 3
     fps = fps.distinct()
@@ -77,23 +81,27 @@ def similar_links(fps: DataFrame) -> DataFrame:
     )
     probes = table.select("fp", "seg", F.explode(F.concat(F.array("key"), ball)).alias("key"))
     ends = table.groupBy("seg", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi"), F.count("*").alias("n"))
-    met = probes.join(ends, ["seg", "key"]).where(_near("fp", "lo", bits) | _near("fp", "hi", bits) | (F.col("n") > 2))
+    met = probes.join(ends.hint("merge"), ["seg", "key"]).where(_near("fp", "lo", bits) | _near("fp", "hi", bits) | (F.col("n") > 2))
     met = materialize(met, "simhash-met")
     first = met.select("fp", F.explode(F.array("lo", "hi")).alias("v")).where((F.col("fp") != F.col("v")) & _near("fp", "v", bits))
     first = materialize(first.select(F.col("fp").alias("u"), "v").distinct(), "simhash-links")
-    wide = met.where("n > 2").select("fp", "seg", "key", "lo", "hi")
+    wide = met.where("n > 2").select("fp", "seg", "key", "lo", "hi", "n")
     comp = connected_components(first)
-
-    def classed(rows: DataFrame) -> DataFrame:
-        return rows.join(comp.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-
-    probing = materialize(classed(wide), "simhash-wide")
+    probing = wide.join(comp.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    probing = materialize(probing, "simhash-wide")
     mixed = probing.groupBy("seg", "key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("seg", "key")
-    here = probing.join(mixed, ["seg", "key"], "left_semi")
+    here = probing.join(mixed.hint("merge"), ["seg", "key"], "left_semi")
+    other_segment = F.when(F.col("seg") == 0, _segment(F.col("fp"), 1)).otherwise(_segment(F.col("fp"), 0))
+    quarter = lambda q: F.shiftright(other_segment, 8 * q).bitwiseAND(F.lit(0xFF)).cast("int")
+    quarters = F.array(*[F.struct(F.lit(q).alias("q"), quarter(q).alias("v")) for q in range(4)])
+    whole = F.array(F.struct(F.lit(-1).alias("q"), F.lit(0).alias("v")))
+    here = here.withColumn("part", F.explode(F.when(F.col("n") > DENSE, quarters).otherwise(whole)))
     held = here.where((_segment(F.col("fp"), 0) == F.col("key")) & (F.col("seg") == 0) | (_segment(F.col("fp"), 1) == F.col("key")) & (F.col("seg") == 1))
-    held = held.where("fp <> lo and fp <> hi").select("seg", "key", F.col("fp").alias("v"), F.col("component").alias("other"))
-    second = here.join(held, ["seg", "key"]).where((F.col("component") != F.col("other")) & _near("fp", "v", bits))
-    return first.union(second.select(F.col("fp").alias("u"), "v"))
+    held = held.where("fp <> lo and fp <> hi").select("seg", "key", "part", F.col("fp").alias("v"), F.col("component").alias("other"))
+    second = here.join(held.hint("merge"), ["seg", "key", "part"]).where((F.col("component") != F.col("other")) & _near("fp", "v", bits))
+    second = materialize(second.select(F.col("fp").alias("u"), "v").distinct(), "simhash-links")
+    discard(met, probing)
+    return first.union(second)
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,6 +125,19 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs, all its columns, with only the smallest id of each class."""
-    keep = simhash_classes(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(keep, id_col, "left_semi")
+    """docs, all its columns, with only the smallest id of each class.
+
+    A row with a null id goes if its class has a row with an id; else it stays. Rows that repeat the
+    kept id stay as well, if their text is of its class.
+    """
+    classes = materialize(simhash_classes(docs, id_col, text_col), "simhash-classes")
+    keep = classes.where("doc_id = component_id").select(F.col("doc_id").alias(id_col)).distinct()
+    stay = docs.join(keep, id_col, "left_semi").select(*docs.columns)
+    if classes.where("doc_id is null").isEmpty():
+        return stay
+    nameless = docs.where(F.col(id_col).isNull())
+    texts = fingerprints(nameless.select(F.col(text_col).alias("text")).distinct(), "text", "text")
+    named = classes.where("component_id is not null").select(F.col("fingerprint").alias("_fp")).distinct()
+    hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
+    alone = texts.join(named, hexed == F.col("_fp"), "left_anti").select(F.col("doc_id").alias("_text"))
+    return stay.union(nameless.join(alone, F.col(text_col).eqNullSafe(F.col("_text")), "left_semi").select(*docs.columns))
