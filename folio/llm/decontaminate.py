@@ -69,14 +69,15 @@ def _may_be_heavy(template: Column, n: int) -> Column:
     return template.rlike(f"{mark}(?: (?:{word} ){{0,{most}}}{mark}){{{n // 2}}}")
 
 
-def _hashes(words: Column, n: int) -> Column:
-    """Hash of each window of n words; none if there are fewer. The words are bound once, before the windows are cut."""
+def _windows(words: Column, n: int) -> Column:
+    """Hash of each window of n words of a bound array; none if there are fewer."""
+    starts = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, n)))
 
-    def windows(ws: Column) -> Column:
-        starts = F.when(F.size(ws) >= n, F.sequence(F.lit(1), F.size(ws) - n + 1)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.xxhash64(F.slice(ws, i, n)))
 
-    return F.flatten(F.transform(F.array(words), windows))
+def _hashes(words: Column, sizes: list[int]) -> Column:
+    """Hashes of the windows of all sizes; the words are bound once, before the windows are cut."""
+    return F.flatten(F.transform(F.array(words), lambda ws: F.concat(*[_windows(ws, n) for n in sizes])))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -136,7 +137,8 @@ def contaminated(
 
     Windows of the benchmark go to every task while there are at most broadcast_rows of them, and
     are shuffled beyond that; hashes are checked against the template itself before they count.
-    Null texts and items hold no words; repeated rows of an id count as one document, their texts
+    One scan looks up windows of all sizes; only the documents with a hit are cut again, to compare.
+    Null texts and items hold no words, texts of any length are cut whole; repeated rows of an id count as one document, their texts
     as occurrences of their own; extra columns are ignored; empty tables give an empty table.
     """
     items = materialize(item_windows(benchmark, window), "templates")
@@ -145,15 +147,13 @@ def contaminated(
     few = items.count() <= broadcast_rows
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = base.select("doc_id", "text", _template(F.col("text")).alias("template"))
-    found = None
-    for n in sorted({n for n, _ in kinds}):
-        # words as they stand are cut only from texts that can have a heavy window
-        marked = _hashes(F.split("template", " "), n)
-        heavy_too = F.when(_may_be_heavy(F.col("template"), n), _hashes(value_words(F.col("text")), n)).otherwise(F.array().cast("array<bigint>"))
-        one = texts.select("doc_id", F.explode(F.concat(marked, heavy_too) if (n, True) in kinds else marked).alias("key"))
-        hit = one.join(F.broadcast(keys) if few else keys, "key", "left_semi").select("doc_id").distinct()
-        found = hit if found is None else found.union(hit)
-    suspects = materialize(found.distinct(), "suspects")
+    # one scan for windows of all sizes; words as they stand are cut only from texts that can have a heavy window
+    heavy_sizes = [n for n, heavy in kinds if heavy]
+    marked = _hashes(F.split("template", " "), sorted({n for n, _ in kinds}))
+    words = [F.when(_may_be_heavy(F.col("template"), n), _hashes(value_words(F.col("text")), [n])).otherwise(F.array().cast("array<bigint>")) for n in heavy_sizes]
+    one = texts.select("doc_id", F.explode(F.concat(marked, *words)).alias("key"))
+    suspects = one.join(F.broadcast(keys) if few else keys.hint("merge"), "key", "left_semi").select("doc_id").distinct()
+    suspects = materialize(suspects, "suspects")
     near = base.join(suspects, "doc_id", "left_semi").select(
         "doc_id", F.xxhash64("text").alias("row"), template_words(F.col("text")).alias("marked"), slot_words(F.col("text")).alias("raw"),
         value_words(F.col("text")).alias("words"),
@@ -161,11 +161,11 @@ def contaminated(
     rows = None
     for n, heavy in kinds:
         cut = lambda c: F.slice(c, F.col("p") + 1, n)  # noqa: E731, B023
-        w = near.select("doc_id", "row", "marked", "raw", "words", F.posexplode(_hashes(F.col("words" if heavy else "marked"), n)).alias("p", "key"))
+        w = near.select("doc_id", "row", "marked", "raw", "words", F.posexplode(_hashes(F.col("words" if heavy else "marked"), [n])).alias("p", "key"))
         same = "words" if heavy else "template"
         w = w.select("doc_id", "row", "p", "key", cut("words" if heavy else "marked").alias(same), cut("raw").alias("values"))
         there = items.where((F.col("n") == n) & (F.col("heavy") == heavy))
-        m = w.join(F.broadcast(there) if few else there, ["key", same])
+        m = w.join(F.broadcast(there) if few else there.hint("merge"), ["key", same])
         m = m.select("doc_id", "row", "item_id", "at", "p", "n_windows", "template", "slots", "values")
         rows = m if rows is None else rows.union(m)
     rows = rows.select("doc_id", "row", "item_id", "at", (F.col("p") - F.col("at")).alias("start"), "n_windows", "template", "slots", "values")
