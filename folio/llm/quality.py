@@ -12,16 +12,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest
 
-from folio.storage import materialize
+from folio.storage import discard, materialize
 
-# Words of abuse, for one of the heuristics.
-INSULTS = frozenset("idiot idiots moron morons stupid loser losers pathetic scum worthless trash clown clowns disgusting dumb imbecile retard bastard bitch asshole fuck fucking shit".split())
-LABELLERS = ("shouting", "symbols", "stutter", "columns", "insults", "exclaiming", "gold")
 GOOD, BAD, NONE = 0, 1, 2
-#: Features: hashed words, word beginnings and binned measures.
-BITS = 20
-#: At most so many labelled rows are fitted on, chosen by a hash of the id, and so many features kept.
-SAMPLE_ROWS, MAX_FEATURES = 16_000, 1_000
+#: Labellers: five measures of a text, words that mark abuse, and the two given labels.
+LABELLERS = ("shouting", "symbols", "stutter", "columns", "exclaiming", "cue words", "quality label", "toxic label")
+MEASURES, CUE, QUALITY, TOXIC = range(5), 5, 6, 7
+#: Kinds of documents: clean, junk of the kind that a measure tells, junk that none tells, abuse.
+CLEAN, UNMARKED, ABUSE = 0, 6, 7
+#: Votes that each labeller is credited with in each kind beforehand, and the share of them that is right.
+CREDIT, RIGHT = 20.0, 0.9
+#: Texts of fewer characters are not judged by their capitals.
+SHORT = 30
+#: Features are hashed to so many bits: words, word beginnings and binned measures.
+BITS = 18
+#: At most so many labelled rows are fitted on, and half as many without labels; chosen by a hash of the id.
+SAMPLE_ROWS = 16_000
+#: A cue word is in at least CUE_DOCS fitted texts labelled toxic, and CUE_SHARE of the labelled texts that have it are; the CUES most frequent vote.
+CUE_DOCS, CUE_SHARE, CUES = 8, 0.95, 500
 _WORD = re.compile(r"[^\W\d_]+")
 _UPPER = np.array([65 <= b <= 90 for b in range(256)], float)
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC2 for b in range(256)], float)
@@ -29,7 +37,7 @@ _SYMBOL = np.array([chr(b) in "#$%&*+/<=>@\\^_`{}~" for b in range(256)], float)
 
 
 def measures(text: str) -> tuple[float, ...]:
-    """Shares of capitals among letters, of symbols, of words that repeat the last, of bars, of shouts; number of insults."""
+    """Shares of capitals among letters, of symbols, of words that repeat the last, of bars, of exclamation marks."""
     data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
     h = np.bincount(data, minlength=256)
     n, letters = max(1, len(data)), max(1.0, h @ _LETTER)
@@ -41,18 +49,21 @@ def measures(text: str) -> tuple[float, ...]:
 _BINS = ((0.05, 0.15, 0.4), (0.01, 0.04, 0.1), (0.05, 0.2, 0.5), (0.005, 0.02, 0.06), (0.005, 0.02, 0.06))
 
 
-def votes(text: str) -> list[int]:
-    """Vote of each heuristic. A measure far up votes bad, far down votes good, between abstains."""
+def words_of(text: str) -> set[str]:
+    return set(_WORD.findall(text.lower()))
+
+
+def votes(text: str, cues: frozenset[str] = frozenset()) -> list[int]:
+    """Vote of each heuristic. A measure far up votes bad, far down votes good, between abstains; a cue word votes bad."""
     found = [BAD if m >= b[2] else GOOD if m < b[0] else NONE for m, b in zip(measures(text), _BINS)]
-    words = _WORD.findall(text.lower())
-    insults = sum(w in INSULTS for w in words)
-    insulting = BAD if insults >= max(1, 0.002 * len(words)) else GOOD if not insults else NONE
-    return [*found[:4], insulting, found[4]]
+    if len(text) < SHORT:  # a capital or two are no shouting yet
+        found[0] = NONE
+    return [*found, NONE if not cues else GOOD if cues.isdisjoint(words_of(text)) else BAD]
 
 
 def features(text: str) -> set[str]:
     """Words, their first five letters (marked), and binned measures (marked)."""
-    words = set(_WORD.findall(text.lower()))
+    words = words_of(text)
     starts = {f"^{w[:5]}" for w in words if len(w) > 5}
     bins = {f"#{k}:{sum(m >= x for x in b)}" for k, (m, b) in enumerate(zip(measures(text), _BINS))}
     return words | starts | bins
@@ -62,78 +73,108 @@ def slot(feature: str) -> int:
     return xxh32_intdigest(feature.encode("utf-8", "surrogatepass"), 9) >> (32 - BITS)
 
 
-def _vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        packed = [sum(v * 3**k for k, v in enumerate(votes(t.as_py() or ""))) for t in b.column(1)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.int32())], names=["doc_id", "votes"])
+def _expected() -> np.ndarray:
+    """The vote that is right for each labeller and kind (labellers, kinds); NONE where a labeller has no say."""
+    right = np.full((len(LABELLERS), 8), GOOD)
+    for j in MEASURES:
+        right[j, j + 1] = BAD
+    right[QUALITY, 1 : UNMARKED + 1] = BAD
+    right[[CUE, TOXIC], ABUSE] = BAD
+    right[QUALITY, ABUSE] = NONE
+    return right
+
+
+def _first_guess(patterns: np.ndarray) -> np.ndarray:
+    """P(kind | pattern) to start from: the kinds that have a vote share it."""
+    share = np.zeros((len(patterns), 8))
+    share[:, 1:UNMARKED] = patterns[:, list(MEASURES)] == BAD
+    share[:, ABUSE] = (patterns[:, CUE] == BAD).astype(float) + 2 * (patterns[:, TOXIC] == BAD)
+    share[:, UNMARKED] = (patterns[:, QUALITY] == BAD) & (share.sum(1) == 0)
+    share[:, CLEAN] = share.sum(1) == 0
+    share += 0.02
+    return share / share.sum(1, keepdims=True)
 
 
-def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, gold_accuracy: float = 0.99, rounds: int = 200) -> tuple[np.ndarray, np.ndarray]:
+def estimate_accuracies(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expectation-maximisation over vote patterns (k, labellers) with their counts.
 
-    Returns P(bad | pattern) and the tables P(vote | class) (labellers, 2, 3). The last labeller is
-    the given label, whose accuracy is held fixed; it abstains where there is none. Starts from a
-    vote count; one pseudo-count per cell keeps unseen votes possible.
+    Documents are of one of eight kinds, in each of which the labellers vote independently. Returns
+    P(bad | pattern), P(kind | pattern) (k, kinds) and the tables P(vote | kind) (labellers, kinds, 3).
+    The accuracies of all labellers are estimated, those of the given labels too; each is credited
+    with the same few right and wrong votes. A given label is missing at random: that it abstains
+    says nothing. A kind is as bad as the given labels, by their tables, say of it.
     """
     onehot = (patterns[:, :, None] == np.arange(3)).astype(float)
-    bad, good = (patterns[:, :-1] == BAD).sum(1), (patterns[:, :-1] == GOOD).sum(1)
-    gold = patterns[:, -1]
-    p = np.where(gold == BAD, 0.99, np.where(gold == GOOD, 0.01, np.where(bad > 0, 0.9, 0.1 * (good < good.max()) + 0.05)))
-    table = None
-    for _ in range(rounds):
-        weight = np.stack([(1 - p) * counts, p * counts])
-        table = np.einsum("ck,klv->lcv", weight, onehot) + 1.0
+    right = _expected()
+    credit = np.where(right[:, :, None] == NONE, 0.5, np.where(np.arange(3) == right[:, :, None], RIGHT, 1 - RIGHT)) * CREDIT
+    credit[:, :, NONE] = 1.0
+    p = _first_guess(patterns)
+
+    def tables(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weight = p * counts[:, None]
+        table = np.einsum("kc,klv->lcv", weight, onehot) + credit
+        table[[QUALITY, TOXIC], :, NONE] = 0.0
         table /= table.sum(2, keepdims=True)
-        said = 1 - table[-1, :, NONE]
-        a = gold_accuracy
-        table[-1, 0, :2], table[-1, 1, :2] = said.mean() * np.array([a, 1 - a]), said.mean() * np.array([1 - a, a])
-        table[-1, :, NONE] = 1 - said.mean()
-        prior = weight.sum(1) / weight.sum()
-        logs = np.log(prior)[None] + np.einsum("klv,lcv->kc", onehot, np.log(np.maximum(table, 1e-12)))
-        new = 1 / (1 + np.exp(np.clip(logs[:, 0] - logs[:, 1], -50, 50)))
-        if np.abs(new - p).max() < 1e-7:
-            break
+        table[[QUALITY, TOXIC], :, NONE] = 1.0  # the same in all kinds
+        return (weight.sum(0) + 1.0) / (weight.sum() + 8.0), table
+
+    for _ in range(rounds):
+        prior, table = tables(p)
+        logs = np.log(prior)[None] + np.einsum("klv,lcv->kc", onehot, np.log(table))
+        new = np.exp(logs - logs.max(1, keepdims=True))
+        new /= new.sum(1, keepdims=True)
+        done = np.abs(new - p).max(initial=0.0) < 1e-9
         p = new
-    return p, table
+        if done:
+            break
+    _, table = tables(p)
+    bad = 1 - (1 - table[QUALITY, :, BAD]) * (1 - table[TOXIC, :, BAD])
+    return p @ bad, p, table
+
 
+def posteriors(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.ndarray:
+    """P(bad) per code of all votes."""
+    return estimate_accuracies(np.stack([codes // 3**j % 3 for j in range(len(LABELLERS))], axis=1), counts, rounds)[0]
 
-def fit_logistic(owner: np.ndarray, index: np.ndarray, target: np.ndarray, width: int, l2: float = 0.3, rounds: int = 400) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression of soft labels on features index[i] of rows owner[i]; accelerated gradient steps."""
+
+def fit_logistic(owner: np.ndarray, slots: np.ndarray, target: np.ndarray, width: int, l2: float = 3.0, rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression of soft labels on features slots[i] of rows owner[i]; accelerated gradient steps."""
     count = len(target)
+    used, index = np.unique(slots, return_inverse=True)
     lengths = np.bincount(owner, minlength=count)
-    w, v, b, vb = np.zeros(width), np.zeros(width), 0.0, 0.0
-    scale = np.bincount(index, minlength=width) * 0.25 + l2  # diagonal bound of the curvature
+    w, v, b, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
+    scale = np.bincount(index, minlength=len(used)) * 0.25 + l2  # diagonal bound of the curvature
     step = 1 / max(1.0, float(np.percentile(lengths, 95) if count else 1))
     for k in range(rounds):
         m = (k - 1) / (k + 2) if k else 0.0
         z = np.bincount(owner, (w + m * v)[index], minlength=count) + b + m * vb
         r = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.bincount(index, r[owner], minlength=width) + l2 * (w + m * v)
+        g = np.bincount(index, r[owner], minlength=len(used)) + l2 * (w + m * v)
         new = w + m * v - step * g / scale
         nb = b + m * vb - step * r.sum() / (0.25 * max(1, count))
         v, vb, w, b = new - w, nb - b, new, nb
-    return w, b
+    weights = np.zeros(width)
+    weights[used] = w
+    return weights, b
 
 
 class Scorer:
-    """Sum of hashed feature weights; remembers the weights of words."""
+    """Sum of the weights of the distinct slots of a text; remembers the slots of words."""
 
-    def __init__(self, weights: dict[int, float], bias: float):
-        self.weights, self.bias, self.known = weights, bias, {}
+    def __init__(self, weights: np.ndarray, bias: float):
+        self.weights, self.bias, self.known = weights.tolist(), bias, {}
 
     def probability(self, text: str) -> float:
-        known, get, total = self.known, self.weights.get, self.bias
+        known = self.known
         if len(known) > 400_000:
             known.clear()
-        used: set[int] = set()
+        used = set()
         for f in features(text):
             s = known.get(f)
             if s is None:
-                s = slot(f)
-                s = known[f] = s if s in self.weights else -1
-            if s >= 0 and s not in used:
-                used.add(s)
-                total += get(s)
+                s = known[f] = slot(f)
+            used.add(s)
+        total = self.bias + sum(map(self.weights.__getitem__, sorted(used)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, total))))
 
 
@@ -152,8 +193,19 @@ def _sample_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     for b in batches:
         for at in range(0, b.num_rows, 64):
             part = b.slice(at, 64)
-            rows = [sorted({slot(f) for f in features(t.as_py() or "")}) for t in part.column(1)]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(rows, pa.list_(pa.int32()))], names=["doc_id", "p", "slots"])
+            texts = [t.as_py() or "" for t in part.column(1)]
+            words = [sorted(words_of(t)) if toxic is not None else None for t, toxic in zip(texts, part.column(2).to_pylist())]
+            slots = [sorted({slot(f) for f in features(t)}) for t in texts]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), part.column(2), pa.array(words, pa.list_(pa.string())), pa.array(slots, pa.list_(pa.int32()))], names=["doc_id", "toxic", "words", "slots"]
+            )
+
+
+def _cue_words(sample: DataFrame) -> frozenset[str]:
+    """Words that mark the texts labelled toxic in the bounded sample."""
+    seen = sample.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(F.col("toxic") == BAD).alias("n"), F.count("*").alias("all"))
+    cues = seen.where((F.col("n") >= CUE_DOCS) & (F.col("n") >= CUE_SHARE * F.col("all"))).orderBy(F.desc("n"), "word").limit(CUES)
+    return frozenset(r["word"] for r in cues.collect())
 
 
 def quality_scores(
@@ -161,58 +213,66 @@ def quality_scores(
     labels: DataFrame,
     threshold: float = 0.4,
     sample_rows: int = SAMPLE_ROWS,
-    max_features: int = MAX_FEATURES,
+    rounds: int = 200,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
     """One row per input row: doc_id, p_bad, kept (p_bad < threshold), weak_p (the weak-label posterior).
 
-    Heuristics vote on every whole text; labels(doc_id, quality, toxic) votes bad where quality is 0
-    or toxic is 1. Expectation-maximisation over the counts of all vote patterns (at most 3 to the
-    number of labellers, whatever the corpus) estimates the accuracy of each. The posteriors of at
-    most sample_rows labelled rows, chosen by a hash of the id, train a linear scorer over hashed
-    words, word beginnings and measures, which then scores every whole text.
-
-    A null text is empty and votes like one; null ids have no label; several labels of an id count
-    as bad if any is; repeated rows are scored each; with no labelled row the scorer is fitted on
-    nothing and the weak posterior decides; extra columns are ignored; an empty table gives an
-    empty table.
+    A document is bad if it is junk or abuse. Heuristics vote on every whole text; labels(doc_id,
+    quality, toxic) are two labellers more: quality 0 votes junk, toxic 1 abuse. One heuristic looks
+    for cue words, which the sampled texts with a toxic label tell. Expectation-maximisation over the
+    counts of all vote patterns (at most 3 to the number of labellers, whatever the corpus)
+    estimates the accuracy of each labeller. The posteriors of at most sample_rows rows with labels
+    and half as many without, chosen by a hash of the id, train a linear scorer over hashed words,
+    word beginnings and measures, which then scores every whole text.
+
+    A null text is empty and votes like one; null ids have no label and are not sampled; several
+    labels of an id count as bad if any is; repeated rows are scored each; without any label the
+    heuristics alone train the scorer; where no row has an id all score one half and are rejected;
+    texts of any length are read whole; extra columns are ignored; an empty table gives an empty
+    table.
     """
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    given = labels.where("doc_id is not null and (quality is not null or toxic is not null)").groupBy("doc_id").agg(
-        F.max(F.when((F.coalesce("quality", F.lit(1)) == 0) | (F.coalesce("toxic", F.lit(0)) == 1), BAD).otherwise(GOOD)).alias("gold")
-    )
-    voted = base.mapInArrow(_vote_rows, f"doc_id {kind}, votes int").join(given, "doc_id", "left")
-    k = len(LABELLERS) - 1
-    voted = materialize(voted.select("doc_id", (F.col("votes") + 3**k * F.coalesce("gold", F.lit(NONE))).cast("int").alias("votes")), "quality-votes")
-    seen = voted.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** len(LABELLERS) rows
-    codes = np.array([r["votes"] for r in seen], int)
-    patterns = np.stack([codes // 3**j % 3 for j in range(k + 1)], axis=1)
-    posterior, _ = estimate_accuracies(patterns, np.array([r["count"] for r in seen], float)) if seen else (np.zeros(0), None)
+    vote = lambda column, bad: F.max(F.when(F.col(column) == bad, BAD).when(F.col(column).isNotNull(), GOOD)).alias(column)
+    given = labels.where("doc_id is not null").groupBy("doc_id").agg(vote("quality", 0), vote("toxic", 1))
+    given = given.where("quality is not null or toxic is not null")
+
+    ids = base.select("doc_id").where("doc_id is not null")
+    by_hash = [F.xxhash64("doc_id", F.lit(3)), F.col("doc_id")]
+    labelled = ids.join(given, "doc_id").select("doc_id", "toxic").distinct().orderBy(*by_hash).limit(sample_rows)
+    free = ids.join(given, "doc_id", "left_anti").distinct().orderBy(*by_hash).limit(sample_rows // 2).withColumn("toxic", F.lit(None).cast("int"))
+    chosen = materialize(labelled.union(free), "quality-chosen")
+    # bounded by sample_rows; a repeated id is sampled once
+    sample = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    sample = sample.mapInArrow(_sample_features, f"doc_id {kind}, toxic int, words array<string>, slots array<int>")
+    sample = materialize(sample, "quality-features")
+    cues = spark.sparkContext.broadcast(_cue_words(sample))
+
+    def vote_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            packed = [sum(v * 3**k for k, v in enumerate(votes(t.as_py() or "", cues.value))) for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.int32())], names=["doc_id", "votes"])
+
+    voted = base.mapInArrow(vote_rows, f"doc_id {kind}, votes int").join(given, "doc_id", "left")
+    code = F.col("votes") + 3**QUALITY * F.coalesce("quality", F.lit(NONE)) + 3**TOXIC * F.coalesce("toxic", F.lit(NONE))
+    voted = materialize(voted.select("doc_id", code.cast("int").alias("votes")), "quality-votes")
+    seen = voted.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** 8 rows
+    codes, counts = np.array([r["votes"] for r in seen], int), np.array([r["count"] for r in seen], float)
+    posterior = posteriors(codes, counts, rounds) if seen else np.zeros(0)
     table = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, posterior)], "votes int, weak_p double")
     weak = voted.join(F.broadcast(table), "votes").groupBy("doc_id").agg(F.max("weak_p").alias("weak_p"))
 
-    chosen = weak.join(given, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(3)), "doc_id").limit(sample_rows)
-    chosen = materialize(chosen, "quality-sample")
-    sample = base.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "weak_p")  # bounded by sample_rows
-    sample = sample.mapInArrow(_sample_features, f"doc_id {kind}, p double, slots array<int>")
-    sample = materialize(sample.select(F.monotonically_increasing_id().alias("row"), "p", "slots"), "quality-features")
-    n, share = sample.agg(F.count("*"), F.coalesce(F.avg("p"), F.lit(0.5))).first()
-    spread = math.sqrt(max(share * (1 - share), 1e-9))
-    support = sample.select("p", F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n"), F.sum("p").alias("s")).where("n >= 4")
-    top = support.orderBy(F.desc(F.abs(F.col("s") - F.col("n") * share) / F.sqrt("n") / spread), "slot").limit(max_features).select("slot")
-    slots = np.sort(np.array([r["slot"] for r in top.collect()], int))
-    keep = spark.createDataFrame([(int(x),) for x in slots], "slot int")
-    # bounded by sample_rows and max_features; Arrow columns, not Python rows
-    examples = sample.select("row", "p").orderBy("row").toArrow()
-    pairs = sample.select("row", F.explode("slots").alias("slot")).join(F.broadcast(keep), "slot").toArrow()
-    owner = np.searchsorted(examples["row"].to_numpy(), pairs["row"].to_numpy()).astype(np.int32)
-    index = np.searchsorted(slots, pairs["slot"].to_numpy()).astype(np.int32)
-    del pairs
-    weights, bias = fit_logistic(owner, index, examples["p"].to_numpy(), len(slots))
-    model = spark.sparkContext.broadcast((f"{n}-{bias!r}-{len(slots)}", {int(s): float(w) for s, w in zip(slots, weights)}, float(bias)))
+    rows = sample.select("doc_id", "slots").join(weak, "doc_id").select(F.monotonically_increasing_id().alias("row"), F.col("weak_p").alias("p"), "slots")
+    rows = rows.orderBy("row").toArrow()  # bounded by sample_rows; Arrow columns, not Python rows
+    lists = rows["slots"].combine_chunks()
+    owner = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy()) if len(lists) else np.zeros(0, np.int32)
+    index = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int32)
+    weights, bias = fit_logistic(owner, index, rows["p"].to_numpy(), 1 << BITS)
+    discard(sample, chosen)
+    model = spark.sparkContext.broadcast((f"{len(lists)}-{bias!r}-{weights.sum()!r}", weights.astype(np.float32), float(bias)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)
@@ -221,14 +281,13 @@ def quality_scores(
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p, pa.float64())], names=["doc_id", "p_bad"])
 
     scored = base.mapInArrow(score, f"doc_id {kind}, p_bad double")
-    p = F.col("p_bad") if n else F.coalesce("weak_p", F.lit(0.0))
     return (
         scored.join(weak.withColumnRenamed("doc_id", "weak_id"), F.col("doc_id").eqNullSafe(F.col("weak_id")), "left")
-        .select("doc_id", p.alias("p_bad"), (p < threshold).alias("kept"), "weak_p")
+        .select("doc_id", "p_bad", (F.col("p_bad") < threshold).alias("kept"), "weak_p")
     )
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs, all its columns, without the rows that the classifier rejects."""
+    """docs, all its columns, without the rows that the classifier rejects. Of an id that occurs twice both go if one does; rows with a null id stay."""
     bad = quality_scores(docs, labels, id_col=id_col, text_col=text_col, **options).where("not kept").select(F.col("doc_id").alias(id_col)).distinct()
-    return docs.join(bad, id_col, "left_anti")
+    return docs.join(bad, id_col, "left_anti").select(*docs.columns)
