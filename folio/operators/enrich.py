@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -109,8 +110,9 @@ def combine_regions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
 
 
 def language_profile(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(gram, lang, n, total, v): counts of character trigrams by language, of each language, and the number of different ones."""
+    """(gram, lang, n, total, v): counts of character trigrams by language, of each language, and the number of different ones. Kept as a table."""
     counts = docs.select(F.col(lang).alias("lang"), F.explode(_char_grams(F.col(text))).alias("gram")).groupBy("gram", "lang").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "language-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     v = counts.agg(F.countDistinct("gram").alias("v"))
     return counts.join(F.broadcast(totals), "lang").withColumn("v", F.lit(v.first()["v"]))
@@ -124,19 +126,28 @@ def _char_grams(text: Column) -> Column:
     )))
 
 
-def language_detect(docs: DataFrame, profile: DataFrame, id_col: str, text: str) -> DataFrame:
+def language_detect(docs: DataFrame, profile: DataFrame, id_col: str, text: str, broadcast_rows: int = 1_000_000) -> DataFrame:
     """(id, language, score) by naive Bayes with add-one smoothing: best mean log probability of the trigrams.
 
-    A gram unseen in a language costs log(1 / (total + v)); this base is added per gram, so the join
-    meets only the (gram, language) pairs of the profile.
+    A gram unseen in a language costs log(1 / (total + v)); this base is added per gram. The profile
+    becomes one row per gram with a gain per language. While it has at most broadcast_rows rows it
+    goes to every task, so that only sums per document are shuffled; beyond that it is joined.
     """
-    grams = docs.select(F.col(id_col).alias("id"), F.explode(_char_grams(F.col(text))).alias("gram")).groupBy("id", "gram").agg(F.count("*").alias("k"))
-    langs = F.broadcast(profile.select("lang", "total", "v").distinct())
-    gain = grams.join(profile.select("gram", "lang", "n"), "gram").groupBy("id", "lang").agg(F.sum(F.col("k") * F.log(F.col("n") + 1)).alias("gain"))
-    sizes = grams.groupBy("id").agg(F.sum("k").alias("m"))
-    scored = gain.join(langs, "lang").join(sizes, "id").withColumn("score", F.col("gain") / F.col("m") - F.log(F.col("total") + F.col("v")))
-    best = scored.groupBy("id").agg(F.max_by(F.struct("lang", "score"), F.struct(F.round("score", 9), "lang")).alias("b"))
-    return best.select(F.col("id").alias(id_col), F.col("b.lang").alias("language"), F.col("b.score").alias("score"))
+    sizes = profile.select("lang", "total", "v").distinct().orderBy("lang").collect()  # one row per language
+    gain = lambda r: F.coalesce(F.max(F.when(F.col("lang").eqNullSafe(F.lit(r["lang"])), F.log(F.col("n") + 1))), F.lit(0.0))
+    wide = profile.groupBy("gram").agg(*[gain(r).alias(f"g{i}") for i, r in enumerate(sizes)], F.lit(0.0).alias("g"))
+    wide = materialize(wide, "language-gains")
+    grams = docs.select(F.col(id_col).alias("id"), F.explode(_char_grams(F.col(text))).alias("gram"))
+    few = wide.count() <= broadcast_rows
+    grams = grams if few else grams.groupBy("id", "gram").agg(F.count("*").alias("k"))
+    k = F.lit(1) if few else F.col("k")
+    met = grams.join(F.broadcast(wide) if few else wide, "gram", "left")
+    sums = met.groupBy("id").agg(F.sum(k).alias("m"), *[F.sum(k * F.coalesce(F.col(f"g{i}"), F.lit(0.0))).alias(f"g{i}") for i in range(len(sizes))])
+    score = lambda i, r: F.col(f"g{i}") / F.col("m") - math.log(r["total"] + r["v"])
+    # a language none of whose grams occur is not scored
+    found = F.array(*[F.when(F.col(f"g{i}") > 0, F.struct(F.round(score(i, r), 9).alias("k"), F.lit(r["lang"]).alias("lang"), score(i, r).alias("score"))) for i, r in enumerate(sizes)])
+    best = sums.select("id", F.array_max(found).alias("b")) if sizes else sums.select("id", F.lit(None).cast("struct<k:double,lang:string,score:double>").alias("b"))
+    return best.where("b is not null").select(F.col("id").alias(id_col), F.col("b.lang").alias("language"), F.col("b.score").alias("score"))
 
 
 def page_language_check(rows: DataFrame, page: str, detected: DataFrame, target: Column, least: int = 10) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections import deque
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 # Codes of a status frame.
 RESULT, PROGRESS, ERROR, QUEUE, DISPATCHED, PAGE = 0, 1, 2, 3, 4, 5
@@ -53,16 +58,18 @@ def poll_since(frames: DataFrame, since: DataFrame) -> DataFrame:
 
 
 def first_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The first row of each key: pages delivered exactly once, jobs recorded once."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(order))
-    return rows.withColumn("_n", n).where("_n = 1").drop("_n")
+    """The first row of each key: pages delivered exactly once, jobs recorded once. A minimum, so it is combined before the shuffle."""
+    others = [c for c in rows.columns if c not in keys]
+    first = rows.groupBy(*keys).agg(F.min_by(F.struct(*others), F.struct(order, *[c for c in others if c != order])).alias("_first"))
+    return first.select(*[c if c in keys else F.col("_first")[c].alias(c) for c in rows.columns])
 
 
-def abandoned(polls: DataFrame, grace_s: int) -> DataFrame:
-    """polls(token, ts): for each token the first moment it went unpolled for longer than the grace, if any did before its last poll."""
+def abandoned(polls: DataFrame, grace_s: int, now: Column | None = None) -> DataFrame:
+    """polls(token, ts): for each token the first poll after which none came for longer than the grace; after its last poll, until now (if given)."""
     gap = F.lead("ts").over(Window.partitionBy("token").orderBy("ts"))
     seconds = F.unix_micros("next") - F.unix_micros("ts")
-    return polls.withColumn("next", gap).where(seconds > grace_s * 1_000_000).groupBy("token").agg(F.min("ts").alias("last_poll"))
+    following = gap if now is None else F.coalesce(gap, now)
+    return polls.withColumn("next", following).where(seconds > grace_s * 1_000_000).groupBy("token").agg(F.min("ts").alias("last_poll"))
 
 
 def retention(jobs: DataFrame, now: Column, keep_s: int) -> DataFrame:
@@ -96,12 +103,21 @@ def stall_counter(returns: DataFrame, key: str, order: str, progress: str) -> Da
     return islands.withColumn("stalls", F.sum((F.col(progress) <= 0).cast("int")).over(inside)).drop("_g")
 
 
-def concurrency_profile(jobs: DataFrame, owner: str, start: str, end: str) -> DataFrame:
-    """(owner, ts, live, live_all): live jobs after each moment at which some start or end; overall by owner-day prefix sums."""
+def concurrency_profile(jobs: DataFrame, owner: str, start: str, end: str, block: int = 3_600_000_000) -> DataFrame:
+    """(owner, ts, live, live_all): live jobs of an owner, and of all, after each moment (long) at which one of the owner's starts or ends.
+
+    The overall sum runs within blocks of time, which are offset by the sum of the blocks before.
+    """
     ups = jobs.select(F.col(owner).alias("owner"), F.col(start).alias("ts"), F.lit(1).alias("d"))
     downs = jobs.select(F.col(owner).alias("owner"), F.col(end).alias("ts"), F.lit(-1).alias("d"))
     moves = ups.union(downs).groupBy("owner", "ts").agg(F.sum("d").alias("d"))
-    return moves.select("owner", "ts", F.sum("d").over(Window.partitionBy("owner").orderBy("ts")).alias("live"))
+    live = moves.select("owner", "ts", F.sum("d").over(Window.partitionBy("owner").orderBy("ts")).alias("live"))
+    every = moves.groupBy("ts").agg(F.sum("d").alias("d")).withColumn("block", F.floor(F.col("ts") / block))
+    blocks = every.groupBy("block").agg(F.sum("d").alias("d"))  # one row per block of time
+    offsets = blocks.select("block", (F.sum("d").over(Window.orderBy("block")) - F.col("d")).alias("offset"))
+    inside = F.sum("d").over(Window.partitionBy("block").orderBy("ts"))
+    overall = every.withColumn("inside", inside).join(offsets, "block").select("ts", (F.col("inside") + F.col("offset")).alias("live_all"))
+    return live.join(overall, "ts").select("owner", "ts", "live", "live_all")
 
 
 def spacing_schedule(calls: DataFrame, key: str, at: str, order: str, gap: float) -> DataFrame:
@@ -112,51 +128,79 @@ def spacing_schedule(calls: DataFrame, key: str, at: str, order: str, gap: float
     return shifted.withColumn("start", F.col("_i") * gap + F.max("_s").over(w)).drop("_i", "_s")
 
 
+def _folded(rows: DataFrame, key: str, at: str, order: str, extra: str, fold: Callable[[], Fold]) -> DataFrame:
+    """Each key's rows in order (at, order) through a fold of its own, streamed: only what the fold remembers is held, never a key."""
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state, out, first = None, None, [], True
+        for b in batches:
+            for row in b.to_pylist():
+                if first or row[key] != current:
+                    out += [] if first else state.close()
+                    current, state, first = row[key], fold(), False
+                out += state.step(row)
+            yield pa.RecordBatch.from_pylist(out, schema=target)
+            out = []
+        if not first:
+            yield pa.RecordBatch.from_pylist(state.close(), schema=target)
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + extra
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    return rows.select(*names).repartition(key).sortWithinPartitions(key, at, order).mapInArrow(run, schema)
+
+
+class Fold:
+    """step(row) and close() give the rows that go out."""
+
+    def step(self, row: dict) -> list[dict]:
+        raise NotImplementedError
+
+    def close(self) -> list[dict]:
+        return []
+
+
 def admission(requests: DataFrame, key: str, at: str, order: str, hourly: int, window_s: int) -> DataFrame:
     """Per key in time order: admitted unless `hourly` admitted starts lie in the window before; only admitted starts count.
 
-    The decisions of one key depend on one another, so each key is folded on its own in an Arrow batch.
+    The decisions of one key depend on one another; a fold remembers its last `hourly` starts.
     """
 
-    def decide(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        held: list[float] = []
-        out = []
-        for t in pdf[at]:
-            held = [x for x in held if x > t - window_s]
-            out.append(len(held) < hourly)
-            if out[-1]:
-                held.append(t)
-        return pdf.assign(admitted=out)
+    class Hour(Fold):
+        def __init__(self):
+            self.held = deque(maxlen=hourly)
+
+        def step(self, row: dict) -> list[dict]:
+            admitted = len(self.held) < hourly or self.held[0] <= row[at] - window_s
+            if admitted:
+                self.held.append(row[at])
+            return [row | {"admitted": admitted}]
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in requests.schema.fields) + ", admitted boolean"
-    return requests.groupBy(key).applyInPandas(decide, schema)
+    return _folded(requests, key, at, order, "admitted boolean", Hour)
 
 
 def throttle_latest(events: DataFrame, key: str, at: str, order: str, rate: float) -> DataFrame:
-    """At most one event per `rate` seconds: the last of those that come meanwhile goes out when the time is over."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([at, order], kind="stable")
-        sent, times, open_at, pending = [], [], -1e18, None
-        for n, t in enumerate(pdf[at]):
-            if pending is not None and t >= open_at:
-                sent.append(pending)
-                times.append(open_at)
-                open_at, pending = open_at + rate, None
-            if t >= open_at:
-                sent.append(n)
-                times.append(t)
-                open_at = t + rate
-            else:
-                pending = n
-        if pending is not None:
-            sent.append(pending)
-            times.append(open_at)
-        return pdf.iloc[sent].assign(sent_at=times)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + ", sent_at double"
-    return events.groupBy(key).applyInPandas(fold, schema)
+    """At most one event per `rate` seconds: the last of those that come meanwhile goes out when the time is over. Adds sent_at."""
+
+    class Throttle(Fold):
+        def __init__(self):
+            self.open_at, self.pending = -1e18, None
+
+        def close(self) -> list[dict]:
+            return [] if self.pending is None else [self.pending | {"sent_at": self.open_at}]
+
+        def step(self, row: dict) -> list[dict]:
+            out = []
+            if self.pending is not None and row[at] >= self.open_at:
+                out, self.pending = self.close(), None
+                self.open_at += rate
+            if row[at] >= self.open_at:
+                self.open_at = row[at] + rate
+                return [*out, row | {"sent_at": row[at]}]
+            self.pending = row
+            return out
+
+    return _folded(events, key, at, order, "sent_at double", Throttle)
 
 
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,11 +19,20 @@ def shifted(boxes: DataFrame, dx: int, dy: int) -> DataFrame:
 
 
 def component_assign(blobs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Each blob to the line with the largest common share of the smaller area, over 1 %."""
+    """Each blob to the line with the largest common share of the smaller area, over 1 %; else to the line whose centre is nearest,
+    if the boxes are no further apart than half of the line's font, width or the blob's height, 10 at least: max(min(font, w, h), 10) / 2."""
     share = X.overlap("b", "l") / F.least(X.area("b"), X.area("l"))
     joined = blobs.alias("b").join(lines.alias("l"), "page_id").where((X.area("b") > 9) & (X.area("b") < X.area("l")))
-    best = joined.groupBy("page_id", "b.blob_id").agg(F.max_by(F.struct("l.line_id", share.alias("share")), F.struct(share, -F.col("l.line_id"))).alias("m"))
-    return best.where("m.share > 0.01").select("page_id", "blob_id", "m.line_id")
+    font = F.least(X.b("l", "x2") - X.b("l", "x1"), X.b("l", "y2") - X.b("l", "y1"))
+    reach = 0.5 * F.greatest(F.least(font, X.b("b", "x2") - X.b("b", "x1"), X.b("b", "y2") - X.b("b", "y1")), F.lit(10))
+    across, down = (X.b("b", f"{c}1") + X.b("b", f"{c}2") - X.b("l", f"{c}1") - X.b("l", f"{c}2") for c in "xy")
+    centres = across.cast("long") * across + down.cast("long") * down
+    best = joined.groupBy("page_id", "b.blob_id").agg(
+        F.max_by(F.struct("l.line_id", share.alias("share")), F.struct(share, -F.col("l.line_id"))).alias("m"),
+        F.min_by(F.struct("l.line_id", (X.rect_distance("b", "l") <= reach).alias("near")), F.struct(centres, F.col("l.line_id"))).alias("c"),
+    )
+    owner = F.when(F.col("m.share") > 0.01, F.col("m.line_id")).when(F.col("c.near"), F.col("c.line_id"))
+    return best.select("page_id", "blob_id", owner.alias("line_id")).where("line_id is not null")
 
 
 def iou_pairs(truth: DataFrame, found: DataFrame, least: float = 0.5, cell: int = 256) -> DataFrame:
@@ -60,13 +71,14 @@ def region_aggregate(lines: DataFrame) -> DataFrame:
     )
 
 
-def direction_vote(lines: DataFrame) -> DataFrame:
-    """Majority of the directions of a region's lines; ties go by characters, then by the strongest shape."""
-    f = X.features(lines).withColumn("d", F.when((F.col("line_id") * 7) % 3 > 0, "v").otherwise("h"))
+def direction_vote(lines: DataFrame, direction: str = "direction") -> DataFrame:
+    """Majority of the directions of a region's lines (a column of v and h); ties go by characters, then by the strongest shape."""
+    f = X.features(lines.withColumn("_vote", F.col(direction)))
+    d = F.col("_vote")
     chars, shape = F.length(F.replace("text", F.lit(" "), F.lit(""))), F.greatest("aspect", 1 / F.col("aspect"))
-    v, h = F.count_if(F.col("d") == "v"), F.count_if(F.col("d") == "h")
-    vc, hc = (F.coalesce(F.sum(F.when(F.col("d") == x, chars)), F.lit(0)) for x in "vh")
-    strongest = F.max_by("d", F.struct(shape, -F.col("line_id")))
+    v, h = F.count_if(d == "v"), F.count_if(d == "h")
+    vc, hc = (F.coalesce(F.sum(F.when(d == x, chars)), F.lit(0)) for x in "vh")
+    strongest = F.max_by(d, F.struct(shape, -F.col("line_id")))
     vote = F.when(v > h, "v").when(h > v, "h").when(vc > hc, "v").when(hc > vc, "h").otherwise(strongest)
     return f.groupBy("page_id", "region_id").agg(vote.alias("direction"))
 
@@ -143,45 +155,50 @@ def _spanning_tree(ids: list[int], gap) -> list[tuple[float, int, int]]:
     return sorted(links, key=lambda x: (-x[0], x[1], x[2]))
 
 
+def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        page, line, part = [], [], []
+        for p, rows in zip(batch.column("page_id").to_pylist(), batch.column("rows").to_pylist()):
+            at = {r["line_id"]: (r["x1"], r["y1"], r["x2"], r["y2"], min(r["x2"] - r["x1"], r["y2"] - r["y1"])) for r in rows}
+            for g in _split(list(at), at):
+                page += [p] * len(g)
+                line += g
+                part += [min(g)] * len(g)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (page, line, part)], names=["page_id", "line_id", "split_id"])
+
+
 def component_split(lines: DataFrame) -> DataFrame:
     """(page_id, line_id, split_id): components cut where a link stands out; split_id is the least line of the part.
 
-    A component is a handful of lines of one page; each is split on its own in an Arrow group.
+    A component is a handful of lines of one page, so it is one array; Arrow batches bring many of them to a worker at once.
     """
-
-    def split(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values("line_id")
-        at = {int(i): (x1, y1, x2, y2, min(x2 - x1, y2 - y1)) for i, x1, y1, x2, y2 in p[["line_id", *X.EDGES]].itertuples(index=False)}
-        part = {i: min(g) for g in _split(list(at), at) for i in g}
-        return pd.DataFrame({"page_id": p["page_id"], "line_id": p["line_id"], "split_id": [part[i] for i in p["line_id"]]})
-
-    single = F.count("*").over(Window.partitionBy("page_id", "region_id")) == 1
-    marked = lines.select("page_id", "region_id", "line_id", *X.EDGES).withColumn("single", single)
-    alone = marked.where("single").select("page_id", "line_id", F.col("line_id").alias("split_id"))
-    return alone.union(marked.where("not single").groupBy("page_id", "region_id").applyInPandas(split, "page_id bigint, line_id bigint, split_id bigint"))
+    grouped = lines.groupBy("page_id", "region_id").agg(F.sort_array(F.collect_list(F.struct("line_id", *X.EDGES))).alias("rows"))
+    alone = grouped.where(F.size("rows") == 1).select("page_id", F.col("rows")[0]["line_id"].alias("line_id"), F.col("rows")[0]["line_id"].alias("split_id"))
+    more = grouped.where(F.size("rows") > 1).select("page_id", "rows")
+    return alone.union(more.mapInArrow(_split_rows, "page_id bigint, line_id bigint, split_id bigint"))
 
 
 def simple_order(boxes: DataFrame, right_to_left: bool = True) -> DataFrame:
-    """Insertion order: a box goes before the first placed one that lies below it, or beside it further on in reading direction.
+    """(page_id, line_id, ord): boxes by the height of their centres, each put before the first one placed that it precedes.
 
-    The relation is not transitive, so the order of arrival matters and a page is placed as one group.
+    It precedes a box whose lower edge it is not below, if its centre is above that box or, at its height,
+    further on against the reading direction. The relation is not transitive, so a page is folded as one array.
     """
+    cx, cy = ((F.col(f"{c}1") + F.col(f"{c}2")) / 2 for c in "xy")
+    rows = boxes.select("page_id", F.struct(cy.alias("cy"), "line_id", cx.alias("cx"), "y1", "y2").alias("box"))
+    pages = rows.groupBy("page_id").agg(F.sort_array(F.collect_list("box")).alias("boxes"))
+    kind = "array<struct<cy:double,line_id:bigint,cx:double,y1:int,y2:int>>"
+
+    def place(placed: Column, box: Column) -> Column:
+        def precedes(other: Column) -> Column:
+            beside = box["cx"] > other["cx"] if right_to_left else box["cx"] < other["cx"]
+            return (box["cy"] <= other["y2"]) & ((box["cy"] < other["y1"]) | beside)
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        placed: list[tuple] = []
-        for i, x1, y1, x2, y2 in pdf.sort_values("line_id")[["line_id", *X.EDGES]].itertuples(index=False):
-            cx, cy = (x1 + x2) / 2, (y1 + y2) / 2
-            for k, (_, ox, a, c) in enumerate(placed):
-                if cy > c:
-                    continue
-                if cy < a or (cx > ox if right_to_left else cx < ox):
-                    placed.insert(k, (i, cx, y1, y2))
-                    break
-            else:
-                placed.append((i, cx, y1, y2))
-        return pd.DataFrame({"page_id": pdf["page_id"].iloc[0], "line_id": [p[0] for p in placed], "ord": range(1, len(placed) + 1)})
+        at = F.array_position(F.transform(placed, precedes), True).cast("int")
+        return F.when(at > 0, F.array_insert(placed, at, box)).otherwise(F.array_append(placed, box))
 
-    return boxes.select("page_id", "line_id", *X.EDGES).groupBy("page_id").applyInPandas(place, "page_id bigint, line_id bigint, ord int")
+    ordered = pages.select("page_id", F.aggregate("boxes", F.array().cast(kind), lambda acc, box: place(acc, box)).alias("placed"))
+    return ordered.select("page_id", F.posexplode("placed").alias("at", "box")).select("page_id", "box.line_id", (F.col("at") + 1).alias("ord"))
 
 
 def saturate(r: Column, g: Column, b: Column, by: float = 1.47) -> tuple[Column, Column, Column]:
@@ -190,7 +207,7 @@ def saturate(r: Column, g: Column, b: Column, by: float = 1.47) -> tuple[Column,
 
 
 def outline_resolve(fill: list[Column], outline: list[Column]) -> Column:
-    """Outline struct(r, g, b): near white and near black snap; so does a blend of the fill with white or black."""
+    """Outline struct(r, g, b): near white and near black snap; so does a blend of the fill with white or black that is 20 further from the fill than it."""
     hi, lo = F.greatest(*outline), F.least(*outline)
     white = (lo >= 225) & (hi - lo <= 32)
     black = (hi <= 30) & (hi - lo <= 20)
@@ -198,9 +215,10 @@ def outline_resolve(fill: list[Column], outline: list[Column]) -> Column:
     def blend(end: int) -> Column:
         span = [F.lit(end) - f for f in fill]
         length = sum((s * s for s in span), F.lit(0))
-        along = sum(((o - f) * s for o, f, s in zip(outline, fill, span)), F.lit(0)) / F.when(length > 0, length)
-        residual = F.sqrt(sum((F.pow(f + along * s - o, F.lit(2)) for f, s, o in zip(fill, span, outline)), F.lit(0.0)))
-        return (along > 0.10) & (along < 0.90) & (residual <= 18)
+        along = sum(((o - f) * s for o, f, s in zip(outline, fill, span)), F.lit(0)) / F.when(length >= 1, length)
+        residual = F.greatest(*[F.abs(o - (f + along * s)) for f, s, o in zip(fill, span, outline)])
+        further = F.greatest(*map(F.abs, span)) >= F.greatest(*[F.abs(o - f) for f, o in zip(fill, outline)]) + 20
+        return F.coalesce((along > 0.10) & (along < 0.90) & (residual <= 18) & further, F.lit(False))
 
     to = lambda v: F.struct(F.lit(v).alias("r"), F.lit(v).alias("g"), F.lit(v).alias("b"))
     kept = F.struct(outline[0].cast("int").alias("r"), outline[1].cast("int").alias("g"), outline[2].cast("int").alias("b"))
@@ -208,13 +226,16 @@ def outline_resolve(fill: list[Column], outline: list[Column]) -> Column:
 
 
 def color_clusters(lines: DataFrame, near: int) -> DataFrame:
-    """(page_id, line_id, cluster, representative): transitive groups of close colours of a page and their most chromatic line."""
+    """(page_id, line_id, cluster, representative): transitive groups of close colours of a page and their most chromatic line; of groups without a chroma of 30 the darkest, or the brightest if the mean luma is 128 or more."""
     far = F.greatest(*[F.abs(X.b("a", c) - X.b("c", c)) for c in ("fg_r", "fg_g", "fg_b")])
     same = (F.col("a.page_id") == F.col("c.page_id")) & (F.col("a.line_id") < F.col("c.line_id"))
     edges = lines.alias("a").join(lines.alias("c"), same & (far <= near)).select(F.col("a.line_id").alias("u"), F.col("c.line_id").alias("v"))
     rows = X.components(lines, edges).withColumnRenamed("component", "cluster").join(lines.select("line_id", "fg_r", "fg_g", "fg_b"), "line_id")
     chroma = F.greatest("fg_r", "fg_g", "fg_b") - F.least("fg_r", "fg_g", "fg_b")
-    best = rows.groupBy("cluster").agg(F.max_by("line_id", F.struct(chroma, -F.col("line_id"))).alias("representative"))
+    luma = F.lit(0.299) * F.col("fg_r") + F.lit(0.587) * F.col("fg_g") + F.lit(0.114) * F.col("fg_b")
+    pick = lambda key: F.max_by("line_id", F.struct(key, -F.col("line_id")))
+    grey = F.when(F.avg(luma) < 128, pick(-luma)).otherwise(pick(luma))
+    best = rows.groupBy("cluster").agg(F.when(F.max(chroma) >= 30, pick(chroma)).otherwise(grey).alias("representative"))
     return rows.join(best, "cluster").select("page_id", "line_id", "cluster", "representative")
 
 

@@ -144,11 +144,13 @@ def rect_distance(spark, sf_dir):
          CASE WHEN l.x1 + l.x2 BETWEEN 2 * p.x1 AND 2 * p.x2 AND l.y1 + l.y2 BETWEEN 2 * p.y1 AND 2 * p.y2 THEN 0 ELSE 1 END,
          CASE WHEN l.x1 + l.x2 BETWEEN 2 * p.x1 AND 2 * p.x2 AND l.y1 + l.y2 BETWEEN 2 * p.y1 AND 2 * p.y2 THEN 0
               ELSE CAST(greatest(0, 2 * p.x1 - l.x1 - l.x2, l.x1 + l.x2 - 2 * p.x2) AS BIGINT) ** 2 + CAST(greatest(0, 2 * p.y1 - l.y1 - l.y2, l.y1 + l.y2 - 2 * p.y2) AS BIGINT) ** 2 END, p.panel_id) AS n
-       FROM lines_fx l JOIN panels_fx p ON l.page_id = p.page_id WHERE p.panel_id % 3 <> 1) q WHERE n = 1""",
+       FROM lines_fx l JOIN (SELECT page_id, panel_id, x1 + 60 * CAST(panel_id % 3 AS INT) AS x1, y1, x2 + 60 * CAST(panel_id % 3 AS INT) AS x2, y2 FROM panels_fx) p ON l.page_id = p.page_id) q WHERE n = 1""",
     "lines_fx", "panels_fx",
 )
 def panel_assign(spark, sf_dir):
-    return X.panel_assign(_lines(spark, sf_dir), _panels(spark, sf_dir).where("panel_id % 3 <> 1"))
+    """Panels moved aside by up to 120, so that lines lie within one, in part or beside."""
+    aside = 60 * (F.col("panel_id") % 3).cast("int")
+    return X.panel_assign(_lines(spark, sf_dir), _panels(spark, sf_dir).withColumns({"x1": F.col("x1") + aside, "x2": F.col("x2") + aside}))
 
 
 @_add(
@@ -166,27 +168,35 @@ def nearest_owner(spark, sf_dir):
 
 @_add(
     "component_assign",
-    f"""WITH b AS (SELECT page_id, line_id AS blob_id, x1 + 15 AS x1, y1 + 20 AS y1, x1 + 35 AS x2, y1 + 60 AS y2 FROM lines_fx)
-    SELECT page_id, blob_id, line_id FROM (SELECT b.page_id, b.blob_id, l.line_id, row_number() OVER (PARTITION BY b.blob_id ORDER BY {_common('b', 'l')} * 1.0 / least({_area('b')}, {_area('l')}) DESC, l.line_id) AS n,
-       {_common('b', 'l')} * 1.0 / least({_area('b')}, {_area('l')}) AS share FROM b JOIN lines_fx l ON b.page_id = l.page_id WHERE {_area('b')} > 9 AND {_area('b')} < {_area('l')}) q WHERE n = 1 AND share > 0.01""",
+    f"""WITH b AS (SELECT page_id, line_id AS blob_id, x1 + 15 + d AS x1, y1 + 20 AS y1, x1 + 35 + d AS x2, y1 + 60 AS y2 FROM (SELECT *, CASE line_id % 4 WHEN 1 THEN 18 WHEN 2 THEN -40 ELSE 0 END AS d FROM lines_fx) z),
+    j AS (SELECT b.page_id, b.blob_id, l.line_id, {_common('b', 'l')} * 1.0 / least({_area('b')}, {_area('l')}) AS share, {_dist('b', 'l')} AS apart,
+            0.5 * greatest(least(l.x2 - l.x1, l.y2 - l.y1, b.x2 - b.x1, b.y2 - b.y1), 10) AS reach,
+            CAST(b.x1 + b.x2 - l.x1 - l.x2 AS BIGINT) ** 2 + CAST(b.y1 + b.y2 - l.y1 - l.y2 AS BIGINT) ** 2 AS centres
+          FROM b JOIN lines_fx l ON b.page_id = l.page_id WHERE {_area('b')} > 9 AND {_area('b')} < {_area('l')}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY blob_id ORDER BY share DESC, line_id) AS n, row_number() OVER (PARTITION BY blob_id ORDER BY centres, line_id) AS c FROM j),
+    o AS (SELECT page_id, blob_id, max(CASE WHEN n = 1 AND share > 0.01 THEN line_id END) AS a, max(CASE WHEN c = 1 AND apart <= reach THEN line_id END) AS z FROM r GROUP BY page_id, blob_id)
+    SELECT page_id, blob_id, coalesce(a, z) AS line_id FROM o WHERE coalesce(a, z) IS NOT NULL""",
 )
 def component_assign(spark, sf_dir):
-    """Each blob to the line it shares most with, by the smaller area; blobs as large as a line are dropped for it."""
-    lines = _lines(spark, sf_dir)
-    blobs = lines.select("page_id", F.col("line_id").alias("blob_id"), (F.col("x1") + 15).alias("x1"), (F.col("y1") + 20).alias("y1"), (F.col("x1") + 35).alias("x2"), (F.col("y1") + 60).alias("y2"))
-    return R.component_assign(blobs, lines)
+    """Each blob to the line it shares most with, else to a near one; blobs as large as a line are dropped for it."""
+    lines = _lines(spark, sf_dir).withColumn("d", F.when(F.col("line_id") % 4 == 1, 18).when(F.col("line_id") % 4 == 2, -40).otherwise(0))
+    edges = [(F.col("x1") + 15 + F.col("d")).alias("x1"), (F.col("y1") + 20).alias("y1"), (F.col("x1") + 35 + F.col("d")).alias("x2"), (F.col("y1") + 60).alias("y2")]
+    return R.component_assign(lines.select("page_id", F.col("line_id").alias("blob_id"), *edges), lines.drop("d"))
 
 
 @_add(
     "exclusive_cover",
-    f"""WITH s AS (SELECT l.page_id, l.line_id, p.panel_id, {_common('l', 'p')} * 1.0 / {_area('l')} AS share FROM lines_fx l JOIN panels_fx p ON l.page_id = p.page_id WHERE l.line_id % 3 = 0),
+    f"""WITH b AS (SELECT page_id, line_id, x1 + CASE line_id % 3 WHEN 1 THEN 5000 WHEN 2 THEN 40 ELSE 0 END AS x1, y1, x2 + CASE line_id % 3 WHEN 1 THEN 5000 WHEN 2 THEN 40 ELSE 0 END AS x2, y2 FROM lines_fx),
+    s AS (SELECT l.page_id, l.line_id, p.panel_id, {_common('l', 'p')} * 1.0 / {_area('l')} AS share FROM b l JOIN panels_fx p ON l.page_id = p.page_id),
     m AS (SELECT *, row_number() OVER (PARTITION BY line_id ORDER BY share DESC, panel_id) AS n FROM s),
     c AS (SELECT page_id, line_id, CASE WHEN share >= 0.5 THEN panel_id END AS panel_id FROM m WHERE n = 1)
     SELECT page_id, line_id, CASE WHEN count(panel_id) OVER (PARTITION BY page_id, panel_id) = 1 THEN panel_id END AS panel_id FROM c""",
     "lines_fx", "panels_fx",
 )
 def exclusive_cover(spark, sf_dir):
-    return X.exclusive_cover(_lines(spark, sf_dir).where("line_id % 3 = 0"), _panels(spark, sf_dir))
+    """Lines of which some lie far from all panels and some half beside one."""
+    aside = F.when(F.col("line_id") % 3 == 1, 5000).when(F.col("line_id") % 3 == 2, 40).otherwise(0)
+    return X.exclusive_cover(_lines(spark, sf_dir).withColumns({"x1": F.col("x1") + aside, "x2": F.col("x2") + aside}), _panels(spark, sf_dir))
 
 
 @_add(
@@ -269,11 +279,22 @@ def reading_order(spark, sf_dir):
     return X.reading_order(_lines(spark, sf_dir))
 
 
+_SIMPLE = """WITH RECURSIVE p AS (SELECT page_id, list({'cy': cy, 'id': line_id, 'cx': cx, 'a': y1, 'b': y2} ORDER BY cy, line_id) AS boxes
+      FROM (SELECT *, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM lines_fx) q GROUP BY page_id),
+    r AS (SELECT page_id, boxes, 1 AS i, boxes[1:1] AS placed FROM p
+          UNION ALL SELECT page_id, boxes, i + 1, CASE WHEN pos IS NULL THEN placed || [boxes[i + 1]] ELSE placed[1:pos - 1] || [boxes[i + 1]] || placed[pos:] END
+          FROM (SELECT *, nullif(list_position([boxes[i + 1].cy <= o.b AND (boxes[i + 1].cy < o.a OR boxes[i + 1].cx > o.cx) FOR o IN placed], true), 0) AS pos FROM r WHERE i < len(boxes)) s)
+    SELECT page_id, placed[k].id AS line_id, k AS ord FROM (SELECT page_id, placed, CAST(unnest(range(1, len(placed) + 1)) AS INT) AS k FROM r WHERE i = len(boxes)) t"""
+
+
 @_add("simple_order", None)
 def simple_order(spark, sf_dir):
     return R.simple_order(_lines(spark, sf_dir))
 
 
+QUERIES["simple_order"] = (simple_order, sql_with("lines_fx", _SIMPLE).replace("WITH lines_fx", "WITH RECURSIVE lines_fx").replace(", RECURSIVE p AS", ", p AS"))
+
+
 @_add(
     "panel_order",
     """WITH RECURSIVE t AS (SELECT *, greatest(10.0, 0.3 * avg(y2 - y1) OVER (PARTITION BY page_id)) AS tol FROM panels_fx),
@@ -341,7 +362,8 @@ QUERIES["region_aggregate"] = (
 
 @_add("direction_vote", None)
 def direction_vote(spark, sf_dir):
-    return R.direction_vote(_regions(spark, sf_dir))
+    """Directions made up from the line number."""
+    return R.direction_vote(_regions(spark, sf_dir).withColumn("direction", F.when((F.col("line_id") * 7) % 3 > 0, "v").otherwise("h")))
 
 
 QUERIES["direction_vote"] = (
@@ -381,7 +403,21 @@ def color_saturate(spark, sf_dir):
     return _lines(spark, sf_dir).select("line_id", r.alias("r"), g.alias("gr"), b.alias("b"))
 
 
-@_add("outline_resolve", None)
+def _blend(end: int) -> str:
+    """Whether (a, b, c) is a blend of the fill (f, g, h) with an end."""
+    along = f"((a - f) * ({end} - f) + (b - g) * ({end} - g) + (c - h) * ({end} - h)) * 1.0 / nullif(({end} - f) ** 2 + ({end} - g) ** 2 + ({end} - h) ** 2, 0)"
+    off = ", ".join(f"abs({o} - ({i} + {along} * ({end} - {i})))" for o, i in zip("abc", "fgh"))
+    far = f"greatest(abs({end} - f), abs({end} - g), abs({end} - h)) >= greatest(abs(a - f), abs(b - g), abs(c - h)) + 20"
+    return f"({along} > 0.10 AND {along} < 0.90 AND greatest({off}) <= 18 AND {far})"
+
+
+@_add(
+    "outline_resolve",
+    f"""WITH o AS (SELECT line_id, CAST(fg_r AS DOUBLE) AS f, CAST(fg_g AS DOUBLE) AS g, CAST(fg_b AS DOUBLE) AS h, CAST(fg_b AS DOUBLE) AS a, CAST(255 - fg_r AS DOUBLE) AS b, CAST(fg_g AS DOUBLE) AS c FROM lines_fx),
+    s AS (SELECT *, CASE WHEN least(a, b, c) >= 225 AND greatest(a, b, c) - least(a, b, c) <= 32 THEN 255 WHEN greatest(a, b, c) <= 30 AND greatest(a, b, c) - least(a, b, c) <= 20 THEN 0
+            WHEN {_blend(255)} THEN 255 WHEN {_blend(0)} THEN 0 END AS v FROM o)
+    SELECT line_id, CAST(coalesce(v, a) AS INT) AS r, CAST(coalesce(v, b) AS INT) AS g, CAST(coalesce(v, c) AS INT) AS b FROM s""",
+)
 def outline_resolve(spark, sf_dir):
     lines = _lines(spark, sf_dir)
     out = R.outline_resolve([F.col(c) for c in ("fg_r", "fg_g", "fg_b")], [F.col("fg_b"), 255 - F.col("fg_r"), F.col("fg_g")])
@@ -397,7 +433,9 @@ _CLUSTER = """WITH RECURSIVE e AS (SELECT a.line_id AS u, b.line_id AS v FROM li
       AND greatest(abs(a.fg_r - b.fg_r), abs(a.fg_g - b.fg_g), abs(a.fg_b - b.fg_b)) <= 40),
     r AS (SELECT line_id AS node, line_id AS seen FROM lines_fx UNION SELECT r.node, e.v FROM r JOIN e ON r.seen = e.u),
     m AS (SELECT node, min(seen) AS cluster FROM r GROUP BY node)
-    SELECT l.page_id, l.line_id, m.cluster, first_value(l.line_id) OVER (PARTITION BY m.cluster ORDER BY greatest(fg_r, fg_g, fg_b) - least(fg_r, fg_g, fg_b) DESC, l.line_id) AS representative FROM lines_fx l JOIN m ON l.line_id = m.node"""
+    SELECT l.page_id, l.line_id, m.cluster, CASE WHEN max(chroma) OVER k >= 30 THEN first_value(l.line_id) OVER (PARTITION BY m.cluster ORDER BY chroma DESC, l.line_id)
+      WHEN avg(luma) OVER k < 128 THEN first_value(l.line_id) OVER (PARTITION BY m.cluster ORDER BY luma, l.line_id) ELSE first_value(l.line_id) OVER (PARTITION BY m.cluster ORDER BY luma DESC, l.line_id) END AS representative
+    FROM (SELECT *, greatest(fg_r, fg_g, fg_b) - least(fg_r, fg_g, fg_b) AS chroma, CAST(0.299 AS DOUBLE) * fg_r + CAST(0.587 AS DOUBLE) * fg_g + CAST(0.114 AS DOUBLE) * fg_b AS luma FROM lines_fx) l JOIN m ON l.line_id = m.node WINDOW k AS (PARTITION BY m.cluster)"""
 QUERIES["color_clusters"] = (color_clusters, sql_with("lines_fx", _CLUSTER).replace("WITH lines_fx", "WITH RECURSIVE lines_fx").replace(", RECURSIVE e AS", ", e AS"))
 
 

@@ -126,21 +126,21 @@ def closest_language(spark, sf_dir):
     return G.closest_language(table(spark, sf_dir, "documents"), "lang", distances, 6.0).select("doc_id", "sample")
 
 
-def _terms(spark, sf_dir, least: int = 8):
+def _terms(spark, sf_dir):
     words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("term"))
-    return words.where(F.length("term") >= least).distinct().withColumn("target", F.upper("term"))
+    return words.distinct().withColumn("target", F.upper("term"))
 
 
 @_add(
     "glossary_match",
     r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM benchmark),
     p AS (SELECT doc_id, text, regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{N}_\s\p{Z}]', '', 'g')), '', '') AS norm FROM documents)
-    SELECT doc_id AS text_id, term FROM p JOIN (SELECT term, lower(term) AS low FROM t WHERE length(term) >= 10) g ON contains(norm, low)""",
+    SELECT doc_id AS text_id, term FROM p JOIN (SELECT term, lower(term) AS low FROM t) g ON contains(norm, low)""",
 )
 def glossary_match(spark, sf_dir):
     """Terms contained in a text once both are normalised."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    terms = _terms(spark, sf_dir, 10)
+    terms = _terms(spark, sf_dir)
     normal = texts.select("text_id", T.term_normalize(F.col("text")).alias("norm"))
     found = G.candidates(texts, terms, fuzzy=False).join(normal, "text_id")
     return found.where(F.contains(F.col("norm"), T.term_normalize(F.col("term")))).select("text_id", "term")

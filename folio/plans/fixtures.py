@@ -27,14 +27,14 @@ TABLES = {
     "pairs_fx": """
         SELECT conv_id, turn AS pos, text AS src,
                CASE (conv_id*8+turn)%8 WHEN 0 THEN '' WHEN 1 THEN text || '  ' WHEN 2 THEN repeat('ha ', 30) WHEN 3 THEN '12345'
-                    WHEN 4 THEN 'a' || repeat('!', 25) WHEN 5 THEN '[' || substr(text,1,40) || ']' WHEN 6 THEN '"' || substr(text,1,30) || '"'
-                    ELSE 'fine: ' || substr(text,1,50) END AS dst
+                    WHEN 4 THEN 'a' || repeat('!', 25) WHEN 5 THEN '[' || text || ']' WHEN 6 THEN '"' || text || '"'
+                    ELSE 'fine: ' || text END AS dst
         FROM conversations""",
     "uploads_fx": """
         SELECT CAST(floor(o_orderkey/4) AS BIGINT) AS token, CAST(o_orderkey%4 AS INT) AS part, 4 AS parts,
                CAST(1+o_custkey%40 AS INT) AS pages, o_orderdate AS ts
         FROM orders WHERE o_orderkey%13 <> 0""",
-    "requests_fx": "SELECT event_id AS req_id, user_id%5 AS ip, ts, CAST(event_id%160 AS INT) AS pages FROM events",
+    "requests_fx": "SELECT event_id AS req_id, user_id AS ip, ts, CAST(event_id%160 AS INT) AS pages FROM events",
     "calls_fx": """
         SELECT 'u' || CAST(user_id AS STRING) AS token, event_id AS call_id, CAST(floor(value*10) AS BIGINT) AS prompt_tokens,
                CAST(floor(value*10) AS BIGINT) - CAST(floor(value*4) AS BIGINT) AS cache_miss, CAST(floor(value*4) AS BIGINT) AS cache_hit,

@@ -63,10 +63,13 @@ def poll_since(spark, sf_dir):
     return J.poll_since(f, f.select("token").distinct().withColumn("cursor", F.length("token") % 5 - 1))
 
 
-@_add("abandoned_jobs", """SELECT token, min(ts) AS last_poll FROM (SELECT token, ts, lead(ts) OVER (PARTITION BY token ORDER BY ts) AS nxt FROM frames_fx) q
+@_add("abandoned_jobs", """SELECT token, min(ts) AS last_poll FROM (SELECT token, ts, coalesce(lead(ts) OVER (PARTITION BY token ORDER BY ts), (SELECT max(ts) FROM frames_fx)) AS nxt FROM frames_fx) q
        WHERE epoch_us(nxt) - epoch_us(ts) > 40000000 GROUP BY token""", "frames_fx")
 def abandoned_jobs(spark, sf_dir):
-    return J.abandoned(table(spark, sf_dir, "frames_fx").select("token", F.col("ts").cast("timestamp").alias("ts")), 40).withColumn("last_poll", F.col("last_poll").cast("timestamp_ntz"))
+    """As seen at the last frame of all."""
+    polls = table(spark, sf_dir, "frames_fx").select("token", F.col("ts").cast("timestamp").alias("ts"))
+    now = F.lit(polls.agg(F.max("ts")).first()[0])
+    return J.abandoned(polls, 40, now).withColumn("last_poll", F.col("last_poll").cast("timestamp_ntz"))
 
 
 @_add(
@@ -123,8 +126,9 @@ def admission_hourly(spark, sf_dir):
     return J.admission(r, "ip", "at", "req_id", 12, 3600).select("req_id", "ip", "admitted")
 
 
-_LIVE = """SELECT owner, ts, CAST(sum(d) OVER (PARTITION BY owner ORDER BY ts) AS BIGINT) AS live
-    FROM (SELECT owner, ts, sum(d) AS d FROM (SELECT ip AS owner, epoch_us(ts) AS ts, 1 AS d FROM requests_fx UNION ALL SELECT ip, epoch_us(ts) + CAST(pages AS BIGINT) * 60000000, -1 FROM requests_fx) a GROUP BY owner, ts) b"""
+_LIVE = """WITH m AS (SELECT owner, ts, sum(d) AS d FROM (SELECT ip AS owner, epoch_us(ts) AS ts, 1 AS d FROM requests_fx UNION ALL SELECT ip, epoch_us(ts) + CAST(pages AS BIGINT) * 60000000, -1 FROM requests_fx) a GROUP BY owner, ts),
+    e AS (SELECT ts, CAST(sum(d) OVER (ORDER BY ts) AS BIGINT) AS live_all FROM (SELECT ts, sum(d) AS d FROM m GROUP BY ts) b)
+    SELECT owner, m.ts, CAST(sum(d) OVER (PARTITION BY owner ORDER BY m.ts) AS BIGINT) AS live, live_all FROM m JOIN e ON m.ts = e.ts"""
 
 
 @_add("concurrency_profile", _LIVE, "requests_fx")
