@@ -27,7 +27,7 @@ SHORT = 30
 #: Features are hashed to so many bits: words, word beginnings and binned measures.
 BITS = 18
 #: At most so many labelled rows are fitted on, and half as many without labels; chosen by a hash of the id.
-SAMPLE_ROWS = 16_000
+SAMPLE_ROWS = 8_000
 #: A cue word is in at least CUE_DOCS fitted texts labelled toxic, and CUE_SHARE of the labelled texts that have it are; the CUES most frequent vote.
 CUE_DOCS, CUE_SHARE, CUES = 8, 0.95, 500
 _WORD = re.compile(r"[^\W\d_]+")
@@ -140,7 +140,10 @@ def posteriors(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.n
 def fit_logistic(owner: np.ndarray, slots: np.ndarray, target: np.ndarray, width: int, l2: float = 3.0, rounds: int = 200) -> tuple[np.ndarray, float]:
     """Ridge logistic regression of soft labels on features slots[i] of rows owner[i]; accelerated gradient steps."""
     count = len(target)
-    used, index = np.unique(slots, return_inverse=True)
+    used = np.flatnonzero(np.bincount(slots, minlength=width))
+    place = np.zeros(width, np.int32)
+    place[used] = np.arange(len(used))
+    index = place[slots]
     lengths = np.bincount(owner, minlength=count)
     w, v, b, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     scale = np.bincount(index, minlength=len(used)) * 0.25 + l2  # diagonal bound of the curvature
@@ -270,9 +273,11 @@ def quality_scores(
     lists = rows["slots"].combine_chunks()
     owner = np.repeat(np.arange(len(lists), dtype=np.int32), lists.value_lengths().to_numpy()) if len(lists) else np.zeros(0, np.int32)
     index = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int32)
-    weights, bias = fit_logistic(owner, index, rows["p"].to_numpy(), 1 << BITS)
+    target, name = rows["p"].to_numpy(), f"{len(lists)}"
+    del rows, lists
+    weights, bias = fit_logistic(owner, index, target, 1 << BITS)
     discard(sample, chosen)
-    model = spark.sparkContext.broadcast((f"{len(lists)}-{bias!r}-{weights.sum()!r}", weights.astype(np.float32), float(bias)))
+    model = spark.sparkContext.broadcast((f"{name}-{bias!r}-{weights.sum()!r}", weights.astype(np.float32), float(bias)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(model)

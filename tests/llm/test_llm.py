@@ -223,6 +223,63 @@ def test_lm_scores(docs, odd, empty):
     assert ctw.lm_scores(empty).count() == 0
 
 
+def plain_ctw(train, texts, depth):
+    """log10 P of each text by the definition: the weighted probability with one more bit over that without, bit by bit."""
+    stream = lambda t: b" ".join(t.encode().lower().split()) + b"\n"
+    counts = {}
+
+    def path(data, at):
+        past = (b"\n" * depth + data)[at : at + depth]
+        return [past[depth - d :] for d in range(depth + 1)]
+
+    def bits(byte):
+        node = 1
+        for k in range(7, -1, -1):
+            bit = byte >> k & 1
+            yield node, bit
+            node = 2 * node + bit
+
+    for t in train:
+        data = stream(t)
+        for at, byte in enumerate(data):
+            for c in path(data, at):
+                for node, bit in bits(byte):
+                    counts.setdefault((c, node), [0, 0])[bit] += 1
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    mix = lambda x, y: max(x, y) + math.log1p(math.exp(-abs(x - y))) - math.log(2)
+    below, weighted = collections.Counter(), {}
+    for c, node in sorted(counts, key=lambda k: -len(k[0])):
+        estimate = kt(*counts[c, node])
+        weighted[c, node] = estimate if len(c) == depth else mix(estimate, below[c, node])
+        if c:
+            below[c[1:], node] += weighted[c, node]
+    out = []
+    for t in texts:
+        data, total = stream(t), 0.0
+        for at, byte in enumerate(data):
+            for node, bit in bits(byte):
+                gained = None  # what the node one depth further gains by the bit
+                for c in reversed(path(data, at)):
+                    a, b = counts.get((c, node), (0, 0))
+                    estimate = kt(a + (bit == 0), b + (bit == 1))
+                    new = estimate if len(c) == depth else mix(estimate, below[c, node] + gained)
+                    gained = new - weighted.get((c, node), 0.0)
+                total += gained
+        out.append(total / math.log(10))
+    return out
+
+
+def test_scores_by_the_definition(spark, docs):
+    """The query's score of whole texts, in and out of training, unseen bytes and contexts among them."""
+    rows = sorted((r for r in docs.collect() if r.text and len(r.text) < 2500), key=lambda r: r.doc_id)[:40]
+    rows = [(r.doc_id, r.text) for r in rows] + [(10_000 + i, t) for i, t in enumerate(["", "ZZZ \u4e00\u4e01 qqq", "the the the"])]
+    got = {r.doc_id: r for r in ctw.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert any(r.held_out for r in got.values())
+    want = plain_ctw([t for i, t in rows if not got[i].held_out], [t for _, t in rows], ctw.DEPTH)
+    for (i, _), w in zip(rows, want):
+        assert abs(got[i].score - w) < 1e-3 * max(1.0, abs(w)), i
+
+
 # 4 WARC
 def test_warc(spark, sf_dir):
     big = "x" * 1000
@@ -775,6 +832,27 @@ def test_line_dedup_edges(spark, odd, empty):
 
 
 # the pipeline
+def test_stages_on_odd_and_empty_tables(spark, odd, empty, tmp_path):
+    """Nulls, repeated ids, empty and long texts, clashing names, empty tables: every stage keeps the columns and loses no row it should not."""
+    import corpus_pipeline
+
+    names = ["doc_id", "text", "source", "kept", "component_id", "size", "row"]
+    rows = [(*r, 1, 2, 3) for r in ODD]
+    clashing = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string, component_id int, size int, row int")
+    spark.createDataFrame([(1, 1, 0), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, "something that is in no text at all here"), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, clashing, str(tmp_path))
+        assert out.columns == names, name
+        ids = [r.doc_id for r in out.collect()]
+        assert all(ids.count(i) <= [r[0] for r in ODD].count(i) for i in ids), name
+        assert stage(spark, clashing.limit(0), str(tmp_path)).count() == 0, name
+    name, stage = corpus_pipeline.STAGES[-1]
+    assert stage(spark, clashing, str(tmp_path)).count() == len(ODD) and stage(spark, clashing.limit(0), str(tmp_path)).count() == 0
+    clashing.drop("kept").write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() <= len(ODD)
+
+
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
 
