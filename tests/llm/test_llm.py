@@ -825,7 +825,7 @@ def test_line_dedup_edges(spark, odd, empty):
     kept = {r.doc_id: (r.text, r._kept, r.lines) for r in line_dedup.line_dedup(named).collect()}
     assert kept == {"a": ("one line", 3, 4), "b": ("two lines", 1, 2)}
     assert {(r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.line_report(named).collect()} == {("a", 1, 0), ("b", 2, 1), (None, 1, 1)}
-    long = spark.createDataFrame([(1, "word " * 60_000 + "\nshort", "s", "e"), (2, "word " * 59_999 + "end", "s", "e")], DOCS)
+    long = spark.createDataFrame([(1, "word " * 60_000 + "\nshort", "s", "e"), (2, "word " * 59_999, "s", "e")], DOCS)
     assert {r.doc_id: r.kept for r in line_dedup.line_report(long).collect()} == {1: [0, 1], 2: []}
     assert line_dedup.line_dedup(empty).count() == 0 and line_dedup.line_report(empty).count() == 0
     assert line_dedup.line_report(odd).count() == len(ODD)
