@@ -113,3 +113,19 @@ def test_dominant_color_by_loop(spark, sf_dir):
                 pools.append([c, area(r)])
         assert got[key] == max(pools, key=lambda p: p[1])[0]
     assert len(got) == len(regions)
+
+
+def test_region_report_by_loop(spark, sf_dir):
+    got = {r.page_id: (r.report, r.n_colors) for r in rows_of(spark, sf_dir, "region_report")}
+    pages = grouped(table(spark, sf_dir, "lines_fx").collect(), "page_id")
+    for page, rs in pages.items():
+        colors, parts = [], []
+        for i, r in enumerate(sorted(rs, key=lambda r: r.line_id), 1):
+            c = (r.fg_r, r.fg_g, r.fg_b)
+            close = lambda d: sum(abs(x - y) for x, y in zip(c, d)) < 50  # noqa: E731, B023
+            if not any(map(close, colors)):
+                colors.append(c)
+            number = 1 + next(k for k, d in enumerate(colors) if close(d))
+            parts.append(f"-- {i} --\ncolor #{number}: {c[0]:02x}{c[1]:02x}{c[2]:02x}\nbox: {r.x1},{r.y1},{r.x2},{r.y2}\ntext: {r.text}")
+        assert got[page] == ("\n\n".join(parts), len(colors))
+    assert len(got) == len(pages)
