@@ -127,75 +127,69 @@ def test_similar_links_of_dense_fingerprints(spark, monkeypatch, dense):
 
 # 3 context-tree weighting
 def test_bit_probabilities_by_direct_mixing():
-    """The flat table against the recursion, node by node, over a small tree."""
-    data = b"abracadabra abracadabra\n" * 3
-    grams = ctw.windows(data)
-    keys = {d: sorted({int(g >> 8) & ((1 << 8 * d) - 1) for g in grams}) for d in range(3)}
-    counts = []
-    for d in range(3):
-        c = {}
-        for g in grams.tolist():
-            k = ((g >> 8) & ((1 << 8 * d) - 1), g & 255)
-            c[k] = c.get(k, 0) + 1
-        rows = [(keys[d].index(a), s, n) for (a, s), n in c.items()]
-        counts.append(tuple(np.array(x) for x in zip(*rows)))
-    contexts = [np.array(keys[d], np.int64) for d in range(3)]
-    tree = ctw.ContextTree(contexts, counts)
-    assert np.allclose(np.exp2(tree.flat.astype(float)).sum(axis=1), 1, atol=1e-4)
-    dense = [np.zeros((len(keys[d]), 256)) for d in range(3)]
-    for d, (r, s, n) in enumerate(counts):
-        dense[d][r, s] = n
+    """Weights and mixed estimates against the recursion, node by node, over a small tree; dealt over subtrees as well."""
+    data, depth = b"abracadabra abracadabra\n" * 3, 4
+    grams, n = np.unique(ctw.windows(data, depth + 1), return_counts=True)
+    levels, _ = ctw.weigh(grams, n, depth, 0)
+    counts = [{} for _ in range(depth + 1)]
+    for g, k in zip(grams.tolist(), n.tolist()):
+        for d in range(depth + 1):
+            context = g.to_bytes(depth + 1, "big")[depth - d : depth]
+            counts[d].setdefault(context, [0] * 256)[g & 255] += k
 
     def kt(z, o):
-        return sum(math.log(k + 0.5) for k in range(int(z))) + sum(math.log(k + 0.5) for k in range(int(o))) - sum(math.log(k + 1) for k in range(int(z + o)))
+        return sum(math.log(k + 0.5) for k in range(z)) + sum(math.log(k + 0.5) for k in range(o)) - sum(math.log(k + 1) for k in range(z + o))
 
-    def bits(v, prefix, level):
-        span = 256 >> level
+    def bits(context, prefix, level):
+        v, span = counts[len(context)].get(context, [0] * 256), 256 >> level
         at = prefix * span
-        return v[at : at + span // 2].sum(), v[at + span // 2 : at + span].sum()
+        return sum(v[at : at + span // 2]), sum(v[at + span // 2 : at + span])
 
-    def log_w(d, i, prefix, level):
-        e = kt(*bits(dense[d][i], prefix, level))
-        if d == 2:
+    def log_w(context, prefix, level):
+        e = kt(*bits(context, prefix, level))
+        if len(context) == depth:
             return e
-        kids = [j for j, k in enumerate(keys[d + 1]) if k & ((1 << 8 * d) - 1) == keys[d][i]]
-        rest = dense[d][i] - sum((dense[d + 1][j] for j in kids), np.zeros(256))
-        deep = sum(log_w(d + 1, j, prefix, level) for j in kids) + kt(*bits(rest, prefix, level))
+        deep = sum(log_w(c, prefix, level) for c in counts[len(context) + 1] if c[1:] == context)
         return np.logaddexp(e, deep) - math.log(2)
 
-    def p_one(path, prefix, level):
+    def p_one(context, prefix, level):
         out, left = 0.0, 1.0
-        for d, i in enumerate(path):
-            z, o = bits(dense[d][i], prefix, level)
-            stop = 1.0 if d == 2 else math.exp(kt(z, o) - math.log(2) - log_w(d, i, prefix, level))
+        for d in range(depth + 1):
+            path = context[depth - d :]
+            z, o = bits(path, prefix, level)
+            stop = 1.0 if d == depth else math.exp(kt(z, o) - math.log(2) - log_w(path, prefix, level))
             out += left * stop * (o + 0.5) / (z + o + 1)
             left *= 1 - stop
         return out
 
-    for context, byte in ((b"ab", b"r"), (b"ra", b" "), (b"a ", b"z")):
-        packed = int.from_bytes(context, "big")
-        path = [0, keys[1].index(packed & 255), keys[2].index(packed)]
+    asked = [b"abra ", b"raca ", b" abrz", b"xxra ", b"zzzzz"]
+    packed = np.array([int.from_bytes(a, "big") for a in asked])
+    got = ctw.predict(packed, levels)
+    for a, have in zip(asked, got):
         want, prefix = 0.0, 0
         for level in range(8):
-            bit = byte[0] >> (7 - level) & 1
-            p = p_one(path, prefix, level)
+            bit = a[-1] >> (7 - level) & 1
+            p = p_one(a[:-1], prefix, level)
             want += math.log2(p if bit else 1 - p)
             prefix = prefix * 2 + bit
-        got = ctw.Lookup(contexts, tree.flat).logs(np.array([packed << 8 | byte[0]]))[0]
-        assert abs(got - want) < 1e-3
+        assert abs(have - want) < 1e-6
+    low, up = ctw.weigh(grams, n, depth, 3)
+    top, _ = ctw.weigh(*ctw._sum_by(grams & 0xFFFFFF, n), 2, 0, up)
+    assert np.allclose(ctw.predict(packed, top + low), got, atol=1e-12)
 
 
-def test_lookup_finds_the_longest_context():
+def test_head_gives_the_values_it_holds_and_names_the_rest():
     rnd = np.random.default_rng(0)
-    full = np.unique(rnd.integers(0, 4, (4000, 5)) @ (256 ** np.arange(5)))
-    contexts = [np.zeros(1, np.int64)] + [np.unique(full & ((1 << 8 * d) - 1))[:: 2 if d > 3 else 1] for d in range(1, 6)]
-    for d in range(2, 6):
-        contexts[d] = contexts[d][np.isin(contexts[d] & ((1 << 8 * (d - 1)) - 1), contexts[d - 1])]
-    flat = np.repeat(np.arange(sum(map(len, contexts)), dtype=np.float32)[:, None], 256, axis=1)
-    look, offsets = ctw.Lookup(contexts, flat), np.cumsum([0, *map(len, contexts)])
-    for c in [*full[:500].tolist(), 255, 1 << 39]:
-        best = max(d for d in range(6) if np.isin(c & ((1 << 8 * d) - 1), contexts[d]))
-        assert look.logs(np.array([c << 8]))[0] == offsets[best] + np.searchsorted(contexts[best], c & ((1 << 8 * best) - 1))
+    keys = rnd.permutation(np.unique(rnd.integers(0, 1 << 48, 5000)))
+    values = dict(zip(keys.tolist(), rnd.random(len(keys)).tolist()))
+    head = ctw.Head(keys, np.array(list(values.values())))
+    asked = np.concatenate([keys[:700], keys[:3], [1, 2]])
+    total, rest = head.total(asked)
+    held = collections.Counter(asked.tolist()) - collections.Counter(rest.tolist())
+    assert math.isclose(total, sum(values[k] * m for k, m in held.items()))
+    assert {1, 2} <= set(rest.tolist()) and len(rest) < 350
+    assert keys[0] in held
+    assert ctw.Head(keys[:0], np.zeros(0)).total(asked)[1].tolist() == asked.tolist()
 
 
 def test_lm_scores(docs, odd, empty):
@@ -270,14 +264,17 @@ def plain_ctw(train, texts, depth):
 
 
 def test_scores_by_the_definition(spark, docs):
-    """The query's score of whole texts, in and out of training, unseen bytes and contexts among them."""
+    """The query's score of whole texts, in and out of training, unseen bytes and contexts among them, whatever is broadcast."""
     rows = sorted((r for r in docs.collect() if r.text and len(r.text) < 2500), key=lambda r: r.doc_id)[:40]
     rows = [(r.doc_id, r.text) for r in rows] + [(10_000 + i, t) for i, t in enumerate(["", "ZZZ \u4e00\u4e01 qqq", "the the the"])]
-    got = {r.doc_id: r for r in ctw.lm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert any(r.held_out for r in got.values())
-    want = plain_ctw([t for i, t in rows if not got[i].held_out], [t for _, t in rows], ctw.DEPTH)
-    for (i, _), w in zip(rows, want):
-        assert abs(got[i].score - w) < 1e-3 * max(1.0, abs(w)), i
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    want = None
+    for windows in (ctw.MAX_WINDOWS, 300, 0):
+        got = {r.doc_id: r for r in ctw.lm_scores(table, max_windows=windows).collect()}
+        assert any(r.held_out for r in got.values())
+        want = want or plain_ctw([t for i, t in rows if not got[i].held_out], [t for _, t in rows], ctw.DEPTH)
+        for (i, _), w in zip(rows, want):
+            assert abs(got[i].score - w) < 1e-6 * max(1.0, abs(w)), (windows, i)
 
 
 # 4 WARC
