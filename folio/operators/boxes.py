@@ -209,19 +209,24 @@ def row_groups(boxes: DataFrame) -> DataFrame:
     return rows.select("page_id", "line_id", "row", F.row_number().over(inside).alias("ord"))
 
 
-def reading_order(boxes: DataFrame, right_to_left: bool = True) -> DataFrame:
-    """(page_id, line_id, ord): by columns where x spreads more than y, else by rows; a gap to the one before opens a group."""
-    page = Window.partitionBy("page_id")
+def reading_order(boxes: DataFrame, right_to_left: bool = True, panel: str | None = None) -> DataFrame:
+    """(page_id, line_id, ord): by columns where x spreads more than y, else by rows; a gap to the one before opens a group.
+
+    With a panel column (its number in the page's order, null last) each panel is ordered by itself,
+    one after the other.
+    """
+    boxes = boxes.withColumn("panel", F.col(panel) if panel else F.lit(0))
+    page = Window.partitionBy("page_id", "panel")
     x, y = F.col("x1") + F.col("x2"), F.col("y1") + F.col("y2")  # twice the centre
     var = lambda c: F.count("*").over(page) * F.sum(c.cast("long") * c).over(page) - F.sum(c.cast("long")).over(page) * F.sum(c.cast("long")).over(page)
-    rows = boxes.select("page_id", "line_id", x.alias("x"), y.alias("y")).withColumn("by_x", var(F.col("x")) > var(F.col("y")))
+    rows = boxes.select("page_id", "panel", "line_id", x.alias("x"), y.alias("y")).withColumn("by_x", var(F.col("x")) > var(F.col("y")))
     main = F.when(F.col("by_x"), F.col("x") * (-1 if right_to_left else 1)).otherwise(F.col("y"))
     side = F.when(F.col("by_x"), F.col("y")).otherwise(F.col("x") * (-1 if right_to_left else 1))
     rows = rows.withColumn("main", main).withColumn("side", side)
-    w = Window.partitionBy("page_id").orderBy("main", "line_id")
+    w = Window.partitionBy("page_id", "panel").orderBy("main", "line_id")
     jump = F.col("main") - F.lag("main").over(w) > F.when(F.col("by_x"), F.lit(40)).otherwise(30)
     rows = rows.withColumn("new", F.coalesce(jump.cast("int"), F.lit(0))).withColumn("g", F.sum("new").over(w))
-    order = Window.partitionBy("page_id").orderBy("g", "side", "line_id")
+    order = Window.partitionBy("page_id").orderBy(F.asc_nulls_last("panel"), "g", "side", "line_id")
     return rows.select("page_id", "line_id", F.row_number().over(order).alias("ord"))
 
 

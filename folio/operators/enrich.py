@@ -150,10 +150,19 @@ def language_detect(docs: DataFrame, profile: DataFrame, id_col: str, text: str,
     return best.where("b is not null").select(F.col("id").alias(id_col), F.col("b.lang").alias("language"), F.col("b.score").alias("score"))
 
 
-def page_language_check(rows: DataFrame, page: str, detected: DataFrame, target: Column, least: int = 10) -> DataFrame:
-    """(page, n, passed): pages of more than `least` texts pass only in the target language; detected(page, language)."""
-    n = rows.groupBy(page).agg(F.count_if(strip(F.col("dst")) != "").alias("n"))
-    return n.join(detected, page, "left").select(page, "n", ((F.col("n") <= least) | F.coalesce(F.col("language") == target, F.lit(True))).alias("passed"))
+def page_language_check(rows: DataFrame, page: str, order: str, profile: DataFrame, target: str, least: int = 10) -> DataFrame:
+    """(page, n, passed): a page of more than `least` regions passes only if the language detected in its merged texts is the target.
+
+    The stripped texts (column dst) are merged in order, without a space; a page without any passes,
+    one whose language cannot be told (under three characters, no gram in the profile) does not.
+    """
+    text = F.nullif(strip(F.col("dst")), F.lit(""))
+    merged = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, text.alias("t")))), lambda r: F.coalesce(r["t"], F.lit(""))), "")
+    pages = materialize(rows.groupBy(page).agg(F.count("*").alias("n"), merged.alias("merged")), "page-texts")
+    asked = pages.where((F.col("n") > least) & (F.col("merged") != ""))
+    detected = language_detect(asked, profile, page, "merged").select(page, (F.col("language") == target).alias("right"))
+    free = (F.col("n") <= least) | (F.col("merged") == "")
+    return pages.join(detected, page, "left").select(page, "n", (free | F.coalesce("right", F.lit(False))).alias("passed"))
 
 
 def page_retry(rows: DataFrame, page: str, order: str, text: str, fns: list[Translate], fails: Callable[[DataFrame], DataFrame], cap: int = 8) -> DataFrame:

@@ -279,6 +279,26 @@ def reading_order(spark, sf_dir):
     return X.reading_order(_lines(spark, sf_dir))
 
 
+@_add(
+    "reading_order_panels",
+    """WITH o AS (SELECT page_id, line_id, panel_id FROM (SELECT l.page_id, l.line_id, p.panel_id, row_number() OVER (PARTITION BY l.line_id ORDER BY
+         CASE WHEN l.x1 + l.x2 BETWEEN 2 * p.x1 AND 2 * p.x2 AND l.y1 + l.y2 BETWEEN 2 * p.y1 AND 2 * p.y2 THEN 0 ELSE 1 END,
+         CASE WHEN l.x1 + l.x2 BETWEEN 2 * p.x1 AND 2 * p.x2 AND l.y1 + l.y2 BETWEEN 2 * p.y1 AND 2 * p.y2 THEN 0
+              ELSE CAST(greatest(0, 2 * p.x1 - l.x1 - l.x2, l.x1 + l.x2 - 2 * p.x2) AS BIGINT) ** 2 + CAST(greatest(0, 2 * p.y1 - l.y1 - l.y2, l.y1 + l.y2 - 2 * p.y2) AS BIGINT) ** 2 END, p.panel_id) AS n
+       FROM lines_fx l JOIN panels_fx p ON l.page_id = p.page_id) q WHERE n = 1),
+    c AS (SELECT l.page_id, panel_id, l.line_id, x1 + x2 AS x, y1 + y2 AS y FROM lines_fx l JOIN o ON l.page_id = o.page_id AND l.line_id = o.line_id),
+    v AS (SELECT *, (count(*) OVER p * sum(CAST(x AS BIGINT) * x) OVER p - (sum(CAST(x AS BIGINT)) OVER p) ** 2) > (count(*) OVER p * sum(CAST(y AS BIGINT) * y) OVER p - (sum(CAST(y AS BIGINT)) OVER p) ** 2) AS by_x FROM c WINDOW p AS (PARTITION BY page_id, panel_id)),
+    m AS (SELECT page_id, panel_id, line_id, by_x, CASE WHEN by_x THEN -x ELSE y END AS main, CASE WHEN by_x THEN y ELSE -x END AS side FROM v),
+    j AS (SELECT *, main - lag(main) OVER (PARTITION BY page_id, panel_id ORDER BY main, line_id) > CASE WHEN by_x THEN 40 ELSE 30 END AS jump FROM m),
+    g AS (SELECT *, sum(CAST(coalesce(jump, false) AS INT)) OVER (PARTITION BY page_id, panel_id ORDER BY main, line_id) AS g FROM j)
+    SELECT page_id, line_id, row_number() OVER (PARTITION BY page_id ORDER BY panel_id, g, side, line_id) AS ord FROM g""",
+    "lines_fx", "panels_fx",
+)
+def reading_order_panels(spark, sf_dir):
+    lines = _lines(spark, sf_dir)
+    return X.reading_order(lines.join(X.panel_assign(lines, _panels(spark, sf_dir)), ["page_id", "line_id"]), panel="panel_id")
+
+
 _SIMPLE = """WITH RECURSIVE p AS (SELECT page_id, list({'cy': cy, 'id': line_id, 'cx': cx, 'a': y1, 'b': y2} ORDER BY cy, line_id) AS boxes
       FROM (SELECT *, (x1 + x2) / 2.0 AS cx, (y1 + y2) / 2.0 AS cy FROM lines_fx) q GROUP BY page_id),
     r AS (SELECT page_id, boxes, 1 AS i, boxes[1:1] AS placed FROM p

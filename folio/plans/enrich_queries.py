@@ -195,14 +195,27 @@ def language_detect(spark, sf_dir):
     return E.language_detect(docs, profile, "doc_id", "text").withColumn("score", F.round("score", 6))
 
 
+_PAGE = "CAST(floor(doc_id / 12) * 2 + CASE WHEN doc_id % 12 < floor(doc_id / 12) % 3 THEN 1 ELSE 0 END AS BIGINT)"
+
+
 @_add(
     "page_language_check",
-    """WITH p AS (SELECT page_id, count(*) FILTER (trim(text) <> '') AS n FROM lines_fx GROUP BY page_id) SELECT page_id, n, n <= 10 OR page_id % 4 <> 1 AS passed FROM p""",
-    "lines_fx",
+    f"""WITH t AS (SELECT lang, string_split(lower(text), '') AS a FROM documents WHERE length(text) >= 3),
+    n AS (SELECT gram, lang, count(*) AS n FROM (SELECT lang, unnest(list_transform(generate_series(1, len(a) - 2), lambda i: a[i] || a[i + 1] || a[i + 2])) AS gram FROM t) q GROUP BY gram, lang),
+    tot AS (SELECT lang, sum(n) AS total FROM n GROUP BY lang), v AS (SELECT count(DISTINCT gram) AS v FROM n),
+    p AS (SELECT {_PAGE} AS page_id, count(*) AS n, coalesce(string_agg(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '' ORDER BY doc_id), '') AS merged FROM documents GROUP BY 1),
+    c AS (SELECT page_id, string_split(lower(merged), '') AS a FROM p WHERE n > 10 AND length(merged) >= 3),
+    k AS (SELECT page_id, gram, count(*) AS k FROM (SELECT page_id, unnest(list_transform(generate_series(1, len(a) - 2), lambda i: a[i] || a[i + 1] || a[i + 2])) AS gram FROM c) q GROUP BY page_id, gram),
+    m AS (SELECT page_id, sum(k) AS m FROM k GROUP BY page_id),
+    sc AS (SELECT k.page_id, n.lang, sum(k.k * ln(n.n + 1)) AS gain FROM k JOIN n ON k.gram = n.gram GROUP BY k.page_id, n.lang),
+    z AS (SELECT sc.page_id, sc.lang, gain / m - ln(total + v) AS score FROM sc JOIN tot ON sc.lang = tot.lang JOIN m ON sc.page_id = m.page_id CROSS JOIN v),
+    r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY round(score, 9) DESC, lang DESC) AS i FROM z)
+    SELECT p.page_id, p.n, p.n <= 10 OR p.merged = '' OR coalesce(r.lang = 'en', false) AS passed FROM p LEFT JOIN r ON p.page_id = r.page_id AND r.i = 1""",
 )
 def page_language_check(spark, sf_dir):
-    lines = table(spark, sf_dir, "lines_fx").select("page_id", F.col("text").alias("dst"))
-    detected = lines.select("page_id").distinct().withColumn("language", F.when(F.col("page_id") % 4 == 1, "FRA").otherwise("ENG"))
-    return E.page_language_check(lines, "page_id", detected, F.lit("ENG"))
+    """Ten to twelve documents make a page; the languages are those of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select(F.expr(_PAGE).alias("page_id"), "doc_id", F.col("text").alias("dst"))
+    return E.page_language_check(rows, "page_id", "doc_id", E.language_profile(docs, "text", "lang"), "en")
 
 

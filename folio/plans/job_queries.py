@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from folio.operators import jobs as J
 from folio.plans.fixtures import sql_with, table
+from folio.sources.files import read_job_log, write_job_log
+from folio.storage import scratch_path
 
 QUERIES: dict[str, tuple] = {}
 
@@ -311,10 +313,11 @@ def redact_query(spark, sf_dir):
 
 @_add("job_log", "SELECT token, call_id, prompt_tokens, wall_s FROM calls_fx", "calls_fx")
 def job_log(spark, sf_dir):
-    """Records as JSON lines and read back with their schema."""
+    """Records written as JSON lines and read back with their schema."""
     c = table(spark, sf_dir, "calls_fx").select("token", "call_id", "prompt_tokens", "wall_s")
-    lines = c.select(F.to_json(F.struct("*")).alias("line"))
-    return lines.select(F.from_json("line", "token string, call_id bigint, prompt_tokens bigint, wall_s double").alias("r")).select("r.*")
+    path = scratch_path(spark, "job-log")
+    write_job_log(c, path)
+    return read_job_log(spark, path, "token string, call_id bigint, prompt_tokens bigint, wall_s double")
 
 
 @_add(

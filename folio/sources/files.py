@@ -107,3 +107,13 @@ def region_report(regions: DataFrame, near: int = 50) -> DataFrame:
     number = lambda x: F.array_position(F.transform("colors", lambda c: F.abs(c["r"] - x["fg_r"]) + F.abs(c["g"] - x["fg_g"]) + F.abs(c["b"] - x["fg_b"]) < near), True)
     line = lambda x, i: F.format_string("-- %d --\ncolor #%d: %02x%02x%02x\nbox: %d,%d,%d,%d\ntext: %s", i + 1, number(x), x["fg_r"], x["fg_g"], x["fg_b"], x["x1"], x["y1"], x["x2"], x["y2"], x["text"])
     return colors.select("page_id", F.array_join(F.transform("rows", line), "\n\n").alias("report"), F.size("colors").alias("n_colors"))
+
+
+def write_job_log(jobs: DataFrame, path: str) -> None:
+    """Appends one JSON line per job, null fields left out; every task writes a file of its own."""
+    jobs.select(F.to_json(F.struct("*"))).write.mode("append").text(path)
+
+
+def read_job_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Jobs of a log by the schema given, so that no pass over the files infers one; a torn line is left out."""
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

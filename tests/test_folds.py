@@ -4,10 +4,11 @@ import collections
 
 from pyspark.sql import functions as F
 
-from folio.operators import jobs
+from folio.operators import boxes, enrich, jobs
 from folio.operators import regions as R
 from folio.plans import registry
 from folio.plans.fixtures import table
+from folio.sources import files
 
 
 def rows_of(spark, sf_dir, name):
@@ -129,3 +130,31 @@ def test_region_report_by_loop(spark, sf_dir):
             parts.append(f"-- {i} --\ncolor #{number}: {c[0]:02x}{c[1]:02x}{c[2]:02x}\nbox: {r.x1},{r.y1},{r.x2},{r.y2}\ntext: {r.text}")
         assert got[page] == ("\n\n".join(parts), len(colors))
     assert len(got) == len(pages)
+
+
+def test_job_log_keeps_what_is_written_and_leaves_out_a_torn_line(spark, tmp_path):
+    path = str(tmp_path / "jobs")
+    schema = "token string, pages bigint, wall_s double"
+    rows = [("a", 3, 1.5), ("tab\t\"quote\"\nline", None, None), (None, 0, 2.0)]
+    for part in (rows[:1], rows[1:]):  # a second write adds to the first
+        files.write_job_log(spark.createDataFrame(part, schema), path)
+    (tmp_path / "jobs" / "part-torn.txt").write_text('{"token":"b","pa')
+    assert sorted(map(str, files.read_job_log(spark, path, schema).collect())) == sorted(map(str, spark.createDataFrame(rows, schema).collect()))
+
+
+def test_page_language_check_merges_the_page(spark):
+    known = spark.createDataFrame([("the cat sat on the mat with the hat", "en"), ("le chat est sur la table avec le chien", "fr")], "text string, lang string")
+    pages = [("en", ["the cat", " the mat", "the hat\n", ""]), ("fr", ["le chat", "la table", "le chien", None]), ("few", ["le chien"] * 3), ("blank", [" ", None, "", "\n"]), ("odd", ["0", "1", "", ""])]
+    rows = [(name, i, t) for name, texts in pages for i, t in enumerate(texts)]
+    got = enrich.page_language_check(spark.createDataFrame(rows, "page string, i int, dst string"), "page", "i", enrich.language_profile(known, "text", "lang"), "en", 3)
+    assert {r.page: (r.n, r.passed) for r in got.collect()} == {"en": (4, True), "fr": (4, False), "few": (3, True), "blank": (4, True), "odd": (4, False)}
+
+
+def test_reading_order_by_panel(spark):
+    """Two panels beside one another, each read from the right; without panels the columns of both mix by x; null comes last."""
+    rows = [(1, 1, 0, 0, 10, 10, 2), (1, 2, 100, 0, 110, 10, 2), (1, 3, 200, 0, 210, 10, 1), (1, 4, 300, 0, 310, 10, 1), (1, 5, 400, 0, 410, 10, None)]
+    boxes_ = spark.createDataFrame(rows, "page_id long, line_id long, x1 int, y1 int, x2 int, y2 int, panel_id int")
+    order = lambda df: [r.line_id for r in df.orderBy("ord").collect()]
+    assert order(boxes.reading_order(boxes_)) == [5, 4, 3, 2, 1]
+    assert order(boxes.reading_order(boxes_, panel="panel_id")) == [4, 3, 2, 1, 5]
+    assert order(boxes.reading_order(boxes_, False, "panel_id")) == [3, 4, 1, 2, 5]
