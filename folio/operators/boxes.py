@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -59,24 +61,81 @@ def grid_pairs(left: DataFrame, right: DataFrame, reach: Column, cell: int, left
     return a.join(c, same & first)
 
 
+def corners(lines: DataFrame) -> Column:
+    """The four corners, from the upper left on in the order of a clock's hand: the column pts of turned boxes, else those of the edges."""
+    if "pts" in lines.columns:
+        return F.transform("pts", lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    at = lambda x, y: F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    return F.array(at("x1", "y1"), at("x2", "y1"), at("x2", "y2"), at("x1", "y2"))
+
+
+def with_edges(quads: DataFrame) -> DataFrame:
+    """Turned boxes, pts array<struct<x, y>> of four corners, plus the edges of the upright box around them."""
+    of = lambda pick, c: pick(F.transform("pts", lambda p: p[c]))
+    return quads.withColumns({"x1": of(F.array_min, "x"), "y1": of(F.array_min, "y"), "x2": of(F.array_max, "x"), "y2": of(F.array_max, "y")})
+
+
 def features(lines: DataFrame) -> DataFrame:
-    """Lines plus w, h, font (shorter side), aspect, cx2, cy2 (twice the centre), area and direction of axis-aligned boxes."""
+    """Lines plus w, h, font, aspect (across to down), cx2, cy2 (twice the centre), area, direction, angle (of the way down, in radians) and upright.
+
+    Boxes with a column pts of four corners may be turned: font and aspect are then those of the axes
+    between the middles of opposite sides (cut to whole numbers), w and h those of the box around.
+    """
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    return lines.withColumns({
-        "w": w, "h": h, "font": F.least(w, h), "aspect": w / h, "cx2": F.col("x1") + F.col("x2"), "cy2": F.col("y1") + F.col("y2"),
-        "area": w.cast("long") * h.cast("long"), "direction": F.when(h >= w, "v").otherwise("h"),
-    })
+    if "pts" not in lines.columns:
+        return lines.withColumns({
+            "w": w, "h": h, "font": F.least(w, h), "aspect": w / h, "cx2": F.col("x1") + F.col("x2"), "cy2": F.col("y1") + F.col("y2"),
+            "area": w.cast("long") * h.cast("long"), "direction": F.when(h >= w, "v").otherwise("h"), "angle": F.lit(math.pi / 2), "upright": F.lit(True),
+        })
+    p = [F.col("pts")[i] for i in range(4)]
+    middle = lambda i, j, c: ((p[i][c] + p[j][c]) / 2).cast("int")
+    down, across = ({c: middle(*to, c) - middle(*start, c) for c in "xy"} for start, to in (((0, 1), (2, 3)), ((1, 2), (3, 0))))
+    size = lambda v: F.sqrt((v["x"] * v["x"] + v["y"] * v["y"]).cast("double"))
+    shoe = sum((p[i]["x"] * p[(i + 1) % 4]["y"] - p[(i + 1) % 4]["x"] * p[i]["y"] for i in range(4)), F.lit(0))
+    rows = lines.withColumns({"_dx": down["x"], "_dy": down["y"], "_ax": across["x"], "_ay": across["y"], "_down": size(down), "_across": size(across)})
+    long = lambda c: F.abs(F.when(F.col("_down") >= F.col("_across"), F.col("_d" + c)).otherwise(F.col("_a" + c)))
+    straight = [F.abs(F.col(v)) < 0.05 * F.col(n) for v, n in (("_dx", "_down"), ("_dy", "_down"), ("_ax", "_across"), ("_ay", "_across"))]
+    return rows.withColumns({
+        "w": w, "h": h, "font": F.least("_down", "_across"), "aspect": F.try_divide("_across", "_down"),
+        "cx2": sum((q["x"] for q in p), F.lit(0)) / 2, "cy2": sum((q["y"] for q in p), F.lit(0)) / 2, "area": F.abs(shoe) / 2,
+        "direction": F.when(long("x") <= long("y"), "v").otherwise("h"),
+        "angle": F.pmod(F.acos(F.try_divide("_dx", "_down")), F.lit(math.pi)), "upright": straight[0] | straight[1] | straight[2] | straight[3],
+    }).drop("_dx", "_dy", "_ax", "_ay", "_down", "_across")
+
+
+def quad_distance(a: Column, c: Column) -> Column:
+    """Distance of two convex polygons, arrays of struct<x, y>: 0 if no side of either parts them, else the least from a corner to a side."""
+    sides = lambda q: F.transform(q, lambda s, i: F.struct(s.alias("s"), F.element_at(q, F.when(i + 1 < F.size(q), i + 2).otherwise(1)).alias("t")))
+
+    def parts(side: Column) -> Column:
+        nx, ny = side["s"]["y"] - side["t"]["y"], side["t"]["x"] - side["s"]["x"]
+        onto = lambda q: F.transform(q, lambda p: p["x"] * nx + p["y"] * ny)
+        return (F.array_max(onto(a)) < F.array_min(onto(c))) | (F.array_max(onto(c)) < F.array_min(onto(a)))
+
+    def away(p: Column, side: Column) -> Column:
+        s, t = side["s"], side["t"]
+        vx, vy, px, py = t["x"] - s["x"], t["y"] - s["y"], p["x"] - s["x"], p["y"] - s["y"]
+        along = F.coalesce(F.try_divide(px * vx + py * vy, vx * vx + vy * vy), F.lit(0.0))
+        along = F.least(F.greatest(along, F.lit(0.0)), F.lit(1.0))
+        return F.hypot(px - along * vx, py - along * vy)
+
+    nearest = lambda q, r: F.array_min(F.flatten(F.transform(q, lambda p: F.transform(sides(r), lambda side: away(p, side)))))
+    return F.when(F.exists(F.concat(sides(a), sides(c)), parts), F.least(nearest(a, c), nearest(c, a))).otherwise(0.0)
 
 
 def merge_edges(lines: DataFrame, cell: int = 256) -> DataFrame:
-    """(page_id, u, v), u < v: axis-aligned lines that may belong together.
+    """(page_id, u, v), u < v: lines that may belong together.
 
-    Near (gap under one font size of the smaller), of like size (ratio at most 2), not one wide and
-    one tall, and aligned: centres within 3 pixels across, or an edge within 3 font sizes along the
-    reading direction.
+    Of like size (ratio at most 2) and not one wide and one tall. Upright ones: near (gap under one
+    font size of the smaller) and aligned: centres within 3 pixels across, or an edge within 3 font
+    sizes along the reading direction. If one is turned (column pts, see features): a gap of at most
+    two font sizes, angles within 15 degrees and fonts within a quarter.
     """
+    turned = "pts" in lines.columns
     f = features(lines)
-    pairs = grid_pairs(f, f, F.col("font"), cell, "line_id", "line_id").where(F.col("l.line_id") < F.col("r.line_id"))
+    if turned:
+        f = f.withColumn("_quad", corners(f))
+    pairs = grid_pairs(f, f, F.col("font") * (2 if turned else 1), cell, "line_id", "line_id").where(F.col("l.line_id") < F.col("r.line_id"))
     font = F.least("l.font", "r.font")
     dist = rect_distance("l", "r")
     like = F.greatest("l.font", "r.font") <= 2 * font
@@ -91,7 +150,14 @@ def merge_edges(lines: DataFrame, cell: int = 256) -> DataFrame:
         .when(tall("l") | tall("r"), near("y1", "y2"))
         .otherwise(False)
     )
-    return pairs.where((dist < font) & like & ~crossed & aligned).select(F.col("l.page_id").alias("page_id"), F.col("l.line_id").alias("u"), F.col("r.line_id").alias("v"))
+    if not turned:
+        found = pairs.where((dist < font) & like & ~crossed & aligned)
+    else:  # the boxes around are no further apart than what they hold
+        d = quad_distance(F.col("l._quad"), F.col("r._quad"))
+        close = pairs.where((dist <= 2 * font) & like & ~crossed).withColumn("_gap", d).where(F.col("_gap") <= 2 * font)
+        askew = (F.abs(b("l", "angle") - b("r", "angle")) < math.radians(15)) & (F.abs(b("l", "font") - b("r", "font")) <= 0.25 * font)
+        found = close.where(F.when(b("l", "upright") & b("r", "upright"), (F.col("_gap") < font) & aligned).otherwise(askew))
+    return found.select(F.col("l.page_id").alias("page_id"), F.col("l.line_id").alias("u"), F.col("r.line_id").alias("v"))
 
 
 def components(lines: DataFrame, edges: DataFrame) -> DataFrame:

@@ -179,6 +179,29 @@ def admission(requests: DataFrame, key: str, at: str, order: str, hourly: int, w
     return _folded(requests, key, at, order, "admitted boolean", Hour)
 
 
+def admission_decision(requests: DataFrame, jobs: DataFrame, most_pages: int = 150, most_live: int = 8, most_own: int = 2, hourly: int = 12, block: int = 3_600_000_000) -> DataFrame:
+    """requests(req_id, ip, at, pages) plus status, given the admitted jobs(ip, start, end), times in whole microseconds.
+
+    413 for too many pages, else 503 if most_live jobs are live on the server, else 429 if most_own of
+    the address are live or it had `hourly` starts in the hour before, else 200. What lies before the
+    moment of the request counts. The server's jobs are summed within blocks of time, offset by the
+    blocks before, so no task gets all of them.
+    """
+    none = F.lit(None).cast("bigint")
+    moves = jobs.select("ip", F.col("start").alias("at"), F.lit(1).alias("d"), none.alias("req_id"), F.lit(0).alias("pages"))
+    moves = moves.union(jobs.select("ip", "end", F.lit(-1), none, F.lit(0))).union(requests.select("ip", "at", F.lit(0), "req_id", "pages"))
+    moves = moves.withColumn("block", F.floor(F.col("at") / block))
+    own = Window.partitionBy("ip").orderBy("at")
+    before = lambda w, x, start=Window.unboundedPreceding: F.coalesce(F.sum(x).over(w.rangeBetween(start, -1)), F.lit(0))
+    rows = moves.withColumn("own", before(own, F.col("d"))).withColumn("starts", before(own, (F.col("d") > 0).cast("int"), -3_600_000_000))
+    sums = moves.groupBy("block").agg(F.sum("d").alias("d"))  # one row per block of time
+    offsets = sums.select("block", (F.sum("d").over(Window.orderBy("block")) - F.col("d")).alias("offset"))
+    rows = rows.withColumn("inside", before(Window.partitionBy("block").orderBy("at"), F.col("d"))).where("req_id is not null").join(offsets, "block")
+    live = F.col("inside") + F.col("offset")
+    status = F.when(F.col("pages") > most_pages, 413).when(live >= most_live, 503).when((F.col("own") >= most_own) | (F.col("starts") >= hourly), 429).otherwise(200)
+    return rows.select("req_id", "ip", "at", "pages", status.alias("status"))
+
+
 def throttle_latest(events: DataFrame, key: str, at: str, order: str, rate: float) -> DataFrame:
     """At most one event per `rate` seconds: the last of those that come meanwhile goes out when the time is over. Adds sent_at."""
 

@@ -42,8 +42,22 @@ def iou_pairs(truth: DataFrame, found: DataFrame, least: float = 0.5, cell: int
     return pairs.where(iou > least).select(F.col("l.page_id").alias("page_id"), F.col("l.line_id").alias("truth"), F.col("r.line_id").alias("found"), iou.alias("iou"))
 
 
-def detection_eval(truth: DataFrame, found: DataFrame, least: float = 0.5) -> DataFrame:
-    """Per page: greedy one-to-one matches in the order of (truth, found), with precision, recall and their harmonic mean."""
+def detection_eval(truth: DataFrame, found: DataFrame, least: float = 0.5, ignore: str | None = None) -> DataFrame:
+    """Per page, and over all (page_id null): greedy one-to-one matches in the order of (truth, found), with precision, recall and their harmonic mean.
+
+    Truth with a true `ignore` column counts for nothing, nor does what was found with more than
+    `least` of its area in one such box. A page without truth that counts has a recall of 1, and a
+    precision of 1 if nothing that counts was found there.
+    """
+    if ignore:
+        masks = truth.where(F.col(ignore)).select("page_id", "line_id", *X.EDGES)
+        hidden = X.grid_pairs(found, masks, F.lit(0), 256, "line_id", "line_id").where(X.overlap("l", "r") > least * X.area("l"))
+        hidden = hidden.select(F.col("l.page_id").alias("page_id"), F.col("l.line_id").alias("line_id")).distinct()
+        found = found.join(hidden, ["page_id", "line_id"], "left_anti")
+        pages = truth.select("page_id").distinct()
+        truth = truth.where(~F.coalesce(F.col(ignore), F.lit(False)))
+    else:
+        pages = truth.select("page_id").distinct()
 
     def match(pdf: pd.DataFrame) -> pd.DataFrame:
         used_t, used_f = set(), set()
@@ -54,19 +68,32 @@ def detection_eval(truth: DataFrame, found: DataFrame, least: float = 0.5) -> Da
         return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "matched": [len(used_t)]})
 
     matched = iou_pairs(truth, found, least).groupBy("page_id").applyInPandas(match, "page_id bigint, matched bigint")
-    sizes = truth.groupBy("page_id").agg(F.count("*").alias("n_truth")).join(found.groupBy("page_id").agg(F.count("*").alias("n_found")), "page_id", "full")
-    j = sizes.join(matched, "page_id", "left").na.fill(0)
+    count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
+    pages = pages.union(found.select("page_id")).distinct()
+    j = pages.join(count(truth, "n_truth"), "page_id", "left").join(count(found, "n_found"), "page_id", "left").join(matched, "page_id", "left")
+    j = j.select("page_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_truth", "n_found", "matched")])
+    every = j.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_truth", "n_found", "matched")])
     ratio = lambda a, c: F.when(c > 0, a / c).otherwise(0.0)
-    j = j.withColumn("precision", ratio(F.col("matched"), F.col("n_found"))).withColumn("recall", ratio(F.col("matched"), F.col("n_truth")))
-    return j.withColumn("hmean", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+    m, t, n = (F.col(c) for c in ("matched", "n_truth", "n_found"))
+
+    def scored(df: DataFrame, recall: Column, precision: Column) -> DataFrame:
+        df = df.withColumn("precision", precision).withColumn("recall", recall)
+        p, r = F.col("precision"), F.col("recall")
+        return df.withColumn("hmean", ratio(2 * p * r, p + r))
+
+    empty = F.when(n > 0, 0.0).otherwise(1.0)
+    by_page = scored(j, F.when(t == 0, 1.0).otherwise(ratio(m, t)), F.when(t == 0, empty).otherwise(ratio(m, n)))
+    return by_page.unionByName(scored(every.withColumn("page_id", F.lit(None).cast("bigint")), ratio(m, t), ratio(m, n)))
 
 
 def region_aggregate(lines: DataFrame) -> DataFrame:
-    """Bounds, least font size and the area-weighted log probability over the area of the whole page."""
+    """Bounds, least font size, mean angle in degrees (0 under 3) and the area-weighted log probability over the area of the whole page."""
     f = X.features(lines).withColumn("total", F.sum("area").over(Window.partitionBy("page_id")))
+    turn = F.degrees(F.avg("angle")) - 90
     return f.groupBy("page_id", "region_id").agg(
         *[(F.min if e in ("x1", "y1") else F.max)(e).alias(e) for e in X.EDGES],
-        F.min("font").alias("font"),
+        F.min("font").cast("int").alias("font"),
+        F.when(F.abs(turn) < 3, 0.0).otherwise(turn).alias("angle"),
         F.exp(F.sum(F.log("prob") * F.col("area")) / F.max("total")).alias("prob"),
     )
 
@@ -83,20 +110,21 @@ def direction_vote(lines: DataFrame, direction: str = "direction") -> DataFrame:
     return f.groupBy("page_id", "region_id").agg(vote.alias("direction"))
 
 
-def dominant_color(lines: DataFrame, near: int = 10) -> DataFrame:
+def dominant_color(lines: DataFrame, near: int = 10, channels: tuple[str, str, str] = ("fg_r", "fg_g", "fg_b")) -> DataFrame:
     """Colours pooled in line order to the first group within `near` per channel, weighted by area; the heaviest group's first colour.
 
     Which group a colour joins depends on those before it, so a region is folded as one small array.
     """
     f = X.features(lines)
-    rows = f.groupBy("page_id", "region_id").agg(F.sort_array(F.collect_list(F.struct("line_id", "fg_r", "fg_g", "fg_b", "area"))).alias("rows"))
+    color = [F.col(c).alias(x) for c, x in zip(channels, "rgb")]
+    rows = f.groupBy("page_id", "region_id").agg(F.sort_array(F.collect_list(F.struct("line_id", *color, F.col("area").cast("long").alias("area")))).alias("rows"))
     group = "struct<r:int,g:int,b:int,weight:bigint>"
 
     def step(groups: Column, x: Column) -> Column:
-        close = lambda g: (F.abs(g["r"] - x["fg_r"]) <= near) & (F.abs(g["g"] - x["fg_g"]) <= near) & (F.abs(g["b"] - x["fg_b"]) <= near)
+        close = lambda g: (F.abs(g["r"] - x["r"]) <= near) & (F.abs(g["g"] - x["g"]) <= near) & (F.abs(g["b"] - x["b"]) <= near)
         first = F.array_position(F.transform(groups, close), True)
         grown = F.transform(groups, lambda g, i: F.struct(g["r"], g["g"], g["b"], (g["weight"] + F.when(i + 1 == first, x["area"]).otherwise(0)).alias("weight")))
-        new = F.struct(x["fg_r"].alias("r"), x["fg_g"].alias("g"), x["fg_b"].alias("b"), x["area"].alias("weight"))
+        new = F.struct(x["r"].alias("r"), x["g"].alias("g"), x["b"].alias("b"), x["area"].alias("weight"))
         return F.when(first > 0, grown).otherwise(F.concat(groups, F.array(new)))
 
     folded = rows.select("page_id", "region_id", F.aggregate("rows", F.array().cast(f"array<{group}>"), step).alias("groups"))
@@ -105,22 +133,32 @@ def dominant_color(lines: DataFrame, near: int = 10) -> DataFrame:
     return folded.select("page_id", "region_id", best.alias("c")).select("page_id", "region_id", "c.r", "c.g", "c.b")
 
 
-def _split(ids: list[int], at: dict[int, tuple]) -> list[list[int]]:
-    """Split one group of axis-aligned lines at its longest link while its links are too uneven."""
+class _Line:
+    """A line as the splitting rules see it: corners, middles of the upper and lower side, font size, angle and direction."""
+
+    def __init__(self, r: dict):
+        self.pts = [(p["x"], p["y"]) for p in r["quad"]]
+        self.top, self.bottom = (tuple(int((self.pts[i][k] + self.pts[j][k]) / 2) for k in (0, 1)) for i, j in ((0, 1), (2, 3)))
+        self.font, self.angle, self.direction = float(r["font"]), r["angle"], r["direction"]
+        self.centre = tuple(sum(p[k] for p in self.pts) / 4 for k in (0, 1))
+
+
+def _split(ids: list[int], at: dict[int, _Line]) -> list[list[int]]:
+    """Split one group of lines at its longest link while its links are too uneven."""
     if len(ids) == 1:
         return [ids]
     gap = lambda a, c: _span(at[a], at[c])
     if len(ids) == 2:
-        return [ids] if gap(*ids) < 1.5 * max(at[ids[0]][4], at[ids[1]][4]) else [[ids[0]], [ids[1]]]
+        a, c = (at[i] for i in ids)
+        return [ids] if _span(a, c) < 1.5 * max(a.font, c.font) and abs(a.angle - c.angle) < 0.2 * math.pi else [[ids[0]], [ids[1]]]
     links = _spanning_tree(ids, gap)
     lengths = np.array([d for d, _, _ in links])
-    font = float(np.mean([at[i][4] for i in ids]))
+    font = float(np.mean([at[i].font for i in ids]))
     _, u, v = links[0]
     a, c = at[u], at[v]
-    touching = max(0, a[0] - c[2], c[0] - a[2]) == 0 and max(0, a[1] - c[3], c[1] - a[3]) == 0
-    off = min(abs(a[0] + a[2] - c[0] - c[2]), abs(a[1] + a[3] - c[1] - c[3])) / 2
+    off = min(abs(x - y) for x, y in zip(a.centre, c.centre))
     even = lengths[0] <= lengths.mean() + 2 * lengths.std() or lengths[0] <= 1.5 * font
-    if even and (lengths.std() < max(0.3 * font + 5, 5) or (touching and off < 5)):
+    if even and (lengths.std() < max(0.3 * font + 5, 5) or (off < 5 and _touch(a.pts, c.pts))):
         return [ids]
     side, grown = {u}, True
     while grown:
@@ -130,16 +168,37 @@ def _split(ids: list[int], at: dict[int, tuple]) -> list[list[int]]:
     return [g for part in ([i for i in ids if i in side], [i for i in ids if i not in side]) for g in _split(part, at)]
 
 
-def _span(a: tuple, c: tuple) -> float:
-    """Distance between matching corners: along the edge on which two lines are best aligned."""
-    font = max(a[4], c[4])
-    if a[3] - a[1] >= a[2] - a[0]:  # vertical lines: along their tops, or their bottoms if those are level
-        tops, bottoms = (math.hypot(a[0] - c[0], a[k] - c[k]) for k in (1, 3))
-        level = lambda k: abs(a[k] - c[k]) * (max(a[2], c[2]) - min(a[0], c[0])) / 2 / font
-        return bottoms if level(3) < font / 2 and level(3) < level(1) else tops
-    lefts, rights = (math.hypot(a[k] - c[k], a[1] - c[1]) for k in (0, 2))
-    level = lambda k: abs(a[k] - c[k]) * (max(a[3], c[3]) - min(a[1], c[1])) / 2 / font
-    return rights if level(2) < font / 2 and level(2) < level(0) else lefts
+def _hull_area(p: list[tuple]) -> float:
+    """Area of the convex hull of four points: the largest that three of them, or all four in some order, enclose."""
+    around = lambda *q: abs(sum(q[i - 1][0] * q[i][1] - q[i][0] * q[i - 1][1] for i in range(len(q)))) / 2
+    a, b, c, d = p
+    return max(around(a, b, c), around(a, b, d), around(a, c, d), around(b, c, d), around(a, b, c, d), around(a, c, b, d), around(a, b, d, c))
+
+
+def _touch(p: list[tuple], q: list[tuple]) -> bool:
+    """Whether two convex polygons have a point in common: no side of either parts them."""
+    for one in (p, q):
+        for (x, y), (u, v) in zip(one, one[1:] + one[:1]):
+            a, c = ([(y - v) * s + (u - x) * t for s, t in r] for r in (p, q))
+            if max(a) < min(c) or max(c) < min(a):
+                return False
+    return True
+
+
+def _span(a: _Line, c: _Line) -> float:
+    """Distance between matching points of two lines: where they start, or on the side (middle, if horizontal) along which they are better aligned."""
+    font = max(a.font, c.font) or 1.0
+    p, q = a.pts, c.pts
+    if a.direction == "h":
+        ways = [([p[0], p[3], q[0], q[3]], p[0], q[0]), ([p[2], p[1], q[2], q[1]], p[1], q[1]), ([a.top, a.bottom, c.top, c.bottom], a.top, c.top)]
+    else:
+        ways = [([p[0], p[1], q[0], q[1]], p[0], q[0]), ([p[2], p[3], q[2], q[3]], p[2], q[2])]
+    off = [_hull_area(w[0]) / font for w in ways]
+    best = 0
+    for i in range(1, len(ways)):
+        if off[i] < font / 2 and off[i] < min(off[:i]):
+            best = i
+    return math.dist(*ways[best][1:])
 
 
 def _spanning_tree(ids: list[int], gap) -> list[tuple[float, int, int]]:
@@ -159,7 +218,7 @@ def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         page, line, part = [], [], []
         for p, rows in zip(batch.column("page_id").to_pylist(), batch.column("rows").to_pylist()):
-            at = {r["line_id"]: (r["x1"], r["y1"], r["x2"], r["y2"], min(r["x2"] - r["x1"], r["y2"] - r["y1"])) for r in rows}
+            at = {r["line_id"]: _Line(r) for r in rows}
             for g in _split(list(at), at):
                 page += [p] * len(g)
                 line += g
@@ -170,9 +229,11 @@ def _split_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def component_split(lines: DataFrame) -> DataFrame:
     """(page_id, line_id, split_id): components cut where a link stands out; split_id is the least line of the part.
 
-    A component is a handful of lines of one page, so it is one array; Arrow batches bring many of them to a worker at once.
+    Lines may be turned (column pts, see boxes.features). A component is a handful of lines of one
+    page, so it is one array; Arrow batches bring many of them to a worker at once.
     """
-    grouped = lines.groupBy("page_id", "region_id").agg(F.sort_array(F.collect_list(F.struct("line_id", *X.EDGES))).alias("rows"))
+    f = X.features(lines).withColumn("quad", X.corners(lines))
+    grouped = f.groupBy("page_id", "region_id").agg(F.sort_array(F.collect_list(F.struct("line_id", "quad", "font", "angle", "direction"))).alias("rows"))
     alone = grouped.where(F.size("rows") == 1).select("page_id", F.col("rows")[0]["line_id"].alias("line_id"), F.col("rows")[0]["line_id"].alias("split_id"))
     more = grouped.where(F.size("rows") > 1).select("page_id", "rows")
     return alone.union(more.mapInArrow(_split_rows, "page_id bigint, line_id bigint, split_id bigint"))
@@ -201,6 +262,33 @@ def simple_order(boxes: DataFrame, right_to_left: bool = True) -> DataFrame:
     return ordered.select("page_id", F.posexplode("placed").alias("at", "box")).select("page_id", "box.line_id", (F.col("at") + 1).alias("ord"))
 
 
+# Writing direction by target language; languages that are not named, and CHS, CHT and JPN, go by shape.
+PRESETS = {
+    "CSY": "h", "NLD": "h", "ENG": "h", "FRA": "h", "DEU": "h", "HUN": "h", "ITA": "h", "KOR": "h", "POL": "h", "PTB": "h",
+    "ROM": "h", "RUS": "h", "ESP": "h", "TRK": "h", "UKR": "h", "VIN": "h", "ARA": "hr", "FIL": "h",
+}
+
+
+def orientation(lines: DataFrame, language: str | None = None, direction: str | None = None, alignment: str | None = None) -> DataFrame:
+    """(page_id, region_id, direction, alignment) of regions, given columns that are constant in a region.
+
+    Direction: the given one (h, v, hr, vr), else that of the language, else by the shape of the
+    largest line. Alignment: the given one, else a single line and h are centred, hr is to the right, the rest to the left.
+    """
+    given = lambda c, values: F.when(F.col(c).isin(*values), F.col(c)) if c else F.lit(None).cast("string")
+    known = F.create_map(*[F.lit(x) for kv in PRESETS.items() for x in kv])
+    preset = F.element_at(known, F.col(language)) if language else F.lit(None).cast("string")
+    rows = X.features(lines).select(
+        "page_id", "region_id", "line_id", "area", F.when(F.col("w") < F.col("h"), "v").otherwise("h").alias("shape"),
+        F.coalesce(given(direction, ("h", "v", "hr", "vr")), preset).alias("d"), given(alignment, ("left", "center", "right")).alias("a"),
+    )
+    largest = F.max_by("shape", F.struct("area", -F.col("line_id")))
+    regions = rows.groupBy("page_id", "region_id").agg(F.coalesce(F.max("d"), largest).alias("direction"), F.max("a").alias("a"), F.count("*").alias("n"))
+    d = F.col("direction")
+    by_rule = F.when((F.col("n") == 1) | (d == "h"), "center").when(d == "hr", "right").otherwise("left")
+    return regions.select("page_id", "region_id", "direction", F.coalesce("a", by_rule).alias("alignment"))
+
+
 def saturate(r: Column, g: Column, b: Column, by: float = 1.47) -> tuple[Column, Column, Column]:
     luma = 0.213 * r + 0.715 * g + 0.072 * b
     return tuple(F.least(F.greatest(F.rint(luma + by * (c - luma)), F.lit(0)), F.lit(255)).cast("int") for c in (r, g, b))

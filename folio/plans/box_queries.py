@@ -374,7 +374,7 @@ def region_aggregate(spark, sf_dir):
 
 QUERIES["region_aggregate"] = (
     region_aggregate,
-    _over_regions("""SELECT page_id, region_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, min(least(x2 - x1, y2 - y1)) AS font,
+    _over_regions("""SELECT page_id, region_id, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2, min(least(x2 - x1, y2 - y1)) AS font, CAST(0 AS DOUBLE) AS angle,
         round(exp(sum(ln(prob) * ((x2 - x1) * (y2 - y1))) / any_value(total)), 6) AS prob
         FROM (SELECT *, sum((x2 - x1) * (y2 - y1)) OVER (PARTITION BY page_id) AS total FROM g) q GROUP BY page_id, region_id"""),
 )
@@ -519,6 +519,61 @@ def orientation(spark, sf_dir):
     return f.groupBy("page_id").agg(d.alias("direction"), F.when((F.count("*") == 1) | (d == "h"), "center").otherwise("left").alias("alignment"))
 
 
+@_add("region_orientation", None)
+def region_orientation(spark, sf_dir):
+    """Regions of pages with languages, and with a direction or an alignment given for some; all made up from the page's number."""
+    kind = F.col("page_id") % 6
+    lines = _regions(spark, sf_dir).withColumn("language", F.when(kind == 0, "ENG").when(kind == 1, "ARA").when(kind == 2, "JPN").when(kind == 3, "XXX"))
+    lines = lines.withColumns({"given": F.when(kind == 4, "vr").when(kind == 5, "auto"), "align": F.when(F.col("page_id") % 5 == 0, "right")})
+    return R.orientation(lines, "language", "given", "align")
+
+
+QUERIES["region_orientation"] = (
+    region_orientation,
+    _over_regions("""SELECT page_id, region_id, direction, CASE WHEN page_id % 5 = 0 THEN 'right' WHEN n = 1 OR direction = 'h' THEN 'center' WHEN direction = 'hr' THEN 'right' ELSE 'left' END AS alignment
+        FROM (SELECT page_id, region_id, count(*) AS n, CASE page_id % 6 WHEN 0 THEN 'h' WHEN 1 THEN 'hr' WHEN 4 THEN 'vr'
+                ELSE CASE WHEN max_by(x2 - x1 < y2 - y1, CAST(x2 - x1 AS BIGINT) * (y2 - y1) * 100000000 - line_id) THEN 'v' ELSE 'h' END END AS direction
+              FROM g GROUP BY page_id, region_id) q"""),
+)
+
+
+def _turned(spark, sf_dir):
+    """The boxes of two pages in three turned: the upper side moved to the right by a sixth (or a hundredth) of the height, the right side down to match."""
+    h, w = F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")
+    lean = F.floor(h / F.when(F.col("page_id") % 3 == 0, 6).when(F.col("page_id") % 3 == 1, 100).otherwise(1000000)).cast("int")
+    sink = F.floor(w * lean / h).cast("int")
+    at = lambda x, y: F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"))
+    x1, y1, x2, y2 = (F.col(e) for e in X.EDGES)
+    pts = F.array(at(x1 + lean, y1), at(x2 + lean, y1 + sink), at(x2, y2 + sink), at(x1, y2))
+    return X.with_edges(_lines(spark, sf_dir).select("page_id", "line_id", "prob", pts.alias("pts")))
+
+
+@_add("turned_features", None)
+def turned_features(spark, sf_dir):
+    f = X.features(_turned(spark, sf_dir))
+    r = lambda c: F.round(c, 6).alias(c)
+    return f.select("line_id", "w", "h", r("font"), r("aspect"), "cx2", "cy2", "area", "direction", r("angle"), "upright")
+
+
+_QUADS = """k AS (SELECT *, CAST(CASE page_id % 3 WHEN 0 THEN (y2 - y1) // 6 WHEN 1 THEN (y2 - y1) // 100 ELSE 0 END AS INT) AS lean FROM lines_fx),
+    c AS (SELECT line_id, x1 + lean AS ax, y1 AS ay, x2 + lean AS bx, y1 + (x2 - x1) * lean // (y2 - y1) AS by_, x2 AS cx, y2 + (x2 - x1) * lean // (y2 - y1) AS cy, x1 AS dx, y2 AS dy FROM k),
+    m AS (SELECT *, (cx + dx) // 2 - (ax + bx) // 2 AS vx, (cy + dy) // 2 - (ay + by_) // 2 AS vy, (dx + ax) // 2 - (bx + cx) // 2 AS ux, (dy + ay) // 2 - (by_ + cy) // 2 AS uy FROM c),
+    q AS (SELECT *, sqrt(CAST(vx * vx + vy * vy AS DOUBLE)) AS down, sqrt(CAST(ux * ux + uy * uy AS DOUBLE)) AS across FROM m)
+    SELECT line_id, greatest(ax, bx, cx, dx) - least(ax, bx, cx, dx) AS w, greatest(ay, by_, cy, dy) - least(ay, by_, cy, dy) AS h, round(least(down, across), 6) AS font, round(across / down, 6) AS aspect,
+      (ax + bx + cx + dx) / 2.0 AS cx2, (ay + by_ + cy + dy) / 2.0 AS cy2, abs(ax * by_ - bx * ay + bx * cy - cx * by_ + cx * dy - dx * cy + dx * ay - ax * dy) / 2.0 AS area,
+      CASE WHEN (CASE WHEN down >= across THEN abs(vx) ELSE abs(ux) END) <= (CASE WHEN down >= across THEN abs(vy) ELSE abs(uy) END) THEN 'v' ELSE 'h' END AS direction,
+      round(acos(vx / down), 6) AS angle, least(abs(vx) / down, abs(vy) / down, abs(ux) / across, abs(uy) / across) < 0.05 AS upright FROM q"""
+QUERIES["turned_features"] = (turned_features, sql_with("lines_fx", "WITH " + _QUADS))
+
+
+@_add("turned_groups", None)
+def turned_groups(spark, sf_dir):
+    """Leant lines grouped, and the groups split."""
+    lines = _turned(spark, sf_dir)
+    comp = X.components(lines, X.merge_edges(lines)).withColumnRenamed("component", "region_id")
+    return R.component_split(lines.join(comp, ["page_id", "line_id"]))
+
+
 @_add(
     "size_sorted_chunks",
     """SELECT page_id, line_id, chunk, CAST(4 * ((max(w) OVER (PARTITION BY page_id, chunk) + 7) // 4) AS BIGINT) AS padded

@@ -128,6 +128,23 @@ def admission_hourly(spark, sf_dir):
     return J.admission(r, "ip", "at", "req_id", 12, 3600).select("req_id", "ip", "admitted")
 
 
+_DECIDE = """WITH r AS (SELECT req_id, ip, epoch_us(ts) AS t, pages FROM requests_fx), j AS (SELECT ip, t AS a, t + CAST(pages AS BIGINT) * 15000000 AS b FROM r WHERE req_id % 3 <> 0 AND pages <= 150),
+    m AS (SELECT ip, a AS t, 1 AS d, NULL AS req_id, 0 AS pages FROM j UNION ALL SELECT ip, b, -1, NULL, 0 FROM j UNION ALL SELECT ip, t, 0, req_id, pages FROM r),
+    w AS (SELECT *, sum(d) OVER (ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live, sum(d) OVER (PARTITION BY ip ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS own,
+            count(*) FILTER (d > 0) OVER (PARTITION BY ip ORDER BY t RANGE BETWEEN 3600000000 PRECEDING AND 1 PRECEDING) AS starts FROM m)
+    SELECT req_id, CASE WHEN pages > 150 THEN 413 WHEN live >= 8 THEN 503 WHEN own >= 2 OR starts >= 2 THEN 429 ELSE 200 END AS status FROM w WHERE req_id IS NOT NULL"""
+
+
+@_add("admission_decision", _DECIDE, "requests_fx")
+def admission_decision(spark, sf_dir):
+    """Two requests in three were admitted and run for a quarter of a minute a page; two starts an hour, since the events are sparse."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    requests = table(spark, sf_dir, "requests_fx").select("req_id", "ip", at.alias("at"), "pages")
+    run = requests.where("req_id % 3 <> 0 and pages <= 150")
+    jobs = run.select("ip", F.col("at").alias("start"), (F.col("at") + F.col("pages").cast("long") * 15_000_000).alias("end"))
+    return J.admission_decision(requests, jobs, hourly=2).select("req_id", "status")
+
+
 _LIVE = """WITH m AS (SELECT owner, ts, sum(d) AS d FROM (SELECT ip AS owner, epoch_us(ts) AS ts, 1 AS d FROM requests_fx UNION ALL SELECT ip, epoch_us(ts) + CAST(pages AS BIGINT) * 60000000, -1 FROM requests_fx) a GROUP BY owner, ts),
     e AS (SELECT ts, CAST(sum(d) OVER (ORDER BY ts) AS BIGINT) AS live_all FROM (SELECT ts, sum(d) AS d FROM m GROUP BY ts) b)
     SELECT owner, m.ts, CAST(sum(d) OVER (PARTITION BY owner ORDER BY m.ts) AS BIGINT) AS live, live_all FROM m JOIN e ON m.ts = e.ts"""

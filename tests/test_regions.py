@@ -64,3 +64,67 @@ def test_glossary_rules(spark):
     texts = spark.createDataFrame([(1, f"a friend of {name} came"), (2, "we met Robinsomvilleheightstown there" + rest), (3, "no such place" + rest)], "text_id long, text string")
     terms = spark.createDataFrame([(name, "R"), ("nowhere", "N")], "term string, target string")
     assert sorted((r.text_id, r.term, r.rule) for r in G.glossary_match(texts, terms).collect()) == [(1, name, "exact"), (2, name, "fuzzy")]
+    patterns = terms.union(spark.createDataFrame([(r"m[ae]t robin\w+", "P"), ("a friend of", "Q"), ("no (such)? places", None)], "term string, target string"))
+    got = {(r.text_id, r.term): (r.target, r.rule) for r in G.glossary_match(texts, patterns).collect()}
+    assert got == {(1, name): ("R", "exact"), (2, name): ("R", "fuzzy"), (1, "a friend of"): ("Q", "exact"), (2, r"m[ae]t robin\w+"): ("P", "regex")}
+
+
+# Corners of lines of a page and the groups they belong to.
+QUADS = [[[0, 3280], [237, 3234], [394, 4069], [149, 4096]], [[2400, 3210], [2493, 3210], [2498, 4061], [2405, 4061]],
+ [[2306, 3208], [2410, 3208], [2416, 3992], [2312, 3992]], [[2226, 3208], [2328, 3208], [2328, 4050], [2226, 4050]],
+ [[2149, 3205], [2242, 3205], [2237, 4005], [2144, 4005]], [[2160, 2298], [2245, 2298], [2250, 3069], [2165, 3069]],
+ [[2082, 2296], [2176, 2296], [2176, 3032], [2082, 3032]], [[2008, 2293], [2109, 2293], [2109, 2680], [2008, 2680]],
+ [[162, 1733], [256, 1733], [256, 2141], [162, 2141]], [[242, 1733], [336, 1733], [336, 2144], [242, 2144]],
+ [[2269, 1349], [2368, 1349], [2373, 1960], [2274, 1960]], [[2186, 1352], [2288, 1352], [2288, 1760], [2186, 1760]],
+ [[2373, 1357], [2442, 1357], [2442, 2077], [2373, 2077]], [[536, 1349], [613, 1349], [613, 1997], [536, 1997]],
+ [[594, 1344], [680, 1344], [696, 2072], [610, 2072]], [[1037, 485], [1282, 469], [1349, 1418], [1104, 1434]],
+ [[234, 528], [312, 528], [312, 1176], [234, 1176]], [[138, 509], [256, 509], [256, 706], [138, 706]],
+ [[2418, 384], [2504, 384], [2509, 1234], [2424, 1234]], [[2344, 381], [2429, 381], [2434, 965], [2349, 965]],
+ [[2269, 376], [2370, 376], [2370, 818], [2269, 818]], [[197, 42], [2405, 37], [2405, 362], [197, 368]]]
+GROUPS = [[0], [1, 2, 3, 4], [5, 6, 7], [8, 9], [10, 11, 12], [13, 14], [15], [16, 17], [18, 19, 20], [21]]
+
+
+def quads(spark, pts):
+    return X.with_edges(spark.createDataFrame([(0, i, [(float(x), float(y)) for x, y in p]) for i, p in enumerate(pts)], "page_id bigint, line_id bigint, pts array<struct<x:double,y:double>>"))
+
+
+def grouped(t):
+    comp = X.components(t, X.merge_edges(t)).withColumnRenamed("component", "region_id")
+    split = R.component_split(t.join(comp, ["page_id", "line_id"])).toPandas()
+    return sorted(sorted(g) for g in split.groupby("split_id")["line_id"].apply(list))
+
+
+def test_grouping_of_turned_lines(spark):
+    assert grouped(quads(spark, QUADS)) == GROUPS
+
+
+def test_turned_lines_merge_by_angle(spark):
+    """Two lines turned by 45 degrees side by side, one across them, and one further off."""
+    line = lambda x, y, dx, dy, wx, wy: [(x, y), (x + wx, y + wy), (x + wx + dx, y + wy + dy), (x + dx, y + dy)]
+    t = quads(spark, [line(0, 0, -200, 200, 20, 20), line(30, 30, -200, 200, 20, 20), line(60, 60, 200, 200, 20, -20), line(150, 150, -200, 200, 20, 20)])
+    assert not any(r.upright for r in X.features(t).collect())
+    assert [(r.u, r.v) for r in X.merge_edges(t).collect()] == [(0, 1)]
+
+
+def test_quad_distance(spark):
+    square = lambda x, y: [(x, y), (x + 10.0, y), (x + 10.0, y + 10.0), (x, y + 10.0)]
+    tilted = [(20.0, 0.0), (30.0, 10.0), (20.0, 20.0), (10.0, 10.0)]
+    cases = [(square(0.0, 0.0), square(13.0, 14.0), 5.0), (square(0.0, 0.0), square(5.0, 5.0), 0.0), (square(2.0, -4.0), tilted, 2**0.5), (square(15.0, 5.0), tilted, 0.0), (square(0.0, 0.0), square(10.0, 0.0), 0.0)]
+    kind = "array<struct<x:double,y:double>>"
+    got = spark.createDataFrame([(i, a, c) for i, (a, c, _) in enumerate(cases)], f"i int, a {kind}, c {kind}").select("i", X.quad_distance(F.col("a"), F.col("c")).alias("d"), X.quad_distance(F.col("c"), F.col("a")).alias("e")).collect()
+    assert all(abs(r.d - cases[r.i][2]) < 1e-9 and r.d == r.e for r in got)
+
+
+def test_angle_of_regions(spark):
+    tilt = lambda x, by: [(x, 0), (x + 20, 0), (x + 20 + by, 200), (x + by, 200)]
+    t = quads(spark, [tilt(0, 40), tilt(30, 60), tilt(500, 4)]).selectExpr("*", "if(line_id < 2, 0, 2) as region_id", "0.5D as prob")
+    got = {r.region_id: round(r.angle, 3) for r in R.region_aggregate(t).collect()}
+    assert got == {0: round(-(11.310 + 16.699) / 2, 3), 2: 0.0}
+
+
+def test_evaluation_with_ignored_truth(spark):
+    rows = [(1, 1, 0, 0, 10, 10, False), (1, 2, 100, 0, 200, 100, True), (2, 3, 0, 0, 10, 10, True), (3, 4, 0, 0, 10, 10, None)]
+    truth = spark.createDataFrame(rows, "page_id bigint, line_id bigint, x1 int, y1 int, x2 int, y2 int, dim boolean")
+    found = spark.createDataFrame([(1, 1, 0, 0, 10, 9), (1, 2, 110, 0, 140, 20), (1, 3, 190, 0, 230, 10), (2, 4, 1, 1, 9, 9), (4, 5, 0, 0, 5, 5)], "page_id bigint, line_id bigint, x1 int, y1 int, x2 int, y2 int")
+    got = {r.page_id: (r.n_truth, r.n_found, r.matched, r.recall, r.precision) for r in R.detection_eval(truth, found, ignore="dim").collect()}
+    assert got == {1: (1, 2, 1, 1.0, 0.5), 2: (0, 0, 0, 1.0, 1.0), 3: (1, 0, 0, 0.0, 0.0), 4: (0, 1, 0, 1.0, 0.0), None: (2, 3, 1, 0.5, 1 / 3)}
