@@ -6,16 +6,21 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from folio.llm import oracles
 from folio.llm.chat import format_chats
 from folio.llm.ctw import lm_scores
 from folio.llm.decontaminate import contaminated
 from folio.llm.exact_dedup import exact_groups
+from folio.llm.hard_negatives import hard_negatives
 from folio.llm.line_dedup import line_report
+from folio.llm.minhash import minhash_classes
 from folio.llm.mixing import mix_sources
 from folio.llm.quality import quality_scores
 from folio.llm.simhash import simhash_classes
 from folio.llm.token_counts import token_counts
+from folio.llm.vector_codes import vector_codes
 from folio.llm.warc import write_and_read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +71,19 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vec_id, label = F.col("vec_id"), F.col("label")
+    return hard_negatives(_table(spark, sf_dir, "embeddings"), vec_id % 50 == 0, F.when(vec_id % 7 == 0, (label + 1) % 10).otherwise(label))
+
+
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_classes(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = (
     op1_token_counts,
     op2_simhash,
@@ -77,6 +95,9 @@ QUERIES = (
     op8_chat_format,
     op9_quality,
     op10_line_dedup,
+    op11_vector_codes,
+    op12_hard_negatives,
+    op13_minhash,
 )
 
 
@@ -99,4 +120,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size,
                    doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
             FROM n""",
+        "op11_vector_codes": oracles.VECTOR_CODES,
+        "op12_hard_negatives": oracles.HARD_NEGATIVES,
+        "op13_minhash": oracles.MINHASH,
     }
