@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
+
+from folio.operators.folds import Fold, Hour, Lifecycle, Uploads, folded
 
 # Codes of a status frame.
 RESULT, PROGRESS, ERROR, QUEUE, DISPATCHED, PAGE = 0, 1, 2, 3, 4, 5
@@ -73,18 +69,18 @@ def abandoned(polls: DataFrame, grace_s: int, now: Column | None = None) -> Data
 
 
 def retention(jobs: DataFrame, now: Column, keep_s: int) -> DataFrame:
-    """Finished jobs whose end and last poll lie further back than keep_s."""
-    return jobs.where(F.unix_micros(now) - F.greatest(F.unix_micros("done_at"), F.unix_micros("last_poll")) > keep_s * 1_000_000)
+    """Finished jobs whose end, or last poll where the end is not known, lies further back than keep_s."""
+    return jobs.where(F.unix_micros(now) - F.coalesce(F.unix_micros("done_at"), F.unix_micros("last_poll")) > keep_s * 1_000_000)
 
 
 def upload_assembly(parts: DataFrame, most_pages: int) -> DataFrame:
-    """parts(token, part, parts, pages, ts): last write per part wins; status complete, rejected (too many pages) or incomplete."""
+    """parts(token, part, parts, pages, ts): last write per part wins; status rejected (too many pages, though parts be missing), complete or incomplete."""
     last = parts.groupBy("token", "part").agg(F.max_by("pages", "ts").alias("pages"), F.max("parts").alias("parts"))
     all_ = last.groupBy("token").agg(
         F.count("*").alias("have"), F.max("parts").alias("parts"), F.sum("pages").alias("pages"),
         F.transform(F.sort_array(F.collect_list(F.struct("part", "pages"))), lambda x: x["pages"]).alias("layout"),
     )
-    status = F.when(F.col("have") < F.col("parts"), "incomplete").when(F.col("pages") > most_pages, "rejected").otherwise("complete")
+    status = F.when(F.col("pages") > most_pages, "rejected").when(F.col("have") < F.col("parts"), "incomplete").otherwise("complete")
     return all_.select("token", "have", "pages", F.array_join(F.transform("layout", lambda x: x.cast("string")), ",").alias("layout"), status.alias("status"))
 
 
@@ -128,55 +124,25 @@ def spacing_schedule(calls: DataFrame, key: str, at: str, order: str, gap: float
     return shifted.withColumn("start", F.col("_i") * gap + F.max("_s").over(w)).drop("_i", "_s")
 
 
-def _folded(rows: DataFrame, key: str, at: str, order: str, extra: str, fold: Callable[[], Fold]) -> DataFrame:
-    """Each key's rows in order (at, order) through a fold of its own, streamed: only what the fold remembers is held, never a key."""
-    names = rows.columns
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, state, out, first = None, None, [], True
-        for b in batches:
-            for row in b.to_pylist():
-                if first or row[key] != current:
-                    out += [] if first else state.close()
-                    current, state, first = row[key], fold(), False
-                out += state.step(row)
-            yield pa.RecordBatch.from_pylist(out, schema=target)
-            out = []
-        if not first:
-            yield pa.RecordBatch.from_pylist(state.close(), schema=target)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", " + extra
-    target = to_arrow_schema(StructType.fromDDL(schema))
-    return rows.select(*names).repartition(key).sortWithinPartitions(key, at, order).mapInArrow(run, schema)
-
-
-class Fold:
-    """step(row) and close() give the rows that go out."""
+def admission(requests: DataFrame, key: str, at: str, order: str, hourly: int, window: int) -> DataFrame:
+    """Per key in time order: admitted unless `hourly` admitted starts lie in the window before, its edge included; only admitted starts count.
 
-    def step(self, row: dict) -> list[dict]:
-        raise NotImplementedError
-
-    def close(self) -> list[dict]:
-        return []
-
-
-def admission(requests: DataFrame, key: str, at: str, order: str, hourly: int, window_s: int) -> DataFrame:
-    """Per key in time order: admitted unless `hourly` admitted starts lie in the window before; only admitted starts count.
-
-    The decisions of one key depend on one another; a fold remembers its last `hourly` starts.
+    The decisions of one key depend on one another; the fold remembers its last `hourly` starts.
+    Times are whole numbers of one unit.
     """
+    rows = requests.withColumnRenamed(at, "at")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields) + ", admitted boolean"
+    return folded(rows, key, "at", order, schema, lambda: Hour(hourly, window)).withColumnRenamed("at", at)
 
-    class Hour(Fold):
-        def __init__(self):
-            self.held = deque(maxlen=hourly)
 
-        def step(self, row: dict) -> list[dict]:
-            admitted = len(self.held) < hourly or self.held[0] <= row[at] - window_s
-            if admitted:
-                self.held.append(row[at])
-            return [row | {"admitted": admitted}]
+def uploads(parts: DataFrame, most_pages: int, ttl: int, exists: int, until: int) -> DataFrame:
+    """parts(token, part, parts, pages, at): what became of each upload until then, as folds.Uploads tells."""
+    return folded(parts, "token", "at", "part", Uploads.schema, lambda: Uploads(most_pages, ttl, exists), until)
+
 
-    return _folded(requests, key, at, order, "admitted boolean", Hour)
+def lifecycle(events: DataFrame, grace: int, keep: int, until: int) -> DataFrame:
+    """events(token, seq, kind, at, done_at): the jobs that are forgotten until then, as folds.Lifecycle tells."""
+    return folded(events, "token", "at", "seq", Lifecycle.schema, lambda: Lifecycle(grace, keep), until)
 
 
 def admission_decision(requests: DataFrame, jobs: DataFrame, most_pages: int = 150, most_live: int = 8, most_own: int = 2, hourly: int = 12, block: int = 3_600_000_000) -> DataFrame:
@@ -223,7 +189,8 @@ def throttle_latest(events: DataFrame, key: str, at: str, order: str, rate: floa
             self.pending = row
             return out
 
-    return _folded(events, key, at, order, "sent_at double", Throttle)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in events.schema.fields) + ", sent_at double"
+    return folded(events, key, at, order, schema, Throttle)
 
 
 def ratio(a: Column, b: Column, scale: float = 1.0) -> Column:

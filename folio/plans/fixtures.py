@@ -44,6 +44,27 @@ TABLES = {
         SELECT page_range AS chunk_id, page_range*16 AS start_page, page_range*16+16 AS end_page
         FROM (SELECT DISTINCT CAST(floor(event_id/16) AS BIGINT) AS page_range FROM events) a""",
     "delivered_fx": "SELECT event_id AS page FROM events WHERE event_id%16 < 4 + CAST(floor(event_id/16) AS BIGINT)%13",
+    "timed_uploads_fx": """
+        SELECT 'g' || CAST(CAST(floor(o_orderkey/4) AS BIGINT) AS STRING) AS token, CAST(o_orderkey%4 AS INT) AS part, 4 AS parts,
+               CAST(1+o_custkey%40 AS INT) AS pages, 1704067200000000 + CAST(floor(o_orderkey/4) AS BIGINT)*7000000 + ((o_custkey*37)%420)*1000000 AS moment,
+               1704067200000000 + CAST(floor(o_orderkey/4) AS BIGINT)*7000000 + ((o_custkey*37)%420 + o_orderkey%90)*1000000 AS arrival
+        FROM orders WHERE o_orderkey%13 <> 0
+        UNION ALL
+        SELECT 'g' || CAST(CAST(floor(o_orderkey/4) AS BIGINT) AS STRING), CAST(o_orderkey%4 AS INT), 4, CAST(1+o_custkey%30 AS INT),
+               1704067200000000 + CAST(floor(o_orderkey/4) AS BIGINT)*7000000 + ((o_custkey*37)%420 + 30 + o_custkey%50)*1000000,
+               1704067200000000 + CAST(floor(o_orderkey/4) AS BIGINT)*7000000 + ((o_custkey*37)%420 + 30 + o_custkey%50 + o_orderkey%90)*1000000
+        FROM orders WHERE o_orderkey%5 = 0""",
+    "job_events_fx": """
+        SELECT 'j' || CAST(job AS STRING) AS token, seq, kind, moment, CASE WHEN kind IN ('done', 'failed') AND job%4 <> 0 THEN moment END AS done_at,
+               moment + (user_id%20)*1000000 AS arrival
+        FROM (SELECT job, event_id AS seq, user_id,
+                     CASE WHEN step=0 OR (step=11 AND job%11=0) THEN 'start' WHEN step=9 AND job%3=1 THEN 'done' WHEN step=9 AND job%3=2 THEN 'failed' ELSE 'poll' END AS kind,
+                     1704067200000000 + job*15000000 + step*(5+job%9)*1000000 + CASE WHEN job%5=0 AND step>=7 THEN 60000000 ELSE 0 END + CASE WHEN job%11=0 AND step=11 THEN 400000000 ELSE 0 END AS moment
+              FROM (SELECT *, CAST(floor(event_id/12) AS BIGINT) AS job, event_id%12 AS step FROM events) a) b""",
+    "bursts_fx": "SELECT event_id AS req_id, user_id AS ip, 1704067200000000 + (event_id%9973)*600000 AS moment FROM events",
+    "late_calls_fx": """
+        SELECT event_id AS call_id, event_type AS stage, moment, moment + CASE WHEN event_id%97=0 THEN 518400000000 ELSE (event_id%50)*60000000 END AS arrival
+        FROM (SELECT *, 1704067200000000 + (event_id%9973)*259000000 AS moment FROM events) a""",
     "panels_fx": """
         SELECT page_id, CAST(page_id*9 + c AS BIGINT) AS panel_id, CAST(min(x1) AS INT) AS x1, CAST(min(y1) AS INT) AS y1,
                CAST(max(x2) AS INT) AS x2, CAST(max(y2) AS INT) AS y2
@@ -58,6 +79,8 @@ def sql_with(names: str | list[str], body: str) -> str:
         wanted.insert(0, "lines_fx")
     ctes = ", ".join(f"{n} AS ({TABLES[n]})" for n in sorted(wanted, key=list(TABLES).index))
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
 
 

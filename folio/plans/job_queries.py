@@ -76,13 +76,15 @@ def abandoned_jobs(spark, sf_dir):
 
 @_add(
     "retention",
-    """WITH j AS (SELECT token, max(ts) FILTER (code IN (0, 2)) AS done_at, max(ts) AS last_poll FROM frames_fx GROUP BY token)
-       SELECT token FROM j WHERE done_at IS NOT NULL AND epoch_us((SELECT max(ts) FROM frames_fx)) - greatest(epoch_us(done_at), epoch_us(last_poll)) > 120000000""",
+    """WITH j AS (SELECT token, max(ts) FILTER (code IN (0, 2) AND seq % 2 = 0) AS done_at, bool_or(code IN (0, 2)) AS ended, max(ts) AS last_poll FROM frames_fx GROUP BY token)
+       SELECT token FROM j WHERE ended AND epoch_us((SELECT max(ts) FROM frames_fx)) - coalesce(epoch_us(done_at), epoch_us(last_poll)) > 120000000""",
     "frames_fx",
 )
 def retention(spark, sf_dir):
-    f = table(spark, sf_dir, "frames_fx").select("token", "code", F.col("ts").cast("timestamp").alias("ts"))
-    jobs = f.groupBy("token").agg(F.max(F.when(F.col("code").isin(0, 2), F.col("ts"))).alias("done_at"), F.max("ts").alias("last_poll")).where("done_at is not null")
+    """Ends with an odd number carry no time, so the last poll counts for some jobs."""
+    f = table(spark, sf_dir, "frames_fx").select("token", "seq", "code", F.col("ts").cast("timestamp").alias("ts"))
+    ended = F.col("code").isin(0, 2)
+    jobs = f.groupBy("token").agg(F.max(F.when(ended & (F.col("seq") % 2 == 0), F.col("ts"))).alias("done_at"), F.bool_or(ended).alias("ended"), F.max("ts").alias("last_poll")).where("ended")
     now = f.agg(F.max("ts")).first()[0]
     return J.retention(jobs, F.lit(now), 120).select("token")
 
@@ -91,7 +93,7 @@ def retention(spark, sf_dir):
     "upload_assembly",
     """WITH last AS (SELECT token, part, max_by(pages, ts) AS pages, max(parts) AS parts FROM uploads_fx GROUP BY token, part),
        a AS (SELECT token, count(*) AS have, max(parts) AS parts, CAST(sum(pages) AS BIGINT) AS pages, string_agg(CAST(pages AS VARCHAR), ',' ORDER BY part) AS layout FROM last GROUP BY token)
-       SELECT token, have, pages, layout, CASE WHEN have < parts THEN 'incomplete' WHEN pages > 100 THEN 'rejected' ELSE 'complete' END AS status FROM a""",
+       SELECT token, have, pages, layout, CASE WHEN pages > 100 THEN 'rejected' WHEN have < parts THEN 'incomplete' ELSE 'complete' END AS status FROM a""",
     "uploads_fx",
 )
 def upload_assembly(spark, sf_dir):
@@ -122,10 +124,74 @@ def admission(spark, sf_dir):
     return table(spark, sf_dir, "requests_fx").select("req_id", F.when(F.col("pages") > 150, 413).otherwise(200).alias("status"))
 
 
-@_add("admission_hourly", None)
+@_add(
+    "admission_hourly",
+    """WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY moment, req_id) AS n FROM bursts_fx),
+       s AS (SELECT DISTINCT ip, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS held, CAST(NULL AS BIGINT) AS req_id, false AS admitted FROM bursts_fx
+             UNION ALL
+             SELECT ip, n, CASE WHEN len(h) < 12 THEN list_append(h, moment) ELSE h END, req_id, len(h) < 12
+             FROM (SELECT r.ip, r.n, r.moment, r.req_id, [x for x in s.held if r.moment - x <= 3600000000] AS h FROM s JOIN r ON r.ip = s.ip AND r.n = s.n + 1) q)
+       SELECT req_id, ip, admitted FROM s WHERE n > 0""",
+    "bursts_fx",
+)
 def admission_hourly(spark, sf_dir):
-    r = table(spark, sf_dir, "requests_fx").select("req_id", "ip", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return J.admission(r, "ip", "at", "req_id", 12, 3600).select("req_id", "ip", "admitted")
+    return J.admission(table(spark, sf_dir, "bursts_fx"), "ip", "moment", "req_id", 12, 3_600_000_000).select("req_id", "ip", "admitted")
+
+
+#: After all times of the derived tables: what is open then comes to its end.
+CLOSING = 2_000_000_000_000_000
+
+_UPLOADS = """WITH RECURSIVE r AS (SELECT token, part, pages, moment, row_number() OVER (PARTITION BY token ORDER BY moment, part) AS n FROM timed_uploads_fx
+           UNION ALL SELECT token, NULL, NULL, 2000000000000001, count(*) + 1 FROM timed_uploads_fx GROUP BY token),
+    s AS (SELECT DISTINCT token, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS created, [CAST(NULL AS BIGINT), NULL, NULL, NULL] AS got, CAST(0 AS BIGINT) AS known,
+                 CAST(NULL AS STRUCT(created BIGINT, ended_at BIGINT, got BIGINT[], status VARCHAR)) AS before, CAST(NULL AS STRUCT(created BIGINT, ended_at BIGINT, got BIGINT[], status VARCHAR)) AS out FROM timed_uploads_fx
+          UNION ALL
+          SELECT token, n, CASE WHEN status IS NULL THEN created END, CASE WHEN status IS NULL THEN got ELSE [NULL, NULL, NULL, NULL] END,
+                 CASE WHEN status = 'complete' THEN moment + 120000000 ELSE known END, before, CASE WHEN status IS NOT NULL THEN {'created': created, 'ended_at': moment, 'got': got, 'status': status} END
+          FROM (SELECT *, CASE WHEN idle THEN NULL WHEN list_sum(got) > 100 THEN 'rejected' WHEN len([x for x in got if x IS NOT NULL]) >= 4 THEN 'complete' END AS status
+            FROM (SELECT token, n, moment, known, before, idle, CASE WHEN idle THEN created ELSE coalesce(created, moment) END AS created,
+                         CASE WHEN idle THEN got ELSE [CASE WHEN part = i THEN pages ELSE got[i + 1] END for i in [0, 1, 2, 3]] END AS got
+              FROM (SELECT *, part IS NULL OR known > 0 AS idle
+                FROM (SELECT r.token, r.n, r.part, CAST(r.pages AS BIGINT) AS pages, r.moment, CASE WHEN s.known < r.moment THEN 0 ELSE s.known END AS known,
+                             CASE WHEN r.moment > s.created + 300000000 THEN NULL ELSE s.created END AS created,
+                             CASE WHEN r.moment > s.created + 300000000 THEN [NULL, NULL, NULL, NULL] ELSE s.got END AS got,
+                             CASE WHEN r.moment > s.created + 300000000 THEN {'created': s.created, 'ended_at': s.created + 300000000, 'got': s.got, 'status': 'dropped'} END AS before
+                      FROM s JOIN r ON r.token = s.token AND r.n = s.n + 1) q1) q2) q3) q4),
+    o AS (SELECT token, before AS o FROM s WHERE before IS NOT NULL UNION ALL SELECT token, out FROM s WHERE out IS NOT NULL)
+    SELECT token, o.created AS created, o.ended_at AS ended_at, CAST(len([x for x in o.got if x IS NOT NULL]) AS INT) AS have, CAST(list_sum(o.got) AS BIGINT) AS pages,
+           array_to_string([CAST(x AS VARCHAR) for x in o.got if x IS NOT NULL], ',') AS layout, o.status AS status FROM o"""
+
+
+@_add("upload_expiry", _UPLOADS, "timed_uploads_fx")
+def upload_expiry(spark, sf_dir):
+    """Uploads rejected at the part that passes 100 pages, dropped 300 s after their first part; complete ones are known for 120 s."""
+    parts = table(spark, sf_dir, "timed_uploads_fx").drop("arrival").withColumnRenamed("moment", "at")
+    return J.uploads(parts, 100, 300_000_000, 120_000_000, CLOSING)
+
+
+_LIFECYCLE = """WITH RECURSIVE r AS (SELECT token, kind, moment, done_at, row_number() OVER (PARTITION BY token ORDER BY moment, seq) AS n FROM job_events_fx
+           UNION ALL SELECT token, 'end', 2000000000000001, NULL, count(*) + 1 FROM job_events_fx GROUP BY token),
+    s AS (SELECT DISTINCT token, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS status, CAST(NULL AS BIGINT) AS started, CAST(NULL AS BIGINT) AS last_poll, CAST(NULL AS BIGINT) AS done_at,
+                 CAST(NULL AS STRUCT(status VARCHAR, started BIGINT, last_poll BIGINT, done_at BIGINT, gone_at BIGINT)) AS gone FROM job_events_fx
+          UNION ALL
+          SELECT token, n, CASE WHEN status IS NULL AND kind = 'start' THEN 'running' WHEN status = 'running' AND kind IN ('done', 'failed') THEN kind ELSE status END,
+                 CASE WHEN status IS NULL AND kind = 'start' THEN moment ELSE started END, CASE WHEN kind = 'start' OR kind = 'poll' AND status IS NOT NULL THEN moment ELSE last_poll END,
+                 CASE WHEN status = 'running' AND kind IN ('done', 'failed') THEN end_at ELSE done_at END, gone
+          FROM (SELECT token, n, kind, moment, end_at, CASE WHEN NOT over THEN status END AS status, CASE WHEN NOT over THEN started END AS started, CASE WHEN NOT over THEN last_poll END AS last_poll,
+                       CASE WHEN NOT over THEN done_at END AS done_at,
+                       CASE WHEN over THEN {'status': status, 'started': started, 'last_poll': last_poll, 'done_at': done_at, 'gone_at': coalesce(done_at, last_poll) + 120000000} END AS gone
+            FROM (SELECT *, coalesce(status <> 'running' AND moment > coalesce(done_at, last_poll) + 120000000, false) AS over
+              FROM (SELECT r.token, r.n, r.kind, r.moment, r.done_at AS end_at, s.started, s.last_poll,
+                           CASE WHEN s.status = 'running' AND r.moment > s.last_poll + 40000000 THEN 'cancelled' ELSE s.status END AS status,
+                           CASE WHEN s.status = 'running' AND r.moment > s.last_poll + 40000000 THEN s.last_poll + 40000000 ELSE s.done_at END AS done_at
+                    FROM s JOIN r ON r.token = s.token AND r.n = s.n + 1) q1) q2) q3)
+    SELECT token, gone.status AS status, gone.started AS started, gone.last_poll AS last_poll, gone.done_at AS done_at, gone.gone_at AS gone_at FROM s WHERE gone IS NOT NULL"""
+
+
+@_add("job_lifecycle", _LIFECYCLE, "job_events_fx")
+def job_lifecycle(spark, sf_dir):
+    """Jobs cancelled 40 s after their last poll, forgotten 120 s after their end."""
+    return J.lifecycle(table(spark, sf_dir, "job_events_fx").drop("arrival").withColumnRenamed("moment", "at"), 40_000_000, 120_000_000, CLOSING)
 
 
 _DECIDE = """WITH r AS (SELECT req_id, ip, epoch_us(ts) AS t, pages FROM requests_fx), j AS (SELECT ip, t AS a, t + CAST(pages AS BIGINT) * 15000000 AS b FROM r WHERE req_id % 3 <> 0 AND pages <= 150),

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from folio.operators import folds
 from folio.operators import jobs as J
 from folio.storage import scratch_path
+from folio.streaming.folds import folded
+
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -19,28 +23,67 @@ def file_stream(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
+def replay(rows: DataFrame, arrival: str, slices: int, closing: DataFrame | None = None, folder: str | None = None) -> DataFrame:
+    """A table as a stream of `slices` micro-batches, in order of `arrival` (a number), and closing as one more.
+
+    Each slice covers as long a time as any other and is one file, so a trigger takes one; with a
+    folder given, a slice that is there already is not written again.
+    """
+    spark = rows.sparkSession
+    folder = folder or scratch_path(spark, "replay")
+    for n, part in enumerate([*sliced(rows, arrival, slices), *([] if closing is None else [closing])]):
+        part.coalesce(1).write.mode("ignore").parquet(f"{folder}/slice={n:04d}")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+
+
+def sliced(rows: DataFrame, arrival: str, slices: int) -> list[DataFrame]:
+    """The slices of replay(): by floor((arrival - first) * slices / (last - first + 1))."""
+    first, last = rows.agg(F.min(arrival), F.max(arrival)).first()
+    if first is None:
+        return [rows]
+    number = F.floor((F.col(arrival) - first) * slices / F.lit(last - first + 1))
+    return [rows.where(number == n) for n in range(slices)]
+
+
+@contextmanager
+def _state_in_rocks_db(spark: SparkSession) -> Iterator[None]:
+    """Timers and list state need it."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, ROCKS_DB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(PROVIDER)
+        else:
+            spark.conf.set(PROVIDER, before)
+
+
+def run_available(stream: DataFrame, mode: str = "append", path: str | None = None, keep: list | None = None) -> DataFrame:
     """Run a stream over all that is there, then read its result.
 
-    append goes to a parquet sink with exactly-once file commits; complete and update write each
-    epoch to a folder of its own, so an epoch that is run again overwrites itself.
+    append goes to a parquet sink with exactly-once file commits; complete writes each epoch to a
+    folder of its own, so an epoch that is run again overwrites itself, and the last holds the
+    result. An update-mode result would have to be merged by a key, so that mode is refused. With
+    the path of an earlier run it goes on from its checkpoint. keep gets the progress reports.
     """
     spark = stream.sparkSession
-    path = scratch_path(spark, "stream")
+    if mode not in ("append", "complete"):
+        raise ValueError("append or complete mode only")
+    path = path or scratch_path(spark, "stream")
     writer = stream.writeStream.trigger(availableNow=True).option("checkpointLocation", f"{path}/checkpoint").outputMode(mode)
+    with _state_in_rocks_db(spark):
+        if mode == "append":
+            query = writer.format("parquet").option("path", f"{path}/data").start()
+        else:
+            query = writer.foreachBatch(lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch:09d}")).start()
+        query.awaitTermination()
+    if keep is not None:
+        keep += query.recentProgress
     if mode == "append":
-        writer.format("parquet").option("path", f"{path}/data").start().awaitTermination()
         return spark.read.schema(stream.schema).parquet(f"{path}/data")
-    last: dict[str, int] = {}
-
-    def keep(df: DataFrame, epoch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/data/epoch={epoch}")
-        last["epoch"] = max(epoch, last.get("epoch", 0))
-
-    writer.foreachBatch(keep).start().awaitTermination()
-    if "epoch" not in last:
-        return spark.createDataFrame([], stream.schema)
-    return spark.read.schema(stream.schema).parquet(f"{path}/data/epoch={last['epoch']}")
+    epochs = spark.read.option("basePath", f"{path}/data").parquet(f"{path}/data")
+    return epochs.where(F.col("epoch") == epochs.agg(F.max("epoch")).first()[0]).select(*stream.columns)
 
 
 def job_state(frames: DataFrame) -> DataFrame:
@@ -58,12 +101,10 @@ def abandoned(polls: DataFrame, grace: str, delay: str) -> DataFrame:
     return polls.withWatermark("ts", delay).groupBy("token", F.session_window("ts", grace).alias("w")).agg(F.count("*").alias("polls"))
 
 
-def tumbling(frames: DataFrame, width: str, delay: str) -> DataFrame:
-    """Pages and failures by event-time window; rows later than the watermark are dropped."""
-    windows = frames.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w"))
-    return windows.agg(F.count_if(F.col("code") == J.PAGE).alias("pages"), F.count_if(F.col("code") == J.ERROR).alias("failures")).select(
-        F.col("w.start").alias("start"), "pages", "failures"
-    )
+def tumbling(rows: DataFrame, width: str, delay: str, *counters: Column) -> DataFrame:
+    """Counters by event-time window of `ts`; a row whose window the watermark has closed is dropped."""
+    windows = rows.withWatermark("ts", delay).groupBy(F.window("ts", width).alias("w")).agg(*counters)
+    return windows.select(F.col("w.start").alias("start"), *[c for c in windows.columns if c != "w"])
 
 
 def isolated(frames: DataFrame, jobs: DataFrame) -> DataFrame:
@@ -71,41 +112,18 @@ def isolated(frames: DataFrame, jobs: DataFrame) -> DataFrame:
     return frames.join(jobs.select("token"), "token", "left_semi")
 
 
-def _stateful(rows: DataFrame, key: str, fn: Callable, out: str, state: str) -> DataFrame:
-    return rows.groupBy(key).applyInPandasWithState(fn, out, state, "append", GroupStateTimeout.NoTimeout)
-
-
-def admission(requests: DataFrame, hourly: int, window_s: int) -> DataFrame:
-    """requests(req_id, ip, at seconds): admitted unless `hourly` admitted starts lie in the window before."""
-
-    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(batches)).sort_values(["at", "req_id"], kind="stable")
-        out = []
-        for t in rows["at"]:
-            held = [x for x in held if x > t - window_s]
-            out.append(len(held) < hourly)
-            if out[-1]:
-                held.append(float(t))
-        state.update((held,))
-        yield pd.DataFrame({"req_id": rows["req_id"], "ip": rows["ip"], "admitted": out})
-
-    return _stateful(requests, "ip", decide, "req_id bigint, ip bigint, admitted boolean", "held array<double>")
+def admission(requests: DataFrame, hourly: int, window: int, delay: str) -> DataFrame:
+    """requests(req_id, ip, at): admitted unless `hourly` admitted starts lie in the window before; times in microseconds."""
+    kinds = {f.name: f.dataType.simpleString() for f in requests.schema}
+    schema = f"req_id {kinds['req_id']}, ip {kinds['ip']}, at bigint, admitted boolean"
+    return folded(requests, "ip", "at", "req_id", schema, lambda: folds.Hour(hourly, window), delay)
 
 
-def upload_assembly(parts: DataFrame, most_pages: int) -> DataFrame:
-    """parts(token, part, parts, pages, ts): a row when the last missing part of a token is in; later writes of a part win until then."""
+def uploads(parts: DataFrame, most_pages: int, ttl: int, exists: int, delay: str) -> DataFrame:
+    """parts(token, part, parts, pages, at): a row when an upload is complete, rejected or dropped, as folds.Uploads tells."""
+    return folded(parts, "token", "at", "part", folds.Uploads.schema, lambda: folds.Uploads(most_pages, ttl, exists), delay)
 
-    def gather(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        have = dict(zip(*state.get)) if state.exists else {}
-        if have.get(-1):
-            return
-        rows = pd.concat(list(batches)).sort_values("ts", kind="stable")
-        have |= {int(p): int(n) for p, n in zip(rows["part"], rows["pages"])}
-        if len(have) == int(rows["parts"].iloc[0]):
-            total = sum(have.values())
-            have[-1] = 1
-            yield pd.DataFrame({"token": [key[0]], "pages": [total], "status": ["rejected" if total > most_pages else "complete"]})
-        state.update((list(have), list(have.values())))
 
-    return _stateful(parts, "token", gather, "token bigint, pages bigint, status string", "parts array<int>, pages array<int>")
+def lifecycle(events: DataFrame, grace: int, keep: int, delay: str) -> DataFrame:
+    """events(token, seq, kind, at, done_at): a row when a job is forgotten, as folds.Lifecycle tells."""
+    return folded(events, "token", "at", "seq", folds.Lifecycle.schema, lambda: folds.Lifecycle(grace, keep), delay)
