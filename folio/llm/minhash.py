@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb, log
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,8 @@ MISS = 1e-9
 BLOCK = 1 << 12
 #: Parts over which the members of one band, and pairs of one set, are dealt.
 SALTS, PAIRS = 32, 256
+#: Bits of the hash buckets whose counts order shingles by how rare they are; the order costs time, never a pair.
+ORDER = 20
 
 # Odd factors of the hash functions: the output of a fixed linear congruential generator.
 _FACTORS = (np.cumprod(np.full(HASHES, 747796405, np.uint64)).astype(np.uint32) ^ np.uint32(0x9E3779B9)) | np.uint32(1)
@@ -178,30 +180,69 @@ def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(of("u", "_x"), "u", "left").join(of("v", "_y"), "v", "left").where(F.coalesce("_x", "u") != F.coalesce("_y", "v")).drop("_x", "_y")
 
 
-def _across(members: DataFrame, signatures: DataFrame, links: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): near pairs of one band whose ends lie in different components.
+def _prefixes(counts, percent: int):
+    """(id, n, keys): of each set the shingles of its prefix, the rarest first by counts of hash buckets.
 
-    Only bands that hold several components are looked at. Members meet by band and by size: similar
-    sets have sizes of one class or of neighbouring ones, a class being a factor of the threshold. The
-    members of the band's largest part stay where they are, dealt over SALTS parts; the others go to
-    each. Signatures are compared in the join, so a pair that is not near never comes out of it.
+    Similar sets of n and m shingles have at least percent of n and of m in common. So of the first
+    (100 - percent) % of n and one more, in an order that is the same for all sets, one is common.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        often = counts.value
+        for b in batches:
+            n, keys = [], []
+            for t in b.column(1):
+                hashes = np.array(t.as_py(), np.int64)
+                order = np.lexsort((hashes, often[hashes & (len(often) - 1)]))
+                n.append(len(hashes))
+                keys.append(hashes[order[: len(hashes) - -(-percent * len(hashes) // 100) + 1]])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "keys"])
+
+    return run
+
+
+def _across(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """(u, v): pairs of sets in bands of several components, the ends in different ones, that may be similar.
+
+    A large group of copies, each changed in its own places, would make pairs by the square of its
+    size. So these sets meet not by band but by the shingles of their prefixes, the rarest of each,
+    which loses no similar pair. What comes before a common shingle in one of the sets is rarer and not
+    common, unless it made the pair meet before; so the rest of both bounds the similarity. Copies
+    that differ too much meet late in their prefixes and are out by it. Sets of a shingle's largest
+    component stay where they are, dealt over parts of about PAIRS; the others go to each part. The
+    bounds and the signatures are compared in the join, so a pair that cannot be similar never comes
+    out of it.
+    """
+    spark, threshold = members.sparkSession, percent / 100
     comp = connected_components(links).withColumnRenamed("node", "id")
-    named = materialize(members.join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component"), "minhash-members")
-    per = named.groupBy("key", "c").agg(F.count("*").alias("k"))
-    main = per.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("key", "main")
-    salted = named.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
-    here = salted.join(main.select("key", "main", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")), ["key", "salt"])
-    level = F.floor(F.log("n") / F.lit(-log(threshold))).cast("int")
-    here = materialize(here.join(signatures.hint("merge"), "id").withColumn("level", level), "minhash-mixed")
-    minor = here.where("c <> main").select("key", F.col("id").alias("v"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("sig").alias("other"), F.explode(F.expr("array(level - 1, level, level + 1)")).alias("level"))
-    minor = minor.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    fits = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-9
-    met = here.join(minor.hint("merge"), ["key", "salt", "level"]).where(((F.col("c") == F.col("main")) | (F.col("c") < F.col("d"))) & (F.col("c") != F.col("d")) & fits)
-    far = different(F.col("sig"), F.col("other"))
-    found = met.where(far <= most_different(threshold)).select(*_pairs(F.col("id"), F.col("v"))).distinct()
+    named = members.join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id"))
+    named = materialize(named.select("key", "id", "c", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "minhash-members")
+    mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    apart = materialize(named.join(mixed.hint("merge"), ["key", "salt"]).select("id", "c").distinct(), "minhash-apart")
+    held = sets.join(apart.select("id").hint("merge"), "id", "left_semi")
+    bucket = F.explode("set").alias("shingle")
+    counted = held.select(bucket).groupBy(F.col("shingle").bitwiseAND(F.lit((1 << ORDER) - 1)).alias("b")).count().toPandas()  # at most 2^ORDER rows
+    often = np.zeros(1 << ORDER, np.int64)
+    often[counted["b"].to_numpy()] = counted["count"].to_numpy()
+    sent = spark.sparkContext.broadcast(often)
+    prefixes = held.mapInArrow(_prefixes(sent, percent), "id bigint, n bigint, keys array<bigint>")
+    known = prefixes.join(apart.hint("merge"), "id").join(signatures.select("id", "sig").hint("merge"), "id")
+    rows = materialize(known.select("id", "n", "c", "sig", F.posexplode("keys").alias("at", "key"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "minhash-prefixes")
+    per = rows.groupBy("key", "c").agg(F.count("*").alias("k"))
+    main = per.groupBy("key").agg(F.max_by("c", F.struct("k", "c")).alias("main"), F.count("*").alias("all"), F.sum("k").alias("k")).where("all > 1")
+    main = main.select("key", "main", F.ceil(F.col("k") / PAIRS).alias("parts"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    here = rows.join(main.hint("merge"), ["key", "salt"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts")))
+    minor = here.where("c <> main").select(
+        "key", F.col("id").alias("v"), F.col("c").alias("d"), F.col("n").alias("m"), F.col("at").alias("to"), F.col("sig").alias("other"),
+        F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part"),
+    )
+    once = ((F.col("c") == F.col("main")) | (F.col("c") < F.col("d"))) & (F.col("c") != F.col("d"))
+    enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
+    near = different(F.col("sig"), F.col("other")) <= most_different(threshold)
+    found = here.join(minor.hint("merge"), ["key", "part"]).where(once & enough & near).select(*_pairs(F.col("id"), F.col("v"))).distinct()
     found = materialize(found, "minhash-near")
-    discard(named, here)
+    sent.destroy()
+    discard(named, apart, rows)
     return found
 
 
@@ -210,8 +251,8 @@ def similar_links(classes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
 
     First each set is compared with the one before it in its bands, beginning with the neighbour met in
     most of them; that joins groups of near copies, however large, by a few comparisons a set.
-    Pairs of a band whose sets still lie apart are compared all. A pair counts only if its whole sets
-    are similar; sets_of(ids) gives them.
+    Sets of a band that still lie apart are compared by the shingles of their prefixes. A pair counts
+    only if its whole sets are similar; sets_of(ids) gives them.
     """
     threshold = percent / 100
     signatures = classes.select("id", "n", "sig")
@@ -226,7 +267,7 @@ def similar_links(classes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     links = materialize(_similar(first, sets, percent), "minhash-links")
     more = materialize(_similar(_apart(near, links), sets, percent), "minhash-links")
     links = links.union(more)
-    across = _across(members, signatures, links, threshold)
+    across = _across(members, signatures, sets, links, percent)
     last = materialize(_similar(across, sets, percent), "minhash-links")
     discard(members, near, sets, across)
     return links.union(last)
