@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections import deque
+import heapq
+from collections import Counter, deque
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -97,6 +98,44 @@ class Hour(Fold):
         self.held = deque(state)
 
 
+class Server(Fold):
+    """rows(req_id, ip, at, pages, ends, given) -> those not given, with status, as a server with one list of jobs decides them.
+
+    413 for too many pages, else 503 if most_live jobs are live, else 429 if most_own of the address are
+    live or `hourly` of its jobs began in the window before, its edge included, else 200. Only admitted
+    jobs count, from their start until just before they end. A given row is a job that was admitted before.
+    """
+
+    def __init__(self, most_pages: int, most_live: int, most_own: int, hourly: int, window: int):
+        self.most_pages, self.most_live, self.most_own, self.hourly, self.window = most_pages, most_live, most_own, hourly, window
+        self.live: list[tuple] = []
+        self.own: Counter = Counter()
+        self.starts: dict[Any, deque] = {}
+
+    def _status(self, row: dict) -> int:
+        if row["pages"] > self.most_pages:
+            return 413
+        if len(self.live) >= self.most_live:
+            return 503
+        if self.own[row["ip"]] >= self.most_own:
+            return 429
+        starts = self.starts.get(row["ip"], ())
+        while starts and row["at"] - starts[0] > self.window:
+            starts.popleft()
+        return 429 if len(starts) >= self.hourly else 200
+
+    def step(self, row: dict) -> list[dict]:
+        while self.live and self.live[0][0] <= row["at"]:
+            self.own[heapq.heappop(self.live)[2]] -= 1
+        status = 200 if row["given"] else self._status(row)
+        if status == 200:
+            if row["ends"] > row["at"]:
+                heapq.heappush(self.live, (row["ends"], row["req_id"], row["ip"]))
+                self.own[row["ip"]] += 1
+            self.starts.setdefault(row["ip"], deque()).append(row["at"])
+        return [] if row["given"] else [row | {"status": status}]
+
+
 class Uploads(Fold):
     """rows(token, part, parts, pages, at) -> (token, created, ended_at, have, pages, layout, status).
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.operators.folds import Fold, Hour, Lifecycle, Uploads, folded
+from folio.operators.folds import Fold, Hour, Lifecycle, Server, Uploads, folded
+from folio.storage import discard, materialize
 
 # Codes of a status frame.
 RESULT, PROGRESS, ERROR, QUEUE, DISPATCHED, PAGE = 0, 1, 2, 3, 4, 5
@@ -168,6 +169,49 @@ def admission_decision(requests: DataFrame, jobs: DataFrame, most_pages: int = 1
     return rows.select("req_id", "ip", "at", "pages", status.alias("status"))
 
 
+def admission_server(
+    requests: DataFrame, most_pages: int = 150, most_live: int = 8, most_own: int = 2, hourly: int = 12, window: int = 3_600_000_000, block: int = 21_600_000_000
+) -> DataFrame:
+    """requests(req_id, ip, at, pages, ends) plus status, as folds.Server decides them in order of (at, req_id); times in microseconds.
+
+    Each decision rests on those before it, so time is cut into blocks. A task folds the requests of a
+    block, given the jobs of earlier blocks that still are live or count for the hour. In the first
+    round there are none; then the blocks whose given jobs have changed are decided again, until
+    none has. The first block is right after one round and each next one at most a round after the
+    one before, so the rounds end; where a server comes to rest, or is given the same jobs, they end
+    there. No task sees more than a block and what reaches into it. A request that ends before its
+    start, or with a null end, is live at no time.
+    """
+    rows = requests.select("req_id", "ip", "at", "pages", F.coalesce("ends", "at").alias("ends"), F.floor(F.col("at") / block).alias("block"), F.lit(False).alias("given"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in rows.columns) + ", status int"
+    server = lambda: Server(most_pages, most_live, most_own, hourly, window)
+    decide = lambda r: folded(r, "block", "at", "req_id", schema, server)
+    rows = materialize(rows, "admission-requests")
+    decided = materialize(decide(rows), "admission")
+    used = None
+    while True:
+        reach = F.floor(F.greatest("ends", F.col("at") + window) / block)
+        later = decided.where((F.col("status") == 200) & (reach > F.col("block")))
+        given = later.drop("status").withColumn("given", F.lit(True)).withColumn("block", F.explode(F.sequence(F.col("block") + 1, reach)))
+        given = materialize(given, "admission-given")
+        marks = given.groupBy("block").agg(F.sum(F.xxhash64("req_id", "at", "ip").cast("decimal(38,0)")).alias("mark"), F.count("*").alias("n"))
+        marks = materialize(marks, "admission-marks")  # a row for each block
+        if used is None:
+            changed = marks.select("block")
+        else:
+            both = marks.join(used.withColumnsRenamed({"mark": "old", "n": "m"}), "block", "full")
+            changed = both.where(~(F.col("mark").eqNullSafe(F.col("old")) & F.col("n").eqNullSafe(F.col("m")))).select("block")
+        changed = materialize(changed.join(rows.select("block").distinct(), "block", "left_semi"), "admission-changed")
+        if changed.isEmpty():
+            discard(rows, given, marks, changed)
+            return decided.select("req_id", "ip", "at", "pages", "ends", "status")
+        again = decide(rows.union(given.select(*rows.columns)).join(changed, "block", "left_semi").select(*rows.columns))
+        after = materialize(again.unionByName(decided.join(changed, "block", "left_anti")), "admission")
+        discard(decided, given, changed, *([] if used is None else [used]))
+        decided, used = after, marks
+
+
 def throttle_latest(events: DataFrame, key: str, at: str, order: str, rate: float) -> DataFrame:
     """At most one event per `rate` seconds: the last of those that come meanwhile goes out when the time is over. Adds sent_at."""
 

@@ -335,11 +335,19 @@ def outline_consensus(lines: DataFrame) -> DataFrame:
     return lines.withColumn("white", agreed | F.col("white"))
 
 
-def modal_color(pixels: DataFrame, reference: tuple[int, int, int], away: int = 30, bucket: int = 24, least: int = 8) -> DataFrame:
-    """pixels(page_id, fg_r, fg_g, fg_b): medians and share of the fullest colour bucket away from the reference."""
+def modal_color(pixels: DataFrame, zone: str, reference: tuple[int, int, int], away: int = 30, bucket: int = 24, least: int = 8) -> DataFrame:
+    """(zone, r, g, b, share) for each zone of pixels(zone, fg_r, fg_g, fg_b): the medians of its fullest colour bucket away from the reference.
+
+    The medians are rounded, half to even; of buckets as full the lowest counts. The share is that of
+    the bucket's pixels in all of the zone. A zone with fewer than `least` pixels away from the
+    reference has no colour and the share zero.
+    """
     channels = ("fg_r", "fg_g", "fg_b")
     far = F.greatest(*[F.abs(F.col(c) - v) for c, v in zip(channels, reference)]) >= away
     keys = [F.floor(F.col(c) / bucket).alias(f"k{i}") for i, c in enumerate(channels)]
-    counted = pixels.where(far).groupBy("page_id", *keys).agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(0.5)).alias(x) for c, x in zip(channels, "rgb")])
-    best = counted.groupBy("page_id").agg(F.max_by(F.struct("r", "g", "b", "n"), F.struct("n", -F.col("k0"), -F.col("k1"), -F.col("k2"))).alias("m"), F.sum("n").alias("total"))
-    return best.where(F.col("total") >= least).select("page_id", "m.r", "m.g", "m.b", F.round(F.col("m.n") / F.col("total"), 6).alias("share"))
+    middle = [F.bround(F.percentile(c, F.lit(0.5))).cast("int").alias(x) for c, x in zip(channels, "rgb")]
+    counted = pixels.where(far).groupBy(zone, *keys).agg(F.count("*").alias("n"), *middle)
+    best = counted.groupBy(zone).agg(F.max_by(F.struct("r", "g", "b", "n"), F.struct("n", -F.col("k0"), -F.col("k1"), -F.col("k2"))).alias("m"), F.sum("n").alias("far"))
+    enough = best.where(F.col("far") >= least).select(zone, "m")
+    sizes = pixels.groupBy(zone).agg(F.count("*").alias("size"))
+    return sizes.join(enough, zone, "left").select(zone, "m.r", "m.g", "m.b", F.coalesce(F.round(F.col("m.n") / F.col("size"), 6), F.lit(0.0)).alias("share"))

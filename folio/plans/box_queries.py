@@ -472,14 +472,17 @@ def outline_consensus(spark, sf_dir):
 
 @_add(
     "modal_color",
-    """WITH p AS (SELECT page_id, fg_r, fg_g, fg_b, fg_r // 24 AS br, fg_g // 24 AS bg, fg_b // 24 AS bb FROM lines_fx WHERE greatest(abs(fg_r - 10), abs(fg_g - 10), abs(fg_b - 10)) >= 30),
-    b AS (SELECT page_id, br, bg, bb, count(*) AS n, quantile_cont(fg_r, 0.5) AS r, quantile_cont(fg_g, 0.5) AS g, quantile_cont(fg_b, 0.5) AS b FROM p GROUP BY page_id, br, bg, bb),
-    t AS (SELECT page_id, sum(n) AS total FROM b GROUP BY page_id), m AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY n DESC, br, bg, bb) AS k FROM b)
-    SELECT m.page_id, r, g, m.b AS b, round(n * 1.0 / total, 6) AS share FROM m JOIN t ON m.page_id = t.page_id WHERE k = 1 AND total >= 8""",
+    """WITH z AS (SELECT page_id * 3 + line_id % 3 AS zone, fg_r, fg_g, fg_b, greatest(abs(fg_r - 10), abs(fg_g - 10), abs(fg_b - 10)) >= 30 AS far FROM lines_fx),
+    s AS (SELECT zone, count(*) AS size, count(*) FILTER (far) AS away FROM z GROUP BY zone),
+    b AS (SELECT zone, fg_r // 24 AS br, fg_g // 24 AS bg, fg_b // 24 AS bb, count(*) AS n, quantile_cont(fg_r, 0.5) AS r, quantile_cont(fg_g, 0.5) AS g, quantile_cont(fg_b, 0.5) AS b FROM z WHERE far GROUP BY 1, 2, 3, 4),
+    m AS (SELECT *, row_number() OVER (PARTITION BY zone ORDER BY n DESC, br, bg, bb) AS k FROM b)
+    SELECT s.zone, CAST(round_even(r, 0) AS INT) AS r, CAST(round_even(g, 0) AS INT) AS g, CAST(round_even(m.b, 0) AS INT) AS b, coalesce(round(n * 1.0 / size, 6), 0) AS share
+    FROM s LEFT JOIN m ON s.zone = m.zone AND m.k = 1 AND s.away >= 8""",
 )
 def modal_color(spark, sf_dir):
-    """The most frequent colour bucket of a page, away from a reference colour, and its share."""
-    return R.modal_color(_lines(spark, sf_dir).select("page_id", "fg_r", "fg_g", "fg_b"), (10, 10, 10))
+    """Three zones a page: the most frequent colour bucket away from a reference colour, and its share; none in zones with few such lines."""
+    lines = _lines(spark, sf_dir).withColumn("zone", F.col("page_id") * 3 + F.col("line_id") % 3)
+    return R.modal_color(lines.select("zone", "fg_r", "fg_g", "fg_b"), "zone", (10, 10, 10))
 
 
 @_add(

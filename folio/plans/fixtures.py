@@ -62,6 +62,10 @@ TABLES = {
                      1704067200000000 + job*15000000 + step*(5+job%9)*1000000 + CASE WHEN job%5=0 AND step>=7 THEN 60000000 ELSE 0 END + CASE WHEN job%11=0 AND step=11 THEN 400000000 ELSE 0 END AS moment
               FROM (SELECT *, CAST(floor(event_id/12) AS BIGINT) AS job, event_id%12 AS step FROM events) a) b""",
     "bursts_fx": "SELECT event_id AS req_id, user_id AS ip, 1704067200000000 + (event_id%9973)*600000 AS moment FROM events",
+    "bursty_requests_fx": """
+        SELECT req_id, ip, moment, pages, moment + CAST(pages AS BIGINT)*(2+req_id%3)*1000000 AS ends
+        FROM (SELECT event_id AS req_id, user_id%10 AS ip, CAST(event_id%160 AS INT) AS pages,
+                     1704067200000000 + CAST(floor(event_id/700) AS BIGINT)*25000000000 + (event_id%700)*20000000 AS moment FROM events) a""",
     "late_calls_fx": """
         SELECT event_id AS call_id, event_type AS stage, moment, moment + CASE WHEN event_id%97=0 THEN 518400000000 ELSE (event_id%50)*60000000 END AS arrival
         FROM (SELECT *, 1704067200000000 + (event_id%9973)*259000000 AS moment FROM events) a""",

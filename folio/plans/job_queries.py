@@ -211,6 +211,23 @@ def admission_decision(spark, sf_dir):
     return J.admission_decision(requests, jobs, hourly=2).select("req_id", "status")
 
 
+_SERVER = """WITH RECURSIVE r AS (SELECT *, floor((moment - 1704067200000000) / 25000000000) AS burst FROM bursty_requests_fx),
+    o AS (SELECT *, row_number() OVER (PARTITION BY burst ORDER BY moment, req_id) AS n FROM r),
+    s AS (SELECT DISTINCT burst, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(ip BIGINT, a BIGINT, b BIGINT)[]) AS jobs, CAST(NULL AS BIGINT) AS req_id, 0 AS status FROM o
+          UNION ALL
+          SELECT burst, n, CASE WHEN status = 200 THEN list_append(kept, {'ip': ip, 'a': moment, 'b': ends}) ELSE kept END, req_id, status
+          FROM (SELECT *, CASE WHEN pages > 150 THEN 413 WHEN len([j for j in kept if j.b > moment]) >= 8 THEN 503
+                               WHEN len([j for j in kept if j.ip = q.ip AND j.b > moment]) >= 2 OR len([j for j in kept if j.ip = q.ip AND moment - j.a <= 3600000000]) >= 12 THEN 429 ELSE 200 END AS status
+                FROM (SELECT o.*, [j for j in s.jobs if j.b > o.moment OR o.moment - j.a <= 3600000000] AS kept FROM s JOIN o ON o.burst = s.burst AND o.n = s.n + 1) q) q2)
+    SELECT req_id, status FROM s WHERE n > 0"""
+
+
+@_add("admission_server", _SERVER, "bursty_requests_fx")
+def admission_server(spark, sf_dir):
+    """Every decision rests on the jobs admitted before. Bursts of four hours with three hours between them, which the SQL counts from one by one."""
+    return J.admission_server(table(spark, sf_dir, "bursty_requests_fx").withColumnRenamed("moment", "at")).select("req_id", "status")
+
+
 _LIVE = """WITH m AS (SELECT owner, ts, sum(d) AS d FROM (SELECT ip AS owner, epoch_us(ts) AS ts, 1 AS d FROM requests_fx UNION ALL SELECT ip, epoch_us(ts) + CAST(pages AS BIGINT) * 60000000, -1 FROM requests_fx) a GROUP BY owner, ts),
     e AS (SELECT ts, CAST(sum(d) OVER (ORDER BY ts) AS BIGINT) AS live_all FROM (SELECT ts, sum(d) AS d FROM m GROUP BY ts) b)
     SELECT owner, m.ts, CAST(sum(d) OVER (PARTITION BY owner ORDER BY m.ts) AS BIGINT) AS live, live_all FROM m JOIN e ON m.ts = e.ts"""

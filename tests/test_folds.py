@@ -1,6 +1,7 @@
 """Operators without SQL against plain loops over the whole derived tables."""
 
 import collections
+import random
 
 from pyspark.sql import functions as F
 
@@ -29,7 +30,7 @@ def seconds(ts):
 def hour(times, hourly=12, window=3600):
     starts, out = [], []
     for t in times:
-        out.append(sum(x > t - window for x in starts) < hourly)
+        out.append(sum(x >= t - window for x in starts) < hourly)
         if out[-1]:
             starts.append(t)
     return out
@@ -37,16 +38,16 @@ def hour(times, hourly=12, window=3600):
 
 def test_admission_hourly_by_loop(spark, sf_dir):
     got = {r.req_id: r.admitted for r in rows_of(spark, sf_dir, "admission_hourly")}
-    requests = table(spark, sf_dir, "requests_fx").select("req_id", "ip", seconds("ts")).collect()
+    requests = table(spark, sf_dir, "bursts_fx").withColumnRenamed("moment", "at").collect()
     for rs in grouped(requests, "ip").values():
         rs.sort(key=lambda r: (r.at, r.req_id))
-        assert [got[r.req_id] for r in rs] == hour([r.at for r in rs])
+        assert [got[r.req_id] for r in rs] == hour([r.at for r in rs], window=3_600_000_000)
     assert len(got) == len(requests)
 
 
 def test_admission_refuses(spark):
-    rows = [(i, i % 2, float((i // 2) * 100), "x") for i in range(400)] + [(1000, None, 5.0, None)]
-    out = jobs.admission(spark.createDataFrame(rows, "id long, ip int, at double, other string"), "ip", "at", "id", 12, 3600)
+    rows = [(i, i % 2, (i // 2) * 100, "x") for i in range(400)] + [(1000, None, 5, None)]
+    out = jobs.admission(spark.createDataFrame(rows, "id long, ip int, at long, other string"), "ip", "at", "id", 12, 3600)
     assert out.columns == ["id", "ip", "at", "other", "admitted"] and out.count() == 401
     for ip, rs in grouped(out.collect(), "ip").items():
         rs.sort(key=lambda r: (r.at, r.id))
@@ -54,6 +55,37 @@ def test_admission_refuses(spark):
         assert [r.admitted for r in rs] == want and (ip is None or not all(want))
 
 
+def plain_server(rows, most_pages, most_live, most_own, hourly, window):
+    out, jobs = {}, []
+    for r in sorted(rows, key=lambda r: (r[2], r[0])):
+        req, ip, at, pages, ends = r
+        live = [j for j in jobs if j[1] is not None and j[1] > at]
+        if pages > most_pages:
+            out[req] = 413
+        elif len(live) >= most_live:
+            out[req] = 503
+        elif sum(j[2] == ip for j in live) >= most_own or sum(j[2] == ip and at - j[0] <= window for j in jobs) >= hourly:
+            out[req] = 429
+        else:
+            out[req] = 200
+            jobs.append((at, ends, ip))
+    return out
+
+
+def test_admission_server_by_loop(spark):
+    """Blocks much shorter than the jobs, so decisions reach over many of them; ties in time; jobs of no length."""
+    rnd = random.Random(1)
+    rows = [(i, rnd.choice([1, 1, 2, 3, 4, None]), rnd.randrange(1000) * 10, rnd.choice([5, 5, 5, 20]), None) for i in range(500)]
+    rows = [(i, ip, at, pages, rnd.choice([None, at - 5, at, at + rnd.randrange(400)])) for i, ip, at, pages, _ in rows]
+    df = spark.createDataFrame(rows, "req_id long, ip int, at long, pages int, ends long")
+    for block in (150, 3000, 10**6):
+        got = jobs.admission_server(df, 10, 4, 2, 3, 300, block).collect()
+        want = plain_server(rows, 10, 4, 2, 3, 300)
+        assert {r.req_id: r.status for r in got} == want
+        assert set(want.values()) == {200, 413, 429, 503} and len(got) == 500
+    assert jobs.admission_server(df.where("false")).collect() == []
+
+
 def test_throttle_latest_by_loop(spark, sf_dir):
     got = collections.defaultdict(set)
     for r in rows_of(spark, sf_dir, "throttle_latest"):
