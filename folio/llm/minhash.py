@@ -23,7 +23,7 @@ BLOCK = 1 << 12
 #: Parts over which the members of one band, and pairs of one set, are dealt.
 SALTS, PAIRS = 32, 256
 #: Bits of the hash buckets whose counts order shingles by how rare they are; the order costs time, never a pair.
-ORDER = 20
+ORDER = 18
 
 # Odd factors of the hash functions: the output of a fixed linear congruential generator.
 _FACTORS = (np.cumprod(np.full(HASHES, 747796405, np.uint64)).astype(np.uint32) ^ np.uint32(0x9E3779B9)) | np.uint32(1)
@@ -221,9 +221,10 @@ def _across(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: D
     apart = materialize(named.join(mixed.hint("merge"), ["key", "salt"]).select("id", "c").distinct(), "minhash-apart")
     held = sets.join(apart.select("id").hint("merge"), "id", "left_semi")
     bucket = F.explode("set").alias("shingle")
-    counted = held.select(bucket).groupBy(F.col("shingle").bitwiseAND(F.lit((1 << ORDER) - 1)).alias("b")).count().toPandas()  # at most 2^ORDER rows
-    often = np.zeros(1 << ORDER, np.int64)
-    often[counted["b"].to_numpy()] = counted["count"].to_numpy()
+    counted = held.select(bucket).groupBy(F.col("shingle").bitwiseAND(F.lit((1 << ORDER) - 1)).cast("int").alias("b")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
+    counted = counted.toArrow()  # at most 2^ORDER rows of 8 bytes
+    often = np.zeros(1 << ORDER, np.int32)
+    often[counted["b"].to_numpy()] = counted["n"].to_numpy()
     sent = spark.sparkContext.broadcast(often)
     prefixes = held.mapInArrow(_prefixes(sent, percent), "id bigint, n bigint, keys array<bigint>")
     known = prefixes.join(apart.hint("merge"), "id").join(signatures.select("id", "sig").hint("merge"), "id")
