@@ -127,23 +127,29 @@ def closest_language(spark, sf_dir):
 
 
 def _terms(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("term"))
-    return words.distinct().withColumn("target", F.upper("term"))
+    """The words of the benchmark; long ones also as patterns, and some as expressions that are not valid."""
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(r"[\p{L}]+"), F.lit(0))).alias("term")).distinct()
+    long = words.where(F.length("term") >= 10)
+    pattern = F.concat(F.substring("term", 1, 4), F.lit(".{2,9}"), F.substring("term", -2, 2), F.lit("( |$)"))
+    more = long.select(pattern.alias("term")).union(long.select(F.concat("term", F.lit("(")))).distinct()
+    return words.union(more).withColumn("target", F.concat(F.lit("T:"), "term"))
 
 
 @_add(
     "glossary_match",
-    r"""WITH t AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM benchmark),
-    p AS (SELECT doc_id, text, regexp_replace(lower(regexp_replace(text, '[^\p{L}\p{N}_\s\p{Z}]', '', 'g')), '', '') AS norm FROM documents)
-    SELECT doc_id AS text_id, term FROM p JOIN (SELECT term, lower(term) AS low FROM t) g ON contains(norm, low)""",
+    r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '\p{L}+')) AS term FROM benchmark),
+    t AS (SELECT term, false AS pattern FROM w UNION ALL SELECT DISTINCT substr(term, 1, 4) || '.{2,9}' || substr(term, -2, 2) || '( |$)', true FROM w WHERE length(term) >= 10
+          UNION ALL SELECT term || '(', false FROM w WHERE length(term) >= 10),
+    g AS (SELECT term, pattern, regexp_replace(lower(term), '[^\p{L}\p{N}_\s\p{Z}]', '', 'g') AS low FROM t),
+    p AS (SELECT doc_id, text, lower(regexp_replace(text, '[^\p{L}\p{N}_\s\p{Z}]', '', 'g')) AS norm FROM documents),
+    r AS (SELECT doc_id AS text_id, term, CASE WHEN contains(text, term) THEN 'exact' WHEN contains(norm, low) THEN CASE WHEN length(norm) > 5 * length(low) OR length(norm) - length(low) <= least(length(low) // 8, 3) THEN 'fuzzy' ELSE 'normal' END
+                 WHEN pattern AND regexp_matches(text, term, 'i') THEN 'regex' END AS rule FROM p JOIN g ON contains(norm, low) OR contains(text, term) OR pattern)
+    SELECT text_id, term, 'T:' || term AS target, rule FROM r WHERE rule IS NOT NULL""",
 )
 def glossary_match(spark, sf_dir):
-    """Terms contained in a text once both are normalised."""
+    """Terms that are contained in a text, as they are or once both are normalised, or found as patterns; close spellings have a query of their own."""
     texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("text_id"), "text")
-    terms = _terms(spark, sf_dir)
-    normal = texts.select("text_id", T.term_normalize(F.col("text")).alias("norm"))
-    found = G.candidates(texts, terms, fuzzy=False).join(normal, "text_id")
-    return found.where(F.contains(F.col("norm"), T.term_normalize(F.col("term")))).select("text_id", "term")
+    return G.glossary_match(texts, _terms(spark, sf_dir), fuzzy=False)
 
 
 @_add("glossary_fuzzy", None)

@@ -1,6 +1,5 @@
 """Golden colours, grouping, order and job folding on literal rows."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from folio.operators import boxes as X
@@ -52,13 +51,6 @@ def test_job_state(spark):
     assert (r.pre, r.tl, r.tl_done, r.batches, r.dispatched, r.queue_pos, r.terminal) == (36, 1, 1, 4, True, None, None)
 
 
-def test_admission_stream_equals_batch(spark, sf_dir):
-    from folio.plans import registry
-
-    a, b = (registry.queries()[n](spark, sf_dir).select("req_id", "admitted").toPandas().sort_values("req_id", ignore_index=True) for n in ("admission_hourly", "stream_admission_hourly"))
-    pd.testing.assert_frame_equal(a, b)
-
-
 def test_glossary_rules(spark):
     name, rest = "Robinsonvilleheightstown", " and then we all went home together by the old road to the sea and back again over the hills at night" * 2
     texts = spark.createDataFrame([(1, f"a friend of {name} came"), (2, "we met Robinsomvilleheightstown there" + rest), (3, "no such place" + rest)], "text_id long, text string")
