@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folio.operators.graph import connected_components
+from folio.operators.graph import connected_components, suppressed
+from folio.storage import materialize
 
 EDGES = ("x1", "y1", "x2", "y2")
 
@@ -331,24 +330,27 @@ def small_group(boxes: DataFrame, least_w: int, least_h: int) -> DataFrame:
     return grouped.groupBy("page_id", "box_id").agg(F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
-def nms(boxes: DataFrame, threshold: float, group: list[str], score: str) -> DataFrame:
-    """Non-maximum suppression inside each group (page, class): the best stays, boxes over the threshold with it go."""
-
-    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
-        p = pdf.sort_values([score, "line_id"], ascending=[False, True], kind="stable")
-        x1, y1, x2, y2 = (p[e].to_numpy(float) for e in EDGES)
-        areas, alive, chosen = (x2 - x1) * (y2 - y1), np.ones(len(p), bool), []
-        for i in range(len(p)):
-            if not alive[i]:
-                continue
-            chosen.append(i)
-            w = np.clip(np.minimum(x2[i], x2) - np.maximum(x1[i], x1), 0, None)
-            h = np.clip(np.minimum(y2[i], y2) - np.maximum(y1[i], y1), 0, None)
-            common = w * h
-            alive &= ~(common > threshold * (areas[i] + areas - common))
-        return p.iloc[chosen]
-
-    return boxes.groupBy(*group).applyInPandas(keep, boxes.schema)
+def nms(boxes: DataFrame, threshold: float, score: str, kind: str | None = None, max_det: int | None = None, cell: int = 256) -> DataFrame:
+    """Those of boxes(page_id, line_id, edges, ...) that stay: the best of a page does, boxes that overlap it by more go, and so on.
+
+    The overlap is that of intersection over union, over `threshold`; higher scores come first, ties by
+    line_id, null scores last. With `kind` only boxes of one kind suppress one another; with `max_det`
+    the best that stay on a page are returned, whatever their kind. A box without area suppresses none and
+    is not suppressed. Pairs that overlap are found on a grid and decided in rounds, so no page is one task.
+    """
+    rows = materialize(boxes.withColumn("_node", F.monotonically_increasing_id()), "nms-boxes")
+    ranked = rows.withColumn("_rank", F.struct(F.coalesce(F.col(score).cast("double"), F.lit(float("-inf"))).alias("score"), (-F.col("line_id")).alias("id"), F.col("_node")))
+    pairs = grid_pairs(ranked, ranked, F.lit(0), cell, "line_id", "line_id").where(F.col("l._rank") > F.col("r._rank"))
+    if kind:
+        pairs = pairs.where(F.col(f"l.{kind}").eqNullSafe(F.col(f"r.{kind}")))
+    common = overlap("l", "r")
+    close = pairs.where((common > 0) & (common > threshold * (area("l") + area("r") - common)))
+    gone = suppressed(close.select(F.col("l._node").alias("strong"), F.col("r._node").alias("weak"))).withColumnRenamed("node", "_node")
+    stay = rows.join(gone, "_node", "left_anti")
+    if max_det is not None:
+        order = Window.partitionBy("page_id").orderBy(F.col(score).desc_nulls_last(), "line_id", "_node")
+        stay = stay.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= max_det)
+    return stay.select(*boxes.columns)
 
 
 def tile_plan(rows: DataFrame, id_col: str, length: str, tile: int) -> DataFrame:

@@ -1,11 +1,11 @@
-"""Connected components as rounds of DataFrame joins."""
+"""Connected components, and choices in order of priority, as rounds of DataFrame joins."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.storage import discard, materialize
+from folio.storage import discard, materialize, scratch_path
 
 #: Parts over which the neighbours of one node are spread.
 SALTS = 32
@@ -60,3 +60,50 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+
+
+def suppressed(edges: DataFrame) -> DataFrame:
+    """(node) that go when, from the strongest on, each node that is still there removes those below it: edges(strong, weak).
+
+    No edge may lead round in a circle. In a round all nodes stay that nothing stronger can remove any
+    more; what they remove goes, with its edges. So there are as many rounds as nodes in a chain wait
+    for one another, whatever the number of chains. An empty table gives an empty table; repeated
+    edges and null ends are dropped.
+    """
+    now = materialize(edges.select("strong", "weak").where("strong is not null and weak is not null").distinct(), "suppress-edges")
+    path, rounds = scratch_path(edges.sparkSession, "suppressed"), 0
+    while not now.isEmpty():
+        stay = now.select("strong").distinct().join(now.select(F.col("weak").alias("strong")).distinct(), "strong", "left_anti")
+        gone = now.join(stay, "strong", "left_semi").select(F.col("weak").alias("node")).distinct()
+        gone.write.parquet(f"{path}/round={rounds}")
+        gone = edges.sparkSession.read.parquet(f"{path}/round={rounds}")
+        if gone.isEmpty():
+            raise ValueError("the edges lead round in a circle")
+        after = now.join(gone.withColumnRenamed("node", "weak"), "weak", "left_anti").join(gone.withColumnRenamed("node", "strong"), "strong", "left_anti")
+        after = materialize(after.select("strong", "weak"), "suppress-edges")
+        discard(now)
+        now, rounds = after, rounds + 1
+    kind = edges.schema["weak"].dataType.simpleString()
+    if not rounds:
+        return edges.sparkSession.createDataFrame([], f"node {kind}")
+    return edges.sparkSession.read.schema(f"node {kind}").parquet(path).select("node")
+
+
+def matched(pairs: DataFrame) -> DataFrame:
+    """Those of pairs(page, left, right) that are taken when, on each page in order of (left, right), a pair is if both of its ends are free.
+
+    In a round all pairs are taken that are the first of their left end and of their right end; the
+    other pairs of these ends go. An empty table gives an empty table; repeated pairs are one.
+    """
+    now = materialize(pairs.select("page", "left", "right").distinct(), "match-pairs")
+    path, rounds = scratch_path(pairs.sparkSession, "matched"), 0
+    while not now.isEmpty():
+        of_left, of_right = now.groupBy("page", "left").agg(F.min("right").alias("right")), now.groupBy("page", "right").agg(F.min("left").alias("left"))
+        of_left.join(of_right, ["page", "left", "right"], "left_semi").select("page", "left", "right").write.parquet(f"{path}/round={rounds}")
+        took = pairs.sparkSession.read.schema(now.schema).parquet(f"{path}/round={rounds}")
+        after = materialize(now.join(took.select("page", "left"), ["page", "left"], "left_anti").join(took.select("page", "right"), ["page", "right"], "left_anti"), "match-pairs")
+        discard(now)
+        now, rounds = after, rounds + 1
+    if not rounds:
+        return now
+    return pairs.sparkSession.read.schema(now.schema).parquet(path).select("page", "left", "right")

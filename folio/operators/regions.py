@@ -6,12 +6,12 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators import boxes as X
+from folio.operators.graph import matched
 
 
 def shifted(boxes: DataFrame, dx: int, dy: int) -> DataFrame:
@@ -59,18 +59,11 @@ def detection_eval(truth: DataFrame, found: DataFrame, least: float = 0.5, ignor
     else:
         pages = truth.select("page_id").distinct()
 
-    def match(pdf: pd.DataFrame) -> pd.DataFrame:
-        used_t, used_f = set(), set()
-        for t, f in pdf.sort_values(["truth", "found"])[["truth", "found"]].itertuples(index=False):
-            if t not in used_t and f not in used_f:
-                used_t.add(t)
-                used_f.add(f)
-        return pd.DataFrame({"page_id": [pdf["page_id"].iloc[0]], "matched": [len(used_t)]})
-
-    matched = iou_pairs(truth, found, least).groupBy("page_id").applyInPandas(match, "page_id bigint, matched bigint")
+    pairs = iou_pairs(truth, found, least).select(F.col("page_id").alias("page"), F.col("truth").alias("left"), F.col("found").alias("right"))
+    matches = matched(pairs).groupBy(F.col("page").alias("page_id")).agg(F.count("*").alias("matched"))
     count = lambda df, name: df.groupBy("page_id").agg(F.count("*").alias(name))
     pages = pages.union(found.select("page_id")).distinct()
-    j = pages.join(count(truth, "n_truth"), "page_id", "left").join(count(found, "n_found"), "page_id", "left").join(matched, "page_id", "left")
+    j = pages.join(count(truth, "n_truth"), "page_id", "left").join(count(found, "n_found"), "page_id", "left").join(matches, "page_id", "left")
     j = j.select("page_id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_truth", "n_found", "matched")])
     every = j.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n_truth", "n_found", "matched")])
     ratio = lambda a, c: F.when(c > 0, a / c).otherwise(0.0)

@@ -347,10 +347,21 @@ _SMALL = """WITH RECURSIVE f AS (SELECT *, x2 - x1 AS w, y2 - y1 AS h, x1 + x2 A
 QUERIES["small_group"] = (small_group, sql_with("lines_fx", _SMALL).replace("WITH lines_fx", "WITH RECURSIVE lines_fx").replace(", RECURSIVE f AS", ", f AS"))
 
 
-@_add("nms", None)
+_NMS = """WITH RECURSIVE r AS (SELECT page_id, line_id, x1, y1, x2 + 25 AS x2, y2, prob, line_id % 2 AS kind, row_number() OVER (PARTITION BY page_id ORDER BY prob DESC, line_id) AS n FROM lines_fx),
+    s AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x1 INT, y1 INT, x2 INT, y2 INT, kind BIGINT)[]) AS held, CAST(NULL AS BIGINT) AS line_id, false AS stays FROM r
+          UNION ALL
+          SELECT page_id, n, CASE WHEN stays THEN list_append(held, {'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2, 'kind': kind}) ELSE held END, line_id, stays
+          FROM (SELECT r.*, s.held, len([b for b in s.held if b.kind = r.kind AND greatest(least(b.x2, r.x2) - greatest(b.x1, r.x1), 0) * greatest(least(b.y2, r.y2) - greatest(b.y1, r.y1), 0)
+                  > 0.3 * ((b.x2 - b.x1) * (b.y2 - b.y1) + (r.x2 - r.x1) * (r.y2 - r.y1) - greatest(least(b.x2, r.x2) - greatest(b.x1, r.x1), 0) * greatest(least(b.y2, r.y2) - greatest(b.y1, r.y1), 0))]) = 0 AS stays
+                FROM s JOIN r ON r.page_id = s.page_id AND r.n = s.n + 1) q)
+    SELECT r.page_id, r.line_id, x1, y1, CAST(x2 AS INT) AS x2, y2, prob, kind FROM s JOIN r ON r.line_id = s.line_id WHERE stays QUALIFY row_number() OVER (PARTITION BY r.page_id ORDER BY prob DESC, r.line_id) <= 14"""
+
+
+@_add("nms", _NMS)
 def nms(spark, sf_dir):
-    wide = _lines(spark, sf_dir).withColumn("x2", F.col("x2") + 25).select("page_id", "line_id", *X.EDGES, "prob")
-    return X.nms(wide, 0.3, ["page_id"], "prob")
+    """Two kinds of boxes on a page, widened so that neighbours overlap; at most 14 stay."""
+    wide = _lines(spark, sf_dir).withColumn("x2", F.col("x2") + 25).withColumn("kind", F.col("line_id") % 2).select("page_id", "line_id", *X.EDGES, "prob", "kind")
+    return X.nms(wide, 0.3, "prob", "kind", 14)
 
 
 @_add("iou_pairs", f"""WITH d AS (SELECT page_id, line_id, x1 + 4 AS x1, y1 + 3 AS y1, x2 + 4 AS x2, y2 + 3 AS y2 FROM lines_fx WHERE line_id % 7 <> 0)
@@ -361,10 +372,30 @@ def iou_pairs(spark, sf_dir):
     return R.iou_pairs(lines, R.shifted(lines.where("line_id % 7 <> 0"), 4, 3)).withColumn("iou", F.round("iou", 6))
 
 
-@_add("detection_eval", None)
+_EVAL = f"""WITH RECURSIVE d AS (SELECT page_id, line_id, x1 + 4 AS x1, y1 + 3 AS y1, x2 + 20 AS x2, y2 + 3 AS y2 FROM lines_fx WHERE line_id % 7 <> 0
+        UNION ALL SELECT page_id, line_id + 1000000000, x1 - 5, y1, x2 + 4, y2 + 5 FROM lines_fx WHERE line_id % 5 <> 0),
+    p AS (SELECT l.page_id, l.line_id AS t, d.line_id AS f, row_number() OVER (PARTITION BY l.page_id ORDER BY l.line_id, d.line_id) AS n FROM lines_fx l JOIN d ON l.page_id = d.page_id
+          WHERE {_common('l', 'd')} * 1.0 / ({_area('l')} + {_area('d')} - {_common('l', 'd')}) > 0.4),
+    s AS (SELECT DISTINCT page_id, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS ts, CAST([] AS BIGINT[]) AS fs FROM p
+          UNION ALL
+          SELECT s.page_id, p.n, CASE WHEN list_contains(ts, t) OR list_contains(fs, f) THEN ts ELSE list_append(ts, t) END, CASE WHEN list_contains(ts, t) OR list_contains(fs, f) THEN fs ELSE list_append(fs, f) END
+          FROM s JOIN p ON p.page_id = s.page_id AND p.n = s.n + 1),
+    m AS (SELECT page_id, CAST(max(len(ts)) AS BIGINT) AS matched FROM s GROUP BY page_id),
+    c AS (SELECT page_id, count(*) AS n_truth FROM lines_fx GROUP BY page_id), e AS (SELECT page_id, count(*) AS n_found FROM d GROUP BY page_id),
+    j AS (SELECT page_id, n_truth, coalesce(n_found, 0) AS n_found, coalesce(matched, 0) AS matched FROM c LEFT JOIN e USING (page_id) LEFT JOIN m USING (page_id)),
+    a AS (SELECT * FROM j UNION ALL SELECT NULL, CAST(sum(n_truth) AS BIGINT), CAST(sum(n_found) AS BIGINT), CAST(sum(matched) AS BIGINT) FROM j),
+    r AS (SELECT *, CASE WHEN n_found > 0 THEN matched * 1.0 / n_found ELSE 0 END AS p, matched * 1.0 / n_truth AS q FROM a)
+    SELECT page_id, n_truth, n_found, matched, round(p, 9) AS precision, round(q, 9) AS recall, round(CASE WHEN p + q > 0 THEN 2 * p * q / (p + q) ELSE 0 END, 9) AS hmean FROM r"""
+
+
+@_add("detection_eval", _EVAL)
 def detection_eval(spark, sf_dir):
+    """Two detections near each line, some left out, so that greedy matches wait for one another."""
     lines = _lines(spark, sf_dir)
-    return R.detection_eval(lines, R.shifted(lines.where("line_id % 7 <> 0"), 4, 3))
+    one = R.shifted(lines.where("line_id % 7 <> 0"), 4, 3).withColumn("x2", F.col("x2") + 16)
+    two = lines.where("line_id % 5 <> 0").withColumns({"line_id": F.col("line_id") + 1_000_000_000, "x1": F.col("x1") - 5, "x2": F.col("x2") + 4, "y2": F.col("y2") + 5})
+    out = R.detection_eval(lines, one.unionByName(two), 0.4)
+    return out.select("page_id", "n_truth", "n_found", "matched", *[F.round(c, 9).alias(c) for c in ("precision", "recall", "hmean")])
 
 
 @_add("region_aggregate", None)

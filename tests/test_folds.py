@@ -3,9 +3,10 @@
 import collections
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
-from folio.operators import boxes, enrich, jobs
+from folio.operators import boxes, enrich, graph, jobs
 from folio.operators import regions as R
 from folio.plans import registry
 from folio.plans.fixtures import table
@@ -112,9 +113,10 @@ def area(r):
 
 
 def test_detection_eval_by_loop(spark, sf_dir):
-    got = {r.page_id: r for r in rows_of(spark, sf_dir, "detection_eval")}
     lines = table(spark, sf_dir, "lines_fx")
-    found = grouped(R.shifted(lines.where("line_id % 7 <> 0"), 4, 3).collect(), "page_id")
+    shifted = R.shifted(lines.where("line_id % 7 <> 0"), 4, 3)
+    got = {r.page_id: r for r in R.detection_eval(lines, shifted).collect()}
+    found = grouped(shifted.collect(), "page_id")
     for page, truth in grouped(lines.collect(), "page_id").items():
         used = set()
         for t in sorted(truth, key=lambda r: r.line_id):
@@ -190,3 +192,58 @@ def test_reading_order_by_panel(spark):
     assert order(boxes.reading_order(boxes_)) == [5, 4, 3, 2, 1]
     assert order(boxes.reading_order(boxes_, panel="panel_id")) == [4, 3, 2, 1, 5]
     assert order(boxes.reading_order(boxes_, False, "panel_id")) == [3, 4, 1, 2, 5]
+
+
+def iou_over(a, b, least):
+    common = max(0, min(a[4], b[4]) - max(a[2], b[2])) * max(0, min(a[5], b[5]) - max(a[3], b[3]))
+    return common > 0 and common > least * ((a[4] - a[2]) * (a[5] - a[3]) + (b[4] - b[2]) * (b[5] - b[3]) - common)
+
+
+BOXES = "page_id long, line_id long, x1 int, y1 int, x2 int, y2 int, prob double, kind string"
+
+
+def some_boxes(rnd, n, room):
+    rows = []
+    for i in range(n):
+        x, y = rnd.randrange(room), rnd.randrange(room)
+        rows.append((rnd.choice([1, 1, 1, 2]), i, x, y, x + rnd.choice([0, 30, 50, 300]), y + rnd.choice([20, 40, 300]), rnd.choice([0.5, 0.7, 0.9, rnd.random(), None]), rnd.choice(["a", "a", "b", None])))
+    return rows
+
+
+@pytest.mark.parametrize(("kind", "most"), [(None, None), ("kind", None), ("kind", 9)])
+def test_nms_by_loop(spark, kind, most):
+    """Crowded boxes, ties and null scores, boxes without area; chains in which each waits for the one before."""
+    rows = some_boxes(random.Random(1), 300, 500) + [(3, 1000 + i, 10 * i, 0, 10 * i + 30, 30, 1 - i / 100, "a") for i in range(12)]
+    df = spark.createDataFrame(rows, BOXES)
+    want = []
+    for page in (1, 2, 3):
+        stay = []
+        for r in sorted((r for r in rows if r[0] == page), key=lambda r: (r[6] is None, -(r[6] or 0), r[1])):
+            if not any(iou_over(s, r, 0.3) and (kind is None or s[7] == r[7]) for s in stay):
+                stay.append(r)
+        want += stay[:most]
+    assert sorted(map(str, map(tuple, boxes.nms(df, 0.3, "prob", kind, most).collect()))) == sorted(map(str, want))
+    assert len(want) < len(rows)
+    assert boxes.nms(df.where("false"), 0.3, "prob").collect() == []
+
+
+def test_matches_by_loop(spark):
+    rnd = random.Random(2)
+    pairs = list({(rnd.randrange(3), rnd.randrange(25), rnd.randrange(25)) for _ in range(400)})
+    pairs += [(9, i, j) for i in range(8) for j in (i, i + 1)]  # each waits for the one before
+    want, lefts, rights = [], set(), set()
+    for p, a, b in sorted(pairs):
+        if (p, a) not in lefts and (p, b) not in rights:
+            lefts.add((p, a))
+            rights.add((p, b))
+            want.append((p, a, b))
+    df = spark.createDataFrame(pairs + pairs[:20], "page long, left long, right long")
+    assert sorted(map(tuple, graph.matched(df).collect())) == want
+    assert graph.matched(df.where("false")).collect() == []
+
+
+def test_suppressed_refuses_circles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 4), (1, 2), (7, None)], "strong long, weak long")
+    assert sorted(r.node for r in graph.suppressed(edges).collect()) == [2, 4]
+    with pytest.raises(ValueError, match="circle"):
+        graph.suppressed(edges.union(spark.createDataFrame([(11, 12), (12, 11)], "strong long, weak long")))

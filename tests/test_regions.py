@@ -40,7 +40,7 @@ def test_outline_goldens(spark):
 
 def test_nms_and_order(spark):
     t = lines(spark, [(0, 0, 10, 10), (1, 1, 11, 11), (50, 0, 60, 10)]).withColumn("prob", F.lit(0.9) - F.col("line_id") * 0.1)
-    assert sorted(r["line_id"] for r in X.nms(t, 0.5, ["page_id"], "prob").collect()) == [0, 2]
+    assert sorted(r["line_id"] for r in X.nms(t, 0.5, "prob").collect()) == [0, 2]
     ordered = R.simple_order(lines(spark, [(0, 0, 10, 10), (50, 0, 60, 10), (0, 100, 10, 110)])).toPandas()
     assert ordered.sort_values("ord")["line_id"].tolist() == [1, 0, 2]
 
