@@ -92,11 +92,14 @@ def chain_enrich(rows: DataFrame, key: str, order: str, text: str, steps: list[t
 
 
 def screened_route(rows: DataFrame, key: str, order: str, text: str, first: Translate, second: Translate, flagged: Callable[[Column], Column], cap: int = 8) -> DataFrame:
-    """All rows by the first function; the rows it flags keep its answer, the others get the second function's."""
-    a = materialize(enrich_batches(rows, key, order, text, first, cap), "route")
-    kept = a.where(flagged(F.col("dst"))).withColumn("route", F.lit("first"))
-    rest = a.where(~flagged(F.col("dst"))).drop("dst")
-    return kept.unionByName(enrich_batches(rest, key, order, text, second, cap).withColumn("route", F.lit("second")))
+    """rows plus first (the answer of the first function, which all get), dst and route: rows that it flags keep that answer, the others get the second function's.
+
+    So a row is the log's line of itself. A null flag is none.
+    """
+    a = materialize(enrich_batches(rows, key, order, text, first, cap).withColumn("first", F.col("dst")), "route")
+    flag = F.coalesce(flagged(F.col("first")), F.lit(False))
+    kept = a.where(flag).withColumn("route", F.lit("first"))
+    return kept.unionByName(enrich_batches(a.where(~flag).drop("dst"), key, order, text, second, cap).withColumn("route", F.lit("second")))
 
 
 def route_by_language(groups: DataFrame, lang: str, routes: dict[str, str], default: str) -> DataFrame:
@@ -109,6 +112,13 @@ def combine_regions(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     return a.unionByName(b.join(a.select(key).distinct(), key, "left_anti"))
 
 
+def failed_pages(jobs: DataFrame, failures: DataFrame, key: str, page: str) -> DataFrame:
+    """jobs(key, ...) plus failed: the distinct pages of failures(key, page) in order, none for a job without any."""
+    pages = failures.where(F.col(page).isNotNull()).groupBy(key).agg(F.sort_array(F.collect_set(page)).alias("failed"))  # as many as a job has pages
+    empty = F.array().cast(pages.schema["failed"].dataType)
+    return jobs.join(pages, key, "left").withColumn("failed", F.coalesce("failed", empty))
+
+
 def language_profile(docs: DataFrame, text: str, lang: str) -> DataFrame:
     """(gram, lang, n, total, v): counts of character trigrams by language, of each language, and the number of different ones. Kept as a table."""
     counts = docs.select(F.col(lang).alias("lang"), F.explode(_char_grams(F.col(text))).alias("gram")).groupBy("gram", "lang").agg(F.count("*").alias("n"))

@@ -633,18 +633,23 @@ def tile_stitch(spark, sf_dir):
 
 
 @_docs("sequence_collapse", """WITH c AS (SELECT doc_id, string_split(text, '') AS a FROM documents WHERE text <> ''), s AS (SELECT doc_id, unnest(a) AS s, generate_subscripts(a, 1) AS i FROM c),
-    k AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s) SELECT doc_id, string_agg(s, '' ORDER BY i) AS collapsed FROM k WHERE (b IS NULL OR s <> b) AND s <> ' ' GROUP BY doc_id""")
+    k AS (SELECT *, lag(s) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM s) SELECT doc_id, string_agg(s, '' ORDER BY i) AS collapsed FROM k WHERE (b IS NULL OR s <> b) AND s <> ' ' GROUP BY doc_id
+    UNION ALL SELECT doc_id, '' FROM documents WHERE trim(coalesce(text, ''), ' ') = ''""")
 def sequence_collapse(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where("text <> ''")
-    symbols = docs.select("doc_id", F.posexplode(F.split("text", "")).alias("i", "s"))
+    """A text without symbols collapses to an empty one."""
+    docs = table(spark, sf_dir, "documents")
+    symbols = docs.where("text <> ''").select("doc_id", F.posexplode(F.split("text", "")).alias("i", "s"))
     kept = X.sequence_collapse(symbols, "doc_id", "i", "s", " ")
-    return kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "").alias("collapsed"))
+    some = kept.groupBy("doc_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "s"))), lambda x: x["s"]), "").alias("collapsed"))
+    return docs.select("doc_id").join(some, "doc_id", "left").select("doc_id", F.coalesce("collapsed", F.lit("")).alias("collapsed"))
 
 
 @_docs("char_accuracy", """WITH p AS (SELECT doc_id, string_split(text, '') AS a, string_split(replace(text, 'e', 'E'), '') AS b FROM documents WHERE text <> ''),
-    s AS (SELECT doc_id, unnest(a) AS x, unnest(b) AS y FROM p) SELECT doc_id, round(count(*) FILTER (x = y) * 1.0 / (count(*) + 1), 6) AS ratio FROM s GROUP BY doc_id""")
+    s AS (SELECT doc_id, unnest(a) AS x, unnest(b) AS y FROM p) SELECT doc_id, round(count(*) FILTER (x = y) * 1.0 / (count(*) + 1), 6) AS ratio FROM s GROUP BY doc_id
+    UNION ALL SELECT doc_id, 0.0 FROM documents WHERE coalesce(text, '') = ''""")
 def char_accuracy(spark, sf_dir):
     """Characters equal by position, over the number of characters of the truth plus one."""
-    docs = table(spark, sf_dir, "documents").where("text <> ''")
-    chars = docs.select("doc_id", F.explode(F.arrays_zip(F.split("text", "").alias("x"), F.split(F.replace("text", F.lit("e"), F.lit("E")), "").alias("y"))).alias("z"))
-    return chars.groupBy("doc_id").agg(F.round(F.count_if(F.col("z.x") == F.col("z.y")) / (F.count("*") + 1), 6).alias("ratio"))
+    docs = table(spark, sf_dir, "documents")
+    chars = docs.where("text <> ''").select("doc_id", F.explode(F.arrays_zip(F.split("text", "").alias("x"), F.split(F.replace("text", F.lit("e"), F.lit("E")), "").alias("y"))).alias("z"))
+    some = chars.groupBy("doc_id").agg(F.round(F.count_if(F.col("z.x") == F.col("z.y")) / (F.count("*") + 1), 6).alias("ratio"))
+    return docs.select("doc_id").join(some, "doc_id", "left").select("doc_id", F.coalesce("ratio", F.lit(0.0)).alias("ratio"))

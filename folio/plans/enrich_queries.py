@@ -81,12 +81,12 @@ def chain_enrich(spark, sf_dir):
 @_add(
     "screened_route",
     f"""WITH a AS (SELECT *, CASE WHEN {_WORTH} THEN 'T:' || src ELSE src END AS one FROM pairs_fx)
-    SELECT conv_id, pos, CASE WHEN length(one) % 3 = 0 THEN one WHEN {_WORTH} THEN CASE WHEN length(src) % 2 = 0 THEN '' ELSE 'T:' || src END ELSE src END AS dst, CASE WHEN length(one) % 3 = 0 THEN 'first' ELSE 'second' END AS route FROM a""",
+    SELECT conv_id, pos, one AS first, CASE WHEN length(one) % 3 = 0 THEN one WHEN {_WORTH} THEN CASE WHEN length(src) % 2 = 0 THEN '' ELSE 'T:' || src END ELSE src END AS dst, CASE WHEN length(one) % 3 = 0 THEN 'first' ELSE 'second' END AS route FROM a""",
     "pairs_fx",
 )
 def screened_route(spark, sf_dir):
     out = E.screened_route(_pairs(spark, sf_dir), "conv_id", "pos", "src", upper, picky, lambda d: F.length(d) % 3 == 0, 4)
-    return out.select("conv_id", "pos", "dst", "route")
+    return out.select("conv_id", "pos", "first", "dst", "route")
 
 
 @_add("page_retry", None)
@@ -114,6 +114,20 @@ def combine_regions(spark, sf_dir):
     return E.combine_regions(changed, pairs, "conv_id")
 
 
+@_add(
+    "failed_pages",
+    """WITH j AS (SELECT token, count(*) FILTER (code = 5) AS emitted FROM frames_fx GROUP BY token), p AS (SELECT DISTINCT token, idx FROM frames_fx WHERE code IN (2, 3))
+    SELECT j.token, emitted, coalesce(string_agg(CAST(idx AS VARCHAR), ',' ORDER BY idx), '') AS failed FROM j LEFT JOIN p ON j.token = p.token GROUP BY j.token, emitted""",
+    "frames_fx",
+)
+def failed_pages(spark, sf_dir):
+    """What a job's last frame tells: how many pages it gave and which failed, each once."""
+    f = table(spark, sf_dir, "frames_fx")
+    jobs = f.groupBy("token").agg(F.count_if(F.col("code") == 5).alias("emitted"))
+    out = E.failed_pages(jobs, f.where("code in (2, 3)"), "token", "idx")
+    return out.select("token", "emitted", F.array_join(F.transform("failed", lambda x: x.cast("string")), ",").alias("failed"))
+
+
 @_add("route_by_language", "SELECT doc_id, CASE lang WHEN 'fr' THEN 'route-b' WHEN 'de' THEN 'route-c' ELSE 'route-a' END AS route FROM documents")
 def route_by_language(spark, sf_dir):
     return E.route_by_language(table(spark, sf_dir, "documents"), "lang", {"fr": "route-b", "de": "route-c"}, "route-a").select("doc_id", "route")

@@ -68,7 +68,7 @@ def dictionary_source(spark, sf_dir):
 def _glossary_lines(spark, sf_dir):
     p = table(spark, sf_dir, "pairs_fx").withColumn("w", F.regexp_extract("src", r"\p{L}+", 0))
     k = F.col("conv_id") % 4
-    line = F.when(k == 0, F.concat("w", F.lit("->X"))).when(k == 1, F.concat("w", F.lit("\tY"))).when(k == 2, F.concat("w", F.lit("_z Z"))).otherwise(F.concat("w", F.lit(" a b c d")))
+    line = F.when(k == 0, F.concat("w", F.lit("->X"))).when(k == 1, F.concat("w", F.lit("\tY"))).when(k == 2, F.concat("w", F.when(F.col("pos") % 3 == 1, F.lit("(")).otherwise(F.lit("")), F.lit("_z Z"))).otherwise(F.concat("w", F.lit(" a b c d")))
     return p.select("conv_id", "pos", line.alias("value"))
 
 
@@ -80,14 +80,14 @@ def glossary_format(spark, sf_dir):
 @_add(
     "glossary_source",
     r"""WITH w AS (SELECT conv_id, pos, regexp_extract(src, '\p{L}+', 0) AS w FROM pairs_fx)
-    SELECT conv_id, pos, CASE WHEN conv_id % 4 = 2 THEN w || ' z' ELSE w END AS term, CASE conv_id % 4 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END AS target FROM w WHERE conv_id % 4 <> 3 AND (w <> '' OR conv_id % 4 = 2)""",
+    SELECT conv_id, pos, CASE WHEN conv_id % 4 = 2 THEN w || CASE WHEN pos % 3 = 1 THEN '(' ELSE '' END || ' z' ELSE w END AS term, CASE conv_id % 4 WHEN 0 THEN 'X' WHEN 1 THEN 'Y' ELSE 'Z' END AS target, CASE WHEN conv_id % 4 = 2 AND pos % 3 = 1 THEN 'rejected' ELSE 'term' END AS status FROM w WHERE conv_id % 4 <> 3 AND (w <> '' OR conv_id % 4 = 2)""",
     "pairs_fx",
 )
 def glossary_source(spark, sf_dir):
     lines = _glossary_lines(spark, sf_dir)
     kinds = S.glossary_format(lines, "conv_id").where("format <> 'unknown'")
     rows = lines.join(kinds, "conv_id")
-    return S.parse_glossary(rows, F.col("format")).select("conv_id", "pos", "term", "target")
+    return S.parse_glossary(rows, F.col("format")).select("conv_id", "pos", "term", "target", "status")
 
 
 @_add(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -58,13 +59,31 @@ def glossary_format(lines: DataFrame, file: str, text: str = "value") -> DataFra
     )
 
 
+@F.pandas_udf("boolean")
+def valid_pattern(terms: pd.Series) -> pd.Series:
+    """Whether each term compiles as a regular expression; a null term does not."""
+
+    def compiles(term: str | None) -> bool:
+        try:
+            return term is not None and re.compile(term) is not None
+        except (re.error, OverflowError, RecursionError):
+            return False
+
+    return terms.map(compiles)
+
+
 def parse_glossary(lines: DataFrame, kind: Column, text: str = "value") -> DataFrame:
-    """Glossary lines as term, target, comment by format; underscores of the pair format stand for spaces."""
+    """Glossary lines as term, target, comment and status by format; underscores of the pair format stand for spaces.
+
+    A term of the pair format is a regular expression; one that is not valid is rejected (status).
+    """
     t = F.regexp_replace(F.trim(text), r"(?:#|//).*$", "")
     by = F.when(kind == "arrow", F.split(t, "->")).when(kind == "tab", F.split(t, "\t| {4}")).otherwise(F.split(t, r"\s+"))
     part = lambda i: F.trim(F.coalesce(F.get(by, F.lit(i)), F.lit("")))
     spaced = lambda c: F.when(kind == "pair", F.replace(c, F.lit("_"), F.lit(" "))).otherwise(c)
-    return lines.withColumns({"term": spaced(part(0)), "target": spaced(part(1)), "comment": F.nullif(part(2), F.lit(""))}).where("term <> ''")
+    rows = lines.withColumns({"term": spaced(part(0)), "target": spaced(part(1)), "comment": F.nullif(part(2), F.lit("")), "_pair": kind == "pair"}).where("term <> ''")
+    valid = valid_pattern(F.when(F.col("_pair"), F.col("term")).otherwise(F.lit("")))
+    return rows.withColumn("status", F.when(valid, "term").otherwise("rejected")).drop("_pair")
 
 
 def reject_reason(data: Column, most: int) -> Column:
