@@ -59,10 +59,7 @@ def glossary_format(lines: DataFrame, file: str, text: str = "value") -> DataFra
     )
 
 
-@F.pandas_udf("boolean")
-def valid_pattern(terms: pd.Series) -> pd.Series:
-    """Whether each term compiles as a regular expression; a null term does not."""
-
+def _compile(terms: pd.Series) -> pd.Series:
     def compiles(term: str | None) -> bool:
         try:
             return term is not None and re.compile(term) is not None
@@ -72,6 +69,11 @@ def valid_pattern(terms: pd.Series) -> pd.Series:
     return terms.map(compiles)
 
 
+def valid_pattern(term: Column) -> Column:
+    """Whether a term compiles as a regular expression; a null term does not."""
+    return F.pandas_udf(_compile, "boolean")(term)
+
+
 def parse_glossary(lines: DataFrame, kind: Column, text: str = "value") -> DataFrame:
     """Glossary lines as term, target, comment and status by format; underscores of the pair format stand for spaces.
 
