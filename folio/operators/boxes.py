@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.operators.graph import connected_components, suppressed
-from folio.storage import materialize
+from folio.storage import discard, materialize
 
 EDGES = ("x1", "y1", "x2", "y2")
 
@@ -165,25 +165,50 @@ def components(lines: DataFrame, edges: DataFrame) -> DataFrame:
     return lines.select("page_id", "line_id").join(comp, F.col("line_id") == F.col("node"), "left").select("page_id", "line_id", F.coalesce("component", "line_id").alias("component"))
 
 
+def nearest(points: DataFrame, point_id: str, boxes: DataFrame, ties: list[Column], cell: int = 256) -> DataFrame:
+    """(page_id, point_id, d2, best) for each of points(page_id, point_id, edges) with a box on its page: the least squared distance to boxes(page_id, edges, ...), then the least of ties.
+
+    Points are boxes too; ties are expressions over the point's columns as l and the box's as r, the last
+    one telling the boxes apart. A search looks at the boxes within a reach, a few grid cells. Who has found
+    one no further away than the reach is done, as what lies outside is further; the others widen
+    it to the double, with cells as wide. So a page's boxes are compared all only with points that
+    are so far from them.
+    """
+    pages = boxes.select("page_id").distinct()
+    todo, reach, done = materialize(points.join(pages, "page_id", "left_semi"), "nearest-points"), cell, None
+    away = lambda lo, hi: F.greatest(F.lit(0), F.col(f"r.{lo}") - F.col(f"l.{hi}"), F.col(f"l.{lo}") - F.col(f"r.{hi}"))
+    d2 = away("x1", "x2").cast("double") * away("x1", "x2") + away("y1", "y2").cast("double") * away("y1", "y2")
+    named = [t.alias(f"t{i}") for i, t in enumerate(ties)]
+    while not todo.isEmpty():
+        pairs = grid_pairs(todo, boxes, F.lit(reach), reach, point_id, point_id)
+        best = pairs.groupBy(F.col("l.page_id").alias("page_id"), F.col(f"l.{point_id}").alias(point_id)).agg(F.min(F.struct(d2.alias("d2"), *named)).alias("best"))
+        found = materialize(best.where(F.col("best.d2") <= float(reach) ** 2).select("page_id", point_id, "best.d2", F.col("best").alias("best")), "nearest")
+        done = found if done is None else done.union(found)
+        after = materialize(todo.join(found.select("page_id", point_id), ["page_id", point_id], "left_anti").select(*todo.columns), "nearest-points")
+        discard(todo)
+        todo, reach = after, reach * 2
+    if done is None:  # no point has a box on its page: the same plan, over nothing
+        pairs = grid_pairs(points.limit(0), boxes, F.lit(reach), reach, point_id, point_id)
+        best = F.struct(d2.alias("d2"), *named)
+        return pairs.select(F.col("l.page_id").alias("page_id"), F.col(f"l.{point_id}").alias(point_id), best["d2"].alias("d2"), best.alias("best"))
+    return done
+
+
 def panel_assign(lines: DataFrame, panels: DataFrame) -> DataFrame:
     """line -> first panel that holds its centre, else the nearest; ties go to the lower panel."""
-    cx, cy = centre2("l")
-    inside = (cx >= 2 * b("p", "x1")) & (cx <= 2 * b("p", "x2")) & (cy >= 2 * b("p", "y1")) & (cy <= 2 * b("p", "y2"))
-    dx = F.greatest(F.lit(0), 2 * b("p", "x1") - cx, cx - 2 * b("p", "x2")).cast("long")
-    dy = F.greatest(F.lit(0), 2 * b("p", "y1") - cy, cy - 2 * b("p", "y2")).cast("long")
-    joined = lines.alias("l").join(panels.alias("p"), "page_id")
-    best = F.struct(F.when(inside, F.lit(0)).otherwise(1), F.when(inside, F.lit(0)).otherwise(dx * dx + dy * dy), F.col("p.panel_id"))
-    return joined.groupBy("page_id", "l.line_id").agg(F.min_by("p.panel_id", best).alias("panel_id"))
+    cx, cy = F.col("x1") + F.col("x2"), F.col("y1") + F.col("y2")
+    points = lines.select("page_id", "line_id", cx.alias("x1"), cy.alias("y1"), cx.alias("x2"), cy.alias("y2"))
+    doubled = panels.select("page_id", "panel_id", *[(2 * F.col(e)).alias(e) for e in EDGES])
+    found = nearest(points, "line_id", doubled, [F.col("r.panel_id")])
+    return found.select("page_id", "line_id", F.col("best.t0").alias("panel_id"))
 
 
 def nearest_owner(points: DataFrame, boxes: DataFrame) -> DataFrame:
     """Each point (px, py) to the box of least squared distance, then least centre distance, then lowest id."""
-    dx = F.greatest(F.lit(0), b("b", "x1") - F.col("px"), F.col("px") - b("b", "x2")).cast("long")
-    dy = F.greatest(F.lit(0), b("b", "y1") - F.col("py"), F.col("py") - b("b", "y2")).cast("long")
-    cx, cy = centre2("b")
-    mid = (2 * F.col("px") - cx).cast("long") * (2 * F.col("px") - cx) + (2 * F.col("py") - cy).cast("long") * (2 * F.col("py") - cy)
-    joined = points.alias("q").join(boxes.alias("b"), "page_id")
-    return joined.groupBy("page_id", "q.point_id").agg(F.min_by("b.line_id", F.struct(dx * dx + dy * dy, mid, F.col("b.line_id"))).alias("owner"))
+    spots = points.select("page_id", "point_id", F.col("px").alias("x1"), F.col("py").alias("y1"), F.col("px").alias("x2"), F.col("py").alias("y2"))
+    dx, dy = (2 * F.col(f"l.{c}1") - F.col(f"r.{c}1") - F.col(f"r.{c}2") for c in "xy")
+    found = nearest(spots, "point_id", boxes, [dx.cast("long") * dx + dy.cast("long") * dy, F.col("r.line_id")])
+    return found.select("page_id", "point_id", F.col("best.t1").alias("owner"))
 
 
 def contained_remove(boxes: DataFrame) -> DataFrame:
@@ -213,28 +238,47 @@ def exclusive_cover(lines: DataFrame, panels: DataFrame, least: float = 0.5) ->
     return chosen.select("page_id", "line_id", F.when(n == 1, F.col("panel_id")).alias("panel_id"))
 
 
-def neighbours(boxes: DataFrame) -> DataFrame:
+def neighbours(boxes: DataFrame, cell: int = 128) -> DataFrame:
     """(page_id, line_id, left_id, right_id, top_id, bottom_id): nearest box each way in the same row or column.
 
     In a row two boxes share at least a third of the lower one's height; likewise in a column. Ties
-    go to the lower id.
+    go to the lower id. Each box looks into a strip on each side, as wide as the reach; who finds nothing
+    there widens it to the double until the strip leaves what the page's boxes cover.
     """
-    a, c = boxes.alias("a"), boxes.alias("c")
-    pairs = a.join(c, (F.col("a.page_id") == F.col("c.page_id")) & (F.col("a.line_id") != F.col("c.line_id")))
+    rows = materialize(boxes.select("page_id", "line_id", *EDGES), "neighbour-boxes")
+    hull = rows.groupBy("page_id").agg(F.min("x1").alias("hx1"), F.min("y1").alias("hy1"), F.max("x2").alias("hx2"), F.max("y2").alias("hy2"))
+    ways = {"left": F.col("x1") - F.col("hx1"), "right": F.col("hx2") - F.col("x2"), "top": F.col("y1") - F.col("hy1"), "bottom": F.col("hy2") - F.col("y2")}
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("way"), room.alias("room")) for w, room in ways.items()])).alias("w")
+    todo = rows.join(hull, "page_id").select("page_id", "line_id", *[F.col(e).alias(f"o{e}") for e in EDGES], each).select("*", "w.way", "w.room").drop("w")
+    todo, reach, done = materialize(todo, "neighbour-asks"), cell, None
+
+    def strip(edge: str, beside: str, against: str) -> Column:
+        """The edge of a strip: on its own side it begins at the box, on the other it ends at the reach."""
+        lower = edge.endswith("1")
+        other, own = F.col(f"o{edge[0]}{'2' if lower else '1'}"), F.col(f"o{edge}")
+        return F.when(F.col("way") == beside, own - reach if lower else own + reach).when(F.col("way") == against, other).otherwise(own)
 
     def shares(lo: str, hi: str) -> Column:
-        common = F.least(b("a", hi), b("c", hi)) - F.greatest(b("a", lo), b("c", lo))
-        return 3 * common >= F.least(b("a", hi) - b("a", lo), b("c", hi) - b("c", lo))
-
-    row, col = shares("y1", "y2"), shares("x1", "x2")
-    pick = lambda cond, key: F.min_by(F.when(cond, F.col("c.line_id")), F.when(cond, F.struct(key, F.col("c.line_id"))))
-    found = pairs.groupBy(F.col("a.page_id").alias("page_id"), F.col("a.line_id").alias("line_id")).agg(
-        pick(row & (b("c", "x2") <= b("a", "x1")), -b("c", "x2")).alias("left_id"),
-        pick(row & (b("c", "x1") >= b("a", "x2")), b("c", "x1")).alias("right_id"),
-        pick(col & (b("c", "y2") <= b("a", "y1")), -b("c", "y2")).alias("top_id"),
-        pick(col & (b("c", "y1") >= b("a", "y2")), b("c", "y1")).alias("bottom_id"),
-    )
-    return boxes.select("page_id", "line_id").join(found, ["page_id", "line_id"], "left")
+        common = F.least(b("l", f"o{hi}"), b("r", hi)) - F.greatest(b("l", f"o{lo}"), b("r", lo))
+        return 3 * common >= F.least(b("l", f"o{hi}") - b("l", f"o{lo}"), b("r", hi) - b("r", lo))
+
+    while not todo.isEmpty():
+        asks = todo.withColumns({"x1": strip("x1", "left", "right"), "x2": strip("x2", "right", "left"), "y1": strip("y1", "top", "bottom"), "y2": strip("y2", "bottom", "top")})
+        pairs = grid_pairs(asks, rows, F.lit(0), max(reach, 2 * cell), "line_id", "line_id").where(F.col("l.line_id") != F.col("r.line_id"))
+        way = F.col("l.way")
+        gap = F.when(way == "left", b("l", "ox1") - b("r", "x2")).when(way == "right", b("r", "x1") - b("l", "ox2")).when(way == "top", b("l", "oy1") - b("r", "y2")).otherwise(b("r", "y1") - b("l", "oy2"))
+        beside = F.when(way.isin("left", "right"), shares("y1", "y2")).otherwise(shares("x1", "x2"))
+        near = pairs.where(beside & gap.between(0, reach)).groupBy(F.col("l.page_id").alias("page_id"), F.col("l.line_id").alias("line_id"), way.alias("way"))
+        found = materialize(near.agg(F.min(F.struct(gap.alias("gap"), F.col("r.line_id").alias("id"))).alias("n")).select("page_id", "line_id", "way", "n.id"), "neighbours")
+        done = found if done is None else done.union(found)
+        after = materialize(todo.where(F.col("room") > reach).join(found.select("page_id", "line_id", "way"), ["page_id", "line_id", "way"], "left_anti").select(*todo.columns), "neighbour-asks")
+        discard(todo)
+        todo, reach = after, reach * 2
+    ids = boxes.select("page_id", "line_id")
+    if done is None:
+        return ids.select("*", *[F.lit(None).cast(boxes.schema["line_id"].dataType).alias(f"{w}_id") for w in ways])
+    of = lambda w: F.min(F.when(F.col("way") == w, F.col("id"))).alias(f"{w}_id")
+    return ids.join(done.groupBy("page_id", "line_id").agg(*[of(w) for w in ways]), ["page_id", "line_id"], "left")
 
 
 def _facing(boxes: DataFrame, found: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -245,9 +289,9 @@ def _facing(boxes: DataFrame, found: DataFrame, names: dict[str, str]) -> DataFr
     return out
 
 
-def gutter_stats(boxes: DataFrame) -> DataFrame:
-    """(page_id, gx, gy): least gap to a left and to a top neighbour, 1 where there is none."""
-    found = _facing(boxes, neighbours(boxes), {"left_id": "x2", "top_id": "y2"}).join(boxes.select("line_id", "x1", "y1"), "line_id")
+def gutter_stats(boxes: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """(page_id, gx, gy): least gap to a left and to a top neighbour, 1 where there is none; found are the neighbours, if they are known."""
+    found = _facing(boxes, neighbours(boxes) if found is None else found, {"left_id": "x2", "top_id": "y2"}).join(boxes.select("line_id", "x1", "y1"), "line_id")
     return found.groupBy("page_id").agg(
         F.coalesce(F.min(F.col("x1") - F.col("left_id_x2")), F.lit(1)).alias("gx"), F.coalesce(F.min(F.col("y1") - F.col("top_id_y2")), F.lit(1)).alias("gy")
     )
@@ -255,9 +299,10 @@ def gutter_stats(boxes: DataFrame) -> DataFrame:
 
 def box_expand(boxes: DataFrame) -> DataFrame:
     """Each edge moved to the facing edge of the neighbour less the gutter, or to the page's outermost edge; all at once."""
-    faced = _facing(boxes, neighbours(boxes), {"left_id": "x2", "right_id": "x1", "top_id": "y2", "bottom_id": "y1"})
+    found = neighbours(boxes)
+    faced = _facing(boxes, found, {"left_id": "x2", "right_id": "x1", "top_id": "y2", "bottom_id": "y1"})
     hull = boxes.groupBy("page_id").agg(F.min("x1").alias("px1"), F.min("y1").alias("py1"), F.max("x2").alias("px2"), F.max("y2").alias("py2"))
-    all_ = faced.join(gutter_stats(boxes), "page_id").join(hull, "page_id")
+    all_ = faced.join(gutter_stats(boxes, found), "page_id").join(hull, "page_id")
     return all_.select(
         "page_id", "line_id", F.coalesce(F.col("left_id_x2") + F.col("gx"), "px1").alias("x1"), F.coalesce(F.col("top_id_y2") + F.col("gy"), "py1").alias("y1"),
         F.coalesce(F.col("right_id_x1") - F.col("gx"), "px2").alias("x2"), F.coalesce(F.col("bottom_id_y1") - F.col("gy"), "py2").alias("y2"),

@@ -247,3 +247,45 @@ def test_suppressed_refuses_circles(spark):
     assert sorted(r.node for r in graph.suppressed(edges).collect()) == [2, 4]
     with pytest.raises(ValueError, match="circle"):
         graph.suppressed(edges.union(spark.createDataFrame([(11, 12), (12, 11)], "strong long, weak long")))
+
+
+def spread_boxes(rnd, n, room):
+    rows = [(rnd.choice([1, 1, 2]), i, rnd.randrange(room), rnd.randrange(room)) for i in range(n)] + [(3, n, 5, 5), (4, n + 1, 0, 0), (4, n + 2, 0, 9)]
+    return [(p, i, x, y, x + rnd.choice([0, 10, 60]), y + rnd.choice([5, 10, 60])) for p, i, x, y in rows]
+
+
+@pytest.mark.parametrize(("room", "cell"), [(4000, 16), (300, 256)])
+def test_neighbours_by_loop(spark, room, cell):
+    """Boxes far apart, so that the reach widens often, and close together."""
+    rows = spread_boxes(random.Random(room), 120, room)
+    shared = lambda a, c, lo, hi: 3 * (min(a[hi], c[hi]) - max(a[lo], c[lo])) >= min(a[hi] - a[lo], c[hi] - c[lo])
+    want = []
+    for a in rows:
+        row = [c for c in rows if c[0] == a[0] and c[1] != a[1] and shared(a, c, 3, 5)]
+        col = [c for c in rows if c[0] == a[0] and c[1] != a[1] and shared(a, c, 2, 4)]
+        best = lambda some: min(some, default=(0, None))[1]
+        want.append((a[0], a[1], best([(a[2] - c[4], c[1]) for c in row if c[4] <= a[2]]), best([(c[2] - a[4], c[1]) for c in row if c[2] >= a[4]]),
+                     best([(a[3] - c[5], c[1]) for c in col if c[5] <= a[3]]), best([(c[3] - a[5], c[1]) for c in col if c[3] >= a[5]])))
+    df = spark.createDataFrame(rows, "page_id long, line_id long, x1 int, y1 int, x2 int, y2 int")
+    got = boxes.neighbours(df, cell).select("page_id", "line_id", "left_id", "right_id", "top_id", "bottom_id")
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+    assert boxes.neighbours(df.where("false"), cell).collect() == []
+
+
+def test_nearest_by_loop(spark):
+    """Points far outside and inside boxes, ties, and a page without boxes."""
+    rnd = random.Random(6)
+    rows = spread_boxes(rnd, 60, 3000)
+    points = [(rnd.choice([1, 2, 3, 9]), i, rnd.randrange(-9000, 9000, 10), rnd.randrange(-9000, 9000, 10)) for i in range(150)]
+    want = []
+    for page, i, x, y in points:
+        some = []
+        for _, k, x1, y1, x2, y2 in (r for r in rows if r[0] == page):
+            dx, dy = max(0, x1 - x, x - x2), max(0, y1 - y, y - y2)
+            some.append((dx * dx + dy * dy, (2 * x - x1 - x2) ** 2 + (2 * y - y1 - y2) ** 2, k))
+        if some:
+            want.append((page, i, min(some)[2]))
+    df = spark.createDataFrame(rows, "page_id long, line_id long, x1 int, y1 int, x2 int, y2 int")
+    p = spark.createDataFrame(points, "page_id long, point_id long, px int, py int")
+    assert sorted(map(tuple, boxes.nearest_owner(p, df).collect())) == sorted(want)
+    assert boxes.nearest_owner(p.where("page_id = 9"), df).collect() == [] == boxes.nearest_owner(p, df.where("false")).collect()
