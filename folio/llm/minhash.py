@@ -130,7 +130,7 @@ def _pairs(u: Column, v: Column) -> list[Column]:
 
 
 def _chained(members: DataFrame) -> DataFrame:
-    """(u, v, n) from members(key, id): each with the member before it, in how many bands.
+    """(u, v) from members(key, id): each with the member before it, in any band.
 
     A band is dealt over SALTS parts, whose smallest members are chained in turn, so no band is one
     key and no member meets more than a few others.
@@ -140,7 +140,7 @@ def _chained(members: DataFrame) -> DataFrame:
     inside = salted.select("id", before.alias("v")).where("v is not null").select(*_pairs(F.col("id"), F.col("v")))
     heads = salted.groupBy("key", "salt").agg(F.min("id").alias("id")).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # at most SALTS
     between = heads.where(F.size("ids") > 1).select(F.explode(F.arrays_zip(F.expr("slice(ids, 2, size(ids) - 1)").alias("u"), F.expr("slice(ids, 1, size(ids) - 1)").alias("v"))).alias("p"))
-    return inside.union(between.select("p.u", "p.v")).groupBy("u", "v").agg(F.count("*").alias("n"))
+    return inside.union(between.select("p.u", "p.v")).distinct()
 
 
 def _with(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
@@ -148,23 +148,30 @@ def _with(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
 
     An end of more than PAIRS pairs is dealt over parts, and its value goes to each, so no end is one key.
     """
-    for end, other, name in (("u", "v", "a"), ("v", "u", "b")):
-        count = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS))).groupBy(end, "salt").agg(F.count("*").alias("n"))
+    most = [pairs.groupBy(end).agg(F.count("*").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n")) for end in ("u", "v")]
+    most = [r.n for r in most[0].union(most[1]).collect()]
+    for end, other, name, n in (("u", "v", "a", most[0]), ("v", "u", "b", most[1])):
+        sent = table.select(F.col("id").alias(end), F.col(what).alias(name))
+        if n <= PAIRS:
+            pairs = pairs.join(sent.hint("merge"), end)
+            continue
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)))
+        count = salted.groupBy(end, "salt").agg(F.count("*").alias("n"))
         hubs = count.groupBy(end).agg(F.sum("n").alias("n"), F.collect_list("salt").alias("salts")).where(F.col("n") > PAIRS)
         hubs = hubs.select(end, F.ceil(F.col("n") / PAIRS).cast("int").alias("parts"), "salts")
-        known = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS))).join(hubs.select(end, "parts", F.explode("salts").alias("salt")), [end, "salt"], "left")
+        known = salted.join(hubs.select(end, "parts", F.explode("salts").alias("salt")), [end, "salt"], "left")
         dealt = known.withColumn("part", F.pmod(F.xxhash64(other, F.lit(1)), F.coalesce("parts", F.lit(1)))).drop("parts", "salt")
-        sent = table.select(F.col("id").alias(end), F.col(what).alias(name)).join(hubs.drop("salts"), end, "left")
+        sent = sent.join(hubs.drop("salts"), end, "left")
         sent = sent.select(end, name, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
         pairs = dealt.join(sent.hint("merge"), [end, "part"]).drop("part")
     return pairs
 
 
 def _near(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs(u, v, ...) whose sizes and packed signatures allow the similarity; adds d, the places that differ."""
+    """Those of pairs(u, v) whose sizes and packed signatures allow the similarity."""
     both = _with(pairs, signatures.select("id", F.struct("n", "sig").alias("s")), "s")
     fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    return both.withColumn("d", different(F.col("a.sig"), F.col("b.sig"))).where(fits & (F.col("d") <= most_different(threshold))).drop("a", "b")
+    return both.where(fits & (different(F.col("a.sig"), F.col("b.sig")) <= most_different(threshold))).select("u", "v")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -173,13 +180,6 @@ def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.where(F.col("common") * 100 >= percent * (F.size("a") + F.size("b") - F.col("common"))).select("u", "v")
 
 
-def _apart(pairs: DataFrame, links: DataFrame) -> DataFrame:
-    """Those of pairs(u, v, ...) whose ends no path of links joins."""
-    comp = connected_components(links)
-    of = lambda end, name: comp.select(F.col("node").alias(end), F.col("component").alias(name))
-    return pairs.join(of("u", "_x"), "u", "left").join(of("v", "_y"), "v", "left").where(F.coalesce("_x", "u") != F.coalesce("_y", "v")).drop("_x", "_y")
-
-
 def _prefixes(counts, percent: int):
     """(id, n, keys): of each set the shingles of its prefix, the rarest first by counts of hash buckets.
 
@@ -219,6 +219,9 @@ def _across(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: D
     named = materialize(named.select("key", "id", "c", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "minhash-members")
     mixed = named.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     apart = materialize(named.join(mixed.hint("merge"), ["key", "salt"]).select("id", "c").distinct(), "minhash-apart")
+    if apart.isEmpty():
+        discard(named, apart)
+        return members.select(F.col("id").alias("u"), F.col("id").alias("v")).limit(0)
     held = sets.join(apart.select("id").hint("merge"), "id", "left_semi")
     bucket = F.explode("set").alias("shingle")
     counted = held.select(bucket).groupBy(F.col("shingle").bitwiseAND(F.lit((1 << ORDER) - 1)).cast("int").alias("b")).agg(F.least(F.count("*"), F.lit(2**31 - 1)).cast("int").alias("n"))
@@ -250,10 +253,10 @@ def _across(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: D
 def similar_links(classes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     """Links (u, v) that give the same components as all similar pairs of classes(id, n, sig, bands) that a band or more joins.
 
-    First each set is compared with the one before it in its bands, beginning with the neighbour met in
-    most of them; that joins groups of near copies, however large, by a few comparisons a set.
-    Sets of a band that still lie apart are compared by the shingles of their prefixes. A pair counts
-    only if its whole sets are similar; sets_of(ids) gives them.
+    First each set is compared with the one before it in each of its bands; that joins groups of near
+    copies, however large, by a few comparisons a set. Sets of a band that still lie apart meet by
+    the shingles of their prefixes. A pair counts only if its whole sets are similar; sets_of(ids)
+    gives them.
     """
     threshold = percent / 100
     signatures = classes.select("id", "n", "sig")
@@ -261,16 +264,13 @@ def similar_links(classes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     many = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(many.hint("merge"), ["key", "salt"]).select("key", "id")
     members = materialize(members, "minhash-members")
-    near = materialize(_near(_chained(members), signatures, threshold), "minhash-near")
+    chained = materialize(_chained(members), "minhash-pairs")
+    near = materialize(_near(chained, signatures, threshold), "minhash-near")
     sets = materialize(sets_of(members.select("id").distinct()), "minhash-sets")
-
-    first = near.groupBy("u").agg(F.max_by("v", F.struct("n", -F.col("d"), "v")).alias("v"))
-    links = materialize(_similar(first, sets, percent), "minhash-links")
-    more = materialize(_similar(_apart(near, links), sets, percent), "minhash-links")
-    links = links.union(more)
+    links = materialize(_similar(near, sets, percent), "minhash-links")
     across = _across(members, signatures, sets, links, percent)
     last = materialize(_similar(across, sets, percent), "minhash-links")
-    discard(members, near, sets, across)
+    discard(members, chained, near, sets, across)
     return links.union(last)
 
 
