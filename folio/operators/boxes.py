@@ -211,11 +211,12 @@ def nearest_owner(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return found.select("page_id", "point_id", F.col("best.t1").alias("owner"))
 
 
-def contained_remove(boxes: DataFrame) -> DataFrame:
+def contained_remove(boxes: DataFrame, cell: int = 256) -> DataFrame:
     """Boxes that lie in no other box of their page (equal boxes do not count)."""
-    holds = (b("o", "x1") <= b("i", "x1")) & (b("o", "y1") <= b("i", "y1")) & (b("o", "x2") >= b("i", "x2")) & (b("o", "y2") >= b("i", "y2"))
-    differ = (b("o", "x1") != b("i", "x1")) | (b("o", "y1") != b("i", "y1")) | (b("o", "x2") != b("i", "x2")) | (b("o", "y2") != b("i", "y2"))
-    return boxes.alias("i").join(boxes.alias("o"), (F.col("i.page_id") == F.col("o.page_id")) & holds & differ, "left_anti")
+    holds = (b("r", "x1") <= b("l", "x1")) & (b("r", "y1") <= b("l", "y1")) & (b("r", "x2") >= b("l", "x2")) & (b("r", "y2") >= b("l", "y2"))
+    differ = (b("r", "x1") != b("l", "x1")) | (b("r", "y1") != b("l", "y1")) | (b("r", "x2") != b("l", "x2")) | (b("r", "y2") != b("l", "y2"))
+    inner = grid_pairs(boxes, boxes, F.lit(0), cell, "line_id", "line_id").where(holds & differ)
+    return boxes.join(inner.select(F.col("l.page_id").alias("page_id"), F.col("l.line_id").alias("line_id")).distinct(), ["page_id", "line_id"], "left_anti").select(*boxes.columns)
 
 
 def overlap_pairs(boxes: DataFrame, least: float = 0.1, cell: int = 256) -> DataFrame:
@@ -228,14 +229,15 @@ def overlap_pairs(boxes: DataFrame, least: float = 0.1, cell: int = 256) -> Data
     )
 
 
-def exclusive_cover(lines: DataFrame, panels: DataFrame, least: float = 0.5) -> DataFrame:
+def exclusive_cover(lines: DataFrame, panels: DataFrame, least: float = 0.5, cell: int = 256) -> DataFrame:
     """Line -> panel that covers most of it, at least `least`; a panel that would hold several lines holds none."""
-    share = overlap("l", "p") / area("l")
-    joined = lines.alias("l").join(panels.alias("p"), "page_id").select("page_id", "l.line_id", "p.panel_id", share.alias("share"))
-    best = joined.groupBy("page_id", "line_id").agg(F.max_by(F.struct("panel_id", "share"), F.struct("share", -F.col("panel_id"))).alias("m"))
-    chosen = best.select("page_id", "line_id", F.when(F.col("m.share") >= least, F.col("m.panel_id")).alias("panel_id"))
-    n = F.count("panel_id").over(Window.partitionBy("page_id", "panel_id"))
-    return chosen.select("page_id", "line_id", F.when(n == 1, F.col("panel_id")).alias("panel_id"))
+    share = overlap("l", "r") / area("l")
+    pairs = grid_pairs(lines, panels, F.lit(0), cell, "line_id", "panel_id").where(share >= least).groupBy(F.col("l.page_id").alias("page_id"), F.col("l.line_id").alias("line_id"))
+    best = pairs.agg(F.max_by("r.panel_id", F.struct(share, -F.col("r.panel_id"))).alias("panel_id"))
+    n = F.count("*").over(Window.partitionBy("page_id", "panel_id"))
+    alone = best.withColumn("n", n).where("n = 1").select("page_id", "line_id", "panel_id")
+    asked = lines.join(panels.select("page_id").distinct(), "page_id", "left_semi").select("page_id", "line_id")
+    return asked.join(alone, ["page_id", "line_id"], "left")
 
 
 def neighbours(boxes: DataFrame, cell: int = 128) -> DataFrame:

@@ -12,27 +12,44 @@ from pyspark.sql import functions as F
 
 from folio.operators import boxes as X
 from folio.operators.graph import matched
+from folio.storage import materialize
 
 
 def shifted(boxes: DataFrame, dx: int, dy: int) -> DataFrame:
     return boxes.withColumns({"x1": F.col("x1") + dx, "x2": F.col("x2") + dx, "y1": F.col("y1") + dy, "y2": F.col("y2") + dy})
 
 
-def component_assign(blobs: DataFrame, lines: DataFrame) -> DataFrame:
+def component_assign(blobs: DataFrame, lines: DataFrame, cell: int = 256) -> DataFrame:
     """Each blob to the line with the largest common share of the smaller area, over 1 %; else to the line whose centre is nearest,
-    if the boxes are no further apart than half of the line's font, width or the blob's height, 10 at least: max(min(font, w, h), 10) / 2."""
-    share = X.overlap("b", "l") / F.least(X.area("b"), X.area("l"))
-    joined = blobs.alias("b").join(lines.alias("l"), "page_id").where((X.area("b") > 9) & (X.area("b") < X.area("l")))
-    font = F.least(X.b("l", "x2") - X.b("l", "x1"), X.b("l", "y2") - X.b("l", "y1"))
-    reach = 0.5 * F.greatest(F.least(font, X.b("b", "x2") - X.b("b", "x1"), X.b("b", "y2") - X.b("b", "y1")), F.lit(10))
-    across, down = (X.b("b", f"{c}1") + X.b("b", f"{c}2") - X.b("l", f"{c}1") - X.b("l", f"{c}2") for c in "xy")
-    centres = across.cast("long") * across + down.cast("long") * down
-    best = joined.groupBy("page_id", "b.blob_id").agg(
-        F.max_by(F.struct("l.line_id", share.alias("share")), F.struct(share, -F.col("l.line_id"))).alias("m"),
-        F.min_by(F.struct("l.line_id", (X.rect_distance("b", "l") <= reach).alias("near")), F.struct(centres, F.col("l.line_id"))).alias("c"),
-    )
-    owner = F.when(F.col("m.share") > 0.01, F.col("m.line_id")).when(F.col("c.near"), F.col("c.line_id"))
-    return best.select("page_id", "blob_id", owner.alias("line_id")).where("line_id is not null")
+    if the boxes are no further apart than half of the line's font, width or the blob's height, 10 at least: max(min(font, w, h), 10) / 2.
+
+    Only lines larger than the blob count. Lines that overlap it, and those within the reach that its size
+    allows, are found on the grid. The nearest centre of the latter holds unless a line with a nearer one
+    lies out of reach, which is looked for within that distance.
+    """
+    fits = (X.area("l") > 9) & (X.area("l") < X.area("r"))
+    share = X.overlap("l", "r") / F.least(X.area("l"), X.area("r"))
+    by_blob = (F.col("l.page_id").alias("page_id"), F.col("l.blob_id").alias("blob_id"))
+    common = X.grid_pairs(blobs, lines, F.lit(0), cell, "blob_id", "line_id").where(fits & (share > 0.01)).groupBy(*by_blob)
+    owned = common.agg(F.max_by("r.line_id", F.struct(share, -F.col("r.line_id"))).alias("line_id"))
+    rest = blobs.join(owned.select("page_id", "blob_id"), ["page_id", "blob_id"], "left_anti").select("page_id", "blob_id", *X.EDGES)
+    size = lambda side: (X.b(side, "x2") - X.b(side, "x1"), X.b(side, "y2") - X.b(side, "y1"))
+    most = 0.5 * F.greatest(F.least(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")), F.lit(10))
+    reach = 0.5 * F.greatest(F.least(*size("l"), *size("r")), F.lit(10))
+    across, down = (X.b("l", f"{c}1") + X.b("l", f"{c}2") - X.b("r", f"{c}1") - X.b("r", f"{c}2") for c in "xy")
+    centres = across.cast("long") * across + down.cast("long") * down  # of twice the coordinates
+    within = X.grid_pairs(rest, lines, most, cell, "blob_id", "line_id").where(fits & (X.rect_distance("l", "r") <= reach)).groupBy(*by_blob)
+    best = within.agg(F.min(F.struct(centres.alias("d"), F.col("r.line_id").alias("line_id"))).alias("c"))
+    best = materialize(rest.join(best, ["page_id", "blob_id"]), "component-best")
+    cx, cy, area = F.col("x1") + F.col("x2"), F.col("y1") + F.col("y2"), (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
+    wide = F.ceil(F.sqrt("c.d"))
+    asks = best.select("page_id", "blob_id", "c", area.alias("area"), cx.alias("cx"), cy.alias("cy"), (cx - wide).alias("x1"), (cx + wide).alias("x2"), (cy - wide).alias("y1"), (cy + wide).alias("y2"))
+    middles = lines.select("page_id", "line_id", area.alias("area"), cx.alias("x1"), cx.alias("x2"), cy.alias("y1"), cy.alias("y2"))
+    dx, dy = (F.col("l.cx") - F.col("r.x1")).cast("long"), (F.col("l.cy") - F.col("r.y1")).cast("long")
+    nearer = F.struct((dx * dx + dy * dy).alias("d"), F.col("r.line_id").alias("line_id")) < F.col("l.c")
+    beaten = X.grid_pairs(asks, middles, F.lit(0), 2 * cell, "blob_id", "line_id").where((F.col("l.area") < F.col("r.area")) & nearer).select(*by_blob).distinct()
+    held = best.join(beaten, ["page_id", "blob_id"], "left_anti").select("page_id", "blob_id", F.col("c.line_id").alias("line_id"))
+    return owned.union(held)
 
 
 def iou_pairs(truth: DataFrame, found: DataFrame, least: float = 0.5, cell: int = 256) -> DataFrame:
