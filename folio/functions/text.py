@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -220,12 +221,25 @@ def output_clean(dst: Column, arabic: Column | None = None) -> Column:
     return u if arabic is None else F.when(arabic, t).otherwise(u)
 
 
+def period(text: str) -> int:
+    """Least shift under which a text stands on itself, by its border array: one pass, amortised."""
+    border = [0] * len(text)
+    k = 0
+    for i in range(1, len(text)):
+        while k and text[i] != text[k]:
+            k = border[k - 1]
+        k += text[i] == text[k]
+        border[i] = k
+    return len(text) - border[-1] if text else 0
+
+
+def _units(texts: pd.Series) -> pd.Series:
+    return texts.map(lambda t: t if t is None or 2 * period(t) > len(t) else t[: period(t)])
+
+
 def repeat_unit(text: Column) -> Column:
     """Shortest prefix of at most half the text whose repetition gives the text; else the text."""
-    n = F.length(text)
-    sizes = F.when(n > 1, F.sequence(F.lit(1), F.floor(n / 2).cast("int"))).otherwise(F.array().cast("array<int>"))
-    period = F.filter(sizes, lambda k: F.call_function("substr", text, k + 1) == F.call_function("substr", text, F.lit(1), n - k))
-    return F.when(F.size(period) > 0, F.call_function("substr", text, F.lit(1), F.get(period, F.lit(0)))).otherwise(text)
+    return F.pandas_udf(_units, "string")(text)
 
 
 def repeat_shrink(src: Column, dst: Column) -> Column:

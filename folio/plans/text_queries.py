@@ -185,14 +185,22 @@ _pairs(
     None,
     lambda: dict(cleaned=T.output_clean(F.col("dst"))),
 )
+def _unit(t: str) -> str:
+    """The shortest repeated prefix in SQL."""
+    least = f"list_min([k for k in generate_series(1, length({t}) // 2) if substr({t}, k + 1) = substr({t}, 1, length({t}) - k)])"
+    return f"CASE WHEN {least} IS NULL THEN {t} ELSE substr({t}, 1, {least}) END"
+
+
 _pairs(
     "repeat_unit",
-    None,
+    f"{_unit('dst')} AS unit",
     lambda: dict(unit=T.repeat_unit(F.col("dst"))),
 )
 _pairs(
     "repeat_shrink",
-    None,
+    f"""CASE WHEN length(dst) < length(src) AND length({_unit('lower(dst)')}) < 0.5 * length(dst) THEN
+        array_to_string([CASE WHEN regexp_matches(substr(src, CAST(i AS BIGINT), 1), '^\\p{{Lu}}$') THEN upper(c) ELSE c END
+          for c, i in string_split(substr(repeat({_unit('lower(dst)')}, greatest(length(src) // length({_unit('lower(dst)')}), 1)), 1, length(src)), '')], '') ELSE dst END AS shrunk""",
     lambda: dict(shrunk=T.repeat_shrink(F.col("src"), F.col("dst"))),
 )
 _pairs(
