@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -321,12 +322,23 @@ def repetition_kind(text: Column, times: int) -> Column:
     )
 
 
+def repeated_size(text: str, times: int) -> int | None:
+    """Length of the smallest pattern that stands `times` times in a row: a shift by it leaves so long a stretch as it was. One vector pass a length."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    for k in range(1, len(codes) // times + 1):
+        apart = np.flatnonzero(np.r_[True, codes[k:] != codes[:-k], True])
+        if np.diff(apart).max() > (times - 1) * k:
+            return k
+    return None
+
+
 def pattern_repeat(text: Column, times: int = 20) -> Column:
     """Length of the smallest pattern that stands `times` times in a row; null if none."""
-    n = F.length(text)
-    sizes = F.when(n >= times, F.sequence(F.lit(1), F.floor(n / times).cast("int"))).otherwise(F.array().cast("array<int>"))
-    hit = F.filter(sizes, lambda k: F.call_function("rlike", text, F.concat(F.lit("(?s)(.{"), k.cast("string"), F.lit(f"}})\\1{{{times - 1}}}"))))
-    return F.get(hit, F.lit(0))
+
+    def sizes(texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else repeated_size(t, times) for t in texts], dtype="Int32")
+
+    return F.pandas_udf(sizes, "int")(text)
 
 
 def pattern_squeeze(text: Column, times: int = 20) -> Column:

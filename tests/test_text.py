@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -71,3 +72,15 @@ def test_java_replacement(spark):
 )
 def test_word_segments(spark, given, want):
     assert one(spark, T.word_segments(F.col("t")), t=given) == want
+
+
+def test_period_and_repeated_size_by_loops():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        text = "".join(rnd.choices("ab", k=rnd.randrange(9))) * rnd.randrange(1, 9) + rnd.choice(["", "a", "ba"])
+        if text:
+            assert T.period(text) == next(k for k in range(1, len(text) + 1) if text[k:] == text[: len(text) - k])
+        for times in (2, 3, 5):
+            want = next((k for k in range(1, len(text) // times + 1) for i in range(len(text) - times * k + 1) if text[i : i + times * k] == text[i : i + k] * times), None)
+            assert T.repeated_size(text, times) == want
+    assert T.period("") == 0 and T.repeated_size("é😀" * 20 + "x", 20) == 2
