@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folio.operators.folds import Flush, Fold, Pack, folded
+
 
 def ordered(df: DataFrame, key: str, order: str, *columns: str) -> DataFrame:
     """One row per key with rows: array of structs (order, columns...) in order."""
@@ -17,46 +21,25 @@ def fixed_batches(df: DataFrame, key: str, order: str, cap: int) -> DataFrame:
     return df.withColumn("batch", F.floor((n - 1) / cap).cast("long"))
 
 
+def _batched(rows: DataFrame, key: str, order: str, fold: Callable[[], Fold]) -> DataFrame:
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
+    return folded(rows, key, order, order, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, batch bigint", fold)
+
+
 def budget_pack(df: DataFrame, key: str, order: str, size: Column, limit: int, overhead: int = 10) -> DataFrame:
     """df(key, order) plus batch: a new batch begins when the next row and its overhead no longer fit and the batch is not empty.
 
-    A fold over the sizes of one key in order; only the sizes are gathered.
+    The sizes of a key are streamed in order; a key of any length is held nowhere.
     """
     sized = df.select(F.col(key), F.col(order), size.cast("long").alias("size"))
-    start = F.struct(F.lit(0).cast("long").alias("batch"), F.lit(0).cast("long").alias("filled"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(a: Column, r: Column) -> Column:
-        need = r["size"] + overhead
-        full = (a["filled"] + need > limit) & (a["filled"] > 0)
-        batch = a["batch"] + F.when(full, 1).otherwise(0)
-        return F.struct(batch.alias("batch"), F.when(full, need).otherwise(a["filled"] + need).alias("filled"), F.concat(a["out"], F.array(batch)).alias("out"))
-
-    folded = ordered(sized, key, order, "size").select(key, "rows", F.aggregate("rows", start, step, lambda a: a["out"]).alias("b"))
-    return folded.select(key, F.explode(F.arrays_zip("rows", "b")).alias("z")).select(key, F.col(f"z.rows.{order}").alias(order), F.col("z.b").alias("batch"))
+    return _batched(sized, key, order, lambda: Pack(limit, overhead))
 
 
 def page_flush(df: DataFrame, key: str, order: str, tokens: str, cap: int, soft: int) -> DataFrame:
     """df(key, order) plus batch by token estimate: a third of the budget or 3 pages first, then cap pages or the budget, a third of it near the end."""
-    rows = ordered(df, key, order, tokens).withColumn("n", F.size("rows"))
-    zero = F.lit(0).cast("long")
-    start = F.struct(zero.alias("batch"), zero.alias("held"), zero.alias("pages"), zero.alias("seen"), F.array().cast("array<bigint>").alias("out"))
-
-    def step(n: Column):
-        def one(a: Column, r: Column) -> Column:
-            held, pages, seen = a["held"] + r[tokens], a["pages"] + 1, a["seen"] + 1
-            third = F.lit(soft // 3)
-            first = (a["batch"] == 0) & ((held >= third) | (pages >= 3))
-            later = (a["batch"] > 0) & ((pages >= cap) | (held >= soft) | ((held >= third) & (n - seen <= 4)))
-            flush = first | later
-            return F.struct(
-                (a["batch"] + F.when(flush, 1).otherwise(0)).alias("batch"), F.when(flush, zero).otherwise(held).alias("held"),
-                F.when(flush, zero).otherwise(pages).alias("pages"), seen.alias("seen"), F.concat(a["out"], F.array(a["batch"])).alias("out"),
-            )
-
-        return one
-
-    folded = rows.select(key, "rows", F.aggregate("rows", start, step(F.col("n")), lambda a: a["out"]).alias("b"))
-    return folded.select(key, F.explode(F.arrays_zip("rows", "b")).alias("z")).select(key, F.col(f"z.rows.{order}").alias(order), F.col("z.b").alias("batch"))
+    counts = df.groupBy(F.col(key).alias("_key")).agg(F.count("*").alias("n"))
+    sized = df.select(F.col(key), F.col(order), F.col(tokens).cast("long").alias("size")).join(counts, F.col(key).eqNullSafe(F.col("_key")))
+    return _batched(sized.select(key, order, "size", "n"), key, order, lambda: Flush(cap, soft))
 
 
 def prompt_build(df: DataFrame, keys: list[str], order: str, text: str, template: str = "") -> DataFrame:

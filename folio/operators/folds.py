@@ -231,3 +231,35 @@ class Lifecycle(Fold):
         row = {"token": self.token, "status": self.status, "started": self.started, "last_poll": self.last_poll, "done_at": self.done_at, "gone_at": at}
         self.load([None] * 5)
         return [row]
+
+
+class Pack(Fold):
+    """rows(size) -> with batch: a new one begins when a row and its overhead no longer fit and the batch is not empty."""
+
+    def __init__(self, limit: int, overhead: int):
+        self.limit, self.overhead, self.batch, self.filled = limit, overhead, 0, 0
+
+    def step(self, row: dict) -> list[dict]:
+        need = (row["size"] or 0) + self.overhead
+        if self.filled > 0 and self.filled + need > self.limit:
+            self.batch, self.filled = self.batch + 1, 0
+        self.filled += need
+        return [row | {"batch": self.batch}]
+
+
+class Flush(Fold):
+    """rows(size, n rows in all) -> with batch: the first ends at a third of the budget or three pages; later ones at cap pages or the budget, at a third of it when at most four rows are left."""
+
+    def __init__(self, cap: int, soft: int):
+        self.cap, self.soft, self.batch, self.held, self.pages, self.seen = cap, soft, 0, 0, 0, 0
+
+    def step(self, row: dict) -> list[dict]:
+        self.held, self.pages, self.seen = self.held + (row["size"] or 0), self.pages + 1, self.seen + 1
+        third, out = self.held >= self.soft // 3, [row | {"batch": self.batch}]
+        if self.batch == 0:
+            over = third or self.pages >= 3
+        else:
+            over = self.pages >= self.cap or self.held >= self.soft or third and row["n"] - self.seen <= 4
+        if over:
+            self.batch, self.held, self.pages = self.batch + 1, 0, 0
+        return out
