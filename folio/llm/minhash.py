@@ -16,6 +16,8 @@ from folio.storage import discard, materialize
 
 #: Hashes of a signature, low bits kept of each, and minima in a band.
 HASHES, BITS, ROWS = 128, 2, 5
+#: Places of the odd sketch that goes with a signature.
+PARITIES = 512
 #: Chance that the estimate turns down a pair which is just similar enough.
 MISS = 1e-9
 #: Shingles hashed at once: bounds the memory of a very long text.
@@ -67,6 +69,12 @@ def packed(low: np.ndarray) -> np.ndarray:
     return np.concatenate(planes)
 
 
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Whether an odd number of a set's hashes falls into each of PARITIES places, as longs: two sets differ in a place only by a shingle that one of them lacks."""
+    odd = np.bincount((hashes & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def bands(low: np.ndarray) -> list[int]:
     """A hash of each run of ROWS minima and its number, as signed longs."""
     keys = []
@@ -85,7 +93,7 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(hashes))
             one.append(int(digest[0]))
             two.append(int(digest[1]))
-            sig.append(packed(low).tolist())
+            sig.append([*packed(low).tolist(), *parities(hashes).tolist()])
             keys.append(bands(low))
         longs = pa.list_(pa.int64())
         yield pa.RecordBatch.from_arrays(
@@ -119,6 +127,18 @@ def different(a: Column, b: Column) -> Column:
     return sum((F.bit_count(either(word(i))) for i in range(1, longs)), F.bit_count(either(word(0))))
 
 
+def can_be_similar(a: Column, b: Column, n: Column, m: Column, percent: int) -> Column:
+    """Whether signatures of sets of n and m shingles allow the similarity, by bit counts.
+
+    The places in which the odd sketches differ are at most as many as the shingles that one of the
+    sets lacks, which are at most (n + m) (1 - t) / (1 + t); so this loses no pair. The packed minima
+    estimate the similarity, which loses one with a chance of MISS.
+    """
+    first = HASHES // 64 * BITS
+    lacking = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(first + 1, first + PARITIES // 64)), F.bit_count(a[first].bitwiseXOR(b[first])))
+    return (lacking * (100 + percent) <= (n + m) * (100 - percent)) & (different(a, b) <= most_different(percent / 100))
+
+
 def similarity(a: Column, b: Column) -> Column:
     """Estimated Jaccard similarity: the share of equal places less what chance makes equal."""
     chance = 2.0**-BITS
@@ -167,11 +187,10 @@ def _with(pairs: DataFrame, table: DataFrame, what: str) -> DataFrame:
     return pairs
 
 
-def _near(pairs: DataFrame, signatures: DataFrame, threshold: float) -> DataFrame:
-    """Those of pairs(u, v) whose sizes and packed signatures allow the similarity."""
+def _near(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
+    """Those of pairs(u, v) whose sizes and signatures allow the similarity."""
     both = _with(pairs, signatures.select("id", F.struct("n", "sig").alias("s")), "s")
-    fits = F.least("a.n", "b.n") >= threshold * F.greatest("a.n", "b.n") - 1e-9
-    return both.where(fits & (different(F.col("a.sig"), F.col("b.sig")) <= most_different(threshold))).select("u", "v")
+    return both.where(can_be_similar(F.col("a.sig"), F.col("b.sig"), F.col("a.n"), F.col("b.n"), percent)).select("u", "v")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +232,7 @@ def _across(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: D
     bounds and the signatures are compared in the join, so a pair that cannot be similar never comes
     out of it.
     """
-    spark, threshold = members.sparkSession, percent / 100
+    spark = members.sparkSession
     comp = connected_components(links).withColumnRenamed("node", "id")
     named = members.join(comp.hint("merge"), "id", "left").withColumn("c", F.coalesce("component", "id"))
     named = materialize(named.select("key", "id", "c", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt")), "minhash-members")
@@ -242,7 +261,7 @@ def _across(members: DataFrame, signatures: DataFrame, sets: DataFrame, links: D
     )
     once = ((F.col("c") == F.col("main")) | (F.col("c") < F.col("d"))) & (F.col("c") != F.col("d"))
     enough = F.least(F.col("n") - F.col("at"), F.col("m") - F.col("to")) * (100 + percent) >= percent * (F.col("n") + F.col("m"))
-    near = different(F.col("sig"), F.col("other")) <= most_different(threshold)
+    near = can_be_similar(F.col("sig"), F.col("other"), F.col("n"), F.col("m"), percent)
     found = here.join(minor.hint("merge"), ["key", "part"]).where(once & enough & near).select(*_pairs(F.col("id"), F.col("v"))).distinct()
     found = materialize(found, "minhash-near")
     sent.destroy()
@@ -258,14 +277,13 @@ def similar_links(classes: DataFrame, sets_of, percent: int = 85) -> DataFrame:
     the shingles of their prefixes. A pair counts only if its whole sets are similar; sets_of(ids)
     gives them.
     """
-    threshold = percent / 100
     signatures = classes.select("id", "n", "sig")
     members = classes.select("id", F.explode("bands").alias("key"))
     many = members.groupBy("key").agg(F.min("id").alias("x"), F.max("id").alias("y")).where("x <> y").select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     members = members.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(many.hint("merge"), ["key", "salt"]).select("key", "id")
     members = materialize(members, "minhash-members")
     chained = materialize(_chained(members), "minhash-pairs")
-    near = materialize(_near(chained, signatures, threshold), "minhash-near")
+    near = materialize(_near(chained, signatures, percent), "minhash-near")
     sets = materialize(sets_of(members.select("id").distinct()), "minhash-sets")
     links = materialize(_similar(near, sets, percent), "minhash-links")
     across = _across(members, signatures, sets, links, percent)

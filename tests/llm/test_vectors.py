@@ -214,6 +214,8 @@ def test_packed_bits_estimate_similarity(spark):
             c = draw(common)
             a, b = (np.array(sorted(c | draw(own)), np.uint64) for _ in range(2))
             rows.append((share, *(M.packed(M.minima(x)).tolist() for x in (a, b))))
+            lacking = sum(int(x).bit_count() for x in (M.parities(a) ^ M.parities(b)).view(np.uint64))
+            assert lacking <= len(set(a.tolist()) ^ set(b.tolist())) and (share < 1 or lacking == 0)
     df = spark.createDataFrame(rows, "share double, a array<bigint>, b array<bigint>")
     out = df.select("share", M.similarity(F.col("a"), F.col("b")).alias("s"), M.different(F.col("a"), F.col("b")).alias("d")).collect()
     for share in {r.share for r in out}:
