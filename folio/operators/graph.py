@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.storage import discard, materialize, scratch_path
+from folio.storage import discard, materialize, scratch_path, shuffled
 
 #: Parts over which the neighbours of one node are spread.
 SALTS = 32
@@ -16,7 +16,7 @@ def _with_lowest(edges: DataFrame) -> DataFrame:
     salted = edges.withColumn("s", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
     part = salted.groupBy("u", "s").agg(F.min("v").alias("m"))
     low = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("s"))  # at most SALTS a node
-    return salted.join(low.select("u", "m", F.explode("s").alias("s")), ["u", "s"]).select("u", "v", "m")
+    return salted.join(shuffled(low.select("u", "m", F.explode("s").alias("s"))), ["u", "s"]).select("u", "v", "m")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -73,13 +73,13 @@ def suppressed(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select("strong", "weak").where("strong is not null and weak is not null").distinct(), "suppress-edges")
     path, rounds = scratch_path(edges.sparkSession, "suppressed"), 0
     while not now.isEmpty():
-        stay = now.select("strong").distinct().join(now.select(F.col("weak").alias("strong")).distinct(), "strong", "left_anti")
-        gone = now.join(stay, "strong", "left_semi").select(F.col("weak").alias("node")).distinct()
+        stay = now.select("strong").distinct().join(shuffled(now.select(F.col("weak").alias("strong")).distinct()), "strong", "left_anti")
+        gone = now.join(shuffled(stay), "strong", "left_semi").select(F.col("weak").alias("node")).distinct()
         gone.write.parquet(f"{path}/round={rounds}")
         gone = edges.sparkSession.read.parquet(f"{path}/round={rounds}")
         if gone.isEmpty():
             raise ValueError("the edges lead round in a circle")
-        after = now.join(gone.withColumnRenamed("node", "weak"), "weak", "left_anti").join(gone.withColumnRenamed("node", "strong"), "strong", "left_anti")
+        after = now.join(shuffled(gone.withColumnRenamed("node", "weak")), "weak", "left_anti").join(shuffled(gone.withColumnRenamed("node", "strong")), "strong", "left_anti")
         after = materialize(after.select("strong", "weak"), "suppress-edges")
         discard(now)
         now, rounds = after, rounds + 1
@@ -99,9 +99,9 @@ def matched(pairs: DataFrame) -> DataFrame:
     path, rounds = scratch_path(pairs.sparkSession, "matched"), 0
     while not now.isEmpty():
         of_left, of_right = now.groupBy("page", "left").agg(F.min("right").alias("right")), now.groupBy("page", "right").agg(F.min("left").alias("left"))
-        of_left.join(of_right, ["page", "left", "right"], "left_semi").select("page", "left", "right").write.parquet(f"{path}/round={rounds}")
+        of_left.join(shuffled(of_right), ["page", "left", "right"], "left_semi").select("page", "left", "right").write.parquet(f"{path}/round={rounds}")
         took = pairs.sparkSession.read.schema(now.schema).parquet(f"{path}/round={rounds}")
-        after = materialize(now.join(took.select("page", "left"), ["page", "left"], "left_anti").join(took.select("page", "right"), ["page", "right"], "left_anti"), "match-pairs")
+        after = materialize(now.join(shuffled(took.select("page", "left")), ["page", "left"], "left_anti").join(shuffled(took.select("page", "right")), ["page", "right"], "left_anti"), "match-pairs")
         discard(now)
         now, rounds = after, rounds + 1
     if not rounds:
