@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folio.operators import jobs as J
 from folio.plans.fixtures import table
 from folio.storage import scratch_path
+from folio.streaming import folds
 from folio.streaming import jobs as S
 
 SECOND = 1_000_000
@@ -145,6 +146,17 @@ def test_hours(spark):
     assert reports[-1].stateOperators[0].numRowsTotal == 0
 
 
+def test_keys_of_one_bucket_keep_apart(spark, monkeypatch):
+    """Folds of many keys in one group, with state and timers of each, numbers as keys."""
+    monkeypatch.setattr(folds, "BUCKETS", 1)
+    rnd = random.Random(6)
+    rows = [(i, rnd.randrange(9), START + rnd.choice([600, 1200]) * rnd.randrange(40) * SECOND) for i in range(300)]
+    reports = []
+    stream = S.admission(replayed(spark, rows, REQUESTS, 60, 5, rnd), 3, 3600 * SECOND, "2 minutes")
+    assert rows_of(S.run_available(stream, keep=reports), "req_id", "ip", "at", "admitted") == sorted(plain_hours(rows, 3, 3600 * SECOND), key=str)
+    assert reports[-1].stateOperators[0].numRowsTotal == 0
+
+
 def test_rows_behind_the_watermark_are_dropped(spark):
     at = [START + n * 3600 * SECOND for n in range(0, 240)]
     late = [START + n * 3600 * SECOND + 1 for n in (3, 30, 50)]
