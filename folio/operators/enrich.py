@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +18,8 @@ from folio.storage import materialize
 
 #: A user's function: a list of texts to a list of answers, of any length.
 Translate = Callable[[list[str]], list[str]]
+#: Trigrams that a task counts at once.
+GRAMS = 1 << 21
 
 
 def run_batches(rows: DataFrame, key: str, order: str, text: str, fn: Translate, cap: int) -> DataFrame:
@@ -120,20 +125,74 @@ def failed_pages(jobs: DataFrame, failures: DataFrame, key: str, page: str) -> D
 
 
 def language_profile(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    """(gram, lang, n, total, v): counts of character trigrams by language, of each language, and the number of different ones. Kept as a table."""
-    counts = docs.select(F.col(lang).alias("lang"), F.explode(_char_grams(F.col(text))).alias("gram")).groupBy("gram", "lang").agg(F.count("*").alias("n"))
+    """(gram, lang, n, total, v): counts of character trigrams by language, of each language, and the number of different ones. Kept as a table.
+
+    A gram is the number that its three characters make. Tasks count what they read, so only different grams are shuffled.
+    """
+    counts = _gram_counts(docs, lang, text).groupBy("gram", F.col("by").alias("lang")).agg(F.sum("k").alias("n"))
     counts = materialize(counts, "language-counts")
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     v = counts.agg(F.countDistinct("gram").alias("v"))
     return counts.join(F.broadcast(totals), "lang").withColumn("v", F.lit(v.first()["v"]))
 
 
-def _char_grams(text: Column) -> Column:
-    """Trigrams by splitting once into characters: a substring by position would walk the text each time."""
-    chars = F.split(F.lower(text), "")
-    return F.flatten(F.transform(F.array(chars), lambda cs: F.transform(
-        F.when(F.size(cs) >= 3, F.sequence(F.lit(1), F.size(cs) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.concat(F.get(cs, i - 1), F.get(cs, i), F.get(cs, i + 1))
-    )))
+def _grams(text: bytes | None) -> np.ndarray:
+    """The trigrams of a text in UTF-8, 21 bits a character."""
+    c = np.frombuffer((text or b"").decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
+    return c[:-2] << 42 | c[1:-1] << 21 | c[2:]
+
+
+def _in_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.DataType, list, list[np.ndarray]]]:
+    """The type of the first column, its values and the grams of the second, up to about GRAMS at once; texts without grams are left out."""
+    for b in batches:
+        keys, parts, held = [], [], 0
+        for key, text in zip(b.column(0).to_pylist(), b.column(1)):
+            if len(grams := _grams(text.as_py())):
+                keys.append(key)
+                parts.append(grams)
+                held += len(grams)
+            if held >= GRAMS:
+                yield b.schema.field(0).type, keys, parts
+                keys, parts, held = [], [], 0
+        if keys:
+            yield b.schema.field(0).type, keys, parts
+
+
+def _gram_counts(docs: DataFrame, by: str, text: str) -> DataFrame:
+    """(by, gram, k): how often trigrams occur in the lower case of texts, by a column; counted within tasks, so a pair may come again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for kind, keys, parts in _in_turns(batches):
+            of = defaultdict(list)
+            for key, grams in zip(keys, parts):
+                of[key].append(grams)
+            for key, some in of.items():
+                gram, k = np.unique(np.concatenate(some), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key, kind), len(gram)), pa.array(gram, pa.int64()), pa.array(k, pa.int64())], names=["by", "gram", "k"])
+
+    rows = docs.select(F.col(by).alias("by"), F.lower(text).cast("binary").alias("text"))
+    return rows.mapInArrow(run, f"by {docs.schema[by].dataType.simpleString()}, gram bigint, k bigint")
+
+
+def _gain_sums(docs: DataFrame, wide: DataFrame, id_col: str, text: str, names: list[str]) -> DataFrame:
+    """(id, m, names...): the number of a text's trigrams and the sums of their gains, from a table that goes to every task."""
+    table = wide.toPandas().sort_values("gram")
+    zero = np.zeros((1, len(names)))  # what a gram has that is not in the table
+    sent = docs.sparkSession.sparkContext.broadcast((table["gram"].to_numpy(np.int64), np.concatenate([table[names].to_numpy(np.float64), zero])))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, gains = sent.value
+        for kind, keys, parts in _in_turns(batches):
+            grams, sizes = np.concatenate(parts), np.array([len(p) for p in parts])
+            at = np.searchsorted(known, grams)
+            at[(at < len(known)) & (np.append(known, -1)[at] != grams)] = len(known)
+            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+            sums = [np.add.reduceat(gains[at, i], starts) for i in range(len(names))]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, kind), pa.array(sizes, pa.int64()), *map(pa.array, sums)], names=["id", "m", *names])
+
+    rows = docs.select(F.col(id_col).alias("id"), F.lower(text).cast("binary").alias("text"))
+    ddl = f"id {docs.schema[id_col].dataType.simpleString()}, m bigint" + "".join(f", {n} double" for n in names)
+    return rows.mapInArrow(run, ddl).groupBy("id").agg(F.sum("m").alias("m"), *[F.sum(n).alias(n) for n in names])
 
 
 def language_detect(docs: DataFrame, profile: DataFrame, id_col: str, text: str, broadcast_rows: int = 1_000_000) -> DataFrame:
@@ -147,12 +206,12 @@ def language_detect(docs: DataFrame, profile: DataFrame, id_col: str, text: str,
     gain = lambda r: F.coalesce(F.max(F.when(F.col("lang").eqNullSafe(F.lit(r["lang"])), F.log(F.col("n") + 1))), F.lit(0.0))
     wide = profile.groupBy("gram").agg(*[gain(r).alias(f"g{i}") for i, r in enumerate(sizes)], F.lit(0.0).alias("g"))
     wide = materialize(wide, "language-gains")
-    grams = docs.select(F.col(id_col).alias("id"), F.explode(_char_grams(F.col(text))).alias("gram"))
-    few = wide.count() <= broadcast_rows
-    grams = grams if few else grams.groupBy("id", "gram").agg(F.count("*").alias("k"))
-    k = F.lit(1) if few else F.col("k")
-    met = grams.join(F.broadcast(wide) if few else wide, "gram", "left")
-    sums = met.groupBy("id").agg(F.sum(k).alias("m"), *[F.sum(k * F.coalesce(F.col(f"g{i}"), F.lit(0.0))).alias(f"g{i}") for i in range(len(sizes))])
+    names = [f"g{i}" for i in range(len(sizes))]
+    if wide.count() <= broadcast_rows:
+        sums = _gain_sums(docs, wide, id_col, text, names)
+    else:
+        met = _gram_counts(docs, id_col, text).withColumnRenamed("by", "id").join(wide, "gram", "left")
+        sums = met.groupBy("id").agg(F.sum("k").alias("m"), *[F.sum(F.col("k") * F.coalesce(F.col(n), F.lit(0.0))).alias(n) for n in names])
     score = lambda i, r: F.col(f"g{i}") / F.col("m") - math.log(r["total"] + r["v"])
     # a language none of whose grams occur is not scored
     found = F.array(*[F.when(F.col(f"g{i}") > 0, F.struct(F.round(score(i, r), 9).alias("k"), F.lit(r["lang"]).alias("lang"), score(i, r).alias("score"))) for i, r in enumerate(sizes)])

@@ -289,3 +289,15 @@ def test_nearest_by_loop(spark):
     p = spark.createDataFrame(points, "page_id long, point_id long, px int, py int")
     assert sorted(map(tuple, boxes.nearest_owner(p, df).collect())) == sorted(want)
     assert boxes.nearest_owner(p.where("page_id = 9"), df).collect() == [] == boxes.nearest_owner(p, df.where("false")).collect()
+
+
+def test_grams_are_counted_in_tasks(spark):
+    """Counts by language, with characters beyond 16 bits, repeats and texts too short; only sums of texts are shuffled."""
+    rows = [("en", "Abab"), ("en", "ABA"), ("de", "\U0001f600ab"), ("de", "ab"), ("de", None), (None, "xyz")]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, lang string, text string")
+    code = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    profile = enrich.language_profile(docs, "text", "lang")
+    got = sorted(map(tuple, profile.select("lang", "gram", "n", "total", "v").collect()), key=str)
+    assert got == sorted([("en", code("aba"), 2, 3, 4), ("en", code("bab"), 1, 3, 4), ("de", code("\U0001f600ab"), 1, 1, 4)], key=str)  # a text without a language counts for v only
+    whole, joined = (sorted(map(tuple, enrich.language_detect(docs, profile, "i", "text", n).collect())) for n in (1000, 0))
+    assert [r[:2] for r in whole] == [(0, "en"), (1, "en"), (2, "de")] == [r[:2] for r in joined]
