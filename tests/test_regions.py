@@ -120,3 +120,12 @@ def test_evaluation_with_ignored_truth(spark):
     found = spark.createDataFrame([(1, 1, 0, 0, 10, 9), (1, 2, 110, 0, 140, 20), (1, 3, 190, 0, 230, 10), (2, 4, 1, 1, 9, 9), (4, 5, 0, 0, 5, 5)], "page_id bigint, line_id bigint, x1 int, y1 int, x2 int, y2 int")
     got = {r.page_id: (r.n_truth, r.n_found, r.matched, r.recall, r.precision) for r in R.detection_eval(truth, found, ignore="dim").collect()}
     assert got == {1: (1, 2, 1, 1.0, 0.5), 2: (0, 0, 0, 1.0, 1.0), 3: (1, 0, 0, 0.0, 0.0), 4: (0, 1, 0, 1.0, 0.0), None: (2, 3, 1, 0.5, 1 / 3)}
+
+
+def test_the_distance_of_turned_lines_is_told_once_a_pair(spark):
+    """It is asked last and in one place of the plan (two uses of hypot, one a direction)."""
+    corner = "struct<x:int,y:int>"
+    lines = spark.createDataFrame([(1, 1, [(0, 0), (40, 5), (38, 25), (-2, 20)]), (1, 2, [(3, 30), (43, 35), (41, 55), (1, 50)])], f"page_id bigint, line_id bigint, pts array<{corner}>")
+    edges = X.merge_edges(X.with_edges(lines))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("HYPOT") == 2 and [tuple(r) for r in edges.collect()] == [(1, 1, 2)]
