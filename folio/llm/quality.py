@@ -28,6 +28,8 @@ SHORT = 30
 BITS = 18
 #: At most so many labelled rows are fitted on, and half as many without labels; chosen by a hash of the id.
 SAMPLE_ROWS = 8_000
+#: Rows that a step of the fit takes at once.
+BLOCK = 1_000
 #: A cue word is in at least CUE_DOCS fitted texts labelled toxic, and CUE_SHARE of the labelled texts that have it are; the CUES most frequent vote.
 CUE_DOCS, CUE_SHARE, CUES = 8, 0.95, 500
 _WORD = re.compile(r"[^\W\d_]+")
@@ -137,22 +139,39 @@ def posteriors(codes: np.ndarray, counts: np.ndarray, rounds: int = 200) -> np.n
     return estimate_accuracies(np.stack([codes // 3**j % 3 for j in range(len(LABELLERS))], axis=1), counts, rounds)[0]
 
 
+def _counts(of: np.ndarray, width: int) -> np.ndarray:
+    """np.bincount by pieces, which it copies."""
+    total = np.zeros(width, np.int64)
+    for at in range(0, len(of), 1 << 18):
+        total += np.bincount(of[at : at + (1 << 18)], minlength=width)
+    return total
+
+
 def fit_logistic(owner: np.ndarray, slots: np.ndarray, target: np.ndarray, width: int, l2: float = 3.0, rounds: int = 200) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression of soft labels on features slots[i] of rows owner[i]; accelerated gradient steps."""
+    """Ridge logistic regression of soft labels on features slots[i] of rows owner[i], in order; accelerated gradient steps.
+
+    Each step goes over blocks of rows, so it needs no copy of all features; sums are taken in the order of the rows.
+    """
     count = len(target)
-    used = np.flatnonzero(np.bincount(slots, minlength=width))
+    used = np.flatnonzero(_counts(slots, width))
     place = np.zeros(width, np.int32)
     place[used] = np.arange(len(used))
     index = place[slots]
-    lengths = np.bincount(owner, minlength=count)
+    lengths = _counts(owner, count)
     w, v, b, vb = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
-    scale = np.bincount(index, minlength=len(used)) * 0.25 + l2  # diagonal bound of the curvature
+    scale = _counts(index, len(used)) * 0.25 + l2  # diagonal bound of the curvature
     step = 1 / max(1.0, float(np.percentile(lengths, 95) if count else 1))
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    blocks = [(at, min(count, at + BLOCK)) for at in range(0, count, BLOCK)]
     for k in range(rounds):
         m = (k - 1) / (k + 2) if k else 0.0
-        z = np.bincount(owner, (w + m * v)[index], minlength=count) + b + m * vb
-        r = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target
-        g = np.bincount(index, r[owner], minlength=len(used)) + l2 * (w + m * v)
+        ahead, r, g = w + m * v, np.zeros(count), np.zeros(len(used))
+        for x, y in blocks:
+            own, features_of = owner[ends[x] : ends[y]], index[ends[x] : ends[y]]
+            z = np.bincount(own - x, ahead[features_of], minlength=y - x) + b + m * vb
+            r[x:y] = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - target[x:y]
+            np.add.at(g, features_of, r[own])
+        g += l2 * ahead
         new = w + m * v - step * g / scale
         nb = b + m * vb - step * r.sum() / (0.25 * max(1, count))
         v, vb, w, b = new - w, nb - b, new, nb
@@ -275,7 +294,9 @@ def quality_scores(
     index = lists.flatten().to_numpy() if len(lists) else np.zeros(0, np.int32)
     target, name = rows["p"].to_numpy(), f"{len(lists)}"
     del rows, lists
+    pa.default_memory_pool().release_unused()
     weights, bias = fit_logistic(owner, index, target, 1 << BITS)
+    del owner, index, target
     discard(sample, chosen)
     model = spark.sparkContext.broadcast((f"{name}-{bias!r}-{weights.sum()!r}", weights.astype(np.float32), float(bias)))
 

@@ -5,6 +5,7 @@ import itertools
 import math
 import collections
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -720,6 +721,20 @@ def brute_lines(rows, threshold=0.8):
     return set(keep.values())
 
 
+def test_quality_fit_by_blocks(monkeypatch):
+    """Blocks of any size give the same weights to the last bit, and a step needs no copy of all features."""
+    rng = np.random.default_rng(4)
+    lengths = rng.integers(0, 400, 3000)
+    owner, slots, target = np.repeat(np.arange(3000, dtype=np.int32), lengths), rng.integers(0, 5000, lengths.sum()).astype(np.int32), rng.random(3000)
+    want, bias = quality.fit_logistic(owner, slots, target, 5000, rounds=5)
+    monkeypatch.setattr(quality, "BLOCK", 70)
+    tracemalloc.start()
+    got, again = quality.fit_logistic(owner, slots, target, 5000, rounds=5)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (want == got).all() and bias == again and peak < 14 * len(slots)
+
+
 def test_line_dedup_recall(docs):
     """At least nine of ten of the links that brute force finds, and no other line is dropped."""
     want = brute_lines(docs.collect())
